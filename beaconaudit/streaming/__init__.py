@@ -1,0 +1,2 @@
+"""Detection keeps no state: ``operators.findings.detect`` is a map over files and takes a
+stream of files as it takes a table. There is no streaming operator of its own."""
