@@ -164,13 +164,14 @@ FROM (SELECT concat('/repos/', source) AS project_path, count(*) AS n FROM docum
 """
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for name in ("customer", "supplier", "events", "documents", "pages", "conversations"):
+def views(spark: SparkSession, sf_dir: str, names) -> None:
+    for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    views(spark, sf_dir)
+    """Runs ``sql`` over the test tables it names."""
+    views(spark, sf_dir, [t for t in TABLES if f"FROM {t}" in sql])
     return spark.sql(sql)
 
 

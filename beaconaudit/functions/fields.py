@@ -1,15 +1,13 @@
 """What a matched line sends: one builder per call style.
 
-A builder takes the line and returns ``[(key, value, present), ...]`` Columns. A key
-that is not present is left out of the record; a present key may hold '' or null.
+A builder takes the line and returns ``[(key, value, present), ...]``, all SQL expressions.
+A key that is not present is left out of the record; a present key may hold '' or null.
 ``present`` may be None: the key is then present when its value is not null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from beaconaudit.functions.text import group, groups, not_blank, strip
+from beaconaudit.functions.text import case, group, groups, lit, not_blank, strip
 
 # The patterns that pick values out of a line. All are case-sensitive.
 IMPORTED_ITEMS = r"import\s+(\{[^}]+\}|\w+)"
@@ -46,79 +44,59 @@ def u(pattern: str) -> str:
     return "(?sU)" + pattern
 
 
-def _found(key: str, value: Column):
+def _found(key: str, value: str):
     return key, value, None
 
 
-def nothing(line: Column) -> list:
-    return []
+def _first_group(key: str, pattern: str):
+    return lambda line: _found(key, group(line, u(pattern)))
 
 
 def from_patterns(patterns: dict[str, str]):
-    """A builder for registered rules: key -> regex whose first group is the value."""
+    """A builder from values: key -> regex whose first group is the value."""
     if not patterns:
         return nothing
-    items = tuple(patterns.items())
-    return lambda line: [_found(key, group(line, u(regex))) for key, regex in items]
-
-
-def web_import(line: Column) -> list:
-    return [_found("imported_items", group(line, u(IMPORTED_ITEMS))),
-            _found("package", group(line, u(IMPORTED_PACKAGE)))]
-
-
-def web_log(line: Column) -> list:
-    return [_found("log_message", group(line, u(WEB_LOG_MESSAGE))),
-            _found("parameters", group(line, u(WEB_LOG_ARGUMENTS)))]
-
+    parts = [_first_group(key, regex) for key, regex in patterns.items()]
+    return lambda line: [part(line) for part in parts]
 
-def web_rum(line: Column) -> list:
-    return [_found("action_name", group(line, u(WEB_RUM_NAME))),
-            _found("parameters", group(line, u(WEB_RUM_ARGUMENTS)))]
 
-
-def unity_import(line: Column) -> list:
-    return [_found("namespace", group(line, u(UNITY_NAMESPACE)))]
+def nothing(line: str) -> list:
+    return []
 
 
-def unity_log(line: Column) -> list:
-    return [_found("log_message", group(line, u(UNITY_LOG_MESSAGE))),
-            _found("parameters", group(line, u(UNITY_LOG_ARGUMENTS)))]
+web_import = from_patterns({"imported_items": IMPORTED_ITEMS, "package": IMPORTED_PACKAGE})
+web_log = from_patterns({"log_message": WEB_LOG_MESSAGE, "parameters": WEB_LOG_ARGUMENTS})
+web_rum = from_patterns({"action_name": WEB_RUM_NAME, "parameters": WEB_RUM_ARGUMENTS})
+unity_import = from_patterns({"namespace": UNITY_NAMESPACE})
+unity_log = from_patterns({"log_message": UNITY_LOG_MESSAGE, "parameters": UNITY_LOG_ARGUMENTS})
+unity_user = from_patterns({"parameters": UNITY_USER_ARGUMENTS})
+legacy_call = from_patterns({"parameters": LEGACY_ARGUMENTS})
 
 
-def unity_rum(line: Column) -> list:
+def unity_rum(line: str) -> list:
     kind, name = (group(line, u(UNITY_RUM_CALL), i) for i in (1, 2))
-    seen = kind.isNotNull()
     given = not_blank(kind)
-    return [("action_type", F.coalesce(given, F.lit(DEFAULT_ACTION_TYPE)), seen),
-            ("action_name", F.coalesce(not_blank(name), given), seen),
+    return [("action_type", f"coalesce({given}, {lit(DEFAULT_ACTION_TYPE)})", f"{kind} IS NOT NULL"),
+            ("action_name", f"coalesce({not_blank(name)}, {given})", f"{kind} IS NOT NULL"),
             _found("parameters", group(line, u(UNITY_RUM_ARGUMENTS)))]
 
 
-def unity_attribute(line: Column) -> list:
+def unity_attribute(line: str) -> list:
     return [_found("attribute_key", group(line, u(UNITY_ATTRIBUTE), 1)),
             _found("attribute_value", not_blank(group(line, u(UNITY_ATTRIBUTE), 2)))]
 
 
-def unity_user(line: Column) -> list:
-    return [_found("parameters", group(line, u(UNITY_USER_ARGUMENTS)))]
-
-
-def legacy_init(line: Column) -> list:
+def legacy_init(line: str) -> list:
     config = group(line, u(LEGACY_CONFIGURATION))
     token = group(config, u(LEGACY_CLIENT_TOKEN))
     return [_found("configuration", config),
             _found("application_id", group(config, u(LEGACY_APPLICATION_ID))),
-            _found("client_token", F.concat(F.substring(token, 1, TOKEN_CHARS_SHOWN), F.lit(TOKEN_MASK))),
+            _found("client_token", f"concat(substring({token}, 1, {TOKEN_CHARS_SHOWN}), {lit(TOKEN_MASK)})"),
             _found("site", group(config, u(LEGACY_SITE)))]
 
 
-def legacy_call(line: Column) -> list:
-    return [_found("parameters", group(line, u(LEGACY_ARGUMENTS)))]
-
-
 def _legacy_with_literal(key: str):
-    def build(line: Column) -> list:
+    def build(line: str) -> list:
         arguments = group(line, u(LEGACY_ARGUMENTS))
         return [_found("parameters", arguments), _found(key, group(arguments, u(LEGACY_LITERAL)))]
 
@@ -130,7 +108,7 @@ legacy_error = _legacy_with_literal("error_message")
 legacy_log = _legacy_with_literal("log_message")
 
 
-def detailed_parameters(line: Column) -> Column:
+def detailed_parameters(line: str) -> str:
     """Named arguments and string literals of the first call on the line, or null if none.
 
     Repeated names keep their last value. The literals are a separate array, since
@@ -138,14 +116,9 @@ def detailed_parameters(line: Column) -> Column:
     """
     arguments = group(line, u(CALL_ARGUMENTS))
     names, values = (groups(arguments, u(NAMED_ARGUMENT), i) for i in (1, 2))
-    pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
-    last = F.transform(
-        F.array_distinct(names),
-        lambda n: F.struct(n.alias("key"), strip(
-            F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1)["value"]).alias("value")),
-    )
     literals = groups(arguments, u(LEGACY_LITERAL))
-    return F.when(
-        (F.size(names) > 0) | (F.size(literals) > 0),
-        F.struct(F.map_from_entries(last).alias("kv"), literals.alias("string_literals")),
-    )
+    pairs = f"zip_with({names}, {values}, (k, v) -> named_struct('k', k, 'v', v))"
+    value = strip(f"element_at(filter({pairs}, p -> p.k = n), -1).v")
+    last = f"transform(array_distinct({names}), n -> named_struct('key', n, 'value', {value}))"
+    return case((f"size({names}) > 0 OR size({literals}) > 0",
+                 f"named_struct('kv', map_from_entries({last}), 'string_literals', {literals})"))

@@ -1,10 +1,11 @@
-"""String helpers as Columns. Everything here runs in the JVM."""
+"""Text helpers as SQL expressions.
 
-from __future__ import annotations
-
-from functools import reduce
+Descriptions of a line are large expressions, so they are written as SQL text and handed
+to Spark in one piece: each function takes and returns the text of an expression.
+Arguments that are used more than once should be names, not computations.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 # The characters a Unicode-aware strip removes.
 BLANKS = (
@@ -17,57 +18,67 @@ BLANKS = (
 _HIDDEN = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\n\r]]"
 _HIDDEN_SHORT = r"[\x00-\x1f\x7f-\xa0\xad&&[^\t\n\r]]"
 _HIDDEN_ASTRAL = r"[\x{10000}-\x{10FFFF}&&[\p{Cf}\p{Co}\p{Cn}]]"
+# Text of nothing but these needs no escape.
+_PLAIN = r"^[ -&(-\[\]-~]*$"
 
 
-def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(BLANKS))
+def lit(value: str) -> str:
+    """A string literal, whatever its characters."""
+    for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        value = value.replace(plain, escaped)
+    return f"'{value}'"
 
 
-def not_blank(col: Column) -> Column:
-    """Null for ''."""
-    return F.when(col != "", col)
+def case(*branches: tuple[str, str], otherwise: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + f" ELSE {otherwise} END"
 
 
-def group(col: Column, pattern: str, index: int = 1) -> Column:
-    """A group of the first match; null when there is no match, '' when it matched nothing."""
-    return F.get(F.regexp_extract_all(col, F.lit(pattern), F.lit(index)), F.lit(0))
+def matches(text: str, pattern: str) -> str:
+    return f"{text} RLIKE {lit(pattern)}"
+
 
+def strip(text: str) -> str:
+    return f"btrim({text}, {lit(BLANKS)})"
 
-def groups(col: Column, pattern: str | Column, index: int = 1) -> Column:
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.regexp_extract_all(col, pattern, F.lit(index))
 
+def not_blank(text: str) -> str:
+    """Null for ''."""
+    return f"CASE WHEN {text} != '' THEN {text} END"
 
-def has_any(col: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
 
+def group(text: str, pattern: str, index: int = 1) -> str:
+    """A group of the first match; null when there is no match, '' when it matched nothing."""
+    return f"get(regexp_extract_all({text}, {lit(pattern)}, {index}), 0)"
 
-def occurrences(col: Column, text: str) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit(text), F.lit("")))
 
+def groups(text: str, pattern: str, index: int = 1) -> str:
+    return f"regexp_extract_all({text}, {lit(pattern)}, {index})"
 
-def quoted_length(col: Column) -> Column:
+
+def has_any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")"
+
+
+def quoted_length(text: str) -> str:
     """Length of the text as a quoted literal: quotes added, backslashes, control and
     unprintable characters escaped; single quotes escaped only if both kinds occur."""
-    both = col.contains("'") & col.contains('"')
-    base = F.length(col) + 2 + occurrences(col, "\\") + F.when(both, occurrences(col, "'")).otherwise(0)
-    hidden = F.size(groups(col, _HIDDEN, 0))
-    short = F.size(groups(col, _HIDDEN_SHORT, 0))
-    astral = F.size(groups(col, _HIDDEN_ASTRAL, 0))
-    escapes = occurrences(col, "\t") + occurrences(col, "\n") + occurrences(col, "\r") + (
-        hidden * 5 - short * 2 + astral * 4
-    )
-    # plain ASCII text, nearly all of it, skips the character classes
-    return base + F.when(col.rlike(r"[^ -~]"), escapes).otherwise(0)
-
-
-def record_length(entries) -> Column:
+    doubled = "length(regexp_replace(%s, %s, 'xx'))" % (text, lit(r"[\\\t\n\r]"))
+    quotes = case((f"contains({text}, {lit(chr(39))}) AND contains({text}, '\"')",
+                   f"length({text}) - length(replace({text}, {lit(chr(39))}))"), otherwise="0")
+
+    def count(pattern: str) -> str:
+        return f"size({groups(text, pattern, 0)})"
+
+    hidden = case((matches(text, _HIDDEN),
+                   f"{count(_HIDDEN)} * 5 - {count(_HIDDEN_SHORT)} * 2 + {count(_HIDDEN_ASTRAL)} * 4"), otherwise="0")
+    return "(2 + " + case((matches(text, _PLAIN), f"length({text})"),
+                          (f"{text} IS NOT NULL", f"{doubled} + {quotes} + {hidden}")) + ")"
+
+
+def record_length(entries) -> str:
     """Length of ``{'key': 'value', ...}`` for ``(key, value, present)`` entries."""
     if not entries:
-        return F.lit(2)
-    total = reduce(
-        lambda a, b: a + b,
-        [F.when(present, F.lit(len(key) + 6) + F.coalesce(quoted_length(value), F.lit(4))).otherwise(0)
-         for key, value, present in entries],
-    )
-    return F.greatest(total, F.lit(2))
+        return "2"
+    parts = [case((present, f"{len(key) + 6} + coalesce({quoted_length(value)}, 4)"), otherwise="0")
+             for key, value, present in entries]
+    return f"greatest(2, {' + '.join(parts)})"

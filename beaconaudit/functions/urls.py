@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from beaconaudit.functions.text import not_blank, strip
+from beaconaudit.functions.columns import not_blank, strip
 from beaconaudit.sources.corpus import relative_path
 
 DEFAULT_BRANCH = "main"

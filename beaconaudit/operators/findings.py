@@ -8,146 +8,124 @@ inside the row, so nothing is shuffled and no group is ever collected.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from beaconaudit.functions import labels
 from beaconaudit.functions.fields import detailed_parameters
-from beaconaudit.functions.text import record_length
+from beaconaudit.functions.text import case, lit, matches, record_length, strip
 from beaconaudit.operators import symbols as sym
-from beaconaudit.operators.lines import CONTEXT, context_of, explode_lines, snippet
+from beaconaudit.operators.lines import CONTEXT, context_of, explode_lines
 from beaconaudit.rules import LIVE, Language, Rulebook, ci
 from beaconaudit.sources.corpus import route
 
 # More families than any language has; a score is length * FAMILY_SLOTS + earliness.
 FAMILY_SLOTS = 1024
+EXTRACTED = "struct<kv:map<string,string>,string_literals:array<string>>"
+
+
+def _is(language: Language) -> str:
+    return f"language = {lit(language.name)}"
 
 
-def _is(language: Language) -> Column:
-    return F.col("language") == language.name
+def _per_language(rulebook: Rulebook, make) -> str:
+    """``make(language)`` where a file has that language; null where it gives None."""
+    branches = [(_is(lang), made) for lang in rulebook.languages if (made := make(lang)) is not None]
+    return case(*branches) if branches else "NULL"
 
 
-def _per_language(rulebook: Rulebook, make) -> Column:
-    """``make(language)`` where a file has that language; None leaves it null."""
-    out = None
-    for language in rulebook.languages:
-        value = make(language)
-        if value is not None:
-            out = F.when(_is(language), value) if out is None else out.when(_is(language), value)
-    return out
+def _follows(rulebook: Rulebook) -> bool:
+    return any(lang.symbols for lang in rulebook.languages)
 
 
-def _style(language: Language) -> sym.Style | None:
-    return sym.STYLES[language.symbols] if language.symbols else None
+def _styled(rulebook: Rulebook, make) -> str:
+    """Like ``_per_language``, with the way the language's symbols are followed."""
+    return _per_language(rulebook, lambda lang: make(sym.STYLES[lang.symbols]) if lang.symbols else None)
 
 
 def with_symbols(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Adds each file's imported symbols and the pattern that finds lines using them."""
-    found = _per_language(rulebook, lambda lang: lang.symbols and _style(lang).symbols(F.col("content")))
-    if found is None:
-        return files.withColumn("symbols", F.array().cast(sym.NO_SYMBOLS)).withColumn(
-            "symbol_test", F.lit(None).cast("string"))
-    files = files.withColumn("symbols", found)
-    return files.withColumn("symbol_test", _per_language(
-        rulebook, lambda lang: lang.symbols and sym.line_test(_style(lang), F.col("symbols"))))
+    found = _styled(rulebook, lambda style: style.symbols("content"))
+    test = _styled(rulebook, lambda style: sym.line_test(style, "symbols"))
+    return files.withColumn("symbols", F.expr(f"cast({found} AS {sym.SYMBOLS})")).withColumn(
+        "symbol_test", F.expr(f"cast({test} AS string)"))
 
 
-def _rule_line(language: Language, line: Column) -> Column:
-    hit = line.rlike(language.regex)
-    return line.rlike("(?iu)" + language.gate) & hit if language.gate else hit
+def _rule_line(rulebook: Rulebook) -> str:
+    """True for lines some family hits: the cheap pattern first, then the exact one."""
+    def test(lang: Language) -> str:
+        exact = matches("line", lang.regex)
+        return f"{matches('line', '(?iu)' + lang.gate)} AND {exact}" if lang.gate else exact
+
+    return "(" + " OR ".join(f"({_is(lang)} AND {test(lang)})" for lang in rulebook.languages) + ")"
 
 
 def candidate_lines(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT) -> DataFrame:
     """Exactly the lines that have a finding, each with its context and its file's symbols."""
     lines = explode_lines(with_symbols(route(files, rulebook), rulebook))
-    line = F.col("line")
-    by_rule = reduce(lambda a, b: a | b, [_is(lang) & _rule_line(lang, line) for lang in rulebook.languages])
-    by_symbol = F.col("symbol_test").isNotNull() & (
-        F.call_function("regexp_extract", line, F.col("symbol_test"), F.lit(0)) != "")
-    kept = lines.where(by_rule | by_symbol)
+    by_symbol = "(symbol_test IS NOT NULL AND regexp_extract(line, symbol_test, 0) != '')"
+    kept = lines.where(f"{_rule_line(rulebook)} OR {by_symbol}")
     return kept.withColumn("context_lines", context_of(F.col("lines"), F.col("line_number"), context)).drop(
         "lines", "symbol_test")
 
 
+def _plain(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns if c not in ("context_lines", "symbols")]
+
+
 # ------------------------------------------------------------------ direct hits
 
 def rule_hits(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every (line, pattern) hit, in rule order: the input of the best-per-line choice."""
     lines = candidate_lines(files, rulebook)
-    line = F.col("line")
-    hits = _per_language(rulebook, lambda lang: F.array_compact(F.array(*[
-        F.when(line.rlike(ci(p)), F.struct(
-            F.lit(family.name).alias("family"), F.lit(family.operation).alias("operation_type"),
-            F.lit(i).alias("family_ord"), F.lit(j).alias("pattern_ord")))
-        for i, family in enumerate(lang.families) for j, p in enumerate(family.patterns)])))
-    kept = [c for c in lines.columns if c not in ("context_lines", "symbols")]
-    return lines.select(*kept, F.inline(hits))
 
+    def tests(lang: Language) -> str:
+        hits = [case((matches("line", ci(p)),
+                      f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
+                      f"'family_ord', {i}, 'pattern_ord', {j})"))
+                for i, family in enumerate(lang.families) for j, p in enumerate(family.patterns)]
+        return f"array_compact(array({', '.join(hits)}))"
 
-def _kinds(language: Language) -> dict:
-    """Families that read a line the same way, by their field builder."""
-    kinds: dict = {}
-    for position, family in enumerate(language.families):
-        kinds.setdefault(family.fields, []).append((position, family))
-    return kinds
+    return lines.selectExpr(*_plain(lines), f"inline({_per_language(rulebook, tests)})")
 
 
-def _all_kinds(rulebook: Rulebook):
+def _kinds(rulebook: Rulebook):
+    """Families that read a line the same way, by their field builder, per language."""
     for i, language in enumerate(rulebook.languages):
-        for j, (builder, members) in enumerate(_kinds(language).items()):
+        kinds: dict = {}
+        for position, family in enumerate(language.families):
+            kinds.setdefault(family.fields, []).append((position, family))
+        for j, (builder, members) in enumerate(kinds.items()):
             yield f"{i}_{j}", language, builder, members
 
 
-def _captured(builder, line: Column) -> Column | None:
-    """The values a builder reads from a line, as one struct evaluated once."""
-    entries = builder(line)
-    if not entries:
-        return None
-    cells = []
-    for key, value, present in entries:
-        cells.append(value.alias(key))
-        if present is not None:
-            cells.append(present.alias("has_" + key))
-    return F.struct(*cells)
-
-
-def _entries(builder, captured: Column) -> list:
-    return [(key, captured[key], captured[key].isNotNull() if present is None else captured["has_" + key])
-            for key, _, present in builder(F.lit(""))]
-
-
-def _record(entries) -> Column:
-    empty = F.create_map().cast("map<string,string>")
-    if not entries:
-        return empty
-    parts = [F.when(present, F.create_map(F.lit(key), value)).otherwise(empty) for key, value, present in entries]
-    return parts[0] if len(parts) == 1 else F.map_concat(*parts)
-
-
 def _read_lines(lines: DataFrame, rulebook: Rulebook) -> tuple[DataFrame, list]:
     """Adds, per way of reading a line, the first family that hits and the values read.
 
     Returns the frame and ``(first column, language, members, entries)`` for each way.
+    Entries are ``(key, value, present)`` over the values read, which are read once.
     """
-    line = F.col("line")
-    kinds = list(_all_kinds(rulebook))
-
-    def first_hit(language, members) -> Column:
-        out = None
-        for position, family in members:
-            test = line.rlike(family.regex)
-            out = F.when(test, F.lit(position)) if out is None else out.when(test, F.lit(position))
-        return F.when(_is(language), out)
-
-    out = lines.withColumns({f"first_{k}": first_hit(lang, members) for k, lang, _, members in kinds})
-    captured = {k: _captured(builder, line) for k, _, builder, _ in kinds}
-    out = out.withColumns({f"cells_{k}": F.when(F.col(f"first_{k}").isNotNull(), cells)
-                           for k, cells in captured.items() if cells is not None})
-    ways = [(F.col(f"first_{k}"), lang, members,
-             [] if captured[k] is None else _entries(builder, F.col(f"cells_{k}")))
-            for k, lang, builder, members in kinds]
-    return out, ways
+    first_hits, cells, ways = {}, {}, []
+    for k, language, builder, members in _kinds(rulebook):
+        first, cell = f"first_{k}", f"cells_{k}"
+        position = case(*[(matches("line", f.regex), str(n)) for n, f in members])
+        first_hits[first] = F.expr(case((_is(language), position)))
+        read, entries = [], []
+        for key, value, present in builder("line"):
+            read.append(f"{lit(key)}, {value}")
+            if present is not None:
+                read.append(f"{lit('has_' + key)}, {present}")
+            entries.append((key, f"{cell}.{key}", f"{cell}.{key} IS NOT NULL" if present is None else f"{cell}.has_{key}"))
+        if read:
+            cells[cell] = F.expr(case((f"{first} IS NOT NULL", f"named_struct({', '.join(read)})")))
+        ways.append((first, language, members, entries))
+    out = lines.withColumns(first_hits)
+    return (out.withColumns(cells) if cells else out), ways
+
+
+def _record(entries) -> str:
+    empty = "cast(map() AS map<string,string>)"
+    parts = [case((present, f"map({lit(key)}, {value})"), otherwise=empty) for key, value, present in entries]
+    return f"map_concat({', '.join(parts)})" if len(parts) > 1 else (parts or [empty])[0]
 
 
 def _drop_reading(lines: DataFrame) -> DataFrame:
@@ -162,41 +140,41 @@ def describe_rules(lines: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     equals, the earliest family. Both are packed into one number and compared by it.
     """
     out, ways = _read_lines(lines, rulebook)
-    scores = [F.when(first.isNotNull(), record_length(entries).cast("bigint") * FAMILY_SLOTS
-                     + (FAMILY_SLOTS - 1) - first)
+    scores = [case((f"{first} IS NOT NULL",
+                    f"cast({record_length(entries)} AS bigint) * {FAMILY_SLOTS} + {FAMILY_SLOTS - 1} - {first}"))
               for first, _, _, entries in ways]
-    out = out.withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0])
-    out = out.withColumn("family_ord", (F.lit(FAMILY_SLOTS - 1) - F.pmod("score", F.lit(FAMILY_SLOTS))).cast("int"))
-
-    record = None
-    for first, _, _, entries in ways:
-        chosen = F.col("family_ord") == first
-        record = F.when(chosen, _record(entries)) if record is None else record.when(chosen, _record(entries))
-    family = _per_language(rulebook, lambda lang: F.get(
-        F.array(*[F.lit(f.name) for f in lang.families]), F.col("family_ord")))
+    out = out.withColumn("score", F.expr(f"greatest(cast(NULL AS bigint), {', '.join(scores)})"))
+    out = out.withColumn("family_ord", F.expr(f"cast({FAMILY_SLOTS - 1} - pmod(score, {FAMILY_SLOTS}) AS int)"))
+    record = case(*[(f"family_ord = {first}", _record(entries)) for first, _, _, entries in ways])
+    family = _per_language(rulebook, lambda lang: "get(array(%s), family_ord)" % ", ".join(
+        lit(f.name) for f in lang.families))
     out = out.withColumns({
-        "family": family, "record": record,
-        "repr_length": F.floor(F.col("score") / FAMILY_SLOTS).cast("int"),
+        "family": F.expr(family), "record": F.expr(record),
+        "repr_length": F.expr(f"cast(score div {FAMILY_SLOTS} AS int)"),
     })
     return _drop_reading(out).drop("score")
 
 
+def _rule_category(rulebook: Rulebook) -> str:
+    return _per_language(rulebook, lambda lang: labels.rule_category(lang.families, "family", "record"))
+
+
 def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """What every family that hits a line makes of it, before the best is chosen."""
-    out, ways = _read_lines(candidate_lines(files, rulebook), rulebook)
-    found = _per_language(rulebook, lambda lang: F.array_compact(F.array(*[
-        F.when(first.isNotNull() & F.col("line").rlike(family.regex), F.struct(
-            F.lit(family.name).alias("family"), F.lit(family.operation).alias("operation_type"),
-            F.lit(position).alias("family_ord"), F.lit(0).alias("pattern_ord"),
-            _record(entries).alias("record"), record_length(entries).alias("repr_length")))
-        for first, language, members, entries in ways if language is lang
-        for position, family in members])))
-    out = out.withColumn("found", found)
-    kept = [c for c in _drop_reading(out).columns if c not in ("context_lines", "symbols", "found")]
-    out = out.select(*kept, F.inline("found"))
-    category = _per_language(rulebook, lambda lang: labels.rule_category(
-        lang.families, F.col("family"), F.col("record")))
-    return out.withColumn("data_category", category)
+    lines = candidate_lines(files, rulebook)
+    out, ways = _read_lines(lines, rulebook)
+
+    def found(lang: Language) -> str:
+        hits = [case((f"{first} IS NOT NULL AND {matches('line', family.regex)}",
+                      f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
+                      f"'family_ord', {position}, 'pattern_ord', 0, 'record', {_record(entries)}, "
+                      f"'repr_length', {record_length(entries)})"))
+                for first, language, members, entries in ways if language is lang
+                for position, family in members]
+        return f"array_compact(array({', '.join(hits)}))"
+
+    out = out.selectExpr(*_plain(lines), f"inline({_per_language(rulebook, found)})")
+    return out.withColumn("data_category", F.expr(_rule_category(rulebook)))
 
 
 # ------------------------------------------------------------------ uses of symbols
@@ -204,18 +182,14 @@ def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
 def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every use of an imported symbol, on lines without a direct hit."""
     lines = candidate_lines(files, rulebook)
-    line = F.col("line")
-    direct = reduce(lambda a, b: a | b, [_is(lang) & _rule_line(lang, line) for lang in rulebook.languages])
-    uses = _per_language(rulebook, lambda lang: lang.symbols and sym.usages(_style(lang), line, F.col("symbols")))
-    kept = [c for c in lines.columns if c not in ("context_lines", "symbols")]
-    return lines.where(~direct).select(*kept, F.inline(uses))
+    uses = _styled(rulebook, lambda style: sym.usages(style, "line", "symbols"))
+    return lines.where(f"NOT {_rule_line(rulebook)}").selectExpr(*_plain(lines), f"inline({uses})")
 
 
 def describe_usages(lines: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Adds ``use``: the best use of a symbol, only where no rule hits the line."""
-    best = _per_language(rulebook, lambda lang: lang.symbols and sym.best_usage(
-        sym.usages(_style(lang), F.col("line"), F.col("symbols"))))
-    return lines.withColumn("use", F.when(F.col("family").isNull(), best))
+    best = _styled(rulebook, lambda style: sym.best_usage(sym.usages(style, "line", "symbols")))
+    return lines.withColumn("use", F.expr(case(("family IS NULL", best))))
 
 
 # ------------------------------------------------------------------ findings
@@ -227,39 +201,23 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT)
     """
     carried = [c for c in files.columns if c not in ("content", "language")]
     lines = describe_rules(candidate_lines(files, rulebook, context), rulebook)
-    follows = any(lang.symbols for lang in rulebook.languages)
-    if follows:
+    operation = _per_language(rulebook, lambda lang: "get(array(%s), family_ord)" % ", ".join(
+        lit(f.operation) for f in lang.families))
+    category, record, length = _rule_category(rulebook), "record", "repr_length"
+    if _follows(rulebook):
         lines = describe_usages(lines, rulebook)
 
-    operation = _per_language(rulebook, lambda lang: F.get(
-        F.array(*[F.lit(f.operation) for f in lang.families]), F.col("family_ord")))
-    category = _per_language(rulebook, lambda lang: labels.rule_category(
-        lang.families, F.col("family"), F.col("record")))
-    record, length = F.col("record"), F.col("repr_length")
-    if follows:
-        use = F.col("use")
-        by_rule = F.col("family").isNotNull()
-
-        def usage(make):
-            return _per_language(rulebook, lambda lang: lang.symbols and make(_style(lang)))
-
-        operation = F.when(by_rule, operation).otherwise(usage(
-            lambda s: s.operation(use["name"], use["member"] if s.has_member else use["origin"])))
-        category = F.when(by_rule, category).otherwise(usage(
-            lambda s: s.category(use["name"], use["member"] if s.has_member else use["origin"])))
-        record = F.when(by_rule, record).otherwise(usage(lambda s: sym.usage_record(s, use)))
-        length = F.coalesce(length, use["repr_length"])
-    extracted = detailed_parameters(F.col("line")) if rulebook.detailed else F.lit(None).cast(
-        "struct<kv:map<string,string>,string_literals:array<string>>")
-    return lines.select(
-        *carried, "language", "line_number",
-        snippet(F.col("line")).alias("code_snippet"),
-        operation.alias("operation_type"),
-        record.alias("data_being_sent"),
-        category.alias("data_category"),
-        "context_lines", "family",
-        length.alias("repr_length"),
-        extracted.alias("extracted_parameters"),
+        def either(by_rule: str, by_use) -> str:
+            used = _styled(rulebook, lambda style: by_use(style, "use"))
+            return case(("family IS NOT NULL", by_rule), otherwise=used)
+
+        operation, category = either(operation, sym.usage_operation), either(category, sym.usage_category)
+        record, length = either(record, sym.usage_record), "coalesce(repr_length, use.repr_length)"
+    extracted = detailed_parameters("line") if rulebook.detailed else "NULL"
+    return lines.selectExpr(
+        *carried, "language", "line_number", f"{strip('line')} AS code_snippet",
+        f"{operation} AS operation_type", f"{record} AS data_being_sent", f"{category} AS data_category",
+        "context_lines", "family", f"{length} AS repr_length", f"cast({extracted} AS {EXTRACTED}) AS extracted_parameters",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beaconaudit.functions.text import strip
+from beaconaudit.functions.columns import strip
 
 CONTEXT = 3
 

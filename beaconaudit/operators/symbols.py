@@ -1,7 +1,8 @@
 """Imported names and the places that use them.
 
 Symbols are an ordered array column of a file row, so following them needs no join:
-file, line and symbol are already together. Every step is a Column expression.
+file, line and symbol are already together. Every step is a SQL
+expression over the row, built as text (see ``functions.text``).
 """
 
 from __future__ import annotations
@@ -9,10 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
-
-from beaconaudit.functions import fields, labels
-from beaconaudit.functions.text import group, groups, not_blank, quoted_length, strip
+from beaconaudit.functions import labels
+from beaconaudit.functions.text import case, group, groups, lit, not_blank, quoted_length, strip
 
 # Import statements and the names they bring along.
 NAMED_IMPORT = r"import\s+\{\s*([^}]+)\s*\}\s+from\s+['\"](@datadog/[^'\"]+)['\"]"
@@ -32,285 +31,266 @@ MEMBER_REACH = 10
 _NESTED = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
 _CALL_HEAD = r"(?s)^[^(]*+" + _NESTED
 
-NO_SYMBOLS = "array<struct<name:string,origin:string,import_type:string>>"
+SYMBOLS = "array<struct<name:string,origin:string,import_type:string>>"
+EMPTY = f"cast(array() AS {SYMBOLS})"
 
 
 def _flags(pattern: str) -> str:
     return "(?isU)" + pattern
 
 
-def _symbol(name: Column, origin: Column, import_type) -> Column:
-    kind = F.lit(import_type) if isinstance(import_type, str) else import_type
-    return F.struct(name.alias("name"), origin.alias("origin"), kind.alias("import_type"))
+def _symbol(name: str, origin: str, import_type: str) -> str:
+    return f"named_struct('name', {name}, 'origin', {origin}, 'import_type', {import_type})"
+
+
+def _last_of_each_name(symbols: str) -> str:
+    """One entry per name, in order of first sight, holding what was seen last.
+
+    The inner array is bound once, by wrapping it, so it is not computed per name.
+    """
+    last = "transform(array_distinct(transform(found, s -> s.name)), n -> element_at(filter(found, s -> s.name = n), -1))"
+    return f"transform(array({symbols}), found -> {last})[0]"
 
 
-def _last_of_each_name(symbols: Column) -> Column:
-    """One entry per name, in order of first sight, holding what was seen last."""
-    return F.transform(
-        F.array_distinct(F.transform(symbols, lambda s: s["name"])),
-        lambda n: F.element_at(F.filter(symbols, lambda s: s["name"] == n), -1),
-    )
+def _named(symbols: str) -> str:
+    """Without blank names."""
+    return f"filter({symbols}, s -> s.name != '')"
 
 
-def _statements(text: Column, pattern: str, import_type: str) -> Column:
-    return F.zip_with(
-        groups(text, _flags(pattern), 1), groups(text, _flags(pattern), 2),
-        lambda name, origin: _symbol(strip(name), origin, import_type),
-    )
+def _statements(text: str, pattern: str, import_type: str) -> str:
+    return (f"zip_with({groups(text, _flags(pattern), 1)}, {groups(text, _flags(pattern), 2)}, "
+            f"(name, origin) -> {_symbol(strip('name'), 'origin', lit(import_type))})")
 
 
-def web_symbols(content: Column, split_named: bool = False) -> Column:
+def web_symbols(content: str, split_named: bool = False) -> str:
     """Names imported from the SDK's packages.
 
     A braced list counts as one symbol, spelt as it stands between the braces.
     ``split_named`` takes the list apart instead. Blank lists name nothing.
     """
-    named = _statements(content, NAMED_IMPORT, "default")
+    braced = _statements(content, NAMED_IMPORT, "default")
     if split_named:
-        named = F.flatten(F.transform(named, lambda s: F.transform(
-            F.split(s["name"], ","), lambda n: _symbol(strip(n), s["origin"], "destructured"))))
-    found = F.filter(F.concat(named, _statements(content, DEFAULT_IMPORT, "default")), lambda s: s["name"] != "")
-    return F.when(F.lower(content).contains("@datadog/"), _last_of_each_name(found)).otherwise(
-        F.array().cast(NO_SYMBOLS))
+        item = _symbol(strip("n"), "b.origin", "'destructured'")
+        braced = f"flatten(transform({braced}, b -> transform(split(b.name, ','), n -> {item})))"
+    found = _named(f"concat({braced}, {_statements(content, DEFAULT_IMPORT, 'default')})")
+    return case((f"contains(lower({content}), '@datadog/')", _last_of_each_name(found)), otherwise=EMPTY)
 
 
-def legacy_symbols(content: Column) -> Column:
+def legacy_symbols(content: str) -> str:
     """Names imported on one line each: named (aliases cut off), default and namespace imports."""
-    lines = F.filter(F.split(content, "\n", -1), lambda line: F.lower(line).contains("@datadog/"))
+    kind = "if(contains(l, '{'), 'named', 'default')"
+    name = strip(f"substring_index({strip('n')}, ' as ', 1)")
 
-    def of_line(line: Column) -> Column:
-        kind = F.when(line.contains("{"), "named").otherwise("default")
-        braces = line.contains("{") & line.contains("}")
+    def of_pattern(pattern: str) -> str:
+        items, origin = (group("l", _flags(pattern), i) for i in (1, 2))
+        names = f"if(contains(l, '{{') AND contains(l, '}}'), split({items}, ','), array({items}))"
+        return case((f"{items} IS NOT NULL", f"transform({names}, n -> {_symbol(name, origin, kind)})"), otherwise=EMPTY)
 
-        def of_pattern(pattern: str) -> Column:
-            items, origin = (group(line, _flags(pattern), i) for i in (1, 2))
-            names = F.when(braces, F.split(items, ",")).otherwise(F.array(items))
-            return F.when(items.isNotNull(), F.transform(
-                names, lambda n: _symbol(strip(F.substring_index(strip(n), " as ", 1)), origin, kind),
-            )).otherwise(F.array().cast(NO_SYMBOLS))
+    lines = f"filter(split({content}, '\\n', -1), l -> contains(lower(l), '@datadog/'))"
+    of_line = f"concat({', '.join(of_pattern(p) for p in (NAMED_IMPORT, DEFAULT_IMPORT, NAMESPACE_IMPORT))})"
+    return _last_of_each_name(_named(f"flatten(transform({lines}, l -> {of_line}))"))
 
-        return F.concat(*[of_pattern(p) for p in (NAMED_IMPORT, DEFAULT_IMPORT, NAMESPACE_IMPORT)])
 
-    found = F.filter(F.flatten(F.transform(lines, of_line)), lambda s: s["name"] != "")
-    return _last_of_each_name(found)
-
-
-def unity_types(content: Column) -> Column:
+def unity_types(content: str) -> str:
     """Last part of each imported namespace, plus the types known to come with it."""
-    def of_namespace(ns: Column) -> Column:
-        def companions(word: str, types) -> Column:
-            return F.when(ns.contains(word), F.array(*[_symbol(F.lit(n), ns, k) for n, k in types])).otherwise(
-                F.array().cast(NO_SYMBOLS))
+    def companions(word: str, types) -> str:
+        listed = ", ".join(_symbol(lit(n), "ns", lit(k)) for n, k in types)
+        return case((f"contains(ns, '{word}')", f"array({listed})"), otherwise=EMPTY)
 
-        own = F.array(_symbol(F.substring_index(ns, ".", -1), ns, "using"))
-        return F.concat(own, companions("Rum", USING_RUM), companions("Logs", USING_LOGS))
-
-    return _last_of_each_name(F.flatten(F.transform(groups(content, _flags(USING), 1), of_namespace)))
+    own = _symbol("substring_index(ns, '.', -1)", "ns", "'using'")
+    each = f"concat(array({own}), {companions('Rum', USING_RUM)}, {companions('Logs', USING_LOGS)})"
+    return _last_of_each_name(f"flatten(transform({groups(content, _flags(USING), 1)}, ns -> {each}))")
 
 
 # ------------------------------------------------------------------ uses of a symbol
 
-def _quote(name: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
+def _quote(name: str) -> str:
+    """A name as a literal pattern."""
+    end = lit("\\E")
+    return f"concat({lit(chr(92) + 'Q')}, replace({name}, {end}, {lit(chr(92) + 'E' + chr(92) * 2 + 'E' + chr(92) + 'Q')}), {end})"
 
-def _quoted_names(symbols: Column) -> Column:
-    return F.array_join(F.transform(symbols, lambda s: _quote(s["name"])), "|")
 
+# What stands around a quoted name, finder by finder.
+_WEB_FINDERS = ((r"\b", r"\s*\("), (r"\.\s*", r"\s*\("), (r"\b", r"\b(?!\s*:)"))
+_UNITY_FINDERS = ((r"\b", r"\.(\w+)"), (r"\b", r"\.(\w+)\s*\("), (r"\b", r"\s+(\w+)"))
 
-def _web_finders(name: Column) -> list[Column]:
-    return [F.concat(F.lit(a), name, F.lit(b)) for a, b in
-            ((r"\b", r"\s*\("), (r"\.\s*", r"\s*\("), (r"\b", r"\b(?!\s*:)"))]
 
-
-def _unity_finders(name: Column) -> list[Column]:
-    return [F.concat(F.lit(r"\b"), name, F.lit(b)) for b in (r"\.(\w+)", r"\.(\w+)\s*\(", r"\s+(\w+)")]
-
-
-def balanced_head(tail: Column) -> Column:
+def balanced_head(tail: str) -> str:
     """``tail`` up to the parenthesis closing its first one; up to the opening one if
     nothing closes it; null if it has none."""
-    quick = F.regexp_extract(tail, _CALL_HEAD, 0)
+    quick = f"regexp_extract({tail}, {lit(_CALL_HEAD)}, 0)"
     pieces = groups(tail, r"(?s)[^()]*+[()]", 0)
-    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"),
-                     F.lit(0).alias("opened"), F.lit(0).alias("closed"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        length = acc["length"] + F.length(piece)
-        opens = piece.endswith("(")
-        depth = F.when(opens, acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
-        closes = ~opens & (acc["depth"] == 1) & (acc["closed"] == 0)
-        return F.struct(
-            depth.alias("depth"), length.alias("length"),
-            F.when(opens & (acc["opened"] == 0), length).otherwise(acc["opened"]).alias("opened"),
-            F.when(closes, length).otherwise(acc["closed"]).alias("closed"),
-        )
+    step = ("named_struct('depth', if(endswith(piece, '('), acc.depth + 1, greatest(acc.depth - 1, 0)), "
+            "'length', acc.length + length(piece), "
+            "'opened', if(endswith(piece, '(') AND acc.opened = 0, acc.length + length(piece), acc.opened), "
+            "'closed', if(endswith(piece, ')') AND acc.depth = 1 AND acc.closed = 0, acc.length + length(piece), acc.closed))")
+    cut = (f"aggregate({pieces}, named_struct('depth', 0, 'length', 0, 'opened', 0, 'closed', 0), "
+           f"(acc, piece) -> {step}, acc -> if(acc.closed > 0, acc.closed, acc.opened))")
+    return case((f"NOT contains({tail}, '(')", "NULL"), (f"{quick} != ''", quick),
+                otherwise=f"substring({tail}, 1, {cut})")
 
-    cut = F.aggregate(pieces, state, step,
-                      lambda acc: F.when(acc["closed"] > 0, acc["closed"]).otherwise(acc["opened"]))
-    return (F.when(~tail.contains("("), F.lit(None).cast("string"))
-            .when(quick != "", quick)
-            .otherwise(F.substring(tail, F.lit(1), cut)))
 
+def _before(line: str, start: str) -> str:
+    return f"substring({line}, greatest({start} - {BEFORE}, 0) + 1, least({start}, {BEFORE}))"
 
-def _before(line: Column, start: Column) -> Column:
-    return F.substring(line, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
 
-
-def call_context(line: Column, start: Column) -> Column:
+def call_context(line: str, start: str, tail: str, head: str) -> str:
     """The call at ``start`` with a little text before it; the whole line if it opens no parenthesis."""
-    head = balanced_head(F.substring(line, start + 1, F.length(line)))
-    return F.when(head.isNull(), strip(line)).otherwise(strip(F.concat(_before(line, start), head)))
+    return case((f"{head} IS NULL", strip(line)), otherwise=strip(f"concat({_before(line, start)}, {head})"))
 
 
-def type_context(line: Column, start: Column) -> Column:
+def type_context(line: str, start: str, tail: str, head: str) -> str:
     """Like a call context when a parenthesis is near, else a window around ``start``."""
-    near = F.substring(line, start + 1, F.lit(TYPE_REACH))
-    head = balanced_head(F.substring(line, start + 1, F.length(line)))
-    return strip(F.concat(_before(line, start), F.when(near.contains("("), head).otherwise(near)))
+    near = f"left({tail}, {TYPE_REACH})"
+    return strip(f"concat({_before(line, start)}, if(contains({near}, '('), {head}, {near}))")
 
 
-def call_type(line: Column, start: Column) -> Column:
-    prefix = strip(F.substring(line, F.lit(1), start))
-    return (F.when(prefix.endswith("="), "assignment")
-            .when(prefix.contains("."), "method_call")
-            .when(F.substring(line, start + 1, F.lit(CALL_REACH)).contains("("), "function_call")
-            .otherwise("reference"))
+def call_type(line: str, start: str, tail: str, text: str) -> str:
+    prefix = strip(f"substring({line}, 1, {start})")
+    return case((f"endswith({prefix}, '=')", "'assignment'"), (f"contains({prefix}, '.')", "'method_call'"),
+                (f"contains(left({tail}, {CALL_REACH}), '(')", "'function_call'"), otherwise="'reference'")
 
 
-def legacy_call_type(line: Column, start: Column) -> Column:
-    prefix = strip(F.substring(line, F.lit(1), start))
-    return (F.when(prefix.endswith("."), "method_call")
-            .when(prefix.endswith("="), "assignment")
-            .when(F.right(prefix, F.lit(BEFORE)).contains("new "), "constructor")
-            .otherwise("function_call"))
+def legacy_call_type(line: str, start: str, tail: str, text: str) -> str:
+    prefix = strip(f"substring({line}, 1, {start})")
+    return case((f"endswith({prefix}, '.')", "'method_call'"), (f"endswith({prefix}, '=')", "'assignment'"),
+                (f"contains(right({prefix}, {BEFORE}), 'new ')", "'constructor'"), otherwise="'function_call'")
 
 
-def usage_type(line: Column, start: Column, matched: Column) -> Column:
-    after = F.substring(line, start + F.length(matched) + 1, F.lit(MEMBER_REACH))
+def usage_type(line: str, start: str, tail: str, text: str) -> str:
+    after = f"substring({tail}, length({text}) + 1, {MEMBER_REACH})"
     before = _before(line, start)
-    return (F.when(after.contains("("), "method_call")
-            .when(matched.contains("."), "property_access")
-            .when(before.rlike("new |var |public |private "), "declaration")
-            .when(strip(before).endswith("="), "assignment")
-            .otherwise("reference"))
+    return case((f"contains({after}, '(')", "'method_call'"), (f"contains({text}, '.')", "'property_access'"),
+                (f"{before} RLIKE 'new |var |public |private '", "'declaration'"),
+                (f"endswith({strip(before)}, '=')", "'assignment'"), otherwise="'reference'")
 
 
-def call_parameters(context: Column) -> Column:
+def call_parameters(context: str) -> str:
     """What stands between the first and the last parenthesis; null if nothing does."""
     return not_blank(strip(group(context, r"(?s)\((.*)\)")))
 
 
-def _matches(line: Column, finder: Column, finder_ord: int, has_member: bool) -> Column:
-    """Non-overlapping matches of a finder with their offsets, left to right.
-
-    The pattern takes the text before each match along, so running lengths are offsets.
-    """
-    pattern = F.concat(F.lit("(?isU)(.*?)("), finder, F.lit(")"))
-    members = groups(line, pattern, 3) if has_member else groups(line, pattern, 2)
-    found = F.arrays_zip(groups(line, pattern, 1).alias("gap"), groups(line, pattern, 2).alias("text"),
-                         members.alias("member"))
-    ends = F.aggregate(
-        found, F.array(F.lit(0)),
-        lambda acc, m: F.array_append(acc, F.element_at(acc, -1) + F.length(m["gap"]) + F.length(m["text"])),
-    )
-    return F.zip_with(found, F.slice(ends, F.lit(2), F.size(found)), lambda m, end: F.struct(
-        F.lit(finder_ord).alias("finder_ord"), (end - F.length(m["text"])).alias("match_start"),
-        end.alias("match_end"), m["text"].alias("text"), m["member"].alias("member")))
-
-
 @dataclass(frozen=True)
 class Style:
     """How one profile finds, describes and labels the uses of its symbols."""
 
-    symbols: Callable[[Column], Column]
-    finders: Callable[[Column], list[Column]]
+    symbols: Callable[[str], str]
+    finders: tuple[tuple[str, str], ...]
     has_member: bool
-    context: Callable[[Column, Column], Column]
-    kind: Callable[[Column, Column, Column], Column]
+    context: Callable[[str, str, str, str], str]
+    kind: Callable[[str, str, str, str], str]
     record: tuple[str, ...]
     gated: bool
-    operation: Callable[[Column, Column], Column]
-    category: Callable[[Column, Column], Column]
-
-
-_WEB_TEST = (r"(?isU)(?:\b(?:", r")(?:\s*\(|\b(?!\s*:))|\.\s*(?:", r")\s*\()")
+    operation: Callable[[str, str], str]
+    category: Callable[[str, str], str]
 
 
 def _web_style(symbols, kind, gated) -> Style:
-    return Style(symbols, _web_finders, False, call_context, kind,
+    return Style(symbols, _WEB_FINDERS, False, call_context, kind,
                  ("method_name", "package", "call_context", "call_type"), gated,
                  labels.symbol_operation, labels.symbol_category)
 
 
 STYLES = {
-    "web": _web_style(web_symbols, lambda line, at, text: call_type(line, at), False),
-    "web_split": _web_style(lambda c: web_symbols(c, True), lambda line, at, text: call_type(line, at), False),
-    "legacy": _web_style(legacy_symbols, lambda line, at, text: legacy_call_type(line, at), True),
-    "unity": Style(unity_types, _unity_finders, True, type_context, usage_type,
+    "web": _web_style(web_symbols, call_type, False),
+    "web_split": _web_style(lambda content: web_symbols(content, True), call_type, False),
+    "legacy": _web_style(legacy_symbols, legacy_call_type, True),
+    "unity": Style(unity_types, _UNITY_FINDERS, True, type_context, usage_type,
                    ("type_name", "member_name", "namespace", "usage_context", "usage_type"), False,
                    labels.type_operation, labels.type_category),
 }
 
 
-def line_test(style: Style, symbols: Column) -> Column:
+def line_test(style: Style, symbols: str) -> str:
     """One pattern per file that a line matches exactly if it uses one of the symbols; null if there are none."""
-    names = _quoted_names(symbols)
-    if style.has_member:
-        test = F.concat(F.lit(r"(?isU)\b(?:"), names, F.lit(r")(?:\.|\s+)\w"))
-    else:
-        a, b, c = _WEB_TEST
-        test = F.concat(F.lit(a), names, F.lit(b), names, F.lit(c))
-    return F.when(F.size(symbols) > 0, test)
-
-
-def usages(style: Style, line: Column, symbols: Column) -> Column:
-    """All uses of the symbols on a line, in order of symbol, finder and position."""
-    per_symbol = F.transform(symbols, lambda s, i: F.transform(
-        F.concat(*[_matches(line, finder, n, style.has_member)
-                   for n, finder in enumerate(style.finders(_quote(s["name"])))]),
-        lambda m: F.struct(i.alias("symbol_ord"), s["name"].alias("name"), s["origin"].alias("origin"), m.alias("m")),
-    ))
-    placed = F.transform(F.flatten(per_symbol), lambda x: F.struct(
-        x["symbol_ord"].alias("symbol_ord"), x["m"]["finder_ord"].alias("finder_ord"),
-        x["m"]["match_start"].alias("match_start"), x["m"]["match_end"].alias("match_end"),
-        x["name"].alias("name"), x["origin"].alias("origin"), x["m"]["member"].alias("member"),
-        style.context(line, x["m"]["match_start"]).alias("context"),
-        style.kind(line, x["m"]["match_start"], x["m"]["text"]).alias("kind")))
-
-    def arguments(x: Column) -> Column:
-        found = call_parameters(x["context"])
-        return F.when(x["kind"].isin("function_call", "method_call"), found) if style.gated else found
-
-    with_arguments = F.transform(placed, lambda x: x.withField("parameters", arguments(x)))
-    return F.transform(with_arguments, lambda x: x.withField("repr_length", _usage_length(style, x)))
-
-
-def _usage_entries(style: Style, use: Column) -> list:
+    names = f"array_join(transform({symbols}, s -> {_quote('s.name')}), '|')"
     if style.has_member:
-        values = (use["name"], use["member"], use["origin"], use["context"], use["kind"])
+        test = f"concat({lit(r'(?isU)' + chr(92) + 'b(?:')}, {names}, {lit(r')(?:\.|\s+)\w')})"
     else:
-        values = (use["name"], use["origin"], use["context"], use["kind"])
-    return list(zip(style.record, values))
-
+        parts = (r"(?isU)(?:\b(?:", names), (r")(?:\s*\(|\b(?!\s*:))|\.\s*(?:", names)
+        test = "concat(" + ", ".join(f"{lit(a)}, {b}" for a, b in parts) + f", {lit(r')\s*\()')})"
+    return case((f"size({symbols}) > 0", test))
 
-def _usage_length(style: Style, use: Column) -> Column:
-    fixed = sum(len(k) + 6 for k in style.record)
-    total = F.lit(fixed)
-    for _, value in _usage_entries(style, use):
-        total = total + quoted_length(value)
-    extra = F.when(use["parameters"].isNotNull(), F.lit(len("parameters") + 6) + quoted_length(use["parameters"]))
-    return total + F.coalesce(extra, F.lit(0))
 
+def _matches(line: str, name: str, finder_ord: int, finder: tuple[str, str], has_member: bool) -> str:
+    """Non-overlapping matches of a finder with their offsets, left to right.
 
-def best_usage(found: Column) -> Column:
+    The pattern takes the text before each match along, so running lengths are offsets.
+    """
+    before, after = finder
+    pattern = f"concat({lit('(?isU)(.*?)(' + before)}, {_quote(name)}, {lit(after + ')')})"
+    gaps, texts, members = (f"regexp_extract_all({line}, {pattern}, {i})" for i in (1, 2, 3 if has_member else 2))
+    found = (f"zip_with(zip_with({gaps}, {texts}, (g, t) -> named_struct('gap', g, 'text', t)), {members}, "
+             "(a, b) -> named_struct('gap', a.gap, 'text', a.text, 'member', b))")
+    ends = ("aggregate(found, array(0), (acc, m) -> "
+            "array_append(acc, element_at(acc, -1) + length(m.gap) + length(m.text)))")
+    one = (f"named_struct('finder_ord', {finder_ord}, 'match_start', at - length(m.text), 'match_end', at, "
+           "'text', m.text, 'member', m.member)")
+    return f"transform(array({found}), found -> zip_with(found, slice({ends}, 2, size(found)), (m, at) -> {one}))[0]"
+
+
+def usages(style: Style, line: str, symbols: str) -> str:
+    """All uses of the symbols on a line, in order of symbol, finder and position.
+
+    Built in steps, each an array of structs over the one before, so that no value is
+    computed twice: match, text from the match on, its call, kind, arguments, length.
+    """
+    per_finder = ", ".join(_matches(line, "s.name", n, f, style.has_member) for n, f in enumerate(style.finders))
+    fields = ["symbol_ord", "finder_ord", "match_start", "match_end", "name", "origin", "member", "text"]
+
+    def keep(more: dict, source: list[str]) -> str:
+        kept = [f"'{f}', x.{f}" for f in source]
+        return "named_struct(" + ", ".join(kept + [f"'{k}', {v}" for k, v in more.items()]) + ")"
+
+    match = ", ".join(f"'{f}', " + {"symbol_ord": "i", "name": "s.name", "origin": "s.origin"}.get(f, f"m.{f}")
+                      for f in fields)
+    out = (f"flatten(transform({symbols}, (s, i) -> transform(concat({per_finder}), "
+           f"m -> named_struct({match}))))")
+    steps = [
+        {"tail": f"substring({line}, x.match_start + 1)"},
+        {"head": balanced_head("x.tail")},
+        {"context": style.context(line, "x.match_start", "x.tail", "x.head"),
+         "kind": style.kind(line, "x.match_start", "x.tail", "x.text")},
+    ]
+    for more in steps:
+        out = f"transform({out}, x -> {keep(more, fields)})"
+        fields = fields + list(more)
+    fields = [f for f in fields if f not in ("text", "tail", "head")]
+    arguments = call_parameters("x.context")
+    if style.gated:
+        arguments = case(("x.kind IN ('function_call', 'method_call')", arguments))
+    out = f"transform({out}, x -> {keep({'parameters': arguments}, fields)})"
+    return f"transform({out}, x -> {keep({'repr_length': _usage_length(style, 'x')}, fields + ['parameters'])})"
+
+
+def _usage_entries(style: Style, use: str) -> list[tuple[str, str]]:
+    names = ("name", "member", "origin", "context", "kind") if style.has_member else ("name", "origin", "context", "kind")
+    return [(key, f"{use}.{field}") for key, field in zip(style.record, names)]
+
+
+def _usage_length(style: Style, use: str) -> str:
+    parts = [f"{len(key) + 6} + {quoted_length(value)}" for key, value in _usage_entries(style, use)]
+    extra = case((f"{use}.parameters IS NOT NULL",
+                  f"{len('parameters') + 6} + {quoted_length(use + '.parameters')}"), otherwise="0")
+    return " + ".join(parts + [extra])
+
+
+def best_usage(found: str) -> str:
     """The use described at most length; the earliest of equals; null for none."""
-    return F.reduce(found, F.get(found, F.lit(0)), lambda best, u: F.when(
-        u["repr_length"] > best["repr_length"], u).otherwise(best))
+    return (f"transform(array({found}), found -> reduce(found, get(found, 0), "
+            "(best, u) -> if(u.repr_length > best.repr_length, u, best)))[0]")
 
 
-def usage_record(style: Style, use: Column) -> Column:
+def usage_record(style: Style, use: str) -> str:
     """What a use sends, as a map."""
-    pairs = [x for key, value in _usage_entries(style, use) for x in (F.lit(key), value)]
-    with_arguments = F.create_map(*pairs, F.lit("parameters"), use["parameters"])
-    return F.when(use["parameters"].isNotNull(), with_arguments).otherwise(F.create_map(*pairs))
+    pairs = ", ".join(f"{lit(key)}, {value}" for key, value in _usage_entries(style, use))
+    return case((f"{use}.parameters IS NOT NULL", f"map({pairs}, 'parameters', {use}.parameters)"),
+                otherwise=f"map({pairs})")
+
+
+def usage_operation(style: Style, use: str) -> str:
+    return style.operation(f"{use}.name", f"{use}.member" if style.has_member else f"{use}.origin")
+
+
+def usage_category(style: Style, use: str) -> str:
+    return style.category(f"{use}.name", f"{use}.member" if style.has_member else f"{use}.origin")

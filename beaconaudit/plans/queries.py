@@ -309,13 +309,14 @@ def legacy_findings(spark, sf):
 
 @query
 def repr_length(spark, sf):
-    derived.views(spark, sf)
+    derived.views(spark, sf, ("documents", "conversations"))
     sentences = lines.explode_lines(spark.table("documents").select("doc_id", F.col("text").alias("content"))).drop("lines")
     spoken = spark.sql("SELECT conv_id, turn, role, replace(text, chr(10), chr(9)) AS said FROM conversations")
     return sentences.select(F.col("doc_id").alias("id"), F.col("line_number").alias("part"),
-                            text.quoted_length(F.concat_ws("'", "line", F.lit("\\"))).alias("quoted")).union(
-        spoken.select("conv_id", (-F.col("turn") - 1).cast("int"), text.record_length(
-            [("role", F.col("role"), F.lit(True)), ("said", F.col("said"), F.lit(True))])))
+                            F.concat_ws("'", "line", F.lit("\\")).alias("written")).selectExpr(
+        "id", "part", f"{text.quoted_length('written')} AS quoted").union(
+        spoken.selectExpr("conv_id", "cast(-turn - 1 AS int)", text.record_length(
+            [("role", "role", "true"), ("said", "said", "true")])))
 
 
 @query
@@ -333,8 +334,7 @@ def line_split(spark, sf):
 
 @query
 def snippet_strip(spark, sf):
-    derived.views(spark, sf)
-    said = spark.sql("SELECT conv_id, turn, concat(chr(9), ' ', text, ' ', chr(160), chr(9)) AS said FROM conversations")
+    said = derived.table(spark, sf, "SELECT conv_id, turn, concat(chr(9), ' ', text, ' ', chr(160), chr(9)) AS said FROM conversations")
     return said.select("conv_id", "turn", lines.snippet(F.col("said")).alias("snippet"))
 
 
@@ -351,8 +351,7 @@ def file_url(spark, sf):
 
 @query
 def project_url(spark, sf):
-    derived.views(spark, sf)
-    return spark.table("supplier").select("s_suppkey", urls.project_url(BASE_URL, F.col("s_name")).alias("url"))
+    return derived.table(spark, sf, "SELECT * FROM supplier").select("s_suppkey", urls.project_url(BASE_URL, F.col("s_name")).alias("url"))
 
 
 @query
@@ -366,8 +365,7 @@ def project_name_from_path(spark, sf):
 
 @query
 def url_validity(spark, sf):
-    derived.views(spark, sf)
-    made = spark.sql("""
+    made = derived.table(spark, sf, """
         SELECT page_id, url FROM pages
         UNION ALL SELECT page_id + 1000000000, replace(url, 'example', 'github') FROM pages
         UNION ALL SELECT page_id + 2000000000, concat('https://github.com/', CAST(page_id AS STRING)) FROM pages
@@ -430,8 +428,7 @@ def keyword_filter(spark, sf):
 
 @query
 def decode_and_newlines(spark, sf):
-    derived.views(spark, sf)
-    raw = spark.sql("""
+    raw = derived.table(spark, sf, """
         SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN encode(replace(text, chr(10), concat(chr(13), chr(10))), 'UTF-8')
           WHEN 1 THEN encode(replace(text, chr(10), chr(13)), 'UTF-8') ELSE encode(text, 'ISO-8859-1') END AS content
         FROM documents""")

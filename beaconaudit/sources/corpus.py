@@ -54,13 +54,9 @@ def decode(content: Column) -> Column:
     return normalise_newlines(text)
 
 
-def has_keyword(content: Column) -> Column:
-    return has_any(F.lower(content), FILE_KEYWORDS)
-
-
 def keyword_filter(files: DataFrame) -> DataFrame:
     """Drops files that mention nothing of the SDKs, before any line is looked at."""
-    return files.where(has_keyword(F.col("content")))
+    return files.where(has_any("lower(content)", FILE_KEYWORDS))
 
 
 def relative_path(path: Column, root: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from beaconaudit.functions.text import strip
+from beaconaudit.functions.columns import strip
 from beaconaudit.functions.urls import DEFAULT_BRANCH, branch
 
 REPO_META = ("project_path string, current_branch string, origin_head string, "
