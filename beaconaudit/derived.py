@@ -10,7 +10,7 @@ a file never has more lines than that, whatever users or types dominate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -164,9 +164,16 @@ FROM (SELECT concat('/repos/', source) AS project_path, count(*) AS n FROM docum
 """
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Splits a small table that has fewer partitions than there are cores; large ones stay as read."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, table.columns[0]) if table.rdd.getNumPartitions() < cores else table
+
+
 def views(spark: SparkSession, sf_dir: str, names) -> None:
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (_spread(table) if name in ("documents", "events") else table).createOrReplaceTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -176,7 +183,11 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, EVENT_FILES.replace("$JOINED", SPARK_JOINED))
+    cores = spark.sparkContext.defaultParallelism
+    lines = table(spark, sf_dir, EVENT_LINES)
+    if lines.rdd.getNumPartitions() <= cores:
+        lines = lines.repartition(cores, "project_path", "path")
+    return lines.groupBy("project_path", "path").agg(F.expr(SPARK_JOINED).alias("content"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ BLANKS = (
     "    　"
 )
 
+# Letters equal to s, k and i when case is ignored, beyond lower-casing.
+FOLDED_LETTERS = ("\u017f\u212a\u0130\u0131", "skii")
+
 # Characters written as \xNN, \uNNNN or \UNNNNNNNN when text is quoted.
 _HIDDEN = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\n\r]]"
 _HIDDEN_SHORT = r"[\x00-\x1f\x7f-\xa0\xad&&[^\t\n\r]]"
@@ -59,6 +62,12 @@ def has_any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")"
 
 
+def folded(text: str) -> str:
+    """Lower case, with the letters that only ignoring case equates brought to their base letter."""
+    base = f"translate({text}, {lit(FOLDED_LETTERS[0])}, {lit(FOLDED_LETTERS[1])})"
+    return f"lower(if(octet_length({text}) = length({text}), {text}, {base}))"
+
+
 def quoted_length(text: str) -> str:
     """Length of the text as a quoted literal: quotes added, backslashes, control and
     unprintable characters escaped; single quotes escaped only if both kinds occur."""

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from beaconaudit.functions import labels
 from beaconaudit.functions.fields import detailed_parameters
-from beaconaudit.functions.text import case, lit, matches, record_length, strip
+from beaconaudit.functions.text import case, folded, has_any, lit, matches, record_length, strip
 from beaconaudit.operators import symbols as sym
-from beaconaudit.operators.lines import CONTEXT, context_of, explode_lines
+from beaconaudit.operators.lines import CONTEXT, line_array
 from beaconaudit.rules import LIVE, Language, Rulebook, ci
 from beaconaudit.sources.corpus import route
 
@@ -43,33 +43,48 @@ def _styled(rulebook: Rulebook, make) -> str:
 
 
 def with_symbols(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
-    """Adds each file's imported symbols and the pattern that finds lines using them."""
+    """Adds each file's imported symbols."""
     found = _styled(rulebook, lambda style: style.symbols("content"))
-    test = _styled(rulebook, lambda style: sym.line_test(style, "symbols"))
-    return files.withColumn("symbols", F.expr(f"cast({found} AS {sym.SYMBOLS})")).withColumn(
-        "symbol_test", F.expr(f"cast({test} AS string)"))
+    return files.withColumn("symbols", F.expr(f"cast({found} AS {sym.SYMBOLS})"))
 
 
-def _rule_line(rulebook: Rulebook) -> str:
-    """True for lines some family hits: the cheap pattern first, then the exact one."""
-    def test(lang: Language) -> str:
-        exact = matches("line", lang.regex)
-        return f"{matches('line', '(?iu)' + lang.gate)} AND {exact}" if lang.gate else exact
+def _hit(family, line: str, low: str) -> str:
+    """True if the family hits; its patterns are tried only where one of its hints stands."""
+    exact = matches(line, family.regex)
+    return f"({has_any(low, family.hints)} AND {exact})" if family.hints else exact
 
-    return "(" + " OR ".join(f"({_is(lang)} AND {test(lang)})" for lang in rulebook.languages) + ")"
+
+def _rule_line(rulebook: Rulebook, line: str, low: str) -> str:
+    return _per_language(rulebook, lambda lang: "(" + " OR ".join(_hit(f, line, low) for f in lang.families) + ")")
 
 
 def candidate_lines(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT) -> DataFrame:
-    """Exactly the lines that have a finding, each with its context and its file's symbols."""
-    lines = explode_lines(with_symbols(route(files, rulebook), rulebook))
-    by_symbol = "(symbol_test IS NOT NULL AND regexp_extract(line, symbol_test, 0) != '')"
-    kept = lines.where(f"{_rule_line(rulebook)} OR {by_symbol}")
-    return kept.withColumn("context_lines", context_of(F.col("lines"), F.col("line_number"), context)).drop(
-        "lines", "symbol_test")
+    """Exactly the lines that have a finding, each with its context and its file's symbols.
+
+    Lines are tested inside their file's row and only those that pass become rows, so
+    the array of lines is never copied and most text is turned away by substring tests.
+    """
+    found = with_symbols(route(files, rulebook), rulebook).withColumns({
+        "lines": line_array(F.col("content")),
+        "symbol_test": F.expr("cast(%s AS string)" % _styled(rulebook, lambda s: sym.line_test(s, "symbols"))),
+        "symbol_hints": F.expr(f"transform(symbols, s -> {folded('s.name')})"),
+    }).drop("content")
+    numbered = (f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))")
+    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(x.low, h)) "
+            "AND regexp_extract(x.line, symbol_test, 0) != ''")
+    kept = _per_language(rulebook, lambda lang: f"filter({numbered}, x -> " + " OR ".join(
+        [_hit(f, "x.line", "x.low") for f in lang.families] + [f"({used})"]) + ")")
+    around = (f"slice(lines, greatest(x.line_number - {context}, 1), "
+              f"least(x.line_number + {context}, size(lines)) - greatest(x.line_number - {context}, 1) + 1)")
+    found = found.withColumn("kept", F.expr(kept))
+    carried = [c for c in found.columns if c not in ("lines", "symbol_test", "symbol_hints", "kept", "symbols")]
+    return found.selectExpr(
+        *carried, "symbols", "inline(transform(kept, x -> named_struct('line_number', x.line_number, "
+        f"'line', x.line, 'low', x.low, 'context_lines', {around})))")
 
 
 def _plain(lines: DataFrame) -> list[str]:
-    return [c for c in lines.columns if c not in ("context_lines", "symbols")]
+    return [c for c in lines.columns if c not in ("context_lines", "symbols", "low")]
 
 
 # ------------------------------------------------------------------ direct hits
@@ -79,7 +94,7 @@ def rule_hits(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     lines = candidate_lines(files, rulebook)
 
     def tests(lang: Language) -> str:
-        hits = [case((matches("line", ci(p)),
+        hits = [case((f"{has_any('low', family.hints) if family.hints else 'true'} AND {matches('line', ci(p))}",
                       f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
                       f"'family_ord', {i}, 'pattern_ord', {j})"))
                 for i, family in enumerate(lang.families) for j, p in enumerate(family.patterns)]
@@ -107,7 +122,7 @@ def _read_lines(lines: DataFrame, rulebook: Rulebook) -> tuple[DataFrame, list]:
     first_hits, cells, ways = {}, {}, []
     for k, language, builder, members in _kinds(rulebook):
         first, cell = f"first_{k}", f"cells_{k}"
-        position = case(*[(matches("line", f.regex), str(n)) for n, f in members])
+        position = case(*[(_hit(f, "line", "low"), str(n)) for n, f in members])
         first_hits[first] = F.expr(case((_is(language), position)))
         read, entries = [], []
         for key, value, present in builder("line"):
@@ -165,7 +180,7 @@ def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     out, ways = _read_lines(lines, rulebook)
 
     def found(lang: Language) -> str:
-        hits = [case((f"{first} IS NOT NULL AND {matches('line', family.regex)}",
+        hits = [case((f"{first} IS NOT NULL AND {_hit(family, 'line', 'low')}",
                       f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
                       f"'family_ord', {position}, 'pattern_ord', 0, 'record', {_record(entries)}, "
                       f"'repr_length', {record_length(entries)})"))
@@ -182,13 +197,13 @@ def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
 def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every use of an imported symbol, on lines without a direct hit."""
     lines = candidate_lines(files, rulebook)
-    uses = _styled(rulebook, lambda style: sym.usages(style, "line", "symbols"))
-    return lines.where(f"NOT {_rule_line(rulebook)}").selectExpr(*_plain(lines), f"inline({uses})")
+    uses = _styled(rulebook, lambda style: sym.usages(style, "line", "low", "symbols"))
+    return lines.where(f"NOT {_rule_line(rulebook, 'line', 'low')}").selectExpr(*_plain(lines), f"inline({uses})")
 
 
 def describe_usages(lines: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Adds ``use``: the best use of a symbol, only where no rule hits the line."""
-    best = _styled(rulebook, lambda style: sym.best_usage(sym.usages(style, "line", "symbols")))
+    best = _styled(rulebook, lambda style: sym.best_usage(sym.usages(style, "line", "low", "symbols")))
     return lines.withColumn("use", F.expr(case(("family IS NULL", best))))
 
 

@@ -25,17 +25,8 @@ def snippet(line: Column) -> Column:
     return strip(line)
 
 
-def explode_lines(files: DataFrame, context: int | None = None) -> DataFrame:
-    """One row per line with its 1-based number.
-
-    The array of lines is only read by reference while the generated rows are
-    filtered, so a file costs its own size, not its size times its lines.
-    """
-    out = files.withColumn("lines", line_array(F.col("content"))).drop("content")
-    keep = [F.col(c) for c in out.columns]
-    out = out.select(*keep, F.posexplode("lines").alias("pos", "line"))
-    out = out.withColumn("line_number", F.col("pos") + 1).drop("pos")
-    if context is not None:
-        out = out.withColumn("context_lines", context_of(F.col("lines"), F.col("line_number"), context))
-        out = out.drop("lines")
-    return out
+def explode_lines(files: DataFrame) -> DataFrame:
+    """One row per line with its 1-based number."""
+    rest = [c for c in files.columns if c != "content"]
+    rows = files.select(*rest, F.posexplode(line_array(F.col("content"))).alias("pos", "line"))
+    return rows.select(*rest, (F.col("pos") + 1).alias("line_number"), "line")

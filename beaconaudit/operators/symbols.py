@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from beaconaudit.functions import labels
-from beaconaudit.functions.text import case, group, groups, lit, not_blank, quoted_length, strip
+from beaconaudit.functions.text import case, folded, group, groups, lit, not_blank, quoted_length, strip
 
 # Import statements and the names they bring along.
 NAMED_IMPORT = r"import\s+\{\s*([^}]+)\s*\}\s+from\s+['\"](@datadog/[^'\"]+)['\"]"
@@ -58,8 +58,9 @@ def _named(symbols: str) -> str:
 
 
 def _statements(text: str, pattern: str, import_type: str) -> str:
-    return (f"zip_with({groups(text, _flags(pattern), 1)}, {groups(text, _flags(pattern), 2)}, "
-            f"(name, origin) -> {_symbol(strip('name'), 'origin', lit(import_type))})")
+    """Symbols of import statements. The text is searched once; names are read from what was found."""
+    name, origin = (f"regexp_extract(st, {lit(_flags(pattern))}, {i})" for i in (1, 2))
+    return f"transform({groups(text, _flags(pattern), 0)}, st -> {_symbol(strip(name), origin, lit(import_type))})"
 
 
 def web_symbols(content: str, split_named: bool = False) -> str:
@@ -215,21 +216,25 @@ def line_test(style: Style, symbols: str) -> str:
 def _matches(line: str, name: str, finder_ord: int, finder: tuple[str, str], has_member: bool) -> str:
     """Non-overlapping matches of a finder with their offsets, left to right.
 
-    The pattern takes the text before each match along, so running lengths are offsets.
+    Splitting at a finder gives the text between its matches, so running lengths of
+    the pieces and the matches are offsets.
     """
     before, after = finder
-    pattern = f"concat({lit('(?isU)(.*?)(' + before)}, {_quote(name)}, {lit(after + ')')})"
-    gaps, texts, members = (f"regexp_extract_all({line}, {pattern}, {i})" for i in (1, 2, 3 if has_member else 2))
-    found = (f"zip_with(zip_with({gaps}, {texts}, (g, t) -> named_struct('gap', g, 'text', t)), {members}, "
-             "(a, b) -> named_struct('gap', a.gap, 'text', a.text, 'member', b))")
-    ends = ("aggregate(found, array(0), (acc, m) -> "
-            "array_append(acc, element_at(acc, -1) + length(m.gap) + length(m.text)))")
-    one = (f"named_struct('finder_ord', {finder_ord}, 'match_start', at - length(m.text), 'match_end', at, "
-           "'text', m.text, 'member', m.member)")
-    return f"transform(array({found}), found -> zip_with(found, slice({ends}, 2, size(found)), (m, at) -> {one}))[0]"
-
-
-def usages(style: Style, line: str, symbols: str) -> str:
+    pattern = f"concat({lit('(?isU)' + before)}, {_quote(name)}, {lit(after)})"
+    found = f"regexp_extract_all({line}, {pattern}, 0)"
+    members = f"regexp_extract_all({line}, {pattern}, 1)" if has_member else "x.texts"
+    ends = ("aggregate(zip_with(x.texts, slice(x.gaps, 1, size(x.texts)), (t, g) -> length(t) + length(g)), array(0), "
+            "(acc, n) -> array_append(acc, element_at(acc, -1) + n))")
+    one = (f"named_struct('finder_ord', {finder_ord}, 'match_start', m.at - length(m.text), 'match_end', m.at, "
+           "'text', m.text, 'member', member)")
+    placed = f"zip_with(x.texts, slice({ends}, 2, size(x.texts)), (text, at) -> named_struct('text', text, 'at', at))"
+    # most finders find nothing on a line: only those that do are split and placed
+    parts = (f"transform(filter(array({found}), f -> size(f) > 0), "
+             f"f -> named_struct('texts', f, 'gaps', split({line}, {pattern}, -1)))")
+    return f"flatten(transform({parts}, x -> zip_with({placed}, {members}, (m, member) -> {one})))"
+
+
+def usages(style: Style, line: str, low: str, symbols: str) -> str:
     """All uses of the symbols on a line, in order of symbol, finder and position.
 
     Built in steps, each an array of structs over the one before, so that no value is
@@ -244,8 +249,9 @@ def usages(style: Style, line: str, symbols: str) -> str:
 
     match = ", ".join(f"'{f}', " + {"symbol_ord": "i", "name": "s.name", "origin": "s.origin"}.get(f, f"m.{f}")
                       for f in fields)
-    out = (f"flatten(transform({symbols}, (s, i) -> transform(concat({per_finder}), "
-           f"m -> named_struct({match}))))")
+    seen = f"if(contains({low}, {folded('s.name')}), concat({per_finder}), NULL)"
+    numbered = f"transform({symbols}, (s, i) -> transform({seen}, m -> named_struct({match})))"
+    out = f"flatten(filter({numbered}, found -> found IS NOT NULL))"
     steps = [
         {"tail": f"substring({line}, x.match_start + 1)"},
         {"head": balanced_head("x.tail")},

@@ -310,7 +310,7 @@ def legacy_findings(spark, sf):
 @query
 def repr_length(spark, sf):
     derived.views(spark, sf, ("documents", "conversations"))
-    sentences = lines.explode_lines(spark.table("documents").select("doc_id", F.col("text").alias("content"))).drop("lines")
+    sentences = lines.explode_lines(spark.table("documents").select("doc_id", F.col("text").alias("content")))
     spoken = spark.sql("SELECT conv_id, turn, role, replace(text, chr(10), chr(9)) AS said FROM conversations")
     return sentences.select(F.col("doc_id").alias("id"), F.col("line_number").alias("part"),
                             F.concat_ws("'", "line", F.lit("\\")).alias("written")).selectExpr(
@@ -327,7 +327,7 @@ def context_lines(spark, sf):
 
 @query
 def line_split(spark, sf):
-    split = lines.explode_lines(corpus.route(derived.files(spark, sf))).drop("lines")
+    split = lines.explode_lines(corpus.route(derived.files(spark, sf)))
     return split.groupBy("path").agg(F.count("*").alias("lines"), F.max("line_number").alias("last"),
                                      F.sum(F.length("line")).alias("characters"))
 

@@ -28,10 +28,14 @@ def any_of(patterns) -> str:
 
 @dataclass(frozen=True)
 class Family:
+    """``hints``: lower-case texts of which every matching line holds one. They are looked
+    for before the patterns are tried; without hints the patterns are tried on every line."""
+
     name: str
     operation: str
     category: str
     patterns: tuple[str, ...]
+    hints: tuple[str, ...] = ()
     fields: Callable = fields.nothing
     gestures: tuple[str, ...] = ()
     gesture_key: str | None = None
@@ -43,20 +47,13 @@ class Family:
 
 @dataclass(frozen=True)
 class Language:
-    """``gate`` is a cheap pattern that every line matched by a family also matches;
-    left empty, the families themselves are tried on each line. ``symbols`` names the
-    import style whose symbols are followed (see ``operators.symbols``)."""
+    """``symbols`` names the import style whose symbols are followed (``operators.symbols``)."""
 
     name: str
     extensions: tuple[str, ...]
     families: tuple[Family, ...]
-    gate: str = ""
     symbols: str | None = None
 
-    @property
-    def regex(self) -> str:
-        return ci(any_of(p for f in self.families for p in f.patterns))
-
 
 @dataclass(frozen=True)
 class Rulebook:
@@ -76,11 +73,12 @@ def register_rules(rulebook: Rulebook, language: str, extensions, families) -> R
     """Extend ``rulebook`` by plain values.
 
     ``families`` is a list of dicts with ``name``, ``operation``, ``category``,
-    ``patterns`` and optionally ``fields`` (key -> regex, first group is the value).
+    ``patterns`` and optionally ``hints`` and ``fields`` (key -> regex, first group is
+    the value).
     """
     built = tuple(
         Family(f["name"], f.get("operation", "custom_attribute"), f.get("category", "system_data"),
-               tuple(f["patterns"]), fields.from_patterns(f.get("fields", {})))
+               tuple(f["patterns"]), tuple(f.get("hints", ())), fields.from_patterns(f.get("fields", {})))
         for f in families
     )
     return rulebook.with_language(Language(language, tuple(extensions), built))
@@ -125,7 +123,7 @@ LEGACY_GESTURES = ("click", "tap", "swipe", "scroll", "input", "select", "submit
 WEB_SYMBOL_GESTURES = ("click", "tap", "swipe", "scroll", "input")
 UNITY_SYMBOL_GESTURES = ("tap", "click", "swipe", "scroll", "touch")
 
-# Web SDK calls, as (family, operation, category, patterns).
+# Web SDK calls, as (family, operation, category, patterns, hints).
 WEB_CALLS = (
     ("imports", "import", "configuration_data", (
         r"import\s+.*@datadog/browser-rum",
@@ -135,118 +133,116 @@ WEB_CALLS = (
         r"from\s+['\"]@datadog/browser-logs['\"]",
         r"require\s*\(\s*['\"]@datadog/browser-rum['\"]",
         r"require\s*\(\s*['\"]@datadog/browser-logs['\"]",
-    )),
+    ), ("@datadog/browser-",)),
     ("init", "initialisation", "configuration_data", (
         r"datadogRum\.init\s*\(",
         r"datadogLogs\.createLogger\s*\(",
         r"DD_RUM\.init\s*\(",
-    )),
+    ), (".init", ".createlogger")),
     ("rum_action", "rum_action", "system_data", (
         r"datadogRum\.addAction\s*\(",
         r"DD_RUM\.addAction\s*\(",
-    )),
+    ), (".addaction",)),
     ("rum_error", "rum_error", "error_data", (
         r"datadogRum\.addError\s*\(",
         r"DD_RUM\.addError\s*\(",
-    )),
+    ), (".adderror",)),
     ("rum_timing", "rum_timing", "performance_data", (
         r"datadogRum\.addTiming\s*\(",
         r"DD_RUM\.addTiming\s*\(",
-    )),
+    ), (".addtiming",)),
     ("log_info", "log_info", "system_data", (
         r"logger\.info\s*\(",
         r"datadogLogs\.logger\.info\s*\(",
-    )),
+    ), ("logger.info",)),
     ("log_error", "log_error", "error_data", (
         r"logger\.error\s*\(",
         r"datadogLogs\.logger\.error\s*\(",
-    )),
+    ), ("logger.error",)),
     ("log_warn", "log_warn", "system_data", (
         r"logger\.warn\s*\(",
         r"datadogLogs\.logger\.warn\s*\(",
-    )),
+    ), ("logger.warn",)),
     ("log_debug", "log_debug", "system_data", (
         r"logger\.debug\s*\(",
         r"datadogLogs\.logger\.debug\s*\(",
-    )),
+    ), ("logger.debug",)),
 )
-WEB_GATE = r"datadog|dd_rum|logger\."
 
-# Unity SDK calls, as (family, operation, category, patterns).
+# Unity SDK calls, as (family, operation, category, patterns, hints).
 UNITY_CALLS = (
     ("imports", "import", "configuration_data", (
         r"using\s+Datadog\.Unity",
         r"using\s+Datadog\.Unity\.Rum",
         r"using\s+Datadog\.Unity\.Logs",
         r"using\s+Datadog\.Unity\.Core",
-    )),
+    ), ("datadog.unity",)),
     ("init", "initialisation", "configuration_data", (
         r"DatadogSdk\.InitWithPlatform\s*\(",
         r"DatadogSdk\.Instance\.SetTrackingConsent\s*\(",
         r"DatadogSdk\.Instance\.SetSdkVerbosity\s*\(",
-    )),
+    ), (".initwithplatform", ".settrackingconsent", ".setsdkverbosity")),
     ("rum_action", "rum_action", "system_data", (
         r"DatadogSdk\.Instance\.Rum\.(?:Add|Start)Action\s*\(",
         r"DatadogSdk\.Instance\.Rum\.StopAction\s*\(",
         r"\.Rum\.(?:Add|Start)Action\s*\(",
         r"\.Rum\.StopAction\s*\(",
-    )),
+    ), (".addaction", ".startaction", ".stopaction")),
     ("rum_error", "rum_error", "error_data", (
         r"DatadogSdk\.Instance\.Rum\.AddError\s*\(",
         r"\.Rum\.AddError\s*\(",
-    )),
+    ), (".adderror",)),
     ("rum_timing", "rum_timing", "performance_data", (
         r"DatadogSdk\.Instance\.Rum\.AddTiming\s*\(",
         r"\.Rum\.AddTiming\s*\(",
-    )),
+    ), (".addtiming",)),
     ("rum_view", "custom_attribute", "system_data", (
         r"DatadogSdk\.Instance\.Rum\.StartView\s*\(",
         r"DatadogSdk\.Instance\.Rum\.StopView\s*\(",
         r"\.Rum\.(?:Start|Stop)View\s*\(",
-    )),
+    ), (".startview", ".stopview")),
     ("rum_attribute", "custom_attribute", "system_data", (
         r"DatadogSdk\.Instance\.Rum\.AddAttribute\s*\(",
         r"DatadogSdk\.Instance\.Rum\.RemoveAttribute\s*\(",
         r"\.Rum\.(?:Add|Remove)Attribute\s*\(",
-    )),
+    ), (".addattribute", ".removeattribute")),
     ("log_create", "initialisation", "system_data", (
         r"DatadogSdk\.Instance\.CreateLogger\s*\(",
         r"\.CreateLogger\s*\(",
-    )),
+    ), (".createlogger",)),
     ("log_info", "log_info", "system_data", (
         r"\.Log\s*\(\s*DdLogLevel\.Info",
         r"\.Info\s*\(",
-    )),
+    ), (".info",)),
     ("log_error", "log_error", "error_data", (
         r"\.Log\s*\(\s*DdLogLevel\.Error",
         r"\.Error\s*\(",
-    )),
+    ), (".error",)),
     ("log_warn", "log_warn", "system_data", (
         r"\.Log\s*\(\s*DdLogLevel\.Warn",
         r"\.Warn\s*\(",
-    )),
+    ), (".warn",)),
     ("log_debug", "log_debug", "system_data", (
         r"\.Log\s*\(\s*DdLogLevel\.Debug",
         r"\.Debug\s*\(",
-    )),
+    ), (".debug",)),
     ("user_info", "configuration", "configuration_data", (
         r"DatadogSdk\.Instance\.SetUserInfo\s*\(",
         r"DatadogSdk\.Instance\.AddUserExtraInfo\s*\(",
         r"\.SetUserInfo\s*\(",
         r"\.AddUserExtraInfo\s*\(",
-    )),
+    ), (".setuserinfo", ".adduserextrainfo")),
     ("global_attributes", "custom_attribute", "configuration_data", (
         r"DatadogSdk\.Instance\.AddLogsAttribute\s*\(",
         r"DatadogSdk\.Instance\.AddLogsAttributes\s*\(",
         r"DatadogSdk\.Instance\.RemoveLogsAttribute\s*\(",
         r"\.(?:Add|Remove)LogsAttribute\s*\(",
-    )),
+    ), (".addlogsattribute", ".removelogsattribute")),
     ("clear_data", "configuration", "configuration_data", (
         r"DatadogSdk\.Instance\.ClearAllData\s*\(",
         r"\.ClearAllData\s*\(",
-    )),
+    ), (".clearalldata",)),
 )
-UNITY_GATE = r"datadog|\.rum\.|logger|\.log|info|\.error|\.warn|\.debug|attribute|clearalldata"
 
 # Files that mark a directory as a project.
 PROJECT_MARKERS = ("package.json", "Assets", "ProjectSettings", "src", "tsconfig.json", "next.config.js")
@@ -271,11 +267,11 @@ LEGACY_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".vue", ".svelte")
 
 def _families(calls, field_builders, gestures, gesture_key=None) -> tuple[Family, ...]:
     return tuple(
-        Family(name, operation, category, patterns,
+        Family(name, operation, category, patterns, hints,
                fields=field_builders.get(name, fields.nothing),
                gestures=gestures if name == "rum_action" else (),
                gesture_key=gesture_key)
-        for name, operation, category, patterns in calls
+        for name, operation, category, patterns, hints in calls
     )
 
 
@@ -286,7 +282,7 @@ WEB = Language(
         **dict.fromkeys(("rum_action", "rum_error", "rum_timing"), fields.web_rum),
         **dict.fromkeys(("log_info", "log_error", "log_warn", "log_debug"), fields.web_log),
     }, WEB_GESTURES),
-    gate=WEB_GATE, symbols="web",
+    symbols="web",
 )
 
 UNITY = Language(
@@ -298,7 +294,7 @@ UNITY = Language(
         "rum_attribute": fields.unity_attribute,
         "user_info": fields.unity_user,
     }, UNITY_GESTURES),
-    gate=UNITY_GATE, symbols="unity",
+    symbols="unity",
 )
 
 LEGACY_WEB = Language(
@@ -311,7 +307,7 @@ LEGACY_WEB = Language(
         "rum_timing": fields.legacy_call,
         **dict.fromkeys(("log_info", "log_error", "log_warn", "log_debug"), fields.legacy_log),
     }, LEGACY_GESTURES, gesture_key="action_name"),
-    gate=WEB_GATE, symbols="legacy",
+    symbols="legacy",
 )
 
 LIVE = Rulebook((WEB, UNITY))

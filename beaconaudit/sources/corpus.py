@@ -55,8 +55,11 @@ def decode(content: Column) -> Column:
 
 
 def keyword_filter(files: DataFrame) -> DataFrame:
-    """Drops files that mention nothing of the SDKs, before any line is looked at."""
-    return files.where(has_any("lower(content)", FILE_KEYWORDS))
+    """Drops files that mention nothing of the SDKs, before any line is looked at.
+
+    The lower-cased text is bound once for all keywords.
+    """
+    return files.where(f"exists(array(lower(content)), low -> {has_any('low', FILE_KEYWORDS)})")
 
 
 def relative_path(path: Column, root: Column) -> Column:
