@@ -1,9 +1,8 @@
 """From files to findings: one row per line that sends telemetry.
 
-The whole step is a map over files. Lines are generated from a file's text, most of
-them are turned away by one pattern test in the same codegen stage, and only what is
-left is described. The best description of a line is picked with scalar comparisons
-inside the row, so nothing is shuffled and no group is ever collected.
+The whole step is a map over files. A file's lines are an array inside its row; they are
+filtered there, what is left is described there step by step, and only findings become
+rows. Nothing is shuffled, no group is collected, and no array is copied per line.
 """
 
 from __future__ import annotations
@@ -58,49 +57,69 @@ def _rule_line(rulebook: Rulebook, line: str, low: str) -> str:
     return _per_language(rulebook, lambda lang: "(" + " OR ".join(_hit(f, line, low) for f in lang.families) + ")")
 
 
-def candidate_lines(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT) -> DataFrame:
-    """Exactly the lines that have a finding, each with its context and its file's symbols.
+class Lines:
+    """The lines of each file as an array of structs that grows by steps.
 
-    Lines are tested inside their file's row and only those that pass become rows, so
-    the array of lines is never copied and most text is turned away by substring tests.
+    ``add`` computes new fields from those there are; in expressions a line is ``row``
+    and the file's own columns go by their names. Steps keep a value from being computed
+    twice: what one step computes, later ones read.
     """
+
+    def __init__(self, files: DataFrame, array: str, fields: tuple[str, ...], carried: tuple[str, ...]):
+        self.files, self.array, self.fields, self.carried = files, array, fields, carried
+
+    def add(self, **more: str) -> "Lines":
+        kept = [f"'{f}', row.{f}" for f in self.fields if f not in more]
+        made = ", ".join(kept + [f"'{name}', {value}" for name, value in more.items()])
+        fields = tuple(f for f in self.fields if f not in more) + tuple(more)
+        return Lines(self.files, f"transform({self.array}, row -> named_struct({made}))", fields, self.carried)
+
+    def explode(self, fields, array: str | None = None) -> DataFrame:
+        """One row per line, or per element of the line's own ``array``, with the given fields."""
+        if array is None:
+            made = ", ".join(f"'{f}', row.{f}" for f in fields)
+            rows = f"transform({self.array}, row -> named_struct({made}))"
+        else:
+            place = ", ".join(f"'{f}', row.{f}" for f in ("line_number", "line"))
+            made = ", ".join(f"'{f}', item.{f}" for f in fields)
+            rows = f"flatten(transform({self.array}, row -> transform({array}, item -> named_struct({place}, {made}))))"
+        return self.files.selectExpr(*self.carried, f"inline({rows})")
+
+
+def candidates(files: DataFrame, rulebook: Rulebook = LIVE) -> Lines:
+    """Exactly the lines that have a finding. Most text is turned away by substring tests."""
+    carried = tuple(c for c in files.columns if c not in ("content", "language")) + ("language",)
     found = with_symbols(route(files, rulebook), rulebook).withColumns({
         "lines": line_array(F.col("content")),
         "symbol_test": F.expr("cast(%s AS string)" % _styled(rulebook, lambda s: sym.line_test(s, "symbols"))),
         "symbol_hints": F.expr(f"transform(symbols, s -> {folded('s.name')})"),
-    }).drop("content")
-    numbered = (f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))")
-    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(x.low, h)) "
-            "AND regexp_extract(x.line, symbol_test, 0) != ''")
-    kept = _per_language(rulebook, lambda lang: f"filter({numbered}, x -> " + " OR ".join(
-        [_hit(f, "x.line", "x.low") for f in lang.families] + [f"({used})"]) + ")")
-    around = (f"slice(lines, greatest(x.line_number - {context}, 1), "
-              f"least(x.line_number + {context}, size(lines)) - greatest(x.line_number - {context}, 1) + 1)")
-    found = found.withColumn("kept", F.expr(kept))
-    carried = [c for c in found.columns if c not in ("lines", "symbol_test", "symbol_hints", "kept", "symbols")]
-    return found.selectExpr(
-        *carried, "symbols", "inline(transform(kept, x -> named_struct('line_number', x.line_number, "
-        f"'line', x.line, 'low', x.low, 'context_lines', {around})))")
+    })
+    numbered = f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))"
+    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(row.low, h)) "
+            "AND regexp_extract(row.line, symbol_test, 0) != ''")
+    kept = _per_language(rulebook, lambda lang: f"filter({numbered}, row -> " + " OR ".join(
+        [_hit(f, "row.line", "row.low") for f in lang.families] + [f"({used})"]) + ")")
+    return Lines(found, kept, ("line_number", "line", "low"), carried)
 
 
-def _plain(lines: DataFrame) -> list[str]:
-    return [c for c in lines.columns if c not in ("context_lines", "symbols", "low")]
+def with_context(lines: Lines, context: int = CONTEXT) -> Lines:
+    first, last = f"greatest(row.line_number - {context}, 1)", f"least(row.line_number + {context}, size(lines))"
+    return lines.add(context_lines=f"slice(lines, {first}, {last} - {first} + 1)")
 
 
 # ------------------------------------------------------------------ direct hits
 
 def rule_hits(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every (line, pattern) hit, in rule order: the input of the best-per-line choice."""
-    lines = candidate_lines(files, rulebook)
-
     def tests(lang: Language) -> str:
-        hits = [case((f"{has_any('low', family.hints) if family.hints else 'true'} AND {matches('line', ci(p))}",
+        hits = [case((f"{has_any('row.low', family.hints) if family.hints else 'true'} AND {matches('row.line', ci(p))}",
                       f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
                       f"'family_ord', {i}, 'pattern_ord', {j})"))
                 for i, family in enumerate(lang.families) for j, p in enumerate(family.patterns)]
-        return f"array_compact(array({', '.join(hits)}))"
+        return f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)"
 
-    return lines.selectExpr(*_plain(lines), f"inline({_per_language(rulebook, tests)})")
+    lines = candidates(files, rulebook)
+    return lines.explode(("family", "operation_type", "family_ord", "pattern_ord"), _per_language(rulebook, tests))
 
 
 def _kinds(rulebook: Rulebook):
@@ -113,28 +132,28 @@ def _kinds(rulebook: Rulebook):
             yield f"{i}_{j}", language, builder, members
 
 
-def _read_lines(lines: DataFrame, rulebook: Rulebook) -> tuple[DataFrame, list]:
+def _read(lines: Lines, rulebook: Rulebook) -> tuple[Lines, list]:
     """Adds, per way of reading a line, the first family that hits and the values read.
 
-    Returns the frame and ``(first column, language, members, entries)`` for each way.
+    Returns the lines and ``(first field, language, members, entries)`` for each way.
     Entries are ``(key, value, present)`` over the values read, which are read once.
     """
     first_hits, cells, ways = {}, {}, []
     for k, language, builder, members in _kinds(rulebook):
         first, cell = f"first_{k}", f"cells_{k}"
-        position = case(*[(_hit(f, "line", "low"), str(n)) for n, f in members])
-        first_hits[first] = F.expr(case((_is(language), position)))
+        position = case(*[(_hit(f, "row.line", "row.low"), str(n)) for n, f in members])
+        first_hits[first] = case((_is(language), position))
         read, entries = [], []
-        for key, value, present in builder("line"):
+        for key, value, present in builder("row.line"):
             read.append(f"{lit(key)}, {value}")
             if present is not None:
                 read.append(f"{lit('has_' + key)}, {present}")
-            entries.append((key, f"{cell}.{key}", f"{cell}.{key} IS NOT NULL" if present is None else f"{cell}.has_{key}"))
+            at = f"row.{cell}.{key}"
+            entries.append((key, at, f"{at} IS NOT NULL" if present is None else f"row.{cell}.has_{key}"))
         if read:
-            cells[cell] = F.expr(case((f"{first} IS NOT NULL", f"named_struct({', '.join(read)})")))
-        ways.append((first, language, members, entries))
-    out = lines.withColumns(first_hits)
-    return (out.withColumns(cells) if cells else out), ways
+            cells[cell] = case((f"row.{first} IS NOT NULL", f"named_struct({', '.join(read)})"))
+        ways.append((f"row.{first}", language, members, entries))
+    return lines.add(**first_hits).add(**cells), ways
 
 
 def _record(entries) -> str:
@@ -143,68 +162,69 @@ def _record(entries) -> str:
     return f"map_concat({', '.join(parts)})" if len(parts) > 1 else (parts or [empty])[0]
 
 
-def _drop_reading(lines: DataFrame) -> DataFrame:
-    return lines.drop(*[c for c in lines.columns if c.startswith(("first_", "cells_"))])
-
-
-def describe_rules(lines: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+def describe_rules(lines: Lines, rulebook: Rulebook = LIVE) -> Lines:
     """Adds ``family``, ``record`` and ``repr_length`` of each line's best rule; null where no rule hits.
 
     Families that read a line alike describe it alike, so only the first of them that
     hits can win, and each way of reading is tried once. Longest record wins; of
     equals, the earliest family. Both are packed into one number and compared by it.
     """
-    out, ways = _read_lines(lines, rulebook)
+    before = lines.fields
+    lines, ways = _read(lines, rulebook)
     scores = [case((f"{first} IS NOT NULL",
                     f"cast({record_length(entries)} AS bigint) * {FAMILY_SLOTS} + {FAMILY_SLOTS - 1} - {first}"))
               for first, _, _, entries in ways]
-    out = out.withColumn("score", F.expr(f"greatest(cast(NULL AS bigint), {', '.join(scores)})"))
-    out = out.withColumn("family_ord", F.expr(f"cast({FAMILY_SLOTS - 1} - pmod(score, {FAMILY_SLOTS}) AS int)"))
-    record = case(*[(f"family_ord = {first}", _record(entries)) for first, _, _, entries in ways])
-    family = _per_language(rulebook, lambda lang: "get(array(%s), family_ord)" % ", ".join(
+    lines = lines.add(score=f"greatest(cast(NULL AS bigint), {', '.join(scores)})")
+    lines = lines.add(family_ord=f"cast({FAMILY_SLOTS - 1} - pmod(row.score, {FAMILY_SLOTS}) AS int)",
+                      repr_length=f"cast(row.score div {FAMILY_SLOTS} AS int)")
+    record = case(*[(f"row.family_ord = {first}", _record(entries)) for first, _, _, entries in ways])
+    family = _per_language(rulebook, lambda lang: "get(array(%s), row.family_ord)" % ", ".join(
         lit(f.name) for f in lang.families))
-    out = out.withColumns({
-        "family": F.expr(family), "record": F.expr(record),
-        "repr_length": F.expr(f"cast(score div {FAMILY_SLOTS} AS int)"),
-    })
-    return _drop_reading(out).drop("score")
+    lines = lines.add(family=family, record=record)
+    lines.fields = before + ("family_ord", "repr_length", "family", "record")
+    return lines
 
 
-def _rule_category(rulebook: Rulebook) -> str:
-    return _per_language(rulebook, lambda lang: labels.rule_category(lang.families, "family", "record"))
+def _rule_category(rulebook: Rulebook, row: str) -> str:
+    return _per_language(rulebook, lambda lang: labels.rule_category(lang.families, f"{row}.family", f"{row}.record"))
 
 
 def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """What every family that hits a line makes of it, before the best is chosen."""
-    lines = candidate_lines(files, rulebook)
-    out, ways = _read_lines(lines, rulebook)
+    lines, ways = _read(candidates(files, rulebook), rulebook)
 
     def found(lang: Language) -> str:
-        hits = [case((f"{first} IS NOT NULL AND {_hit(family, 'line', 'low')}",
+        hits = [case((f"{first} IS NOT NULL AND {_hit(family, 'row.line', 'row.low')}",
                       f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
                       f"'family_ord', {position}, 'pattern_ord', 0, 'record', {_record(entries)}, "
                       f"'repr_length', {record_length(entries)})"))
                 for first, language, members, entries in ways if language is lang
                 for position, family in members]
-        return f"array_compact(array({', '.join(hits)}))"
+        return f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)"
 
-    out = out.selectExpr(*_plain(lines), f"inline({_per_language(rulebook, found)})")
-    return out.withColumn("data_category", F.expr(_rule_category(rulebook)))
+    fields = ("family", "operation_type", "family_ord", "pattern_ord", "record", "repr_length")
+    named = ", ".join(f"'{f}', hit.{f}" for f in fields)
+    labelled = (f"transform({_per_language(rulebook, found)}, "
+                f"hit -> named_struct({named}, 'data_category', {_rule_category(rulebook, 'hit')}))")
+    return lines.explode(fields + ("data_category",), labelled)
 
 
 # ------------------------------------------------------------------ uses of symbols
 
+def _uses(rulebook: Rulebook) -> str:
+    return _styled(rulebook, lambda style: sym.usages(style, "row.line", "row.low", "symbols"))
+
+
 def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every use of an imported symbol, on lines without a direct hit."""
-    lines = candidate_lines(files, rulebook)
-    uses = _styled(rulebook, lambda style: sym.usages(style, "line", "low", "symbols"))
-    return lines.where(f"NOT {_rule_line(rulebook, 'line', 'low')}").selectExpr(*_plain(lines), f"inline({uses})")
+    lines = candidates(files, rulebook)
+    uses = case((f"NOT {_rule_line(rulebook, 'row.line', 'row.low')}", _uses(rulebook)), otherwise="array()")
+    return lines.explode(sym.USE_FIELDS, uses)
 
 
-def describe_usages(lines: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+def describe_usages(lines: Lines, rulebook: Rulebook = LIVE) -> Lines:
     """Adds ``use``: the best use of a symbol, only where no rule hits the line."""
-    best = _styled(rulebook, lambda style: sym.best_usage(sym.usages(style, "line", "low", "symbols")))
-    return lines.withColumn("use", F.expr(case(("family IS NULL", best))))
+    return lines.add(use=case(("row.family IS NULL", sym.best_usage(_uses(rulebook)))))
 
 
 # ------------------------------------------------------------------ findings
@@ -214,26 +234,25 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT)
 
     At most one finding per (file, line). Works the same on a stream of files.
     """
-    carried = [c for c in files.columns if c not in ("content", "language")]
-    lines = describe_rules(candidate_lines(files, rulebook, context), rulebook)
-    operation = _per_language(rulebook, lambda lang: "get(array(%s), family_ord)" % ", ".join(
+    lines = describe_rules(candidates(files, rulebook), rulebook)
+    operation = _per_language(rulebook, lambda lang: "get(array(%s), row.family_ord)" % ", ".join(
         lit(f.operation) for f in lang.families))
-    category, record, length = _rule_category(rulebook), "record", "repr_length"
+    category, record, length = _rule_category(rulebook, "row"), "row.record", "row.repr_length"
     if _follows(rulebook):
         lines = describe_usages(lines, rulebook)
 
         def either(by_rule: str, by_use) -> str:
-            used = _styled(rulebook, lambda style: by_use(style, "use"))
-            return case(("family IS NOT NULL", by_rule), otherwise=used)
+            used = _styled(rulebook, lambda style: by_use(style, "row.use"))
+            return case(("row.family IS NOT NULL", by_rule), otherwise=used)
 
         operation, category = either(operation, sym.usage_operation), either(category, sym.usage_category)
-        record, length = either(record, sym.usage_record), "coalesce(repr_length, use.repr_length)"
-    extracted = detailed_parameters("line") if rulebook.detailed else "NULL"
-    return lines.selectExpr(
-        *carried, "language", "line_number", f"{strip('line')} AS code_snippet",
-        f"{operation} AS operation_type", f"{record} AS data_being_sent", f"{category} AS data_category",
-        "context_lines", "family", f"{length} AS repr_length", f"cast({extracted} AS {EXTRACTED}) AS extracted_parameters",
-    )
+        record, length = either(record, sym.usage_record), "coalesce(row.repr_length, row.use.repr_length)"
+    extracted = detailed_parameters("row.line") if rulebook.detailed else "NULL"
+    lines = with_context(lines, context).add(
+        code_snippet=strip("row.line"), operation_type=operation, data_being_sent=record, data_category=category,
+        repr_length=length, extracted_parameters=f"cast({extracted} AS {EXTRACTED})")
+    return lines.explode(("line_number", "code_snippet", "operation_type", "data_being_sent", "data_category",
+                          "context_lines", "family", "repr_length", "extracted_parameters"))
 
 
 def best_per_line(hits: DataFrame, keys, length: str = "repr_length", order=("family_ord", "pattern_ord")) -> DataFrame:

@@ -234,6 +234,10 @@ def _matches(line: str, name: str, finder_ord: int, finder: tuple[str, str], has
     return f"flatten(transform({parts}, x -> zip_with({placed}, {members}, (m, member) -> {one})))"
 
 
+USE_FIELDS = ("symbol_ord", "finder_ord", "match_start", "match_end", "name", "origin", "member", "context",
+              "kind", "parameters", "repr_length")
+
+
 def usages(style: Style, line: str, low: str, symbols: str) -> str:
     """All uses of the symbols on a line, in order of symbol, finder and position.
 
