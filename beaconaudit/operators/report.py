@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit.functions.urls import base_name
 from beaconaudit.operators.joins import attach
+from beaconaudit.operators.store import stored
 from beaconaudit.rules import DATA_TYPES
 from beaconaudit.sources.projects import count_findings
 
@@ -88,12 +89,17 @@ def statistics(findings: DataFrame) -> DataFrame:
 def grouped_rows(findings: DataFrame, by: str) -> DataFrame:
     """All findings, grouped: rows of a group are next to each other and carry its size.
 
-    A group is never held in one row. Counts are joined back (a handful of rows) and the
-    sort ranges over group, file and line, so a large group fills many partitions.
+    A group is never held in one row. Findings are stored once, since they are read for
+    the counts, for the sort's sample and for the result. The sort ranges over group,
+    file and line, so a large group fills many partitions.
     """
     key = GROUPINGS[by]
+    findings = stored(findings)
     sizes = findings.groupBy(key).agg(F.count("*").alias("group_size"))
-    return attach(findings, sizes, key, spread_by="file_path", how="inner").orderBy(key, "file_path", "line_number")
+    # categories and operations are closed lists; projects are measured
+    small = None if by == "project" else True
+    return attach(findings, sizes, key, spread_by="file_path", how="inner", small=small).orderBy(
+        key, "file_path", "line_number")
 
 
 def files_with_findings(findings: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def report_order(findings: DataFrame, projects: DataFrame) -> DataFrame:
     """
     heads = projects.select(F.col("name").alias("project_name"), "project_type", F.col("path").alias("project_path"))
     rest = [c for c in findings.columns if c not in ("project_type", "project_path")]
-    return attach(findings.select(*rest), heads, "project_name", spread_by="file_path", how="inner").orderBy(
+    return attach(stored(findings.select(*rest)), heads, "project_name", spread_by="file_path", how="inner").orderBy(
         "project_name", "project_path", "file_path", "line_number")
 
 

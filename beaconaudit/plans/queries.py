@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
 from beaconaudit.operators import findings as ops, lines, report
+from beaconaudit.operators.store import stored
 from beaconaudit.operators.joins import attach
 from beaconaudit.plans.scan import scan, scan_files, total_files
 from beaconaudit.sinks import exports
@@ -43,12 +44,12 @@ def live(spark, sf) -> DataFrame:
 def scanned(spark, sf) -> DataFrame:
     """Findings as a scan delivers them: filtered files, links, project names."""
     repo_meta = derived.table(spark, sf, derived.CORPUS_REPOS)
-    return scan_files(derived.files(spark, sf), repo_meta, base_url=BASE_URL, globs=scan_globs(spark))
+    return scan_files(derived.files(spark, sf), repo_meta, base_url=BASE_URL, globs=scan_globs())
 
 
-def scan_globs(spark) -> list[str]:
-    types = spark.createDataFrame([("react",), ("unity",)], "project_type string")
-    return projects.collect_globs(types, USER_GLOBS)
+def scan_globs() -> list[str]:
+    """What ``collect_globs`` gives for projects of these types."""
+    return sorted({*rules.IGNORE_GLOBS["react"], *rules.IGNORE_GLOBS["unity"], *USER_GLOBS})
 
 
 def corpus_projects(spark, sf) -> DataFrame:
@@ -418,7 +419,7 @@ def ignore_globs_effective(spark, sf):
 @query
 def ignore_filter(spark, sf):
     files = derived.files(spark, sf).select("project_path", "path")
-    return corpus.ignore_filter(files, scan_globs(spark))
+    return corpus.ignore_filter(files, scan_globs())
 
 
 @query
@@ -437,7 +438,7 @@ def decode_and_newlines(spark, sf):
 
 @query
 def files_scanned(spark, sf):
-    return total_files(derived.files(spark, sf), scan_globs(spark))
+    return total_files(derived.files(spark, sf), scan_globs())
 
 
 # ------------------------------------------------------------------ projects
@@ -538,7 +539,7 @@ def scan_union(spark, sf):
 @query
 def scan_totals(spark, sf):
     files = derived.files(spark, sf)
-    return report.scan_totals(corpus_projects(spark, sf), scanned(spark, sf), total_files(files, scan_globs(spark)))
+    return report.scan_totals(corpus_projects(spark, sf), scanned(spark, sf), total_files(files, scan_globs()))
 
 
 @query
@@ -555,8 +556,8 @@ def json_rows(spark, sf):
 
 @query
 def json_document(spark, sf):
-    found = scanned(spark, sf)
-    files = total_files(derived.files(spark, sf), scan_globs(spark))
+    found = stored(scanned(spark, sf))
+    files = total_files(derived.files(spark, sf), scan_globs())
     return exports.document_lines(corpus_projects(spark, sf), found, files, 0.0)
 
 
@@ -565,10 +566,15 @@ def json_document(spark, sf):
 @query
 def full_scan(spark, sf):
     """Listing, projects, globs, files, findings and links in one go."""
-    files = derived.files(spark, sf).withColumn("root", F.lit("/repos"))
-    listing = files.select("root", "path", F.lit(False).alias("is_dir"))
-    result = scan(listing, files, derived.table(spark, sf, derived.CORPUS_REPOS), base_url=BASE_URL,
-                  user_globs=USER_GLOBS)
+    files = derived.files(spark, sf)
+    meta = derived.table(spark, sf, derived.CORPUS_REPOS)
+    manifests = meta.where("project_path LIKE '/repos/src%'").selectExpr(
+        "project_path", "concat(project_path, '/package.json') AS path", "'{\"dependencies\": {\"react\": \"18\"}}' AS content")
+    files = files.unionByName(manifests).withColumn("root", F.lit("/repos"))
+    folders = meta.where("project_path LIKE '/repos/p%'").selectExpr(
+        "'/repos' AS root", "concat(project_path, '/ProjectSettings') AS path", "true AS is_dir")
+    listing = files.select("root", "path", F.lit(False).alias("is_dir")).unionByName(folders)
+    result = scan(listing, files, meta, base_url=BASE_URL, user_globs=USER_GLOBS)
     return result.findings.groupBy("project_name").agg(
         F.count("*").alias("findings"), F.min("github_url").alias("first_url"), F.max("github_url").alias("last_url"))
 

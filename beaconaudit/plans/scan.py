@@ -68,7 +68,8 @@ def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = Non
         urls.parent(F.col("path")).alias("project_path"), "content")
     projects = project_source.discover(listing, manifests, base_url)
     globs = project_source.collect_globs(projects, user_globs)
-    placed = project_source.assign_projects(corpus.route(files, rulebook).drop("language"), projects)
+    sources = corpus.route(files.select("root", "path", "content"), rulebook).drop("language")
+    placed = project_source.assign_projects(sources, projects)
     findings = scan_files(placed, repo_meta, base_url=base_url, default_branch=default_branch,
                           globs=globs, rulebook=rulebook, context=context)
     return ScanResult(project_source.count_findings(projects, findings), findings,

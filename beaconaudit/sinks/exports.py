@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit.operators import report
+from beaconaudit.operators.store import stored
 
 # The table export's columns, in order.
 TABLE_COLUMNS = ("Project", "File Path", "Line Number", "Operation Type", "Data Category", "Code Snippet",
@@ -84,7 +85,7 @@ def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFr
 def write_document(projects: DataFrame, findings: DataFrame, total_files: DataFrame, seconds: float,
                    path: str) -> None:
     """Text files that, joined in name order, are one JSON document of the scan."""
-    lines = document_lines(projects, findings, total_files, seconds)
+    lines = document_lines(stored(projects), stored(findings), total_files, seconds)
     lines.orderBy("section", "k0", "k1", "number", "line", "copy").select("line").write.mode(
         "errorifexists").text(path)
 
