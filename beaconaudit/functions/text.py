@@ -21,8 +21,9 @@ FOLDED_LETTERS = ("\u017f\u212a\u0130\u0131", "skii")
 _HIDDEN = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\n\r]]"
 _HIDDEN_SHORT = r"[\x00-\x1f\x7f-\xa0\xad&&[^\t\n\r]]"
 _HIDDEN_ASTRAL = r"[\x{10000}-\x{10FFFF}&&[\p{Cf}\p{Co}\p{Cn}]]"
-# Text of nothing but these needs no escape.
-_PLAIN = r"^[ -&(-\[\]-~]*$"
+# Any character that may change the length when quoted. Those below 256 are listed one
+# by one, which makes them a single table lookup per character.
+_SPECIAL = "[" + "".join(f"\\x{c:02x}" for c in (*range(0x20), 0x27, 0x5C, *range(0x7F, 0xA1), 0xAD)) + r"\x{250}-\x{10FFFF}]"
 
 
 def lit(value: str) -> str:
@@ -80,8 +81,7 @@ def quoted_length(text: str) -> str:
 
     hidden = case((matches(text, _HIDDEN),
                    f"{count(_HIDDEN)} * 5 - {count(_HIDDEN_SHORT)} * 2 + {count(_HIDDEN_ASTRAL)} * 4"), otherwise="0")
-    return "(2 + " + case((matches(text, _PLAIN), f"length({text})"),
-                          (f"{text} IS NOT NULL", f"{doubled} + {quotes} + {hidden}")) + ")"
+    return f"(2 + if({matches(text, _SPECIAL)}, {doubled} + {quotes} + {hidden}, length({text})))"
 
 
 def record_length(entries) -> str:

@@ -32,128 +32,112 @@ def _per_language(rulebook: Rulebook, make) -> str:
     return case(*branches) if branches else "NULL"
 
 
-def _follows(rulebook: Rulebook) -> bool:
-    return any(lang.symbols for lang in rulebook.languages)
-
-
-def _styled(rulebook: Rulebook, make) -> str:
-    """Like ``_per_language``, with the way the language's symbols are followed."""
-    return _per_language(rulebook, lambda lang: make(sym.STYLES[lang.symbols]) if lang.symbols else None)
+def _style(language: Language) -> sym.Style | None:
+    return sym.STYLES[language.symbols] if language.symbols else None
 
 
 def with_symbols(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Adds each file's imported symbols."""
-    found = _styled(rulebook, lambda style: style.symbols("content"))
+    found = _per_language(rulebook, lambda lang: _style(lang) and _style(lang).symbols("content"))
     return files.withColumn("symbols", F.expr(f"cast({found} AS {sym.SYMBOLS})"))
 
 
-def _hit(family, line: str, low: str) -> str:
+def prepare(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+    """Routes files and adds what their lines are looked at with."""
+    test = _per_language(rulebook, lambda lang: _style(lang) and sym.line_test(_style(lang), "symbols"))
+    return with_symbols(route(files, rulebook), rulebook).withColumns({
+        "lines": line_array(F.col("content")),
+        "symbol_test": F.expr(f"cast({test} AS string)"),
+        "symbol_hints": F.expr(f"transform(symbols, s -> {folded('s.name')})"),
+    })
+
+
+def _hit(family) -> str:
     """True if the family hits; its patterns are tried only where one of its hints stands."""
-    exact = matches(line, family.regex)
-    return f"({has_any(low, family.hints)} AND {exact})" if family.hints else exact
+    exact = matches("row.line", family.regex)
+    return f"({has_any('row.low', family.hints)} AND {exact})" if family.hints else exact
 
 
-def _rule_line(rulebook: Rulebook, line: str, low: str) -> str:
-    return _per_language(rulebook, lambda lang: "(" + " OR ".join(_hit(f, line, low) for f in lang.families) + ")")
+def _struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
 
 
 class Lines:
-    """The lines of each file as an array of structs that grows by steps.
+    """The lines of one language's files: an expression for an array of structs, built in steps.
 
     ``add`` computes new fields from those there are; in expressions a line is ``row``
     and the file's own columns go by their names. Steps keep a value from being computed
     twice: what one step computes, later ones read.
     """
 
-    def __init__(self, files: DataFrame, array: str, fields: tuple[str, ...], carried: tuple[str, ...]):
-        self.files, self.array, self.fields, self.carried = files, array, fields, carried
-
-    def add(self, **more: str) -> "Lines":
-        kept = [f"'{f}', row.{f}" for f in self.fields if f not in more]
-        made = ", ".join(kept + [f"'{name}', {value}" for name, value in more.items()])
-        fields = tuple(f for f in self.fields if f not in more) + tuple(more)
-        return Lines(self.files, f"transform({self.array}, row -> named_struct({made}))", fields, self.carried)
-
-    def explode(self, fields, array: str | None = None) -> DataFrame:
-        """One row per line, or per element of the line's own ``array``, with the given fields."""
-        if array is None:
-            made = ", ".join(f"'{f}', row.{f}" for f in fields)
-            rows = f"transform({self.array}, row -> named_struct({made}))"
-        else:
-            place = ", ".join(f"'{f}', row.{f}" for f in ("line_number", "line"))
-            made = ", ".join(f"'{f}', item.{f}" for f in fields)
-            rows = f"flatten(transform({self.array}, row -> transform({array}, item -> named_struct({place}, {made}))))"
-        return self.files.selectExpr(*self.carried, f"inline({rows})")
-
-
-def candidates(files: DataFrame, rulebook: Rulebook = LIVE) -> Lines:
-    """Exactly the lines that have a finding. Most text is turned away by substring tests."""
-    carried = tuple(c for c in files.columns if c not in ("content", "language")) + ("language",)
-    found = with_symbols(route(files, rulebook), rulebook).withColumns({
-        "lines": line_array(F.col("content")),
-        "symbol_test": F.expr("cast(%s AS string)" % _styled(rulebook, lambda s: sym.line_test(s, "symbols"))),
-        "symbol_hints": F.expr(f"transform(symbols, s -> {folded('s.name')})"),
-    })
-    numbered = f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))"
-    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(row.low, h)) "
-            "AND regexp_extract(row.line, symbol_test, 0) != ''")
-    kept = _per_language(rulebook, lambda lang: f"filter({numbered}, row -> " + " OR ".join(
-        [_hit(f, "row.line", "row.low") for f in lang.families] + [f"({used})"]) + ")")
-    return Lines(found, kept, ("line_number", "line", "low"), carried)
+    def __init__(self, language: Language, array: str, fields: tuple[str, ...]):
+        self.language, self.array, self.fields = language, array, fields
 
+    def add(self, drop: tuple[str, ...] = (), **more: str) -> "Lines":
+        kept = {f: f"row.{f}" for f in self.fields if f not in more and f not in drop}
+        made = {**kept, **more}
+        return Lines(self.language, f"transform({self.array}, row -> {_struct(made)})", tuple(made))
 
-def with_context(lines: Lines, context: int = CONTEXT) -> Lines:
-    first, last = f"greatest(row.line_number - {context}, 1)", f"least(row.line_number + {context}, size(lines))"
-    return lines.add(context_lines=f"slice(lines, {first}, {last} - {first} + 1)")
+    def where(self, test: str) -> "Lines":
+        return Lines(self.language, f"filter({self.array}, row -> {test})", self.fields)
 
+    def only(self, **values: str) -> str:
+        """The array with just these fields."""
+        return f"transform({self.array}, row -> {_struct(values)})"
 
-# ------------------------------------------------------------------ direct hits
+    def each(self, items: str, **values: str) -> str:
+        """One struct per element of the line's own array ``items``, an element being ``item``."""
+        place = {f: f"row.{f}" for f in ("line_number", "line")}
+        return f"flatten(transform({self.array}, row -> transform({items}, item -> {_struct({**place, **values})})))"
 
-def rule_hits(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
-    """Every (line, pattern) hit, in rule order: the input of the best-per-line choice."""
-    def tests(lang: Language) -> str:
-        hits = [case((f"{has_any('row.low', family.hints) if family.hints else 'true'} AND {matches('row.line', ci(p))}",
-                      f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
-                      f"'family_ord', {i}, 'pattern_ord', {j})"))
-                for i, family in enumerate(lang.families) for j, p in enumerate(family.patterns)]
-        return f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)"
 
-    lines = candidates(files, rulebook)
-    return lines.explode(("family", "operation_type", "family_ord", "pattern_ord"), _per_language(rulebook, tests))
+def _explode(files: DataFrame, rulebook: Rulebook, array_of) -> DataFrame:
+    """One row per element of ``array_of(language)``, next to the file's own columns."""
+    carried = [c for c in files.columns if c not in ("content", "language")] + ["language"]
+    return prepare(files, rulebook).selectExpr(*carried, f"inline({_per_language(rulebook, array_of)})")
 
 
-def _kinds(rulebook: Rulebook):
-    """Families that read a line the same way, by their field builder, per language."""
-    for i, language in enumerate(rulebook.languages):
-        kinds: dict = {}
-        for position, family in enumerate(language.families):
-            kinds.setdefault(family.fields, []).append((position, family))
-        for j, (builder, members) in enumerate(kinds.items()):
-            yield f"{i}_{j}", language, builder, members
+def _kinds(language: Language) -> list:
+    """Families that read a line the same way, by their field builder."""
+    kinds: dict = {}
+    for position, family in enumerate(language.families):
+        kinds.setdefault(family.fields, []).append((position, family))
+    return list(kinds.items())
 
 
-def _read(lines: Lines, rulebook: Rulebook) -> tuple[Lines, list]:
-    """Adds, per way of reading a line, the first family that hits and the values read.
+def candidates(language: Language) -> Lines:
+    """Exactly the lines that have a finding; most text is turned away by substring tests.
 
-    Returns the lines and ``(first field, language, members, entries)`` for each way.
-    Entries are ``(key, value, present)`` over the values read, which are read once.
+    Per way of reading a line, ``first_*`` is the first family that hits: families that
+    read a line alike describe it alike, so no later one can win.
     """
-    first_hits, cells, ways = {}, {}, []
-    for k, language, builder, members in _kinds(rulebook):
-        first, cell = f"first_{k}", f"cells_{k}"
-        position = case(*[(_hit(f, "row.line", "row.low"), str(n)) for n, f in members])
-        first_hits[first] = case((_is(language), position))
-        read, entries = [], []
+    numbered = f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))"
+    firsts = {f"first_{j}": case(*[(_hit(family), str(n)) for n, family in members])
+              for j, (_, members) in enumerate(_kinds(language))}
+    hit = f"coalesce({', '.join(f'row.{f}' for f in firsts)}) IS NOT NULL"
+    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(row.low, h)) "
+            "AND regexp_extract(row.line, symbol_test, 0) != ''")
+    lines = Lines(language, numbered, ("line_number", "line", "low")).add(**firsts)
+    return lines.where(f"{hit} OR ({used})" if language.symbols else hit)
+
+
+def _read(language: Language) -> tuple[Lines, list]:
+    """Candidates with the values read from them, each read once, and the ways of reading:
+    ``(first field, members, entries)`` with entries ``(key, value, present)``."""
+    cells, ways = {}, []
+    for j, (builder, members) in enumerate(_kinds(language)):
+        read, entries = {}, []
         for key, value, present in builder("row.line"):
-            read.append(f"{lit(key)}, {value}")
+            at = f"row.cells_{j}.{key}"
+            read[key] = value
             if present is not None:
-                read.append(f"{lit('has_' + key)}, {present}")
-            at = f"row.{cell}.{key}"
-            entries.append((key, at, f"{at} IS NOT NULL" if present is None else f"row.{cell}.has_{key}"))
+                read["has_" + key] = present
+            entries.append((key, at, f"{at} IS NOT NULL" if present is None else f"row.cells_{j}.has_{key}"))
         if read:
-            cells[cell] = case((f"row.{first} IS NOT NULL", f"named_struct({', '.join(read)})"))
-        ways.append((f"row.{first}", language, members, entries))
-    return lines.add(**first_hits).add(**cells), ways
+            cells[f"cells_{j}"] = case((f"row.first_{j} IS NOT NULL", _struct(read)))
+        ways.append((f"row.first_{j}", members, entries))
+    lines = candidates(language)
+    return (lines.add(**cells) if cells else lines), ways
 
 
 def _record(entries) -> str:
@@ -162,69 +146,85 @@ def _record(entries) -> str:
     return f"map_concat({', '.join(parts)})" if len(parts) > 1 else (parts or [empty])[0]
 
 
-def describe_rules(lines: Lines, rulebook: Rulebook = LIVE) -> Lines:
-    """Adds ``family``, ``record`` and ``repr_length`` of each line's best rule; null where no rule hits.
+def described(language: Language) -> Lines:
+    """Candidates with ``family_ord``, ``record`` and ``repr_length`` of each line's best rule,
+    null where no rule hits, and ``use``, the best use of a symbol on such lines.
 
-    Families that read a line alike describe it alike, so only the first of them that
-    hits can win, and each way of reading is tried once. Longest record wins; of
-    equals, the earliest family. Both are packed into one number and compared by it.
+    Longest record wins; of equals, the earliest family. Both are packed into one
+    number and compared by it.
     """
-    before = lines.fields
-    lines, ways = _read(lines, rulebook)
+    lines, ways = _read(language)
     scores = [case((f"{first} IS NOT NULL",
                     f"cast({record_length(entries)} AS bigint) * {FAMILY_SLOTS} + {FAMILY_SLOTS - 1} - {first}"))
-              for first, _, _, entries in ways]
+              for first, _, entries in ways]
     lines = lines.add(score=f"greatest(cast(NULL AS bigint), {', '.join(scores)})")
-    lines = lines.add(family_ord=f"cast({FAMILY_SLOTS - 1} - pmod(row.score, {FAMILY_SLOTS}) AS int)",
-                      repr_length=f"cast(row.score div {FAMILY_SLOTS} AS int)")
-    record = case(*[(f"row.family_ord = {first}", _record(entries)) for first, _, _, entries in ways])
-    family = _per_language(rulebook, lambda lang: "get(array(%s), row.family_ord)" % ", ".join(
-        lit(f.name) for f in lang.families))
-    lines = lines.add(family=family, record=record)
-    lines.fields = before + ("family_ord", "repr_length", "family", "record")
-    return lines
+    family_ord = f"cast({FAMILY_SLOTS - 1} - pmod(row.score, {FAMILY_SLOTS}) AS int)"
+    record = case(*[(f"{family_ord} = {first}", _record(entries)) for first, _, entries in ways])
+    style = _style(language)
+    use = {"use": case(("row.score IS NULL", sym.best_usage(_uses(style))))} if style else {}
+    spent = tuple(f for f in lines.fields if f not in ("line_number", "line"))
+    return lines.add(drop=spent, family_ord=family_ord, repr_length=f"cast(row.score div {FAMILY_SLOTS} AS int)",
+                     record=record, **use)
 
 
-def _rule_category(rulebook: Rulebook, row: str) -> str:
-    return _per_language(rulebook, lambda lang: labels.rule_category(lang.families, f"{row}.family", f"{row}.record"))
+def _name_of(language: Language, attribute: str, position: str) -> str:
+    return "get(array(%s), %s)" % (", ".join(lit(getattr(f, attribute)) for f in language.families), position)
 
 
-def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
-    """What every family that hits a line makes of it, before the best is chosen."""
-    lines, ways = _read(candidates(files, rulebook), rulebook)
+# ------------------------------------------------------------------ direct hits
 
-    def found(lang: Language) -> str:
-        hits = [case((f"{first} IS NOT NULL AND {_hit(family, 'row.line', 'row.low')}",
-                      f"named_struct('family', {lit(family.name)}, 'operation_type', {lit(family.operation)}, "
-                      f"'family_ord', {position}, 'pattern_ord', 0, 'record', {_record(entries)}, "
-                      f"'repr_length', {record_length(entries)})"))
-                for first, language, members, entries in ways if language is lang
-                for position, family in members]
-        return f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)"
+def rule_hits(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+    """Every (line, pattern) hit, in rule order: the input of the best-per-line choice."""
+    def array_of(language: Language) -> str:
+        hits = [case((f"{has_any('row.low', family.hints) if family.hints else 'true'} AND {matches('row.line', ci(p))}",
+                      _struct({"family_ord": str(i), "pattern_ord": str(j)})))
+                for i, family in enumerate(language.families) for j, p in enumerate(family.patterns)]
+        return candidates(language).each(
+            f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)",
+            family=_name_of(language, "name", "item.family_ord"),
+            operation_type=_name_of(language, "operation", "item.family_ord"),
+            family_ord="item.family_ord", pattern_ord="item.pattern_ord")
 
-    fields = ("family", "operation_type", "family_ord", "pattern_ord", "record", "repr_length")
-    named = ", ".join(f"'{f}', hit.{f}" for f in fields)
-    labelled = (f"transform({_per_language(rulebook, found)}, "
-                f"hit -> named_struct({named}, 'data_category', {_rule_category(rulebook, 'hit')}))")
-    return lines.explode(fields + ("data_category",), labelled)
+    return _explode(files, rulebook, array_of)
+
+
+def rule_findings(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+    """What every family that hits a line makes of it, before the best is chosen."""
+    def array_of(language: Language) -> str:
+        lines, ways = _read(language)
+        # described once per way of reading; the families that hit share it
+        told = {f"told_{j}": case((f"{first} IS NOT NULL", _struct(
+            {"record": _record(entries), "repr_length": record_length(entries)})))
+            for j, (first, _, entries) in enumerate(ways)}
+        hits = [case((f"{first} IS NOT NULL AND {_hit(family)}",
+                      _struct({"family": lit(family.name), "family_ord": str(position), "told": f"row.told_{j}"})))
+                for j, (first, members, _) in enumerate(ways) for position, family in members]
+        return lines.add(**told).each(
+            f"filter(array({', '.join(hits)}), hit -> hit IS NOT NULL)",
+            family="item.family", operation_type=_name_of(language, "operation", "item.family_ord"),
+            family_ord="item.family_ord", pattern_ord="0", record="item.told.record", repr_length="item.told.repr_length",
+            data_category=labels.rule_category(language.families, "item.family", "item.told.record"))
+
+    return _explode(files, rulebook, array_of)
 
 
 # ------------------------------------------------------------------ uses of symbols
 
-def _uses(rulebook: Rulebook) -> str:
-    return _styled(rulebook, lambda style: sym.usages(style, "row.line", "row.low", "symbols"))
+def _uses(style: sym.Style) -> str:
+    return sym.usages(style, "row.line", "row.low", "symbols")
 
 
 def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
     """Every use of an imported symbol, on lines without a direct hit."""
-    lines = candidates(files, rulebook)
-    uses = case((f"NOT {_rule_line(rulebook, 'row.line', 'row.low')}", _uses(rulebook)), otherwise="array()")
-    return lines.explode(sym.USE_FIELDS, uses)
+    def array_of(language: Language) -> str | None:
+        if not language.symbols:
+            return None
+        lines = candidates(language)
+        firsts = ", ".join(f"row.{f}" for f in lines.fields if f.startswith("first_"))
+        return lines.where(f"coalesce({firsts}) IS NULL").each(
+            _uses(_style(language)), **{f: f"item.{f}" for f in sym.USE_FIELDS})
 
-
-def describe_usages(lines: Lines, rulebook: Rulebook = LIVE) -> Lines:
-    """Adds ``use``: the best use of a symbol, only where no rule hits the line."""
-    return lines.add(use=case(("row.family IS NULL", sym.best_usage(_uses(rulebook)))))
+    return _explode(files, rulebook, array_of)
 
 
 # ------------------------------------------------------------------ findings
@@ -234,25 +234,27 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT)
 
     At most one finding per (file, line). Works the same on a stream of files.
     """
-    lines = describe_rules(candidates(files, rulebook), rulebook)
-    operation = _per_language(rulebook, lambda lang: "get(array(%s), row.family_ord)" % ", ".join(
-        lit(f.operation) for f in lang.families))
-    category, record, length = _rule_category(rulebook, "row"), "row.record", "row.repr_length"
-    if _follows(rulebook):
-        lines = describe_usages(lines, rulebook)
+    first, last = f"greatest(row.line_number - {context}, 1)", f"least(row.line_number + {context}, size(lines))"
+    extracted = detailed_parameters("row.line") if rulebook.detailed else "NULL"
 
-        def either(by_rule: str, by_use) -> str:
-            used = _styled(rulebook, lambda style: by_use(style, "row.use"))
-            return case(("row.family IS NOT NULL", by_rule), otherwise=used)
+    def array_of(language: Language) -> str:
+        style = _style(language)
 
-        operation, category = either(operation, sym.usage_operation), either(category, sym.usage_category)
-        record, length = either(record, sym.usage_record), "coalesce(row.repr_length, row.use.repr_length)"
-    extracted = detailed_parameters("row.line") if rulebook.detailed else "NULL"
-    lines = with_context(lines, context).add(
-        code_snippet=strip("row.line"), operation_type=operation, data_being_sent=record, data_category=category,
-        repr_length=length, extracted_parameters=f"cast({extracted} AS {EXTRACTED})")
-    return lines.explode(("line_number", "code_snippet", "operation_type", "data_being_sent", "data_category",
-                          "context_lines", "family", "repr_length", "extracted_parameters"))
+        def either(by_rule: str, by_use) -> str:
+            return case(("row.family_ord IS NOT NULL", by_rule), otherwise=by_use(style, "row.use")) if style else by_rule
+
+        family = _name_of(language, "name", "row.family_ord")
+        category = labels.rule_category(language.families, family, "row.record")
+        return described(language).only(
+            line_number="row.line_number", code_snippet=strip("row.line"),
+            operation_type=either(_name_of(language, "operation", "row.family_ord"), sym.usage_operation),
+            data_being_sent=either("row.record", sym.usage_record),
+            data_category=either(category, sym.usage_category),
+            context_lines=f"slice(lines, {first}, {last} - {first} + 1)", family=family,
+            repr_length="coalesce(row.repr_length, row.use.repr_length)" if style else "row.repr_length",
+            extracted_parameters=f"cast({extracted} AS {EXTRACTED})")
+
+    return _explode(files, rulebook, array_of)
 
 
 def best_per_line(hits: DataFrame, keys, length: str = "repr_length", order=("family_ord", "pattern_ord")) -> DataFrame:
