@@ -510,8 +510,8 @@ linked AS (SELECT regexp_extract(f.project_path, '[^/]*$') AS project_name, '{BA
 SELECT project_name, count(*) AS findings, min(url) AS first_url, max(url) AS last_url FROM linked GROUP BY project_name""",
         "registered_rules": f"""WITH notes AS (SELECT path, CAST(generate_subscripts(p, 1) AS INT) AS line_number, unnest(p) AS line
   FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({derived.DOCUMENT_FILES}) d WHERE path LIKE '%.md') s),
-hit AS (SELECT *, regexp_matches(line, '[0-9]{{3,}}') AS num, regexp_matches(line, '(?i)\\bthe\\b') AS the,
-   regexp_extract(line, '[0-9]{{3,}}') AS digits, regexp_extract(line, '\\b(the \\w+)', 1) AS word FROM notes),
+hit AS (SELECT *, regexp_matches(line, '[0-9]{{3,}}') AS num, regexp_matches(line, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])the(?:[^\\p{{L}}\\p{{N}}_]|$)') AS the,
+   regexp_extract(line, '[0-9]{{3,}}') AS digits, regexp_extract(line, '(?:^|[^\\p{{L}}\\p{{N}}_])(the [\\p{{L}}\\p{{N}}_]+)', 1) AS word FROM notes),
 sized AS (SELECT *, CASE WHEN num THEN 2 + 10 + length(digits) + 2 - 2 END AS a,
                  CASE WHEN the THEN CASE WHEN word = '' THEN 2 ELSE 10 + length(word) + 2 END END AS b FROM hit WHERE num OR the)
 SELECT path, line_number, CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN 'custom_attribute' ELSE 'configuration' END AS operation_type,

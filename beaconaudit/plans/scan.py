@@ -10,6 +10,7 @@ from beaconaudit.functions import urls
 from beaconaudit.operators.findings import detect
 from beaconaudit.operators.joins import attach
 from beaconaudit.operators.lines import CONTEXT
+from beaconaudit.operators.store import stored
 from beaconaudit.rules import LIVE, Rulebook
 from beaconaudit.sources import corpus, projects as project_source
 from beaconaudit.sources.repos import repository_info
@@ -62,11 +63,13 @@ def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = Non
     """Projects, findings and totals of ``listing(root, path, is_dir)`` and
     ``files(root, path, content)``.
 
-    The only thing fetched to the driver is the list of ignore globs.
+    Projects are found first and stored; findings and totals are lazy. The only thing
+    fetched to the driver is the list of ignore globs.
     """
     manifests = files.where(F.col("path").endswith("/" + project_source.MANIFEST)).select(
         urls.parent(F.col("path")).alias("project_path"), "content")
-    projects = project_source.discover(listing, manifests, base_url)
+    # few rows, read for globs, for assigning files and for counts
+    projects = stored(project_source.discover(listing, manifests, base_url))
     globs = project_source.collect_globs(projects, user_globs)
     sources = corpus.route(files.select("root", "path", "content"), rulebook).drop("language")
     placed = project_source.assign_projects(sources, projects)
