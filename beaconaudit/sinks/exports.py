@@ -49,7 +49,7 @@ def write_json(findings: DataFrame, projects: DataFrame, path: str) -> None:
 def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFrame, seconds: float) -> DataFrame:
     """The whole scan as one JSON document in pieces, one line of text per row.
 
-    Rows sort by ``section`` and place; joined in that order they are one document.
+    Rows sort by ``document_order()``; joined in that order they are one document.
     Commas lead, so a row needs to know only whether it is its list's first, which is
     found by a minimum. Equal rows are told apart by a number within their equals.
     """
@@ -82,12 +82,17 @@ def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFr
             .unionByName(fixed(4, tail, total_files)))
 
 
+def document_order() -> list[Column]:
+    """Places of the pieces of a document: by section and place, then by text without its comma."""
+    text = F.regexp_replace("line", "^,", "")
+    return [F.col("section"), F.col("k0"), F.col("k1"), F.col("number"), text, F.col("copy")]
+
+
 def write_document(projects: DataFrame, findings: DataFrame, total_files: DataFrame, seconds: float,
                    path: str) -> None:
     """Text files that, joined in name order, are one JSON document of the scan."""
     lines = document_lines(stored(projects), stored(findings), total_files, seconds)
-    lines.orderBy("section", "k0", "k1", "number", "line", "copy").select("line").write.mode(
-        "errorifexists").text(path)
+    lines.orderBy(*document_order()).select("line").write.mode("errorifexists").text(path)
 
 
 def write_report(findings: DataFrame, projects: DataFrame, total_files: DataFrame, path: str) -> None:

@@ -94,7 +94,7 @@ def test_json_document_is_one_document(findings, projects, spark, tmp_path):
     assert (document["total_files_scanned"], document["scan_duration"]) == (9, 1.5)
     assert set(document["findings"][0]) == set(findings.columns)
     empty = json.loads("\n".join(r["line"] for r in exports.document_lines(
-        projects.limit(0), findings.limit(0), totals, 0.0).orderBy("section", "k0", "k1", "number", "copy").collect()))
+        projects.limit(0), findings.limit(0), totals, 0.0).orderBy(*exports.document_order()).collect()))
     assert empty["findings"] == [] and empty["projects"] == []
 
 
