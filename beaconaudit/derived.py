@@ -16,7 +16,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 EVENT_LINES = """
-SELECT project_path, path, event_id,
+SELECT project_path, path, event_id, chunk,
        CASE WHEN ext = '.cs' THEN
          CASE m
            WHEN 0 THEN 'using Datadog.Unity;'
@@ -106,8 +106,8 @@ FROM documents
 """
 
 EVENT_FILES = f"""
-SELECT project_path, path, $JOINED AS content
-FROM ({EVENT_LINES}) code GROUP BY project_path, path
+SELECT min(project_path) AS project_path, min(path) AS path, $JOINED AS content
+FROM ({EVENT_LINES}) code GROUP BY chunk
 """
 SPARK_JOINED = "listagg(line, chr(10)) WITHIN GROUP (ORDER BY event_id)"
 DUCKDB_JOINED = "string_agg(line, chr(10) ORDER BY event_id)"
@@ -186,8 +186,11 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     lines = table(spark, sf_dir, EVENT_LINES)
     if lines.rdd.getNumPartitions() <= cores:
-        lines = lines.repartition(cores, "project_path", "path")
-    return lines.groupBy("project_path", "path").agg(F.expr(SPARK_JOINED).alias("content"))
+        lines = lines.repartition(cores, "chunk")
+    # paths are aggregates, not keys, so that filters on them see files, not lines
+    return lines.groupBy("chunk").agg(
+        F.min("project_path").alias("project_path"), F.min("path").alias("path"),
+        F.expr(SPARK_JOINED).alias("content")).drop("chunk")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,14 +113,15 @@ def _direct(legacy: bool = False, only=None, keys=()) -> str:
         flags = "".join(f", {p} AS p_{k}" for k, _, p in reading if p)
         seen = {k: (f"p_{k}" if p else f"k_{k} IS NOT NULL") for k, _, p in reading}
         data = ", ".join(f"CASE WHEN {seen[k]} THEN concat('{k}=', coalesce(k_{k}, 'null')) END" for k in sorted(seen))
+        json = ", ".join(f"CASE WHEN {seen[k]} THEN '\"{k}\": ' || coalesce(CAST(to_json(k_{k}) AS VARCHAR), 'null') END" for k in seen)
         size = " + ".join(f"CASE WHEN {seen[k]} THEN {len(k) + 6} + coalesce({quoted('k_' + k)}, 4) ELSE 0 END" for k in seen)
         user = " OR ".join(f"contains(lower(coalesce({where}, '')), '{w}')" for w in words)
         category = f"CASE WHEN {user} THEN 'user_data' ELSE '{cat}' END" if words else f"'{cat}'"
         shown = "".join(f", k_{k} AS {k}" if k in seen else f", CAST(NULL AS VARCHAR) AS {k}" for k in keys)
         parts.append(f"""
-SELECT path, project_path, line_number, line, language, '{name}' AS family, '{op}' AS operation_type, {i} AS ord, data,
+SELECT path, project_path, line_number, line, language, '{name}' AS family, '{op}' AS operation_type, {i} AS ord, data, '{{' || json || '}}' AS json,
        CAST(repr_length AS INT) AS repr_length, {category} AS data_category{shown}
-FROM (SELECT *, {f"concat_ws('|', {data})" if data else "''"} AS data, {f"greatest(2, {size})" if size else "2"} AS repr_length
+FROM (SELECT *, {f"concat_ws('|', {data})" if data else "''"} AS data, {f"concat_ws(', ', {json})" if json else "''"} AS json, {f"greatest(2, {size})" if size else "2"} AS repr_length
       FROM (SELECT *{cells}{flags} FROM lines WHERE language = {q(language)} AND regexp_matches(line, {test})) c) d""")
     return "direct AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -221,7 +222,7 @@ FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS k
     if legacy:
         arguments = f"CASE WHEN kind IN ('function_call', 'method_call') THEN {arguments} END"
     size = " + ".join(f"{len(k) + 6} + {quoted(v)}" for k, v in keys)
-    flat = ", ".join(["concat('%s=', %s)" % kv for kv in sorted(keys + [("parameters", "parameters")]) if kv[0] != "parameters"])
+    json = ", ".join(f"'\"{k}\": ' || CAST(to_json({v}) AS VARCHAR)" for k, v in keys + [("parameters", "parameters")])
     ordered = sorted(keys + [("parameters", "parameters")])
     flat = ", ".join("CASE WHEN parameters IS NOT NULL THEN concat('parameters=', parameters) END" if k == "parameters"
                      else f"concat('{k}=', {v})" for k, v in ordered)
@@ -255,7 +256,7 @@ unhit AS (SELECT l.*, s.name, s.origin, s.ord FROM lines l JOIN symbols s ON l.p
           WHERE d.path IS NULL AND l.language = {q(language)} AND contains(lower(l.line), lower(s.name))),
 matched AS ({' UNION ALL '.join(parts)}),
 usages AS (SELECT *, CAST({size} + CASE WHEN parameters IS NOT NULL THEN 16 + {quoted('parameters')} ELSE 0 END AS INT) AS repr_length,
-                  concat_ws('|', {flat}) AS data, {operation} AS operation_type, {category} AS data_category
+                  concat_ws('|', {flat}) AS data, '{{' || concat_ws(', ', {json}) || '}}' AS json, {operation} AS operation_type, {category} AS data_category
            FROM (SELECT *, {arguments} AS parameters FROM (SELECT *, {context} AS context, {kind} AS kind
                  FROM (SELECT *, substr(line, match_start + 1) AS tail FROM matched) t) c) p),
 best_use AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, line_number
@@ -276,7 +277,7 @@ def _all_found(lines: str = _ROUTE) -> str:
     """All live findings: best direct hits and best uses, both languages."""
     web = _rename(_symbols("web") + "," + _usages("web"), "_w")
     unity = _rename(_symbols("unity") + "," + _usages("unity"), "_u")
-    columns = "path, project_path, language, line_number, line, operation_type, data_category, repr_length, data"
+    columns = "path, project_path, language, line_number, line, operation_type, data_category, repr_length, data, json"
     return f"""WITH {lines}, {_direct()}, {_BEST}, {web}, {unity},
 found_all AS (SELECT {columns}, false AS by_symbol FROM best
   UNION ALL SELECT {columns}, true FROM best_use_w UNION ALL SELECT {columns}, true FROM best_use_u)"""
@@ -297,7 +298,7 @@ def _scan() -> str:
     return _all_found(_SCAN_ROUTE) + f""",
 repos AS (SELECT project_path, {_BRANCH} AS branch FROM ({derived.CORPUS_REPOS}) m),
 scan AS (SELECT regexp_extract(f.project_path, '[^/]*$') AS project_name, f.path AS file_path, line_number, line,
-                operation_type, data_category, data, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
+                operation_type, data_category, data, json, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
                 coalesce(branch, 'main') || '/' || substr(f.path, length(f.project_path) + 2) || '#L' || line_number AS github_url
          FROM found_all f LEFT JOIN repos r ON f.project_path = r.project_path),
 projects AS (SELECT regexp_extract(project_path, '[^/]*$') AS name, project_path AS path, 'unknown' AS project_type,
@@ -503,6 +504,8 @@ FROM found_all GROUP BY path""",
         "scan_totals": f"""{scan} SELECT 'projects' AS metric, count(*) AS value FROM projects
 UNION ALL SELECT 'files_scanned', count(*) FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL
 UNION ALL SELECT 'findings', count(*) FROM scan""",
+        "csv_rows": f"""{scan} SELECT project_name AS project, file_path, line_number, operation_type, data_category,
+  trim(line) AS code_snippet, json AS data_being_sent, github_url FROM scan""",
         "full_scan": f"""{_all_found(_SCAN_ROUTE)}, repos AS (SELECT project_path, {_BRANCH} AS branch FROM ({derived.CORPUS_REPOS}) m),
 linked AS (SELECT regexp_extract(f.project_path, '[^/]*$') AS project_name, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
   coalesce(branch, 'main') || '/' || substr(f.path, length(f.project_path) + 2) || '#L' || line_number AS url
@@ -512,8 +515,8 @@ SELECT project_name, count(*) AS findings, min(url) AS first_url, max(url) AS la
   FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({derived.DOCUMENT_FILES}) d WHERE path LIKE '%.md') s),
 hit AS (SELECT *, regexp_matches(line, '[0-9]{{3,}}') AS num, regexp_matches(line, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])the(?:[^\\p{{L}}\\p{{N}}_]|$)') AS the,
    regexp_extract(line, '[0-9]{{3,}}') AS digits, regexp_extract(line, '(?:^|[^\\p{{L}}\\p{{N}}_])(the [\\p{{L}}\\p{{N}}_]+)', 1) AS word FROM notes),
-sized AS (SELECT *, CASE WHEN num THEN 2 + 10 + length(digits) + 2 - 2 END AS a,
-                 CASE WHEN the THEN CASE WHEN word = '' THEN 2 ELSE 10 + length(word) + 2 END END AS b FROM hit WHERE num OR the)
+sized AS (SELECT *, CASE WHEN num THEN 14 + length(digits) END AS a,
+                 CASE WHEN the THEN CASE WHEN word = '' THEN 2 ELSE 12 + length(word) END END AS b FROM hit WHERE num OR the)
 SELECT path, line_number, CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN 'custom_attribute' ELSE 'configuration' END AS operation_type,
   CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN 'system_data' ELSE 'user_data' END AS data_category,
   CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN 'digits=' || digits WHEN word = '' THEN '' ELSE 'word=' || word END AS data FROM sized""",
