@@ -565,15 +565,14 @@ def json_document(spark, sf):
 @query
 def full_scan(spark, sf):
     """Listing, projects, globs, files, findings and links in one go."""
-    files = derived.files(spark, sf)
+    files = derived.files(spark, sf).withColumn("root", F.lit("/repos"))
     meta = derived.table(spark, sf, derived.CORPUS_REPOS)
-    manifests = meta.where("project_path LIKE '/repos/src%'").selectExpr(
-        "project_path", "concat(project_path, '/package.json') AS path", "'{\"dependencies\": {\"react\": \"18\"}}' AS content")
-    files = files.unionByName(manifests).withColumn("root", F.lit("/repos"))
-    folders = meta.where("project_path LIKE '/repos/p%'").selectExpr(
-        "'/repos' AS root", "concat(project_path, '/ProjectSettings') AS path", "true AS is_dir")
-    listing = files.select("root", "path", F.lit(False).alias("is_dir")).unionByName(folders)
-    result = scan(listing, files, meta, base_url=BASE_URL, user_globs=USER_GLOBS)
+    web, game = F.col("project_path").startswith("/repos/src"), F.col("project_path").startswith("/repos/p")
+    manifests = meta.where(web).select("project_path", F.lit('{"dependencies": {"react": "18"}}').alias("content"))
+    entries = meta.select(F.lit("/repos").alias("root"), F.concat("project_path", F.when(
+        web, "/package.json").otherwise("/ProjectSettings")).alias("path"), game.alias("is_dir"))
+    listing = files.select("root", "path", F.lit(False).alias("is_dir")).unionByName(entries)
+    result = scan(listing, files, meta, base_url=BASE_URL, manifests=manifests, user_globs=USER_GLOBS)
     return result.findings.groupBy("project_name").agg(
         F.count("*").alias("findings"), F.min("github_url").alias("first_url"), F.max("github_url").alias("last_url"))
 

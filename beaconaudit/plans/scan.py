@@ -58,33 +58,48 @@ def total_files(files: DataFrame, globs=(), rulebook: Rulebook = LIVE) -> DataFr
 
 
 def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = None, *, base_url: str,
-         user_globs=(), default_branch: str = urls.DEFAULT_BRANCH, rulebook: Rulebook = LIVE,
-         context: int = CONTEXT) -> ScanResult:
+         manifests: DataFrame | None = None, user_globs=(), default_branch: str = urls.DEFAULT_BRANCH,
+         rulebook: Rulebook = LIVE, context: int = CONTEXT) -> ScanResult:
     """Projects, findings and totals of ``listing(root, path, is_dir)`` and
     ``files(root, path, content)``.
 
+    ``manifests(project_path, content)`` holds the projects' package.json texts; without
+    it they are picked from ``files``, which reads the contents once more.
+
     Projects are found first and stored; findings and totals are lazy. The only thing
     fetched to the driver is the list of ignore globs.
     """
-    manifests = files.where(F.col("path").endswith("/" + project_source.MANIFEST)).select(
-        urls.parent(F.col("path")).alias("project_path"), "content")
+    if manifests is None:
+        manifests = files.where(F.col("path").endswith("/" + project_source.MANIFEST)).select(
+            urls.parent(F.col("path")).alias("project_path"), "content")
     # few rows, read for globs, for assigning files and for counts
     projects = stored(project_source.discover(listing, manifests, base_url))
     globs = project_source.collect_globs(projects, user_globs)
-    sources = corpus.route(files.select("root", "path", "content"), rulebook).drop("language")
-    placed = project_source.assign_projects(sources, projects)
-    findings = scan_files(placed, repo_meta, base_url=base_url, default_branch=default_branch,
-                          globs=globs, rulebook=rulebook, context=context)
+
+    def placed(paths: DataFrame) -> DataFrame:
+        return project_source.assign_projects(corpus.route(paths, rulebook).drop("language"), projects)
+
+    findings = scan_files(placed(files.select("root", "path", "content")), repo_meta, base_url=base_url,
+                          default_branch=default_branch, globs=globs, rulebook=rulebook, context=context)
+    listed = placed(listing.where(~F.col("is_dir")).select("root", "path"))
     return ScanResult(project_source.count_findings(projects, findings), findings,
-                      total_files(placed, globs, rulebook))
+                      total_files(listed, globs, rulebook))
 
 
 def scan_directories(spark: SparkSession, roots, repo_meta: DataFrame | None = None, **options) -> ScanResult:
-    """Scans mounted directories, names starting with ``_`` or ``.`` included."""
+    """Scans mounted directories, names starting with ``_`` or ``.`` included.
+
+    The tree is walked once and its listing stored; only manifests of possible projects
+    and files of a scanned language are opened.
+    """
     rulebook = options.get("rulebook", LIVE)
-    listing = corpus.list_tree(spark, roots)
-    wanted = corpus.language_of(F.col("path"), rulebook).isNotNull() | F.col("path").endswith(
-        "/" + project_source.MANIFEST)
-    listed = listing.where(~F.col("is_dir") & wanted)
-    files = corpus.read_listed(listed).withColumn("content", corpus.decode(F.col("content")))
-    return scan(listing, files, repo_meta, **options)
+    listing = stored(corpus.list_tree(spark, roots))
+    sources = listing.where(~F.col("is_dir") & corpus.language_of(F.col("path"), rulebook).isNotNull())
+    depth = F.size(F.split(corpus.relative_path(F.col("path"), F.col("root")), "/"))
+    near = listing.where(F.col("path").endswith("/" + project_source.MANIFEST) & (depth <= 2))
+
+    def read(listed: DataFrame) -> DataFrame:
+        return corpus.read_listed(listed).withColumn("content", corpus.decode(F.col("content")))
+
+    manifests = read(near).select(urls.parent(F.col("path")).alias("project_path"), "content")
+    return scan(listing, read(sources), repo_meta, manifests=manifests, **options)
