@@ -19,18 +19,19 @@ def fits_broadcast(side: DataFrame) -> bool:
     return seen["n"] <= BROADCAST_ROWS and (seen["size"] or 0) <= BROADCAST_BYTES
 
 
-def attach(rows: DataFrame, facts: DataFrame, on: str, spread_by: str, how: str = "left",
+def attach(rows: DataFrame, facts: DataFrame, on: str, spread_by: tuple[str, ...], how: str = "left",
            small: bool | None = None) -> DataFrame:
     """Joins ``facts`` to ``rows``: broadcast if measured small, else salted.
 
     Salting copies each fact ``SALTS`` times and spreads the rows of a key over the
-    copies by ``spread_by``, so no task receives all rows of a hot key. ``small`` skips
-    the measurement where the caller has a bound.
+    copies by the columns ``spread_by``, so no task receives all rows of a hot key.
+    They should tell rows apart: a file's path alone would keep a hot file together.
+    ``small`` skips the measurement where the caller has a bound.
     """
     if small is None:
         small = fits_broadcast(facts)
     if small:
         return rows.join(F.broadcast(facts), on, how)
-    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     salted_facts = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_rows.join(salted_facts, [on, "__salt"], how).drop("__salt")

@@ -98,7 +98,7 @@ def grouped_rows(findings: DataFrame, by: str) -> DataFrame:
     sizes = findings.groupBy(key).agg(F.count("*").alias("group_size"))
     # categories and operations are closed lists; projects are measured
     small = None if by == "project" else True
-    return attach(findings, sizes, key, spread_by="file_path", how="inner", small=small).orderBy(
+    return attach(findings, sizes, key, spread_by=("file_path", "line_number"), how="inner", small=small).orderBy(
         key, "file_path", "line_number")
 
 
@@ -127,7 +127,7 @@ def report_order(findings: DataFrame, projects: DataFrame) -> DataFrame:
     """
     heads = projects.select(F.col("name").alias("project_name"), "project_type", F.col("path").alias("project_path"))
     rest = [c for c in findings.columns if c not in ("project_type", "project_path")]
-    return attach(stored(findings.select(*rest)), heads, "project_name", spread_by="file_path", how="inner").orderBy(
+    return attach(stored(findings.select(*rest)), heads, "project_name", spread_by=("file_path", "line_number"), how="inner").orderBy(
         "project_name", "project_path", "file_path", "line_number")
 
 

@@ -42,7 +42,7 @@ def scan_files(files: DataFrame, repo_meta: DataFrame | None = None, *, base_url
     found = found.withColumnRenamed("path", "file_path")
     if repo_meta is not None:
         branches = repository_info(repo_meta, default_branch).select("project_path", "branch")
-        found = attach(found, branches, "project_path", spread_by="file_path")
+        found = attach(found, branches, "project_path", spread_by=("file_path", "line_number"))
         branch = F.coalesce("branch", F.lit(default_branch))
     else:
         branch = F.lit(default_branch)

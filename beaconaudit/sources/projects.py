@@ -116,10 +116,10 @@ def assign_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
     child = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), first)
     paths = projects.select(F.col("path").alias("project_path"), F.col("root").alias("project_root")).distinct()
     selves = paths.where("project_path = project_root").select(F.col("project_root").alias("root"), "project_path")
-    placed = attach(files, selves, "root", spread_by="path")
+    placed = attach(files, selves, "root", spread_by=("path",))
     placed = placed.withColumn("project_path", F.coalesce("project_path", child))
     known = paths.select("project_path", F.lit(True).alias("is_project"))
-    placed = attach(placed, known, "project_path", spread_by="path").where("is_project").drop("is_project")
+    placed = attach(placed, known, "project_path", spread_by=("path",)).where("is_project").drop("is_project")
     return placed.withColumn("project_name", base_name(F.col("project_path")))
 
 

@@ -110,8 +110,8 @@ def test_salted_join_equals_broadcast_join(spark):
     rows = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) AS k", "cast(id AS string) AS v")
     facts = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3)], "k string, f int")
     for how in ("left", "inner"):
-        small = joins.attach(rows, facts, "k", spread_by="v", how=how, small=True)
-        salted = joins.attach(rows, facts, "k", spread_by="v", how=how, small=False)
+        small = joins.attach(rows, facts, "k", spread_by=("v",), how=how, small=True)
+        salted = joins.attach(rows, facts, "k", spread_by=("v",), how=how, small=False)
         assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     assert joins.fits_broadcast(facts)
 
