@@ -107,7 +107,7 @@ def write_report(findings: DataFrame, projects: DataFrame, total_files: DataFram
     report.statistics(stored).write.mode("errorifexists").parquet(f"{path}/statistics")
     for name, column in report.GROUPINGS.items():
         keyed = stored.withColumn("group", F.col(column))
-        (keyed.repartitionByRange("group", "file_path").sortWithinPartitions("group", "file_path", "line_number")
+        (keyed.repartitionByRange("group", "file_path", "line_number").sortWithinPartitions("group", "file_path", "line_number")
          .write.mode("errorifexists").partitionBy("group").parquet(f"{path}/by_{name}"))
     projects.write.mode("errorifexists").parquet(f"{path}/projects")
     report.scan_totals(projects, stored, total_files).write.mode("errorifexists").parquet(f"{path}/totals")
