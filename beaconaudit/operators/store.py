@@ -7,25 +7,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where nothing is named, local mode gets a temporary folder (driver and executor are one
+    process there); a cluster is refused, as no other folder is known to be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    return tempfile.mkdtemp(prefix="beaconaudit-") if spark.sparkContext.master.startswith("local") else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="beaconaudit-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses; ``forget`` removes what is put there."""
+    path = f"{shared_folder(spark)}/beaconaudit-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stored(frame: DataFrame) -> DataFrame:
     """``frame`` as a table written once and read back: its lineage ends there.
 
     Sorting samples its input and a joined count reads it again; from a table both are
-    cheap, from a scan they would be the scan once more. Without a shared folder, or
-    for a stream, the frame is returned as it is.
+    cheap, from a scan they would be the scan once more. A stream is returned as it is.
     """
-    folder = None if frame.isStreaming else shared_folder(frame.sparkSession)
-    if folder is None:
+    if frame.isStreaming:
         return frame
-    path = f"{folder}/beaconaudit-{uuid.uuid4().hex}"
+    path = new_folder(frame.sparkSession)
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Removes every table this process stored; call it when their results are no longer read."""
+    jvm, removed = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
