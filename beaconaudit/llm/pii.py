@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- windows and their spans -------------------------------------------------------------------
 
-_ANCHOR = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[ ().\[\]/-]{0,3}[0-9]){6,24}|@|[\[({<] ?(?:at|AT) ?[\])}>]|[\[({<]\.[\])}>]")
+_ANCHOR = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[ ().\[\]/_-]{0,3}[0-9]){6,24}|@|[\[({<] ?(?:at|AT) ?[\])}>]|[\[({<]\.[\])}>]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _CUES = {
     "email": re.compile(r"(?:mail|contact|write|reach)\W*(?:\w+\W+)?$", re.I),
@@ -98,7 +98,7 @@ _SHAPES = {
                         rf"[A-Za-z0-9-]+(?:{_DOTTED}[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?: ?[\[({<]\.[\])}>] ?[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}"),
-    "phone": re.compile(r"(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.-])[0-9]{3,4}[ .-][0-9]{3,4}"),
+    "phone": re.compile(r"(?:(?:\+|00)[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.-])[0-9]{3,4}[ .-][0-9]{3,4}"),
 }
 
 

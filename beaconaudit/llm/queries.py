@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconaudit.llm import pii, quality
+from beaconaudit.llm import pii, quality, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -15,12 +15,17 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
+def op5_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, read back from the wavelet matrix files."""
+    return wavelet.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base patterns and the spans the model adds."""
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op10_semi_markov_pii)
+    f.__name__: f for f in (op3_host_rules, op5_wavelet_ids, op10_semi_markov_pii)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE}
