@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconaudit.llm import pii, quality, wavelet
+from beaconaudit.llm import pii, quality, simhash, warc, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -20,12 +20,23 @@ def op5_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from archives with a dictionary of their own."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component it is in."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base patterns and the spans the model adds."""
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op5_wavelet_ids, op10_semi_markov_pii)
+    f.__name__: f for f in (op3_host_rules, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op10_semi_markov_pii)
 }
-ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op6_warc_dictionary": warc.ORACLE}
