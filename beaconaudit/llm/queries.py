@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconaudit.llm import pii, quality, simhash, warc, wavelet
+from beaconaudit.llm import embeddings, pii, quality, simhash, warc, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
+def op4_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and ids, read back from the wavelet matrix files."""
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
@@ -37,6 +42,6 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op10_semi_markov_pii)
+    f.__name__: f for f in (op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op10_semi_markov_pii)
 }
-ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op6_warc_dictionary": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE}
