@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconaudit.llm import embeddings, mixing, pii, quality, simhash, warc, wavelet
+from beaconaudit.llm import embeddings, mixing, packing, pii, quality, simhash, warc, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op8_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of the sources."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op9_pfair_mixing, op10_semi_markov_pii)
+    f.__name__: f for f in (op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE,
                            "op9_pfair_mixing": mixing.ORACLE}
