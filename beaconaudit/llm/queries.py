@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconaudit.llm import embeddings, mixing, packing, pii, quality, simhash, warc, wavelet
+from beaconaudit.llm import embeddings, mixing, packing, pii, quality, simhash, substrings, warc, wavelet
 from beaconaudit.llm.common import table
 
 
+def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that start earlier in the corpus."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of every document and the verdict on its host."""
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept")
@@ -52,7 +57,7 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii)
+    f.__name__: f for f in (op2_bwt_dedup, op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE,
                            "op9_pfair_mixing": mixing.ORACLE}
