@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: 64 MB, whatever the number of hashes.
 MOST_BITS = 1 << 29
@@ -30,6 +31,14 @@ class HashSet:
         words = self.shared.value
         return (words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
+    def column(self, hashes: Column) -> Column:
+        """The same for a column (long, not null)."""
+        @F.pandas_udf(T.BooleanType())
+        def held(values: pd.Series) -> pd.Series:
+            return pd.Series(self.holds(values.to_numpy().view(np.uint64)))
+
+        return held(hashes)
+
 
 def hash_set(hashes: DataFrame) -> HashSet:
     """The set of a table's only column (long, well mixed in its low bits)."""

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from beaconaudit.llm import embeddings, mixing, packing, pii, quality, simhash, substrings, warc, wavelet
+from beaconaudit.llm import embeddings, fuzzy_lines, mixing, packing, pii, quality, simhash, substrings, warc, wavelet
 from beaconaudit.llm.common import table
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those that go as similar to an earlier one, and the digest of the text that is left."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fuzzy_lines.dedup_lines(documents)
+    return found.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
+                        F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"),
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the byte strings that start earlier in the corpus."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
@@ -57,7 +66,7 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bwt_dedup, op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii)
+    f.__name__: f for f in (op1_fuzzy_lines, op2_bwt_dedup, op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE,
                            "op9_pfair_mixing": mixing.ORACLE}
