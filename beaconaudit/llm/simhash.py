@@ -53,14 +53,15 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, tie, fp) of every row; tie is a hash that tells texts under one id apart."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t) if t else 0 for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compute, f"doc_id {kind}, fp long")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(compute, f"doc_id {kind}, tie long, fp long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -82,26 +83,26 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per row: doc_id, fp and component_id, the smallest id among all documents it is linked to."""
+    """Per row: doc_id, tie, fp and component_id, the smallest id among all documents it is linked to."""
     rows = stored(fingerprints(documents))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp", "root": "top"})
     top = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("top", "fp").alias("top"))
     names = top.groupBy("top").agg(F.min("first").alias("component_id"))
     named = top.join(names, "top").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "tie", "fp", "component_id")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The documents whose id names their component, as they are; documents without an id stay.
+    """The documents whose id names their component, as they are, and those without an id.
 
-    Where rows repeat an id, the rows of a component's first id all stay if their text is that of
-    the component: the id says which documents go, one row per id and text.
+    Of rows that repeat an id and its text one stays; other texts under one id are other documents.
     """
-    found = near_duplicates(documents).where("doc_id != component_id").select("doc_id").distinct()
-    name, = fresh(documents, "gone")
-    gone = found.withColumnRenamed("doc_id", name)
-    return documents.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*documents.columns)
+    tie, gone_id, gone_tie = fresh(documents, "tie", "gone_id", "gone_tie")
+    gone = near_duplicates(documents).where("doc_id != component_id").select(F.col("doc_id").alias(gone_id), F.col("tie").alias(gone_tie)).distinct()
+    rows = documents.withColumn(tie, F.xxhash64("text"))
+    left = rows.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(tie) == F.col(gone_tie)), "left_anti")
+    return left.dropDuplicates(["doc_id", tie]).select(*documents.columns)
 
 
 def hex16(fp: str) -> Column:
