@@ -43,8 +43,10 @@ from beaconaudit.operators.store import stored
 WIDTH = 100
 _GRAM = 48
 _SPAN = WIDTH - _GRAM  # largest distance from a window's start to its anchor
-#: Bytes of text that are one shard, and rows that are merged at once (whole blocks).
+#: Bytes of text that are one shard, bytes whose anchors are looked for at once, and rows that are
+#: merged at once (whole blocks).
 SHARD_BYTES = 16 << 20
+SLICE = 1 << 20
 MERGE_ROWS = 200_000
 _ROW = "hash long, doc_id long, tie long, pos long, lo long, data binary"
 _SCHEMA = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())])
@@ -111,6 +113,31 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         place, text = place[real], text[real]
 
 
+def _all_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of texts, in bounded memory: hash, text, and place, first and last window start within the text.
+
+    Long texts are cut into slices by where windows start. An anchor of windows on both sides comes
+    once with each slice; slices are those of the text, so they are the same wherever it is met.
+    """
+    parts, size = [], 0
+
+    def found() -> tuple[np.ndarray, ...]:
+        value, part, place, first, last = anchors(np.frombuffer(b"".join(p for _, _, p in parts), np.uint8), np.cumsum([len(p) for _, _, p in parts]))
+        lengths = np.array([len(p) for _, _, p in parts])
+        shift = np.array([a for _, a, _ in parts], np.int64) - (np.cumsum(lengths) - lengths)
+        return value, np.array([t for t, _, _ in parts], np.int64)[part], place + shift[part], first + shift[part], last + shift[part]
+
+    for number, text in enumerate(texts):
+        for at in range(0, len(text) - WIDTH + 1, SLICE):
+            parts.append((number, at, text[at:at + SLICE + WIDTH - 1]))
+            size += len(parts[-1][2])
+            if size >= SLICE:
+                yield found()
+                parts, size = [], 0
+    if parts:
+        yield found()
+
+
 def _refine(table: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows by block and bytes, and the common prefix of each row with the one before (-1: another block)."""
     n, width = table.shape
@@ -196,21 +223,20 @@ def _resolved(columns: dict[str, np.ndarray], data: list[bytes]) -> tuple[list,
 _NULL_ID = np.iinfo(np.int64).min
 
 
-def _shard(repeated: HashSet, texts: list[bytes | None], doc_ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _shard(repeated: HashSet, texts: list[bytes], doc_ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of a shard: ranges that it settles (no data), and anchors for the merge."""
-    data = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8)
-    ends = np.cumsum([len(t or b"") for t in texts])
-    value, text, place, first, last = anchors(data, ends)
-    keep = np.flatnonzero(repeated.holds(value))
-    if not len(keep):
+    some: list[tuple[np.ndarray, ...]] = []
+    pieces: list[bytes] = []
+    for value, text, place, first, last in _all_anchors(texts):
+        keep = np.flatnonzero(repeated.holds(value))
+        some.append(tuple(x[keep] for x in (value.view(np.int64), text, place, first)))
+        pieces += [texts[t][s:e] for t, s, e in zip(text[keep].tolist(), first[keep].tolist(), (last[keep] + WIDTH).tolist())]
+    if not pieces:
         return
-    start = (ends - np.fromiter((len(t or b"") for t in texts), np.int64, len(texts)))[text[keep]]
-    keep_order = np.lexsort((place[keep] - start, ties[text[keep]], doc_ids[text[keep]], value[keep].view(np.int64)))
-    keep, start = keep[keep_order], start[keep_order]
-    columns = {"hash": value[keep].view(np.int64), "doc_id": doc_ids[text[keep]], "tie": ties[text[keep]],
-               "pos": place[keep] - start, "lo": first[keep] - start}
-    raw = data.tobytes()
-    pieces = [raw[s:e] for s, e in zip(first[keep].tolist(), (last[keep] + WIDTH).tolist())]
+    value, text, place, first = (np.concatenate(x) for x in zip(*some))
+    order = np.lexsort((first, place, ties[text], doc_ids[text], value))
+    columns = {"hash": value[order], "doc_id": doc_ids[text[order]], "tie": ties[text[order]], "pos": place[order], "lo": first[order]}
+    pieces = [pieces[i] for i in order.tolist()]
     columns, pieces = _once(columns, pieces)
     for begin, end in _blocks(columns["hash"]):
         part = {k: v[begin:end] for k, v in columns.items()}
@@ -228,9 +254,14 @@ def _shard(repeated: HashSet, texts: list[bytes | None], doc_ids: np.ndarray, ti
 
 
 def _once(columns: dict[str, np.ndarray], pieces: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
-    """Sorted rows without those of a repeated document."""
+    """Sorted rows without those of a repeated document.
+
+    Of two that differ in what their shards have settled, either is enough: the other's shard, or
+    its own, has settled the rest.
+    """
     new = np.ones(len(pieces), bool)
-    new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in ("hash", "doc_id", "tie", "pos")], axis=0)
+    keys = [*(columns[c] for c in ("hash", "doc_id", "tie", "pos")), columns["lo"] // SLICE]
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     return (columns, pieces) if new.all() else ({k: v[new] for k, v in columns.items()}, [p for p, k in zip(pieces, new.tolist()) if k])
 
 
@@ -263,8 +294,8 @@ def ranges(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, _, _ in _texts(batch, shard_bytes):
-                ends = np.cumsum([len(t) for t in texts])
-                value, times = np.unique(anchors(np.frombuffer(b"".join(texts), np.uint8), ends)[0], return_counts=True)
+                found = [np.zeros(0, np.uint64), *(a[0] for a in _all_anchors(texts))]
+                value, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times > 1)], names=["hash", "again"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +341,7 @@ def ranges(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
              .agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("hash"))
     repeated = hash_set(stored(twice))
     sent = rows.mapInArrow(shards, _ROW).repartition(partitions(documents.sparkSession), "hash")
-    order = sent.sortWithinPartitions("hash", "doc_id", "tie", "pos")
+    order = sent.sortWithinPartitions("hash", "doc_id", "tie", "pos", "lo")
     return order.mapInArrow(merged, "doc_id long, tie long, start long, end long")
 
 

@@ -51,6 +51,18 @@ def test_against_all_windows(spark, shard_bytes):
     compare(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shard_bytes)
 
 
+def test_long_texts_in_slices(spark, monkeypatch):
+    """Slices of a few hundred bytes instead of a megabyte: the same result."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, passage[rng.randint(0, 300):] + "".join(rng.choice("ab") for _ in range(400)) + passage) for i in range(8)]
+    texts = [t.encode() for _, t in rows] + [b"", b"x" * 99, b"y" * 100, b"z" * 101]
+    whole = sorted((int(v), int(t), int(p), s) for v, t, p, f, e in zip(*(np.concatenate(x) for x in zip(*substrings._all_anchors(texts)))) for s in range(f, e + 1))
+    monkeypatch.setattr(substrings, "SLICE", 250)
+    sliced = sorted((int(v), int(t), int(p), s) for v, t, p, f, e in zip(*(np.concatenate(x) for x in zip(*substrings._all_anchors(texts)))) for s in range(f, e + 1))
+    assert whole == sliced and len(set(whole)) == len(whole) == sum(max(0, len(t) - 99) for t in texts)
+
+
 def test_small_merges(spark, monkeypatch):
     rng = random.Random(2)
     monkeypatch.setattr(substrings, "MERGE_ROWS", 3)
