@@ -33,6 +33,29 @@ SELECT project_path, path, event_id, chunk,
            WHEN 11 THEN 'logger.Error("failed"); logger.Info("x");'
            WHEN 12 THEN concat('DatadogSdk.Instance.SetUserInfo("', CAST(user_id AS STRING), '", name);')
            WHEN 13 THEN concat('sdk.AddLogsAttributes(attrs', CAST(user_id AS STRING), ');')
+           WHEN 16 THEN 'DatadogSdk.InitWithPlatform(platform, config);'
+           WHEN 17 THEN 'DatadogSdk.Instance.SetTrackingConsent(TrackingConsent.Granted);'
+           WHEN 18 THEN 'DatadogSdk.Instance.SetSdkVerbosity(CoreLoggerLevel.Debug);'
+           WHEN 19 THEN concat('DatadogSdk.Instance.Rum.StopAction(RumUserActionType.Scroll, "', event_type, '");')
+           WHEN 20 THEN concat('view.Rum.StopAction("', event_type, '");')
+           WHEN 21 THEN concat('DatadogSdk.Instance.Rum.AddTiming("', event_type, '");')
+           WHEN 22 THEN 'DatadogSdk.Instance.Rum.StopView("v");'
+           WHEN 23 THEN 'DatadogSdk.Instance.Rum.RemoveAttribute("k");'
+           WHEN 24 THEN concat('logger.Log(DdLogLevel.Info, "', event_type, '");')
+           WHEN 25 THEN 'logger.Log( DdLogLevel.Error, "bad");'
+           WHEN 26 THEN 'logger.Warn("w"); logger.Debug("d");'
+           WHEN 27 THEN concat('DatadogSdk.Instance.AddUserExtraInfo(extra', CAST(user_id AS STRING), ');')
+           WHEN 28 THEN 'sdk.AddUserExtraInfo(more);'
+           WHEN 29 THEN concat('DatadogSdk.Instance.AddLogsAttribute("a", ', CAST(user_id AS STRING), ');')
+           WHEN 30 THEN CASE user_id % 3
+             WHEN 0 THEN 'DatadogSdk.Instance.AddLogsAttributes(all);'
+             WHEN 1 THEN 'DatadogSdk.Instance.RemoveLogsAttribute("a");'
+             ELSE 'sdk.RemoveLogsAttribute("x");' END
+           WHEN 31 THEN CASE user_id % 4
+             WHEN 0 THEN 'using Datadog.Unity.Core;'
+             WHEN 1 THEN 'public DdLogger log;'
+             WHEN 2 THEN 'level = DdLogLevel other;'
+             ELSE 'DdLogger log;' END
            WHEN 14 THEN CASE user_id % 3
              WHEN 0 THEN 'var t = RumUserActionType.Swipe;'
              WHEN 1 THEN concat('private DdLogger log', CAST(user_id AS STRING), ' = make(Rum.Of(1));')
@@ -52,6 +75,26 @@ SELECT project_path, path, event_id, chunk,
            WHEN 9 THEN concat('Logger.Debug("', event_type, '")')
            WHEN 10 THEN concat('datadogRum.init({ applicationId: "a', CAST(event_id AS STRING), '", clientToken: "tok', CAST(event_id AS STRING), 'abcdef", site: "eu" });')
            WHEN 11 THEN concat('x = datadogRum.setUser(f(', CAST(user_id AS STRING), '));')
+           WHEN 16 THEN 'const r = require("@datadog/browser-rum");'
+           WHEN 17 THEN concat('const l = require(', chr(39), '@datadog/browser-logs', chr(39), ');')
+           WHEN 18 THEN 'import { reactPlugin } from "@datadog/browser-rum-react";'
+           WHEN 19 THEN 'DD_RUM.init({ site: "us" });'
+           WHEN 20 THEN concat('const log = datadogLogs.createLogger("', event_type, '");')
+           WHEN 21 THEN concat('DD_RUM.addAction("', event_type, ' click");')
+           WHEN 22 THEN concat('DD_RUM.addTiming("', event_type, '");')
+           WHEN 23 THEN concat('datadogLogs.logger.info("', event_type, '", { n: ', CAST(event_id AS STRING), ' });')
+           WHEN 24 THEN 'datadogLogs.logger.warn("w");'
+           WHEN 25 THEN 'datadogLogs.logger.debug("d");'
+           WHEN 26 THEN concat('logger.info("it', chr(39), 's', chr(9), event_type, '");')
+           WHEN 27 THEN 'import trackError from "@datadog/error-kit";'
+           WHEN 28 THEN concat('trackError(', CAST(user_id AS STRING), ');')
+           WHEN 29 THEN CASE user_id % 2
+             WHEN 0 THEN 'import clickAction from "@datadog/browser-rum-x";'
+             ELSE 'import pageTiming from "@datadog/perf";' END
+           WHEN 30 THEN CASE user_id % 2
+             WHEN 0 THEN 'clickAction("a");'
+             ELSE 'pageTiming.now(clickAction(1));' END
+           WHEN 31 THEN 'const a = 1;'
            WHEN 12 THEN CASE user_id % 3
              WHEN 0 THEN 'plugins = [reactPlugin({ router: true })];'
              WHEN 1 THEN concat('a.b', CAST(user_id AS STRING), '.reactPlugin (new DatadogRum(), datadogRum)')
@@ -68,7 +111,7 @@ FROM (
                 CASE WHEN ext = '.min.js' THEN '/dist/f' WHEN ext = '.cs' THEN '/Assets/F' ELSE '/src/f' END,
                 CAST(chunk AS STRING), CASE WHEN chunk % 11 = 5 THEN upper(ext) ELSE ext END) AS path
   FROM (
-    SELECT event_id, user_id, event_type, props, (event_id + user_id) % 16 AS m,
+    SELECT event_id, user_id, event_type, props, (event_id + user_id) % 32 AS m,
            CAST(floor(event_id / 64) AS BIGINT) AS chunk,
            CASE CAST(floor(event_id / 64) AS BIGINT) % 6 WHEN 0 THEN '.cs' WHEN 3 THEN '.cs' WHEN 1 THEN '.ts'
              WHEN 2 THEN '.tsx' WHEN 4 THEN '.js' ELSE '.min.js' END AS ext
@@ -140,7 +183,8 @@ SELECT dir AS project_path,
        CASE k % 10 WHEN 0 THEN '{{"dependencies": {{"react": "^18.0.0", "next": "^13"}}}}'
          WHEN 1 THEN '{{"dependencies": {{"express": "4"}}, "devDependencies": {{"react": "18"}}}}'
          WHEN 2 THEN '{{"name": "plain", "dependencies": {{"reactive": "1"}}}}'
-         ELSE 'not json' END AS content
+         ELSE CASE k % 3 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{{', chr(39), 'dependencies', chr(39), ': {{', chr(39), 'react', chr(39), ': 1}}}}')
+           ELSE '{{"dependencies": {{"react": "1"}}}} trailing' END END AS content
 FROM ({LISTING_ENTRIES}) a WHERE k % 10 < 4
 """
 REPO_META = """
@@ -164,16 +208,11 @@ FROM (SELECT concat('/repos/', source) AS project_path, count(*) AS n FROM docum
 """
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """Splits a small table that has fewer partitions than there are cores; large ones stay as read."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, table.columns[0]) if table.rdd.getNumPartitions() < cores else table
-
-
 def views(spark: SparkSession, sf_dir: str, names) -> None:
     for name in names:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        (_spread(table) if name in ("documents", "events") else table).createOrReplaceTempView(name)
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # files are made of these: a hint, dealt by rows, so that one file of the table is no single task
+        (rows.hint("rebalance") if name in ("documents", "events") else rows).createOrReplaceTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -183,10 +222,7 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = spark.sparkContext.defaultParallelism
     lines = table(spark, sf_dir, EVENT_LINES)
-    if lines.rdd.getNumPartitions() <= cores:
-        lines = lines.repartition(cores, "chunk")
     # paths are aggregates, not keys, so that filters on them see files, not lines
     return lines.groupBy("chunk").agg(
         F.min("project_path").alias("project_path"), F.min("path").alias("path"),

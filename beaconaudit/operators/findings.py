@@ -17,8 +17,7 @@ from beaconaudit.operators.lines import CONTEXT, line_array
 from beaconaudit.rules import LIVE, Language, Rulebook, ci
 from beaconaudit.sources.corpus import route
 
-# More families than any language has; a score is length * FAMILY_SLOTS + earliness.
-FAMILY_SLOTS = 1024
+SCORE = "struct<length:int,early:int>"
 EXTRACTED = "struct<kv:map<string,string>,string_literals:array<string>>"
 
 
@@ -112,12 +111,16 @@ def candidates(language: Language) -> Lines:
     read a line alike describe it alike, so no later one can win.
     """
     numbered = f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))"
+    hints = dict.fromkeys(h for family in language.families for h in family.hints)
+    hinted = has_any("row.low", hints) if all(family.hints for family in language.families) else "true"
+    named = "exists(symbol_hints, h -> contains(row.low, h))"
     firsts = {f"first_{j}": case(*[(_hit(family), str(n)) for n, family in members])
               for j, (_, members) in enumerate(_kinds(language))}
     hit = f"coalesce({', '.join(f'row.{f}' for f in firsts)}) IS NOT NULL"
-    used = ("symbol_test IS NOT NULL AND exists(symbol_hints, h -> contains(row.low, h)) "
-            "AND regexp_extract(row.line, symbol_test, 0) != ''")
-    lines = Lines(language, numbered, ("line_number", "line", "low")).add(**firsts)
+    used = f"symbol_test IS NOT NULL AND {named} AND regexp_extract(row.line, symbol_test, 0) != ''"
+    # most lines hold no hint at all: they go before any family is tried
+    lines = Lines(language, numbered, ("line_number", "line", "low")).where(
+        f"{hinted} OR {named}" if language.symbols else hinted).add(**firsts)
     return lines.where(f"{hit} OR ({used})" if language.symbols else hit)
 
 
@@ -150,20 +153,19 @@ def described(language: Language) -> Lines:
     """Candidates with ``family_ord``, ``record`` and ``repr_length`` of each line's best rule,
     null where no rule hits, and ``use``, the best use of a symbol on such lines.
 
-    Longest record wins; of equals, the earliest family. Both are packed into one
-    number and compared by it.
+    Longest record wins; of equals, the earliest family: a pair that is compared as one.
     """
     lines, ways = _read(language)
     scores = [case((f"{first} IS NOT NULL",
-                    f"cast({record_length(entries)} AS bigint) * {FAMILY_SLOTS} + {FAMILY_SLOTS - 1} - {first}"))
+                    f"named_struct('length', cast({record_length(entries)} AS int), 'early', -{first})"))
               for first, _, entries in ways]
-    lines = lines.add(score=f"greatest(cast(NULL AS bigint), {', '.join(scores)})")
-    family_ord = f"cast({FAMILY_SLOTS - 1} - pmod(row.score, {FAMILY_SLOTS}) AS int)"
+    lines = lines.add(score=f"greatest(cast(NULL AS {SCORE}), {', '.join(f'cast({s} AS {SCORE})' for s in scores)})")
+    family_ord = "-row.score.early"
     record = case(*[(f"{family_ord} = {first}", _record(entries)) for first, _, entries in ways])
     style = _style(language)
     use = {"use": case(("row.score IS NULL", sym.best_usage(_uses(style))))} if style else {}
     spent = tuple(f for f in lines.fields if f not in ("line_number", "line"))
-    return lines.add(drop=spent, family_ord=family_ord, repr_length=f"cast(row.score div {FAMILY_SLOTS} AS int)",
+    return lines.add(drop=spent, family_ord=family_ord, repr_length="row.score.length",
                      record=record, **use)
 
 
@@ -229,10 +231,12 @@ def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
 
 # ------------------------------------------------------------------ findings
 
-def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT) -> DataFrame:
+def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT,
+           wanted: tuple[str, ...] | None = None) -> DataFrame:
     """Findings of ``files(path, content, ...)``; other columns are carried along.
 
-    At most one finding per (file, line). Works the same on a stream of files.
+    At most one finding per (file, line). Works the same on a stream of files. ``wanted``
+    names the columns of a finding to build; what is not wanted is not computed.
     """
     first, last = f"greatest(row.line_number - {context}, 1)", f"least(row.line_number + {context}, size(lines))"
     extracted = detailed_parameters("row.line") if rulebook.detailed else "NULL"
@@ -245,7 +249,7 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT)
 
         family = _name_of(language, "name", "row.family_ord")
         category = labels.rule_category(language.families, family, "row.record")
-        return described(language).only(
+        fields = dict(
             line_number="row.line_number", code_snippet=strip("row.line"),
             operation_type=either(_name_of(language, "operation", "row.family_ord"), sym.usage_operation),
             data_being_sent=either("row.record", sym.usage_record),
@@ -253,6 +257,7 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT)
             context_lines=f"slice(lines, {first}, {last} - {first} + 1)", family=family,
             repr_length="coalesce(row.repr_length, row.use.repr_length)" if style else "row.repr_length",
             extracted_parameters=f"cast({extracted} AS {EXTRACTED})")
+        return described(language).only(**{k: v for k, v in fields.items() if wanted is None or k in wanted})
 
     return _explode(files, rulebook, array_of)
 

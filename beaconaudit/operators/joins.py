@@ -4,34 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A side is broadcast only after it was measured to be within both bounds.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def fits_broadcast(side: DataFrame) -> bool:
-    """Measures a side, reading no more than one row past the bound."""
-    if side.isStreaming:
-        return False
-    width = F.length(F.to_json(F.struct(*side.columns)))
-    seen = side.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
-    return seen["n"] <= BROADCAST_ROWS and (seen["size"] or 0) <= BROADCAST_BYTES
+def attach(rows: DataFrame, facts: DataFrame, on: str | tuple[str, ...], spread_by: tuple[str, ...], how: str = "left") -> DataFrame:
+    """Joins ``facts`` to ``rows`` on columns both have, in a way that no key is too large for.
 
-
-def attach(rows: DataFrame, facts: DataFrame, on: str, spread_by: tuple[str, ...], how: str = "left",
-           small: bool | None = None) -> DataFrame:
-    """Joins ``facts`` to ``rows``: broadcast if measured small, else salted.
-
-    Salting copies each fact ``SALTS`` times and spreads the rows of a key over the
-    copies by the columns ``spread_by``, so no task receives all rows of a hot key.
-    They should tell rows apart: a file's path alone would keep a hot file together.
-    ``small`` skips the measurement where the caller has a bound.
+    Each fact is copied ``SALTS`` times and the rows of a key are spread over the copies by
+    the columns ``spread_by``, which should tell rows apart: a file's path alone would keep
+    a hot file together. Where the facts turn out small, Spark broadcasts them by itself.
     """
-    if small is None:
-        small = fits_broadcast(facts)
-    if small:
-        return rows.join(F.broadcast(facts), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
     salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     salted_facts = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_rows.join(salted_facts, [on, "__salt"], how).drop("__salt")
+    return salted_rows.join(salted_facts, [*keys, "__salt"], how).drop("__salt")

@@ -44,6 +44,20 @@ def filter_project(findings: DataFrame, projects: DataFrame, name: str | None):
     return kept, count_findings(projects.where(F.col("name") == name), kept)
 
 
+def page_json(record: Column) -> Column:
+    """A map as the report page shows it: keys sorted, one per line, ASCII only, ``<>&'`` written as escapes."""
+    def scalar(value: Column) -> Column:
+        text = F.to_json(F.array(value), {"writeNonAsciiCharacterAsCodePoint": "true"})
+        text = F.substring(text, F.lit(2), F.length(text) - 2)
+        for char in "<>&'\x7f":
+            text = F.replace(text, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
+        return text
+
+    lines = F.transform(F.sort_array(F.map_entries(record)), lambda e: F.concat(
+        F.lit("  "), scalar(e["key"]), F.lit(": "), scalar(e["value"])))
+    return F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+
+
 def search_text(data_json: Column) -> Column:
     """The words a finding is shown with. The last context line is not shown."""
     context = F.slice("context_lines", F.lit(1), F.greatest(F.size("context_lines") - 1, F.lit(0)))
@@ -64,7 +78,7 @@ def search(findings: DataFrame, term: str = "", project: str = "", category: str
         if value:
             out = out.where(F.col(column) == value)
     if term:
-        out = out.where(F.lower(search_text(F.to_json("data_being_sent"))).contains(term.lower()))
+        out = out.where(F.lower(search_text(page_json(F.col("data_being_sent")))).contains(term.lower()))
     return out
 
 
@@ -96,9 +110,7 @@ def grouped_rows(findings: DataFrame, by: str) -> DataFrame:
     key = GROUPINGS[by]
     findings = stored(findings)
     sizes = findings.groupBy(key).agg(F.count("*").alias("group_size"))
-    # categories and operations are closed lists; projects are measured
-    small = None if by == "project" else True
-    return attach(findings, sizes, key, spread_by=("file_path", "line_number"), how="inner", small=small).orderBy(
+    return attach(findings, sizes, key, spread_by=("file_path", "line_number"), how="inner").orderBy(
         key, "file_path", "line_number")
 
 

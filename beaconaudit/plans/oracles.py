@@ -114,14 +114,15 @@ def _direct(legacy: bool = False, only=None, keys=()) -> str:
         seen = {k: (f"p_{k}" if p else f"k_{k} IS NOT NULL") for k, _, p in reading}
         data = ", ".join(f"CASE WHEN {seen[k]} THEN concat('{k}=', coalesce(k_{k}, 'null')) END" for k in sorted(seen))
         json = ", ".join(f"CASE WHEN {seen[k]} THEN '\"{k}\": ' || coalesce(CAST(to_json(k_{k}) AS VARCHAR), 'null') END" for k in seen)
+        page = ", ".join(f"CASE WHEN {seen[k]} THEN '  \"{k}\": ' || coalesce(CAST(to_json(k_{k}) AS VARCHAR), 'null') END" for k in sorted(seen))
         size = " + ".join(f"CASE WHEN {seen[k]} THEN {len(k) + 6} + coalesce({quoted('k_' + k)}, 4) ELSE 0 END" for k in seen)
         user = " OR ".join(f"contains(lower(coalesce({where}, '')), '{w}')" for w in words)
         category = f"CASE WHEN {user} THEN 'user_data' ELSE '{cat}' END" if words else f"'{cat}'"
         shown = "".join(f", k_{k} AS {k}" if k in seen else f", CAST(NULL AS VARCHAR) AS {k}" for k in keys)
         parts.append(f"""
-SELECT path, project_path, line_number, line, language, '{name}' AS family, '{op}' AS operation_type, {i} AS ord, data, '{{' || json || '}}' AS json,
+SELECT path, project_path, line_number, line, language, '{name}' AS family, '{op}' AS operation_type, {i} AS ord, data, '{{' || json || '}}' AS json, '{{' || chr(10) || page || chr(10) || '}}' AS page,
        CAST(repr_length AS INT) AS repr_length, {category} AS data_category{shown}
-FROM (SELECT *, {f"concat_ws('|', {data})" if data else "''"} AS data, {f"concat_ws(', ', {json})" if json else "''"} AS json, {f"greatest(2, {size})" if size else "2"} AS repr_length
+FROM (SELECT *, {f"concat_ws('|', {data})" if data else "''"} AS data, {f"concat_ws(', ', {json})" if json else "''"} AS json, {f"concat_ws(',' || chr(10), {page})" if page else "''"} AS page, {f"greatest(2, {size})" if size else "2"} AS repr_length
       FROM (SELECT *{cells}{flags} FROM lines WHERE language = {q(language)} AND regexp_matches(line, {test})) c) d""")
     return "direct AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -224,6 +225,7 @@ FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS k
     size = " + ".join(f"{len(k) + 6} + {quoted(v)}" for k, v in keys)
     json = ", ".join(f"'\"{k}\": ' || CAST(to_json({v}) AS VARCHAR)" for k, v in keys + [("parameters", "parameters")])
     ordered = sorted(keys + [("parameters", "parameters")])
+    page = ", ".join(f"'  \"{k}\": ' || CAST(to_json({v}) AS VARCHAR)" for k, v in ordered)
     flat = ", ".join("CASE WHEN parameters IS NOT NULL THEN concat('parameters=', parameters) END" if k == "parameters"
                      else f"concat('{k}=', {v})" for k, v in ordered)
     if unity:
@@ -256,7 +258,7 @@ unhit AS (SELECT l.*, s.name, s.origin, s.ord FROM lines l JOIN symbols s ON l.p
           WHERE d.path IS NULL AND l.language = {q(language)} AND contains(lower(l.line), lower(s.name))),
 matched AS ({' UNION ALL '.join(parts)}),
 usages AS (SELECT *, CAST({size} + CASE WHEN parameters IS NOT NULL THEN 16 + {quoted('parameters')} ELSE 0 END AS INT) AS repr_length,
-                  concat_ws('|', {flat}) AS data, '{{' || concat_ws(', ', {json}) || '}}' AS json, {operation} AS operation_type, {category} AS data_category
+                  concat_ws('|', {flat}) AS data, '{{' || concat_ws(', ', {json}) || '}}' AS json, '{{' || chr(10) || concat_ws(',' || chr(10), {page}) || chr(10) || '}}' AS page, {operation} AS operation_type, {category} AS data_category
            FROM (SELECT *, {arguments} AS parameters FROM (SELECT *, {context} AS context, {kind} AS kind
                  FROM (SELECT *, substr(line, match_start + 1) AS tail FROM matched) t) c) p),
 best_use AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, line_number
@@ -277,7 +279,7 @@ def _all_found(lines: str = _ROUTE) -> str:
     """All live findings: best direct hits and best uses, both languages."""
     web = _rename(_symbols("web") + "," + _usages("web"), "_w")
     unity = _rename(_symbols("unity") + "," + _usages("unity"), "_u")
-    columns = "path, project_path, language, line_number, line, operation_type, data_category, repr_length, data, json"
+    columns = "path, project_path, language, line_number, line, operation_type, data_category, repr_length, data, json, page"
     return f"""WITH {lines}, {_direct()}, {_BEST}, {web}, {unity},
 found_all AS (SELECT {columns}, false AS by_symbol FROM best
   UNION ALL SELECT {columns}, true FROM best_use_w UNION ALL SELECT {columns}, true FROM best_use_u)"""
@@ -298,7 +300,7 @@ def _scan() -> str:
     return _all_found(_SCAN_ROUTE) + f""",
 repos AS (SELECT project_path, {_BRANCH} AS branch FROM ({derived.CORPUS_REPOS}) m),
 scan AS (SELECT regexp_extract(f.project_path, '[^/]*$') AS project_name, f.path AS file_path, line_number, line,
-                operation_type, data_category, data, json, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
+                operation_type, data_category, data, json, page, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
                 coalesce(branch, 'main') || '/' || substr(f.path, length(f.project_path) + 2) || '#L' || line_number AS github_url
          FROM found_all f LEFT JOIN repos r ON f.project_path = r.project_path),
 projects AS (SELECT regexp_extract(project_path, '[^/]*$') AS name, project_path AS path, 'unknown' AS project_type,
@@ -368,7 +370,7 @@ facts AS (
 found AS (SELECT f.*, manifests.content FROM facts f LEFT JOIN manifests ON manifests.project_path = f.path
           WHERE f.is_root AND (f.is_self OR f.root NOT IN (SELECT root FROM facts WHERE is_self AND is_root))),
 projects AS (SELECT root, regexp_extract(path, '[^/]*$') AS name, path, '{BASE}/' || regexp_extract(path, '[^/]*$') AS github_url,
-  CASE WHEN has_manifest AND content LIKE '%"next":%' THEN 'nextjs' WHEN has_manifest AND content LIKE '%"react":%' THEN 'react'
+  CASE WHEN has_manifest AND json_valid(content) AND content LIKE '%"next":%' THEN 'nextjs' WHEN has_manifest AND json_valid(content) AND content LIKE '%"react":%' THEN 'react'
        WHEN has_manifest THEN 'node' WHEN has_assets AND has_settings OR has_csproj THEN 'unity' ELSE 'unknown' END AS project_type
   FROM found)"""
 
@@ -379,6 +381,11 @@ def _globs_sql() -> str:
             "JOIN projects ON t = project_type UNION ALL SELECT unnest(['*/de/*', 'coverage/**'])) u")
 
 
+def _pattern_rows() -> str:
+    return ", ".join(f"({q(lang)}, {q(name)}, {j})" for lang, calls in ((WEB, rules.WEB_CALLS), (UNITY, rules.UNITY_CALLS))
+                     for name, _, _, pats, _ in calls for j in range(len(pats)))
+
+
 def oracles() -> dict[str, str]:
     found, scan = _all_found(), _scan()
     out = {
@@ -446,10 +453,11 @@ SELECT conv_id, CAST(-turn - 1 AS INT), CAST(20 + {quoted('role')} + {quoted('sa
         "context_lines": f"""{found}, numbered AS (SELECT path, line_number, line FROM lines)
 SELECT f.path, f.line_number, string_agg(n.line, '~' ORDER BY n.line_number) AS context FROM found_all f
 JOIN numbered n ON f.path = n.path AND n.line_number BETWEEN f.line_number - 3 AND f.line_number + 3 GROUP BY f.path, f.line_number""",
-        "line_split": f"WITH {_ROUTE} SELECT path, count(*) AS lines, max(line_number) AS last, CAST(sum(length(line)) AS BIGINT) AS characters FROM lines GROUP BY path",
+        "line_split": f"WITH {_FILES}, lines AS (SELECT path, CAST(generate_subscripts(parts, 1) AS INT) AS line_number, unnest(parts) AS line "
+                      f"FROM (SELECT path, string_split(content, chr(10)) AS parts FROM files) s) SELECT path, count(*) AS lines, max(line_number) AS last, CAST(sum(length(line)) AS BIGINT) AS characters FROM lines GROUP BY path",
         "snippet_strip": "SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS snippet FROM conversations",
-        "file_url": f"""WITH {_ROUTE}, placed AS (SELECT path, regexp_extract(project_path, '[^/]*$') AS project, substr(path, length(project_path) + 2) AS rel,
-  string_split(path, '/') AS p, CASE WHEN length(path) % 5 > 0 THEN '#L' || (length(path) % 5) ELSE '' END AS anchor FROM routed)
+        "file_url": f"""WITH {_FILES}, placed AS (SELECT path, regexp_extract(project_path, '[^/]*$') AS project, substr(path, length(project_path) + 2) AS rel,
+  string_split(path, '/') AS p, CASE WHEN length(path) % 5 > 0 THEN '#L' || (length(path) % 5) ELSE '' END AS anchor FROM files)
 SELECT path, '{BASE}/' || project || '/blob/main/' || rel || anchor AS inside,
        '{BASE}/' || p[len(p) - 2] || '/blob/main/' || p[len(p)] || anchor AS outside FROM placed""",
         "project_url": f"SELECT s_suppkey, '{BASE}/' || s_name AS url FROM supplier",
@@ -483,12 +491,17 @@ ON r.language = known.language AND lower({_EXT.replace('path', 'r.path')}) = kno
         "findings_by_operation": f"{scan} SELECT file_path, line_number, project_name FROM scan WHERE operation_type = 'rum_error'",
         "filter_data_type": _recounted("data_category = 'user_data'"),
         "filter_project": _recounted("project_name = 'src5'", "name = 'src5'"),
-        "search_findings": f"""{scan}, near AS (SELECT s.file_path, s.line_number, any_value(s.line) AS line, any_value(s.data) AS data,
+        "search_findings": f"""{scan}, near AS (SELECT s.file_path, s.line_number, any_value(s.line) AS line, any_value(s.page) AS page,
     string_agg(n.line, ' ' ORDER BY n.line_number) FILTER (WHERE n.line_number < least(s.line_number + 3, n.total)) AS around
   FROM scan s JOIN (SELECT *, max(line_number) OVER (PARTITION BY path) AS total FROM lines) n
     ON s.file_path = n.path AND n.line_number BETWEEN s.line_number - 3 AND s.line_number + 3
   WHERE s.data_category = 'error_data' AND s.operation_type = 'rum_error' GROUP BY s.file_path, s.line_number)
-SELECT file_path, line_number FROM near WHERE contains(lower(concat_ws(' ', regexp_extract(file_path, '[^/]*$'), around, line, data)), 'the')""",
+SELECT file_path, line_number FROM near WHERE contains(lower(concat_ws(' ', regexp_extract(file_path, '[^/]*$'), around, line, page)), '": "the')""",
+        "filter_data_type_findings": f"{scan} SELECT file_path, line_number, operation_type FROM scan WHERE data_category = 'user_data'",
+        "filter_project_findings": f"{scan} SELECT file_path, line_number, operation_type FROM scan WHERE project_name = 'src5'",
+        "group_rows_by_project_and_category": f"""{scan}
+SELECT project_name AS value, file_path, line_number, count(*) OVER (PARTITION BY project_name) AS group_size FROM scan
+UNION ALL SELECT data_category, file_path, line_number, count(*) OVER (PARTITION BY data_category) FROM scan""",
         "statistics_grouping_sets": f"""{scan}
 SELECT 'project' AS dimension, project_name AS value, count(*) AS findings, count(DISTINCT file_path) AS files FROM scan GROUP BY 2
 UNION ALL SELECT 'category', data_category, count(*), count(DISTINCT file_path) FROM scan GROUP BY 2
@@ -506,6 +519,56 @@ UNION ALL SELECT 'files_scanned', count(*) FROM kept WHERE {_LIVE_LANGUAGE} IS N
 UNION ALL SELECT 'findings', count(*) FROM scan""",
         "csv_rows": f"""{scan} SELECT project_name AS project, file_path, line_number, operation_type, data_category,
   trim(line) AS code_snippet, json AS data_being_sent, github_url FROM scan""",
+        "json_rows": f"""{scan}, around AS (SELECT s.file_path AS p, s.line_number AS n, string_agg(l.line, '~' ORDER BY l.line_number) AS context
+  FROM scan s JOIN lines l ON s.file_path = l.path AND l.line_number BETWEEN s.line_number - 3 AND s.line_number + 3 GROUP BY s.file_path, s.line_number)
+SELECT 'file_path,line_number,code_snippet,operation_type,data_being_sent,data_category,context_lines,github_url,project_name,extracted_parameters' AS keys,
+  file_path, line_number, trim(line) AS code_snippet, operation_type, data, data_category, context, github_url, project_name, CAST(NULL AS VARCHAR) AS extracted_parameters
+FROM scan JOIN around ON p = file_path AND n = line_number""",
+        "json_document": f"""{scan}, counted AS (SELECT projects.*, coalesce(n, 0) AS findings_count FROM projects
+  LEFT JOIN (SELECT project_name, count(*) AS n FROM scan GROUP BY project_name) c ON project_name = name),
+items AS (
+  SELECT 0 AS section, '' AS k0, '' AS k1, CAST(0 AS BIGINT) AS number, '{{"projects":[' AS item
+  UNION ALL SELECT 1, path, name, 0, 'name,path,project_type,github_url,findings_count|' || concat_ws('|', name, path, project_type, github_url, findings_count) FROM counted
+  UNION ALL SELECT 2, '', '', 0, '],"findings":['
+  UNION ALL SELECT 3, project_name, file_path, line_number, concat_ws('|', file_path, line_number, operation_type, github_url) FROM scan
+  UNION ALL SELECT 4, '', '', 0, '],"total_files_scanned":' || count(*) || ',"scan_duration":0.0}}' FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL)
+SELECT section, k0, k1, number, 0 AS copy, section IN (1, 3) AND row_number() OVER (PARTITION BY section ORDER BY k0, k1, number) > 1 AS comma, item FROM items""",
+        "report_feed": f"""{scan}, parts AS (
+  SELECT 'by_project' AS part, project_name AS value, count(*) AS n FROM scan GROUP BY 2
+  UNION ALL SELECT 'by_category', data_category, count(*) FROM scan GROUP BY 2
+  UNION ALL SELECT 'by_operation', operation_type, count(*) FROM scan GROUP BY 2
+  UNION ALL SELECT 'statistics_project', project_name, count(*) FROM scan GROUP BY 2
+  UNION ALL SELECT 'statistics_category', data_category, count(*) FROM scan GROUP BY 2
+  UNION ALL SELECT 'statistics_operation', operation_type, count(*) FROM scan GROUP BY 2
+  UNION ALL SELECT 'statistics_total', NULL, count(*) FROM scan
+  UNION ALL SELECT 'totals', 'projects', count(*) FROM projects
+  UNION ALL SELECT 'totals', 'files_scanned', count(*) FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL
+  UNION ALL SELECT 'totals', 'findings', count(*) FROM scan
+  UNION ALL SELECT 'projects', name, coalesce(n, 0) FROM projects LEFT JOIN (SELECT project_name, count(*) AS n FROM scan GROUP BY project_name) c ON project_name = name
+  UNION ALL SELECT 'findings', project_name, count(*) FROM scan GROUP BY 2) SELECT * FROM parts""",
+        "overlapping_roots": f"""{scan}, n AS (SELECT project_name, count(*) AS n FROM scan GROUP BY project_name)
+SELECT '/repos' AS root, path, name, coalesce(n, 0) AS findings_count FROM projects LEFT JOIN n ON project_name = name
+UNION ALL SELECT '/repos/src3', '/repos/src3', 'src3', n FROM n WHERE project_name = 'src3'
+UNION ALL SELECT '/other', '/other/src3', 'src3', n FROM n WHERE project_name = 'src5'""",
+        "overlapping_totals": f"""{scan}, f AS (SELECT project_path FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL)
+SELECT 'projects' AS metric, count(*) + 2 AS value FROM projects
+UNION ALL SELECT 'files_scanned', CAST(sum(CASE WHEN project_path IN ('/repos/src3', '/repos/src5') THEN 2 ELSE 1 END) AS BIGINT) FROM f
+UNION ALL SELECT 'findings', CAST(sum(CASE WHEN project_name IN ('src3', 'src5') THEN 2 ELSE 1 END) AS BIGINT) FROM scan""",
+        "encoded_scan": f"{scan} SELECT file_path, line_number, operation_type, trim(line) AS code_snippet FROM scan",
+        "many_families": f"""WITH notes AS (SELECT path, CAST(generate_subscripts(p, 1) AS INT) AS line_number, unnest(p) AS line
+  FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({derived.DOCUMENT_FILES}) d WHERE path LIKE '%.md') s),
+numbers AS (SELECT path, line_number, list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: regexp_matches(x, '^(0|[1-9][0-9]{{0,3}})$')) AS xs FROM notes),
+least AS (SELECT path, line_number, list_min(list_transform(xs, lambda x: CAST(x AS INT))) AS x FROM numbers)
+SELECT path, line_number, 'n' || x AS family FROM least WHERE x < 1500""",
+        "pattern_hits": f"""WITH {_ROUTE}, w AS ({_hits(WEB)}), u AS ({_hits(UNITY)}),
+hits AS (SELECT {q(WEB)} AS language, family, pattern_ord FROM w UNION ALL SELECT {q(UNITY)}, family, pattern_ord FROM u),
+known AS (SELECT * FROM (VALUES {_pattern_rows()}) k(language, family, pattern_ord))
+SELECT known.language, known.family, CAST(known.pattern_ord AS INT) AS pattern_ord, count(hits.family) AS hits FROM known
+LEFT JOIN hits ON hits.language = known.language AND hits.family = known.family AND hits.pattern_ord = known.pattern_ord GROUP BY ALL""",
+        "language_lookup": f"""WITH {_ROUTE}, names AS (
+  SELECT DISTINCT substr(language, 1, length(path) % length(language) + 1) AS name FROM routed UNION SELECT {_EXT} FROM routed),
+known AS (SELECT unnest([{q(WEB)}, {q(UNITY)}]) AS language)
+SELECT name, known.language FROM names LEFT JOIN known ON contains(lower(known.language), lower(name)) OR contains(lower(name), lower(known.language))""",
         "full_scan": f"""{_all_found(_SCAN_ROUTE)}, repos AS (SELECT project_path, {_BRANCH} AS branch FROM ({derived.CORPUS_REPOS}) m),
 linked AS (SELECT regexp_extract(f.project_path, '[^/]*$') AS project_name, '{BASE}/' || regexp_extract(f.project_path, '[^/]*$') || '/blob/' ||
   coalesce(branch, 'main') || '/' || substr(f.path, length(f.project_path) + 2) || '#L' || line_number AS url

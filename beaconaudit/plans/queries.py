@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
 from beaconaudit.operators import findings as ops, lines, report
-from beaconaudit.operators.store import stored
-from beaconaudit.plans.scan import scan, scan_files, total_files
+from beaconaudit.operators.store import new_folder, stored
+from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, scan, scan_files, total_files
 from beaconaudit.sinks import exports
 from beaconaudit.sources import corpus, projects, repos
 
@@ -40,10 +40,13 @@ def live(spark, sf) -> DataFrame:
     return ops.detect(derived.files(spark, sf).drop("project_path"))
 
 
-def scanned(spark, sf) -> DataFrame:
-    """Findings as a scan delivers them: filtered files, links, project names."""
+def scanned(spark, sf, *wanted: str) -> DataFrame:
+    """Findings as a scan delivers them: filtered files, links, project names; only the columns that are ``wanted``."""
     repo_meta = derived.table(spark, sf, derived.CORPUS_REPOS)
-    return scan_files(derived.files(spark, sf), repo_meta, base_url=BASE_URL, globs=scan_globs())
+    return scan_files(derived.files(spark, sf), repo_meta, base_url=BASE_URL, globs=scan_globs(), wanted=wanted or FINDING_COLUMNS)
+
+
+COUNTED = ("project_name", "data_category", "operation_type", "file_path")
 
 
 def scan_globs() -> list[str]:
@@ -327,7 +330,7 @@ def context_lines(spark, sf):
 
 @query
 def line_split(spark, sf):
-    split = lines.explode_lines(corpus.route(derived.files(spark, sf)))
+    split = lines.explode_lines(derived.files(spark, sf))
     return split.groupBy("path").agg(F.count("*").alias("lines"), F.max("line_number").alias("last"),
                                      F.sum(F.length("line")).alias("characters"))
 
@@ -342,7 +345,7 @@ def snippet_strip(spark, sf):
 
 @query
 def file_url(spark, sf):
-    files = corpus.route(derived.files(spark, sf)).select("path", "project_path")
+    files = derived.files(spark, sf).select("path", "project_path")
     line = F.length("path") % 5
     inside = urls.file_url(BASE_URL, F.col("path"), line, F.lit("/repos"), F.lit("main"))
     outside = urls.file_url(BASE_URL, F.col("path"), line, F.lit("/elsewhere"), F.lit("main"))
@@ -444,7 +447,7 @@ def files_scanned(spark, sf):
 
 def _discovered(spark, sf) -> DataFrame:
     listing = derived.table(spark, sf, derived.LISTING)
-    return projects.discover(listing, spark.sql(derived.MANIFESTS), BASE_URL)
+    return projects.discover(listing, derived.table(spark, sf, derived.MANIFESTS), BASE_URL)
 
 
 @query
@@ -466,66 +469,86 @@ def project_facts(spark, sf):
 
 @query
 def findings_by_project(spark, sf):
-    return report.by_project(scanned(spark, sf), "src3").select("file_path", "line_number", "github_url")
+    return report.by_project(scanned(spark, sf, "project_name", "file_path", "line_number", "github_url"), "src3").select("file_path", "line_number", "github_url")
 
 
 @query
 def findings_by_category(spark, sf):
-    return report.by_category(scanned(spark, sf), "performance_data").select("file_path", "line_number", "project_name")
+    return report.by_category(scanned(spark, sf, *COUNTED, "line_number"), "performance_data").select("file_path", "line_number", "project_name")
 
 
 @query
 def findings_by_operation(spark, sf):
-    return report.by_operation(scanned(spark, sf), "rum_error").select("file_path", "line_number", "project_name")
+    return report.by_operation(scanned(spark, sf, *COUNTED, "line_number"), "rum_error").select("file_path", "line_number", "project_name")
 
 
 @query
 def filter_data_type(spark, sf):
-    _, kept = report.filter_data_type(scanned(spark, sf), corpus_projects(spark, sf), "user-data")
+    _, kept = report.filter_data_type(scanned(spark, sf, *COUNTED), corpus_projects(spark, sf), "user-data")
     return kept
 
 
+@query
+def filter_data_type_findings(spark, sf):
+    kept, _ = report.filter_data_type(scanned(spark, sf, *COUNTED, "line_number"), corpus_projects(spark, sf), "user-data")
+    return kept.select("file_path", "line_number", "operation_type")
+
+
 @query
 def filter_project(spark, sf):
-    _, kept = report.filter_project(scanned(spark, sf), corpus_projects(spark, sf), "src5")
+    _, kept = report.filter_project(scanned(spark, sf, *COUNTED), corpus_projects(spark, sf), "src5")
     return kept
 
 
+@query
+def filter_project_findings(spark, sf):
+    kept, _ = report.filter_project(scanned(spark, sf, *COUNTED, "line_number"), corpus_projects(spark, sf), "src5")
+    return kept.select("file_path", "line_number", "operation_type")
+
+
 @query
 def search_findings(spark, sf):
-    return report.search(scanned(spark, sf), term="THE", category="error_data", operation="rum_error").select(
+    return report.search(scanned(spark, sf), term='": "THE', category="error_data", operation="rum_error").select(
         "file_path", "line_number")
 
 
 @query
 def statistics_grouping_sets(spark, sf):
-    return report.statistics(scanned(spark, sf))
+    return report.statistics(scanned(spark, sf, *COUNTED))
 
 
 @query
 def group_rows(spark, sf):
-    return report.grouped_rows(scanned(spark, sf), "operation").select(
-        "operation_type", "file_path", "line_number", "group_size")
+    found = scanned(spark, sf, *COUNTED, "line_number")
+    return report.grouped_rows(found, "operation").select("operation_type", "file_path", "line_number", "group_size")
+
+
+@query
+def group_rows_by_project_and_category(spark, sf):
+    found = stored(scanned(spark, sf, *COUNTED, "line_number"))
+    both = [report.grouped_rows(found, by).select(F.col(report.GROUPINGS[by]).alias("value"), "file_path", "line_number", "group_size")
+            for by in ("project", "category")]
+    return both[0].unionByName(both[1])
 
 
 @query
 def files_with_findings(spark, sf):
-    return report.files_with_findings(scanned(spark, sf))
+    return report.files_with_findings(scanned(spark, sf, "file_path"))
 
 
 @query
 def findings_per_project(spark, sf):
-    return projects.count_findings(corpus_projects(spark, sf), scanned(spark, sf))
+    return projects.count_findings(corpus_projects(spark, sf), scanned(spark, sf, "project_name"))
 
 
 @query
 def category_summary(spark, sf):
-    return report.category_summary(scanned(spark, sf))
+    return report.category_summary(scanned(spark, sf, "data_category"))
 
 
 @query
 def report_order(spark, sf):
-    return report.report_order(scanned(spark, sf), corpus_projects(spark, sf)).select(
+    return report.report_order(scanned(spark, sf, *COUNTED, "line_number"), corpus_projects(spark, sf)).select(
         "project_name", "project_type", "file_path", "line_number")
 
 
@@ -538,45 +561,155 @@ def scan_union(spark, sf):
 @query
 def scan_totals(spark, sf):
     files = derived.files(spark, sf)
-    return report.scan_totals(corpus_projects(spark, sf), scanned(spark, sf), total_files(files, scan_globs()))
+    return report.scan_totals(corpus_projects(spark, sf), scanned(spark, sf, "file_path"), total_files(files, scan_globs()))
 
 
 @query
 def csv_rows(spark, sf):
-    rows = exports.table_rows(scanned(spark, sf))
+    rows = exports.table_rows(scanned(spark, sf, *(c for c in FINDING_COLUMNS if c not in ("context_lines", "extracted_parameters"))))
     return rows.toDF(*[c.lower().replace(" ", "_") for c in exports.TABLE_COLUMNS])
 
 
+_FINDING_JSON = ("file_path string, line_number int, code_snippet string, operation_type string, data_being_sent map<string,string>, "
+                 "data_category string, context_lines array<string>, github_url string, project_name string, extracted_parameters string")
+_PROJECT_JSON = "name string, path string, project_type string, github_url string, findings_count bigint"
+
+
 @query
 def json_rows(spark, sf):
+    """Every finding as JSON, read back: its keys in order, and its values."""
     found = scanned(spark, sf)
-    return found.select(exports.finding_json(found).alias("json"))
+    rows = found.select(exports.finding_json(found).alias("json"))
+    rows = rows.select(F.array_join(F.json_object_keys("json"), ",").alias("keys"), F.from_json("json", _FINDING_JSON).alias("f")).select("keys", "f.*")
+    return rows.select("keys", "file_path", "line_number", "code_snippet", "operation_type", flat(F.col("data_being_sent")).alias("data"),
+                       "data_category", F.array_join("context_lines", "~").alias("context"), "github_url", "project_name", "extracted_parameters")
 
 
 @query
 def json_document(spark, sf):
+    """The pieces of the one document: fixed text, and every item with its comma, read back."""
     found = stored(scanned(spark, sf))
     files = total_files(derived.files(spark, sf), scan_globs())
-    return exports.document_lines(corpus_projects(spark, sf), found, files, 0.0)
+    counted = projects.count_findings(corpus_projects(spark, sf), found)
+    pieces = exports.document_lines(counted, found, files, 0.0)
+    text = F.regexp_replace("line", "^,", "")
+    project, finding = F.from_json(text, _PROJECT_JSON), F.from_json(text, _FINDING_JSON)
+    return pieces.select(
+        "section", "k0", "k1", "number", "copy", F.col("line").startswith(",").alias("comma"),
+        F.when(F.col("section") == 1, F.concat_ws("|", F.array_join(F.json_object_keys(text), ","), project["name"], project["path"], project["project_type"],
+                                                   project["github_url"], project["findings_count"]))
+        .when(F.col("section") == 3, F.concat_ws("|", finding["file_path"], finding["line_number"], finding["operation_type"], finding["github_url"]))
+        .otherwise(F.col("line")).alias("item"))
+
+
+@query
+def report_feed(spark, sf):
+    """What the report's tables hold, written and read back."""
+    found = stored(scanned(spark, sf))
+    folder = new_folder(spark)
+    counted = projects.count_findings(corpus_projects(spark, sf), found)
+    exports.write_report(found, counted, total_files(derived.files(spark, sf), scan_globs()), folder)
+
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}")
+
+    groups = [read(f"by_{by}").groupBy(F.lit(f"by_{by}").alias("part"), F.col("group").cast("string").alias("value")).agg(F.count("*").alias("n"))
+              for by in report.GROUPINGS]
+    parts = [read("statistics").select(F.concat(F.lit("statistics_"), "dimension").alias("part"), "value", F.col("findings").alias("n")),
+             read("totals").select(F.lit("totals").alias("part"), F.col("metric").alias("value"), F.col("value").alias("n")),
+             read("projects").select(F.lit("projects").alias("part"), F.col("name").alias("value"), F.col("findings_count").alias("n")),
+             read("findings").groupBy(F.lit("findings").alias("part"), F.col("project_name").alias("value")).agg(F.count("*").alias("n"))]
+    out = groups[0]
+    for part in (*groups[1:], *parts):
+        out = out.unionByName(part)
+    return out
 
 
 # ------------------------------------------------------------------ whole scans
 
-@query
-def full_scan(spark, sf):
-    """Listing, projects, globs, files, findings and links in one go."""
-    files = derived.files(spark, sf).withColumn("root", F.lit("/repos"))
+def _whole(spark, sf, files: DataFrame) -> ScanResult:
+    """A scan of ``files(root, project_path, path, content)`` under the roots they name."""
     meta = derived.table(spark, sf, derived.CORPUS_REPOS)
     web, game = F.col("project_path").startswith("/repos/src"), F.col("project_path").startswith("/repos/p")
     manifests = meta.where(web).select("project_path", F.lit('{"dependencies": {"react": "18"}}').alias("content"))
-    entries = meta.select(F.lit("/repos").alias("root"), F.concat("project_path", F.when(
-        web, "/package.json").otherwise("/ProjectSettings")).alias("path"), game.alias("is_dir"))
+    marked = files.select("root", "project_path").distinct()
+    entries = marked.select("root", F.concat("project_path", F.when(
+        ~F.col("project_path").startswith("/repos/p"), "/package.json").otherwise("/ProjectSettings")).alias("path"), game.alias("is_dir"))
     listing = files.select("root", "path", F.lit(False).alias("is_dir")).unionByName(entries)
-    result = scan(listing, files, meta, base_url=BASE_URL, manifests=manifests, user_globs=USER_GLOBS)
+    return scan(listing, files, meta, base_url=BASE_URL, manifests=manifests, user_globs=USER_GLOBS)
+
+
+@query
+def full_scan(spark, sf):
+    """Listing, projects, globs, files, findings and links in one go."""
+    result = _whole(spark, sf, derived.files(spark, sf).withColumn("root", F.lit("/repos")))
     return result.findings.groupBy("project_name").agg(
         F.count("*").alias("findings"), F.min("github_url").alias("first_url"), F.max("github_url").alias("last_url"))
 
 
+def _overlapping(spark, sf) -> ScanResult:
+    """All files under ``/repos``; those of one project under a root of their own too; and a second project of its name."""
+    files = derived.files(spark, sf).withColumn("root", F.lit("/repos"))
+    nested = files.where("project_path = '/repos/src3'").withColumn("root", F.lit("/repos/src3"))
+    namesake = files.where("project_path = '/repos/src5'").withColumns({
+        "root": F.lit("/other"), "project_path": F.lit("/other/src3"), "path": F.replace("path", F.lit("/repos/src5/"), F.lit("/other/src3/"))})
+    return _whole(spark, sf, files.unionByName(nested).unionByName(namesake))
+
+
+@query
+def overlapping_roots(spark, sf):
+    """Each project's own findings, by root and path."""
+    return _overlapping(spark, sf).projects.select("root", "path", "name", "findings_count")
+
+
+@query
+def overlapping_totals(spark, sf):
+    result = _overlapping(spark, sf)
+    return report.scan_totals(result.projects, result.findings, result.total_files)
+
+
+@query
+def encoded_scan(spark, sf):
+    """The scan over bytes: UTF-8 with either line end, and ISO-8859-1."""
+    files = derived.files(spark, sf)
+    kind = F.pmod(F.length("path"), F.lit(3))
+    content = (F.when(kind == 0, F.encode(F.replace("content", F.lit("\n"), F.lit("\r\n")), "UTF-8"))
+               .when(kind == 1, F.encode(F.replace("content", F.lit("\n"), F.lit("\r")), "UTF-8"))
+               .otherwise(F.encode("content", "ISO-8859-1")))
+    found = scan_files(files.withColumn("content", content), base_url=BASE_URL, globs=scan_globs(),
+                       wanted=("file_path", "line_number", "operation_type", "code_snippet"))
+    return found
+
+
+@query
+def many_families(spark, sf):
+    """A rulebook of 1,500 families over the derived text files: the family of a line is the smallest number in it."""
+    book = rules.register_rules(rules.LIVE, "Numbers", [".md"], [
+        {"name": f"n{i}", "operation": "custom_attribute", "category": "system_data", "patterns": [rf"(?<![0-9]){i}(?![0-9])"], "hints": [str(i)]}
+        for i in range(1500)])
+    numbers = rules.Rulebook(tuple(lang for lang in book.languages if lang.name == "Numbers"))
+    found = ops.detect(derived.document_files(spark, sf).drop("project_path"), numbers, wanted=("line_number", "family"))
+    return found.select("path", "line_number", "family")
+
+
+@query
+def pattern_hits(spark, sf):
+    """Hits of every pattern of the rulebook, those without any included."""
+    hits = ops.rule_hits(derived.files(spark, sf)).groupBy("language", "family", "pattern_ord").agg(F.count("*").alias("n"))
+    known = rules.catalogue(spark).select("language", "family", "pattern_ord")
+    return known.join(hits, ["language", "family", "pattern_ord"], "left").select(
+        "language", "family", "pattern_ord", F.coalesce("n", F.lit(0)).cast("bigint").alias("hits"))
+
+
+@query
+def language_lookup(spark, sf):
+    """Languages by a part of their name, the parts taken from the files' own languages and extensions."""
+    routed = corpus.route(derived.files(spark, sf).select("path"))
+    part = F.substring("language", F.lit(1), F.length("path") % F.length("language") + 1)
+    names = routed.select(part.alias("name")).union(routed.select(corpus.extension_of(F.col("path")).alias("name"))).distinct()
+    return rules.languages_like(names)
+
+
 @query
 def registered_rules(spark, sf):
     """A language added by data: alarm words in the derived text files."""
@@ -594,5 +727,5 @@ def registered_rules(spark, sf):
 @query
 def scan_statistics(spark, sf):
     """The flagship: project x category x operation counts and distinct files of a whole scan."""
-    return scanned(spark, sf).groupBy("project_name", "data_category", "operation_type").agg(
+    return scanned(spark, sf, *COUNTED).groupBy("project_name", "data_category", "operation_type").agg(
         F.count("*").alias("findings"), F.count_distinct("file_path").alias("files"))

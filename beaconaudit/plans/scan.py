@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beaconaudit.functions import urls
 from beaconaudit.operators.findings import detect
@@ -19,6 +19,8 @@ FINDING_COLUMNS = (
     "file_path", "line_number", "code_snippet", "operation_type", "data_being_sent", "data_category",
     "context_lines", "github_url", "project_name", "extracted_parameters",
 )
+# What a scan adds: where a finding's project is, which tells projects of one name apart.
+PLACE_COLUMNS = ("root", "project_path")
 
 
 @dataclass
@@ -28,28 +30,39 @@ class ScanResult:
     total_files: DataFrame
 
 
+def _linked(found: DataFrame, repo_meta: DataFrame | None, base_url: str, default_branch: str, wanted) -> DataFrame:
+    """Adds links and project names to ``found(project_path, path, line_number, ...)``, as far as they are wanted."""
+    found = found.withColumnRenamed("path", "file_path")
+    if "project_name" in wanted:
+        found = found.withColumn("project_name", urls.base_name(F.col("project_path")))
+    if "github_url" not in wanted:
+        return found
+    branch = F.lit(default_branch)
+    if repo_meta is not None:
+        # one row per project, whatever the table holds
+        branches = repository_info(repo_meta, default_branch).groupBy("project_path").agg(F.min("branch").alias("branch"))
+        found = attach(found, branches, "project_path", spread_by=("file_path", "line_number"))
+        branch = F.coalesce("branch", branch)
+    return found.withColumn("github_url", urls.file_url(
+        base_url, F.col("file_path"), F.col("line_number"), urls.parent(F.col("project_path")), branch))
+
+
+def _built(wanted) -> tuple[str, ...]:
+    return (*wanted, "line_number")
+
+
 def scan_files(files: DataFrame, repo_meta: DataFrame | None = None, *, base_url: str,
                default_branch: str = urls.DEFAULT_BRANCH, globs=(), rulebook: Rulebook = LIVE,
-               context: int = CONTEXT) -> DataFrame:
-    """Findings of ``files(project_path, path, content)``, content being decoded text.
+               context: int = CONTEXT, wanted: tuple[str, ...] = FINDING_COLUMNS) -> DataFrame:
+    """Findings of ``files(project_path, path, content)``, content being text or bytes.
 
     Filters run cheapest first: extension and globs see only the path, then the keyword
     test sees the text, then lines are made. Branches are looked up for findings, not
-    for files, so file contents never move.
+    for files, so file contents never move. ``wanted`` names the columns to build.
     """
-    eligible = corpus.eligible(files, globs, rulebook).where(F.length("content") > 0)
-    found = detect(corpus.keyword_filter(eligible), rulebook, context)
-    found = found.withColumnRenamed("path", "file_path")
-    if repo_meta is not None:
-        branches = repository_info(repo_meta, default_branch).select("project_path", "branch")
-        found = attach(found, branches, "project_path", spread_by=("file_path", "line_number"))
-        branch = F.coalesce("branch", F.lit(default_branch))
-    else:
-        branch = F.lit(default_branch)
-    link = urls.file_url(base_url, F.col("file_path"), F.col("line_number"),
-                         urls.parent(F.col("project_path")), branch)
-    found = found.withColumns({"github_url": link, "project_name": urls.base_name(F.col("project_path"))})
-    return found.select(*FINDING_COLUMNS)
+    eligible = corpus.decoded(corpus.eligible(files, globs, rulebook)).where(F.length("content") > 0)
+    found = detect(corpus.keyword_filter(eligible), rulebook, context, _built(wanted))
+    return _linked(found, repo_meta, base_url, default_branch, wanted).select(*wanted)
 
 
 def total_files(files: DataFrame, globs=(), rulebook: Rulebook = LIVE) -> DataFrame:
@@ -57,33 +70,40 @@ def total_files(files: DataFrame, globs=(), rulebook: Rulebook = LIVE) -> DataFr
     return corpus.eligible(files, globs, rulebook).agg(F.count("*").alias("total_files_scanned"))
 
 
+def near_root(path: Column, root: Column) -> Column:
+    """True for entries of a root and of its direct children: where a project's manifest lies."""
+    return F.size(F.split(corpus.relative_path(path, root), "/")) <= 2
+
+
 def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = None, *, base_url: str,
          manifests: DataFrame | None = None, user_globs=(), default_branch: str = urls.DEFAULT_BRANCH,
-         rulebook: Rulebook = LIVE, context: int = CONTEXT) -> ScanResult:
+         rulebook: Rulebook = LIVE, context: int = CONTEXT, wanted: tuple[str, ...] = FINDING_COLUMNS) -> ScanResult:
     """Projects, findings and totals of ``listing(root, path, is_dir)`` and
-    ``files(root, path, content)``.
+    ``files(root, path, content)``, content being text or bytes.
 
     ``manifests(project_path, content)`` holds the projects' package.json texts; without
-    it they are picked from ``files``, which reads the contents once more.
+    it they are picked from ``files``, from places where a project's manifest lies.
 
-    Projects are found first and stored; findings and totals are lazy. The only thing
-    fetched to the driver is the list of ignore globs.
+    Roots may overlap: each is scanned for itself, as often as it is given. Findings are
+    detected first and placed in projects afterwards, so a file's text is joined to
+    nothing; what every reading of the globs ignores goes before. Projects and findings
+    are stored, findings with ``root`` and ``project_path``; counts read what is stored.
     """
     if manifests is None:
-        manifests = files.where(F.col("path").endswith("/" + project_source.MANIFEST)).select(
-            urls.parent(F.col("path")).alias("project_path"), "content")
-    # few rows, read for globs, for assigning files and for counts
+        near = near_root(F.col("path"), F.col("root")) & F.col("path").endswith("/" + project_source.MANIFEST)
+        manifests = corpus.decoded(files.where(near)).select(urls.parent(F.col("path")).alias("project_path"), "content")
     projects = stored(project_source.discover(listing, manifests, base_url))
     globs = project_source.collect_globs(projects, user_globs)
 
-    def placed(paths: DataFrame) -> DataFrame:
-        return project_source.assign_projects(corpus.route(paths, rulebook).drop("language"), projects)
+    texts = corpus.route(files.select("root", "path", "content"), rulebook).drop("language")
+    texts = corpus.decoded(texts.where(~corpus.surely_ignored(globs))).where(F.length("content") > 0)
+    found = detect(corpus.keyword_filter(texts), rulebook, context, _built(wanted))
+    found = corpus.ignore_filter(project_source.assign_projects(found, projects).drop("project_name"), globs)
+    findings = stored(_linked(found, repo_meta, base_url, default_branch, wanted).select(*wanted, *PLACE_COLUMNS))
 
-    findings = scan_files(placed(files.select("root", "path", "content")), repo_meta, base_url=base_url,
-                          default_branch=default_branch, globs=globs, rulebook=rulebook, context=context)
-    listed = placed(listing.where(~F.col("is_dir")).select("root", "path"))
-    return ScanResult(project_source.count_findings(projects, findings), findings,
-                      total_files(listed, globs, rulebook))
+    paths = corpus.route(listing.where(~F.col("is_dir")).select("root", "path"), rulebook).drop("language")
+    listed = project_source.assign_projects(paths, projects)
+    return ScanResult(project_source.count_own_findings(projects, findings), findings, total_files(listed, globs, rulebook))
 
 
 def scan_directories(spark: SparkSession, roots, repo_meta: DataFrame | None = None, **options) -> ScanResult:
@@ -95,11 +115,6 @@ def scan_directories(spark: SparkSession, roots, repo_meta: DataFrame | None = N
     rulebook = options.get("rulebook", LIVE)
     listing = stored(corpus.list_tree(spark, roots))
     sources = listing.where(~F.col("is_dir") & corpus.language_of(F.col("path"), rulebook).isNotNull())
-    depth = F.size(F.split(corpus.relative_path(F.col("path"), F.col("root")), "/"))
-    near = listing.where(F.col("path").endswith("/" + project_source.MANIFEST) & (depth <= 2))
-
-    def read(listed: DataFrame) -> DataFrame:
-        return corpus.read_listed(listed).withColumn("content", corpus.decode(F.col("content")))
-
-    manifests = read(near).select(urls.parent(F.col("path")).alias("project_path"), "content")
-    return scan(listing, read(sources), repo_meta, manifests=manifests, **options)
+    near = listing.where(F.col("path").endswith("/" + project_source.MANIFEST) & near_root(F.col("path"), F.col("root")))
+    manifests = corpus.decoded(corpus.read_listed(near)).select(urls.parent(F.col("path")).alias("project_path"), "content")
+    return scan(listing.select("root", "path", "is_dir"), corpus.read_listed(sources), repo_meta, manifests=manifests, **options)

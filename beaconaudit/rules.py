@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame, functions as F
+
 from beaconaudit.functions import fields
 
 
@@ -78,7 +80,7 @@ def register_rules(rulebook: Rulebook, language: str, extensions, families) -> R
     """
     built = tuple(
         Family(f["name"], f.get("operation", "custom_attribute"), f.get("category", "system_data"),
-               tuple(f["patterns"]), tuple(f.get("hints", ())), fields.from_patterns(f.get("fields", {})))
+               tuple(f["patterns"]), tuple(f.get("hints", ())), fields.from_patterns(f["fields"]) if f.get("fields") else fields.nothing)
         for f in families
     )
     return rulebook.with_language(Language(language, tuple(extensions), built))
@@ -89,17 +91,6 @@ def register_rules(rulebook: Rulebook, language: str, extensions, families) -> R
 # compared on; they are stated once, here, and used everywhere else by name.
 # ---------------------------------------------------------------------------
 
-OPERATIONS = (
-    "import", "initialisation", "rum_action", "rum_error", "rum_timing",
-    "log_info", "log_error", "log_warn", "log_debug",
-    "custom_attribute", "configuration", "method_call",
-)
-
-CATEGORIES = (
-    "user_data", "system_data", "error_data", "performance_data",
-    "configuration_data", "unknown",
-)
-
 # Names accepted by the data type filter.
 DATA_TYPES = {
     "user-data": "user_data",
@@ -120,8 +111,6 @@ FILE_KEYWORDS = (
 WEB_GESTURES = ("click", "tap", "input", "select")
 UNITY_GESTURES = ("tap", "click", "swipe", "scroll", "touch")
 LEGACY_GESTURES = ("click", "tap", "swipe", "scroll", "input", "select", "submit")
-WEB_SYMBOL_GESTURES = ("click", "tap", "swipe", "scroll", "input")
-UNITY_SYMBOL_GESTURES = ("tap", "click", "swipe", "scroll", "touch")
 
 # Web SDK calls, as (family, operation, category, patterns, hints).
 WEB_CALLS = (
@@ -325,7 +314,12 @@ def catalogue(spark, rulebook: Rulebook = LIVE):
         "pattern string, operation_type string, data_category string")
 
 
-def languages_like(rulebook: Rulebook, name: str) -> list[Language]:
-    """Languages whose name holds ``name`` or is held by it, in any case."""
-    low = name.lower()
-    return [lang for lang in rulebook.languages if low in lang.name.lower() or lang.name.lower() in low]
+def languages_like(names: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
+    """``names(name)`` with the languages whose name holds it or is held by it, in any case; null where none does.
+
+    The catalogue is a handful of rows, so every name is compared with all of them.
+    """
+    low = F.lower("name")
+    known = [F.when(F.contains(low, F.lit(lang.name.lower())) | F.contains(F.lit(lang.name.lower()), low), F.lit(lang.name))
+             for lang in rulebook.languages]
+    return names.select("name", F.explode_outer(F.array_compact(F.array(*known))).alias("language"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit.operators import report
 from beaconaudit.operators.store import stored
+from beaconaudit.plans.scan import FINDING_COLUMNS
+
+PROJECT_COLUMNS = ("name", "path", "project_type", "github_url", "findings_count")
 
 # The table export's columns, in order.
 TABLE_COLUMNS = ("Project", "File Path", "Line Number", "Operation Type", "Data Category", "Code Snippet",
@@ -31,8 +34,17 @@ def table_rows(findings: DataFrame) -> DataFrame:
     return findings.select(*[v.alias(n) for v, n in zip(values, TABLE_COLUMNS)])
 
 
+def exported(frame: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    """The columns an export has; what a scan adds to tell places apart stays out."""
+    return [c for c in columns if c in frame.columns]
+
+
+def row_json(frame: DataFrame, columns: tuple[str, ...]) -> Column:
+    return F.to_json(F.struct(*exported(frame, columns)), {"ignoreNullFields": "false"})
+
+
 def finding_json(findings: DataFrame) -> Column:
-    return F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"})
+    return row_json(findings, FINDING_COLUMNS)
 
 
 def write_csv(findings: DataFrame, path: str) -> None:
@@ -42,8 +54,8 @@ def write_csv(findings: DataFrame, path: str) -> None:
 
 def write_json(findings: DataFrame, projects: DataFrame, path: str) -> None:
     """One JSON object per line, findings and projects in their own folders."""
-    for frame, name in ((findings, "findings"), (projects, "projects")):
-        frame.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}/{name}")
+    for frame, name, columns in ((findings, "findings", FINDING_COLUMNS), (projects, "projects", PROJECT_COLUMNS)):
+        frame.select(*exported(frame, columns)).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
 def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFrame, seconds: float) -> DataFrame:
@@ -53,10 +65,10 @@ def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFr
     Commas lead, so a row needs to know only whether it is its list's first, which is
     found by a minimum. Equal rows are told apart by a number within their equals.
     """
-    def items(frame: DataFrame, section: int, keys: list[str]) -> DataFrame:
+    def items(frame: DataFrame, section: int, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
         place = [F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
         number = F.col(keys[-1]).cast("bigint") if keys[-1] == "line_number" else F.lit(0).cast("bigint")
-        rows = frame.select(*place[:2], number.alias("number"), finding_json(frame).alias("text"))
+        rows = frame.select(*place[:2], number.alias("number"), row_json(frame, columns).alias("text"))
         # identical rows become one row with a count, so repeats never meet in one task
         rows = rows.groupBy("k0", "k1", "number", "text").agg(F.count("*").alias("copies"))
         here = F.struct("k0", "k1", "number", "text")
@@ -76,9 +88,9 @@ def document_lines(projects: DataFrame, findings: DataFrame, total_files: DataFr
     tail = F.concat(F.lit('],"total_files_scanned":'), F.col("total_files_scanned").cast("string"),
                     F.lit(f',"scan_duration":{seconds!r}}}'))
     return (fixed(0, F.lit('{"projects":['))
-            .unionByName(items(projects, 1, ["path", "name"]))
+            .unionByName(items(projects, 1, ["path", "name"], PROJECT_COLUMNS))
             .unionByName(fixed(2, F.lit('],"findings":[')))
-            .unionByName(items(findings, 3, ["project_name", "file_path", "line_number"]))
+            .unionByName(items(findings, 3, ["project_name", "file_path", "line_number"], FINDING_COLUMNS))
             .unionByName(fixed(4, tail, total_files)))
 
 

@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beaconaudit.functions.globs import ignore_pattern
 from beaconaudit.functions.text import has_any
+from beaconaudit.operators.store import stored
 from beaconaudit.rules import FILE_KEYWORDS, LIVE, Rulebook
 
-LISTING = "root string, path string, is_dir boolean"
+LISTING = "root string, path string, is_dir boolean, size bigint"
 # Bytes of file content one Arrow batch may carry before it is handed on.
 READ_BATCH_BYTES = 32 << 20
+# Bytes of files one reading task opens, and entries one listing task names, about.
+TASK_BYTES = 256 << 20
+TASK_ENTRIES = 20_000
+# An Arrow cell holds less than this; larger files count as unreadable.
+MOST_BYTES = 2**31 - 1
 
 
 def extension_of(path: Column) -> Column:
@@ -44,7 +50,7 @@ def legacy_eligible(path: Column, extensions) -> Column:
 
 
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def decode(content: Column) -> Column:
@@ -54,6 +60,12 @@ def decode(content: Column) -> Column:
     return normalise_newlines(text)
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """``files`` with ``content`` as a scan reads it: bytes are decoded, and line ends are line feeds."""
+    is_bytes = dict(files.dtypes)["content"] == "binary"
+    return files.withColumn("content", decode(F.col("content")) if is_bytes else normalise_newlines(F.col("content")))
+
+
 def keyword_filter(files: DataFrame) -> DataFrame:
     """Drops files that mention nothing of the SDKs, before any line is looked at.
 
@@ -78,6 +90,16 @@ def ignore_filter(files: DataFrame, globs, root: str = "project_path") -> DataFr
     return files.where(not_ignored(relative_path(F.col("path"), F.col(root)), globs))
 
 
+def surely_ignored(globs) -> Column:
+    """True where a glob covers ``path`` whether its project is ``root`` or the directory below it.
+
+    It needs no project, so it can stand before anything is read or joined.
+    """
+    rel = relative_path(F.col("path"), F.col("root"))
+    below = F.when(rel.contains("/"), F.regexp_replace(rel, "^[^/]*/", ""))
+    return ~(not_ignored(rel, globs) | F.coalesce(not_ignored(below, globs), F.lit(False)))
+
+
 def eligible(files: DataFrame, globs=(), rulebook: Rulebook = LIVE) -> DataFrame:
     """Files a scan counts: routed to a language and not ignored, whatever they hold."""
     return ignore_filter(route(files, rulebook), globs)
@@ -87,31 +109,39 @@ def eligible(files: DataFrame, globs=(), rulebook: Rulebook = LIVE) -> DataFrame
 
 def _children(root: str, path: str) -> list[tuple]:
     """Entries of a directory; linked directories are named but not entered."""
+    rows = []
     try:
         with os.scandir(path) as entries:
-            return [(root, e.path, e.is_dir(), not e.is_dir() or e.is_symlink()) for e in entries]
+            for e in entries:
+                try:
+                    is_dir = e.is_dir()
+                    rows.append((root, e.path, is_dir, 0 if is_dir else e.stat().st_size, not is_dir or e.is_symlink()))
+                except OSError:
+                    rows.append((root, e.path, False, 0, True))
     except OSError:
-        return []
+        pass
+    return rows
 
 
-def _expand(batches: Iterator[pa.RecordBatch], whole_tree: bool) -> Iterator[pa.RecordBatch]:
-    """Replaces unvisited directories by their entries, or by everything below them."""
-    names = ["root", "path", "is_dir", "visited"]
-    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces unvisited directories by their entries, and goes on with those until the task has named its share."""
+    names = ["root", "path", "is_dir", "size", "visited"]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     for batch in batches:
-        stack = [tuple(r[n] for n in names) for r in batch.to_pylist()]
-        rows: list = []
+        stack, named, rows = [tuple(r[n] for n in names) for r in batch.to_pylist()], 0, []
         while stack:
-            root, path, is_dir, visited = entry = stack.pop()
-            if visited:
+            root, path, is_dir, size, visited = entry = stack.pop()
+            if visited or named >= TASK_ENTRIES:
                 rows.append(entry)
             elif os.path.isdir(path):
-                rows.append((root, path, True, True))
-                (stack if whole_tree else rows).extend(_children(root, path))
+                rows.append((root, path, True, 0, True))
+                below = _children(root, path)
+                named += len(below)
+                stack.extend(below)
             if len(rows) >= 10_000:
                 yield batch_of(rows)
                 rows = []
@@ -119,22 +149,27 @@ def _expand(batches: Iterator[pa.RecordBatch], whole_tree: bool) -> Iterator[pa.
             yield batch_of(rows)
 
 
-def list_tree(spark: SparkSession, roots, spread: int = 3, partitions: int | None = None) -> DataFrame:
-    """``root, path, is_dir`` of everything below ``roots`` on a mounted file system.
+def list_tree(spark: SparkSession, roots) -> DataFrame:
+    """``root, path, is_dir, size`` of everything below ``roots`` on a mounted file system.
 
     Spark's file sources leave out names starting with ``_`` or ``.``; this does not.
-    The first ``spread`` levels are listed breadth-first and spread over the cluster
-    between levels, so that one large tree is walked by many tasks. Missing roots
-    list nothing.
+    A task walks until it has named its share of entries and hands on the directories it
+    has not entered; those are spread over tasks anew, until none is left. So neither a deep
+    nor a wide tree stays with one task. Missing roots list nothing.
     """
-    schema = LISTING + ", visited boolean"
-    known = [(r.rstrip("/") or "/", r.rstrip("/") or "/", True, False) for r in roots]
-    partitions = partitions or spark.sparkContext.defaultParallelism
-    tree = spark.createDataFrame(known, schema)
-    for level in range(spread + 1):
-        tree = tree.repartition(partitions, "path").mapInArrow(
-            lambda batches, last=level == spread: _expand(batches, last), schema)
-    return tree.drop("visited")
+    known = [(r.rstrip("/") or "/", r.rstrip("/") or "/", True, 0, False) for r in roots]
+    found = spark.createDataFrame(known, LISTING + ", visited boolean")
+    done = []
+    while True:
+        open_ = found.where("NOT visited")
+        if open_.isEmpty():
+            break
+        found = stored(open_.repartition("path").mapInArrow(_expand, LISTING + ", visited boolean"))
+        done.append(found.where("visited"))
+    out = spark.createDataFrame([], LISTING)
+    for level in done:
+        out = out.unionByName(level.drop("visited"))
+    return out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,22 +183,28 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for root, path in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist()):
             try:
                 with open(path, "rb") as f:
-                    data = f.read()
+                    data = f.read(MOST_BYTES + 1)
+                data = data if len(data) <= MOST_BYTES else None
             except OSError:
                 data = None
-            rows.append((root, path, data))
-            size += len(data or b"")
-            if size >= READ_BATCH_BYTES:
+            if rows and size + len(data or b"") > READ_BATCH_BYTES:
                 yield batch_of(rows)
                 rows, size = [], 0
+            rows.append((root, path, data))
+            size += len(data or b"")
         if rows:
             yield batch_of(rows)
 
 
-def read_listed(listed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``root, path, content`` of listed files as bytes; content is null where it cannot be read."""
-    partitions = partitions or listed.sparkSession.sparkContext.defaultParallelism
-    return listed.select("root", "path").repartition(partitions, "path").mapInArrow(
+def read_listed(listed: DataFrame) -> DataFrame:
+    """``root, path, content`` of files listed with their ``size``, as bytes; content is null where it cannot be read.
+
+    The number of tasks follows from the listed bytes: a task opens about ``TASK_BYTES``, and
+    a failed one reads no more than that again.
+    """
+    total = listed.agg(F.sum(F.col("size") + F.lit(4096))).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    return listed.select("root", "path").repartition(int(tasks), F.xxhash64("path")).mapInArrow(
         _read, "root string, path string, content binary")
 
 

@@ -31,7 +31,12 @@ _FACTS = ("is_root", "has_manifest", "has_assets", "has_settings", "has_csproj")
 
 def project_type(manifest: Column, has_manifest: Column, has_assets: Column, has_settings: Column,
                  has_csproj: Column) -> Column:
-    parsed = F.from_json(manifest, "dependencies map<string,string>, devDependencies map<string,string>")
+    # the whole text must be one JSON value: boxed in two ways, nothing before or after it parses
+    inner = "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
+    strict = {"allowSingleQuotes": "false"}
+    boxed = F.from_json(F.concat(F.lit('{"x":'), manifest, F.lit("}")), f"struct<x:{inner}>", strict)["x"]
+    listed = F.from_json(F.concat(F.lit("["), manifest, F.lit("]")), f"array<{inner}>", strict)
+    parsed = F.when(listed.isNotNull(), boxed)
 
     def uses(package: str) -> Column:
         return F.coalesce(F.map_contains_key(parsed["dependencies"], package), F.lit(False)) | F.coalesce(
@@ -72,9 +77,11 @@ def discover(listing: DataFrame, manifests: DataFrame, base_url: str) -> DataFra
     """
     found = directory_facts(listing).where("is_root")
     selves = found.where("is_self")
-    below = found.where(~F.col("is_self")).join(selves.select("root"), "root", "left_anti")
+    taken = selves.select("root", F.lit(True).alias("taken"))
+    below = attach(found.where(~F.col("is_self")), taken, "root", spread_by=("path",)).where("taken IS NULL").drop("taken")
     projects = selves.unionByName(below)
-    text = manifests.select(F.col("project_path").alias("path"), F.col("content").alias("manifest"))
+    # roots may overlap: a manifest may be listed under several of them
+    text = manifests.groupBy(F.col("project_path").alias("path")).agg(F.min("content").alias("manifest"))
     typed = projects.join(text, "path", "left")
     name = base_name(F.col("path"))
     return typed.select(
@@ -110,21 +117,38 @@ def collect_globs(projects: DataFrame, user_globs=()) -> list[str]:
 
 
 def assign_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Files of ``files(root, path, ...)`` that lie in a project, with ``project_path`` and
-    ``project_name``. A file lies in its root if that is a project, else in a direct child."""
-    first = F.substring_index(relative_path(F.col("path"), F.col("root")), "/", 1)
-    child = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), first)
-    paths = projects.select(F.col("path").alias("project_path"), F.col("root").alias("project_root")).distinct()
-    selves = paths.where("project_path = project_root").select(F.col("project_root").alias("root"), "project_path")
-    placed = attach(files, selves, "root", spread_by=("path",))
-    placed = placed.withColumn("project_path", F.coalesce("project_path", child))
-    known = paths.select("project_path", F.lit(True).alias("is_project"))
-    placed = attach(placed, known, "project_path", spread_by=("path",)).where("is_project").drop("is_project")
+    """Rows of ``files(root, path, ...)`` that lie in a project, with ``project_path`` and
+    ``project_name``. A file lies in its root if that is a project, else in a direct child.
+
+    Roots may overlap: a row belongs to a project of its own root only. Give it narrow rows
+    (listings, findings): they are shuffled.
+    """
+    spread = ("path", "line_number") if "line_number" in files.columns else ("path",)
+    paths = projects.select("root", F.col("path").alias("project_path")).distinct()
+    selves = paths.where("project_path = root")
+    placed = attach(files, selves, "root", spread_by=spread)
+    placed = placed.withColumn("project_path", F.coalesce("project_path", child_of(F.col("path"), F.col("root"))))
+    known = paths.withColumn("is_project", F.lit(True))
+    placed = attach(placed, known, ("root", "project_path"), spread_by=spread).where("is_project").drop("is_project")
     return placed.withColumn("project_name", base_name(F.col("project_path")))
 
 
+def child_of(path: Column, root: Column) -> Column:
+    """The directory or file directly below ``root`` that ``path`` is or lies in."""
+    first = F.substring_index(relative_path(path, root), "/", 1)
+    return F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), first)
+
+
+def count_own_findings(projects: DataFrame, findings: DataFrame) -> DataFrame:
+    """``projects`` with ``findings_count``, each project's own: by scan root and project path."""
+    counts = findings.groupBy("root", F.col("project_path").alias("path")).agg(F.count("*").alias("findings_count"))
+    rest = [c for c in projects.columns if c != "findings_count"]
+    return (projects.select(*rest).join(counts, ["root", "path"], "left")
+            .select(*rest, F.coalesce("findings_count", F.lit(0)).cast("bigint").alias("findings_count")))
+
+
 def count_findings(projects: DataFrame, findings: DataFrame) -> DataFrame:
-    """``projects`` with ``findings_count`` by project name, zero where there are none.
+    """``projects`` with ``findings_count`` by project name, zero where there are none: the recount of filters.
 
     Findings are counted before they meet the projects, so a project holding most of
     them adds one row to the join like any other.

@@ -61,6 +61,10 @@ def test_project_types(spark):
     rows = [("a", '{"dependencies": {"react": "1"}}', True, False, False, False, "react"),
             ("b", '{"dependencies": {"react": "1"}, "devDependencies": {"next": "1"}}', True, False, False, False, "nextjs"),
             ("c", '{"dependencies": {"express": "1"}}', True, True, True, False, "node"), ("d", "{bad", True, False, False, False, "node"),
+            ("i", "{'dependencies': {'react': '1'}}", True, False, False, False, "node"),
+            ("j", '{"dependencies": {"react": "1"}} trailing', True, False, False, False, "node"),
+            ("k", '{"dependencies": {"react": "1"}}],[', True, False, False, False, "node"),
+            ("l", ' {"dependencies": {"react": "1"}, "files": ["a"]}\n', True, False, False, False, "react"),
             ("e", None, True, False, False, False, "node"), ("f", None, False, True, True, False, "unity"),
             ("g", None, False, False, False, True, "unity"), ("h", None, False, True, False, False, "unknown")]
     frame = spark.createDataFrame(rows, "k string, m string, a boolean, b boolean, c boolean, d boolean, want string")
@@ -106,20 +110,15 @@ def test_links(spark):
     assert [r[0] for r in frame.select(urls.is_valid_url(F.col("u"))).collect()] == list(checks.values())
 
 
-def test_salted_join_equals_broadcast_join(spark):
-    rows = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) AS k", "cast(id AS string) AS v")
-    facts = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3)], "k string, f int")
+def test_salted_join_equals_plain_join(spark):
+    rows = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) AS k", "id % 2 AS j", "cast(id AS string) AS v")
+    facts = spark.createDataFrame([("hot", 0, 1), ("hot", 1, 2), ("k1", 0, 3)], "k string, j bigint, f int")
     for how in ("left", "inner"):
-        small = joins.attach(rows, facts, "k", spread_by=("v",), how=how, small=True)
-        salted = joins.attach(rows, facts, "k", spread_by=("v",), how=how, small=False)
-        assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
-    assert joins.fits_broadcast(facts)
-
-
-def test_size_check_refuses_large_sides(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    assert joins.fits_broadcast(spark.range(10).selectExpr("id AS k"))
-    assert not joins.fits_broadcast(spark.range(11).selectExpr("id AS k"))
+        for on in ("k", ("k", "j")):
+            side = facts.select("k", "f") if on == "k" else facts
+            plain = rows.join(side, [on] if on == "k" else list(on), how)
+            salted = joins.attach(rows, side, on, spread_by=("v",), how=how)
+            assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_stored_table_is_in_the_shared_folder(spark):
@@ -190,8 +189,12 @@ def test_registered_language(spark):
     got = {(r["path"], r["line_number"]): (r["language"], r["data_being_sent"]) for r in detect(files, book).collect()}
     assert got[("/p/a.py", 1)] == ("Python", {"metric": "load"})
     assert set(got) == {("/p/a.py", 1), ("/p/a.ts", 2)}
-    assert [lang.name for lang in rules.languages_like(LIVE, "script")] == ["TypeScript/JavaScript"]
-    assert [lang.name for lang in rules.languages_like(LIVE, "c# and more")] == ["C#"]
+
+
+def test_language_lookup(spark):
+    names = spark.createDataFrame([("script",), ("c# and more",), ("c",), ("cobol",)], "name string")
+    got = {(r["name"], r["language"]) for r in rules.languages_like(names).collect()}
+    assert got == {("script", "TypeScript/JavaScript"), ("c# and more", "C#"), ("c", "TypeScript/JavaScript"), ("c", "C#"), ("cobol", None)}
 
 
 def test_every_rule_is_reached_through_its_hints(spark):
@@ -215,3 +218,103 @@ def test_every_rule_is_reached_through_its_hints(spark):
     for path, lines in made.items():
         for number, (name, _) in enumerate(lines, 1):
             assert (path, number, name) in got, (path, number, name)
+
+
+def test_files_may_be_bytes_with_any_line_end(spark):
+    from beaconaudit.plans.scan import scan_files
+    text = "x\r\nlogger.info('x')\rlogger.error('y')\r\nz"
+    for content, kind in ((text, "string"), (text.encode(), "binary"), (text.replace("x'", "é'").encode("latin-1"), "binary")):
+        files = spark.createDataFrame([("/p", "/p/a.ts", content)], f"project_path string, path string, content {kind}")
+        found = scan_files(files, base_url=BASE).collect()
+        assert sorted(r["line_number"] for r in found) == [2, 3]
+        assert not any("\r" in line for r in found for line in r["context_lines"])
+
+
+@pytest.fixture(scope="module")
+def nested(spark):
+    """Roots that overlap, and two projects of one name in different roots."""
+    rows = [("/w", "/w/app/package.json", "{}"), ("/w/app", "/w/app/package.json", "{}"), ("/a", "/a/web/package.json", "{}"), ("/b", "/b/web/package.json", "{}"),
+            ("/w", "/w/app/x.ts", "logger.info('x')"), ("/w/app", "/w/app/x.ts", "logger.info('x')"),
+            ("/a", "/a/web/x.ts", "logger.info('x')\nlogger.info('y')"), ("/b", "/b/web/x.ts", "logger.info('z')")]
+    files = spark.createDataFrame(rows, "root string, path string, content string")
+    return scan(files.select("root", "path", F.lit(False).alias("is_dir")), files, base_url=BASE)
+
+
+def test_overlapping_roots_and_namesakes(nested):
+    counts = sorted((r["root"], r["path"], r["findings_count"]) for r in nested.projects.collect())
+    assert counts == [("/a", "/a/web", 2), ("/b", "/b/web", 1), ("/w", "/w/app", 1), ("/w/app", "/w/app", 1)]
+    assert nested.findings.count() == 5 and nested.total_files.first()[0] == 4
+
+
+def test_two_rows_of_repository_facts_do_not_repeat_findings(spark):
+    from beaconaudit.plans.scan import scan_files
+    files = spark.createDataFrame([("/r/p", "/r/p/a.ts", "logger.info('x')")], "project_path string, path string, content string")
+    meta = spark.createDataFrame([("/r/p", "b", None, None, None), ("/r/p", "a", None, None, None)], repos.REPO_META)
+    assert [r["github_url"] for r in scan_files(files, meta, base_url=BASE).collect()] == [f"{BASE}/p/blob/a/a.ts#L1"]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_results_of_a_scan_do_not_scan_again(nested, monkeypatch):
+    """Detection leaves its mark in a plan, the context slices; counts and sinks hold none of it."""
+    from beaconaudit.sinks import exports
+    assert "inline" not in _plan(nested.findings) and "Generate" not in _plan(nested.findings)
+    assert "symbol_test" not in _plan(nested.projects) and "Generate inline" not in _plan(nested.projects)
+    assert "Generate inline" not in _plan(exports.document_lines(nested.projects, nested.findings, nested.total_files, 0.0))
+
+
+def test_no_join_or_exchange_carries_file_contents(spark, monkeypatch):
+    """What ``scan`` stores as findings: below the detection nothing but the files, above it no contents."""
+    from beaconaudit.plans import scan as module
+    kept = []
+    monkeypatch.setattr(module, "stored", lambda frame: kept.append(frame) or stored(frame))
+    files = spark.createDataFrame([("/r", "/r/web/package.json", "{}"), ("/r", "/r/web/a.ts", "logger.info(1)")], "root string, path string, content string")
+    module.scan(files.select("root", "path", F.lit(False).alias("is_dir")), files, base_url=BASE)
+    plan = kept[-1]._jdf.queryExecution().executedPlan().toString()
+    joins_and_exchanges = [line for line in plan.splitlines() if "Join" in line or "Exchange" in line]
+    assert joins_and_exchanges and "Generate" in plan
+    below = plan[plan.index("Generate inline"):]
+    assert "Join" not in below.split("Scan")[0].split("LocalTable")[0]
+    assert not any("content#" in line for line in joins_and_exchanges)
+
+
+def test_deep_and_wide_trees(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_ENTRIES", 7)
+    deep = tmp_path
+    for i in range(12):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        for j in range(5):
+            (deep / f"f{j}.ts").write_text("x" * (i + j))
+    listed = corpus.list_tree(spark, [str(tmp_path)])
+    rows = {r["path"]: (r["is_dir"], r["size"]) for r in listed.collect()}
+    expected = {str(p): (p.is_dir(), 0 if p.is_dir() else p.stat().st_size) for p in tmp_path.rglob("*")} | {str(tmp_path): (True, 0)}
+    assert rows == expected and listed.count() == len(expected)
+    files = listed.where("NOT is_dir")
+    monkeypatch.setattr(corpus, "TASK_BYTES", 50_000)
+    read = corpus.read_listed(files)
+    assert read.rdd.getNumPartitions() == -(-files.selectExpr("sum(size + 4096)").first()[0] // 50_000)
+    assert {r["path"]: len(r["content"]) for r in read.collect()} == {p: s for p, (d, s) in rows.items() if not d}
+
+
+def test_files_beyond_a_cell_are_unreadable(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.ts").write_text("12345")
+    batch = corpus.pa.RecordBatch.from_pylist([{"root": "r", "path": str(tmp_path / "a.ts")}])
+    monkeypatch.setattr(corpus, "MOST_BYTES", 4)
+    assert [b["content"].to_pylist() for b in corpus._read(iter([batch]))] == [[None]]
+
+
+def test_more_families_than_any_packing_holds(spark):
+    book = register_rules(LIVE, "Many", [".many"], [
+        {"name": f"f{i}", "operation": "custom_attribute", "patterns": [rf"\bw{i}\b"], "hints": ["w"]} for i in range(1030)])
+    files = spark.createDataFrame([("/p/a.many", "w1027 w1029\nw3")], "path string, content string")
+    assert {r["line_number"]: r["family"] for r in detect(files, book).collect()} == {1: "f1027", 2: "f3"}
+
+
+def test_only_wanted_columns_are_built(spark):
+    files = spark.createDataFrame([("/p/a.ts", "logger.info('x')")], "path string, content string")
+    found = detect(files, wanted=("line_number", "operation_type"))
+    assert found.columns == ["path", "language", "line_number", "operation_type"]
+    assert "context_lines" not in _plan(found) and "context_lines" in _plan(detect(files))
