@@ -131,39 +131,39 @@ def balanced_head(tail: str) -> str:
                 otherwise=f"substring({tail}, 1, {cut})")
 
 
-def _before(line: str, start: str) -> str:
-    return f"substring({line}, greatest({start} - {BEFORE}, 0) + 1, least({start}, {BEFORE}))"
+# A use is a struct ``x``: where it starts and ends, its text, the text just before it (``back``)
+# and from it on (``ahead``), what follows it (``after``), and its call (``head``). ``at`` holds
+# what is the same for all uses of a line. Nothing here reads more of a line than that.
 
+_BEFORE = f"right(x.back, {BEFORE})"
+_PREFIX = strip("x.back")
 
-def call_context(line: str, start: str, tail: str, head: str) -> str:
-    """The call at ``start`` with a little text before it; the whole line if it opens no parenthesis."""
-    return case((f"{head} IS NULL", strip(line)), otherwise=strip(f"concat({_before(line, start)}, {head})"))
 
+def call_context(line: str) -> str:
+    """The call with a little text before it; the whole line if it opens no parenthesis."""
+    return case(("x.head IS NULL", "at.whole"), otherwise=strip(f"concat({_BEFORE}, x.head)"))
 
-def type_context(line: str, start: str, tail: str, head: str) -> str:
-    """Like a call context when a parenthesis is near, else a window around ``start``."""
-    near = f"left({tail}, {TYPE_REACH})"
-    return strip(f"concat({_before(line, start)}, if(contains({near}, '('), {head}, {near}))")
 
+def type_context(line: str) -> str:
+    """Like a call context when a parenthesis is near, else a window around the start."""
+    near = f"left(x.ahead, {TYPE_REACH})"
+    return strip(f"concat({_BEFORE}, if(contains({near}, '('), x.head, {near}))")
 
-def call_type(line: str, start: str, tail: str, text: str) -> str:
-    prefix = strip(f"substring({line}, 1, {start})")
-    return case((f"endswith({prefix}, '=')", "'assignment'"), (f"contains({prefix}, '.')", "'method_call'"),
-                (f"contains(left({tail}, {CALL_REACH}), '(')", "'function_call'"), otherwise="'reference'")
 
+def call_type(line: str) -> str:
+    return case((f"endswith({_PREFIX}, '=')", "'assignment'"), ("at.dot BETWEEN 1 AND x.match_start", "'method_call'"),
+                (f"contains(left(x.ahead, {CALL_REACH}), '(')", "'function_call'"), otherwise="'reference'")
 
-def legacy_call_type(line: str, start: str, tail: str, text: str) -> str:
-    prefix = strip(f"substring({line}, 1, {start})")
-    return case((f"endswith({prefix}, '.')", "'method_call'"), (f"endswith({prefix}, '=')", "'assignment'"),
-                (f"contains(right({prefix}, {BEFORE}), 'new ')", "'constructor'"), otherwise="'function_call'")
 
+def legacy_call_type(line: str) -> str:
+    return case((f"endswith({_PREFIX}, '.')", "'method_call'"), (f"endswith({_PREFIX}, '=')", "'assignment'"),
+                (f"contains(right({_PREFIX}, {BEFORE}), 'new ')", "'constructor'"), otherwise="'function_call'")
 
-def usage_type(line: str, start: str, tail: str, text: str) -> str:
-    after = f"substring({tail}, length({text}) + 1, {MEMBER_REACH})"
-    before = _before(line, start)
-    return case((f"contains({after}, '(')", "'method_call'"), (f"contains({text}, '.')", "'property_access'"),
-                (f"{before} RLIKE 'new |var |public |private '", "'declaration'"),
-                (f"endswith({strip(before)}, '=')", "'assignment'"), otherwise="'reference'")
+
+def usage_type(line: str) -> str:
+    return case((f"contains(left(x.after, {MEMBER_REACH}), '(')", "'method_call'"), ("contains(x.text, '.')", "'property_access'"),
+                (f"{_BEFORE} RLIKE 'new |var |public |private '", "'declaration'"),
+                (f"endswith({strip(_BEFORE)}, '=')", "'assignment'"), otherwise="'reference'")
 
 
 def call_parameters(context: str) -> str:
@@ -178,8 +178,8 @@ class Style:
     symbols: Callable[[str], str]
     finders: tuple[tuple[str, str], ...]
     has_member: bool
-    context: Callable[[str, str, str, str], str]
-    kind: Callable[[str, str, str, str], str]
+    context: Callable[[str], str]
+    kind: Callable[[str], str]
     record: tuple[str, ...]
     gated: bool
     operation: Callable[[str, str], str]
@@ -213,25 +213,53 @@ def line_test(style: Style, symbols: str) -> str:
     return case((f"size({symbols}) > 0", test))
 
 
+# Pieces of a line are its matches and the gaps between them. Matches are not empty, so this many
+# pieces hold all the text a use is judged by; each piece is cut to that length first.
+REACH = TYPE_REACH + BEFORE
+_FEW, _MANY = 2 * BEFORE + 2, 2 * REACH
+
+
+def _running(lengths: str) -> str:
+    """Sums of the first 1, 2, ... of an array of numbers, in two levels: linear time but for a block's square."""
+    block = 128
+    inner = "aggregate(part, array(0), (acc, n) -> array_append(acc, element_at(acc, -1) + n))"
+    parts = f"transform(sequence(0, greatest(size(ls) - 1, 0) div {block}), b -> slice(ls, b * {block} + 1, {block}))"
+    sums = f"transform({parts}, part -> slice({inner}, 2, {block}))"
+    starts = "aggregate(blocks, array(0), (acc, block) -> array_append(acc, element_at(acc, -1) + coalesce(element_at(block, -1), 0)))"
+    shifted = f"transform(array({starts}), firsts -> flatten(transform(blocks, (block, b) -> transform(block, n -> n + firsts[b]))))[0]"
+    return f"transform(array({lengths}), ls -> transform(array({sums}), blocks -> {shifted})[0])[0]"
+
+
 def _matches(line: str, name: str, finder_ord: int, finder: tuple[str, str], has_member: bool) -> str:
-    """Non-overlapping matches of a finder with their offsets, left to right.
+    """Non-overlapping matches of a finder with their offsets and surroundings, left to right.
 
-    Splitting at a finder gives the text between its matches, so running lengths of
-    the pieces and the matches are offsets.
+    Splitting at a finder gives the text between its matches; what stands around a match is
+    put together from the pieces next to it. A look-ahead in the pattern takes a match's call
+    along, so that no text is searched once per match.
     """
     before, after = finder
-    pattern = f"concat({lit('(?isU)' + before)}, {_quote(name)}, {lit(after)})"
+    head = _CALL_HEAD.removeprefix("(?s)^")
+    pattern = f"concat({lit(f'(?isU)(?=({head})?)' + before)}, {_quote(name)}, {lit(after)})"
     found = f"regexp_extract_all({line}, {pattern}, 0)"
-    members = f"regexp_extract_all({line}, {pattern}, 1)" if has_member else "x.texts"
-    ends = ("aggregate(zip_with(x.texts, slice(x.gaps, 1, size(x.texts)), (t, g) -> length(t) + length(g)), array(0), "
-            "(acc, n) -> array_append(acc, element_at(acc, -1) + n))")
-    one = (f"named_struct('finder_ord', {finder_ord}, 'match_start', m.at - length(m.text), 'match_end', m.at, "
-           "'text', m.text, 'member', member)")
-    placed = f"zip_with(x.texts, slice({ends}, 2, size(x.texts)), (text, at) -> named_struct('text', text, 'at', at))"
+    members = f"regexp_extract_all({line}, {pattern}, 2)" if has_member else "x.texts"
+    heads = f"regexp_extract_all({line}, {pattern}, 1)"
+    # gap 0, match 0, gap 1, ...: match i is piece 2 i + 2, counted from 1
+    pieces = "flatten(zip_with(x.gaps, x.texts, (gap, text) -> array(gap, coalesce(text, ''))))"
+
+    def joined(first: str, count: int, cut: int) -> str:
+        return f"left(array_join(transform(slice(x.pieces, {first}, {count}), p -> left(p, {cut})), ''), {cut})"
+
+    ahead = f"if(length(text) >= {REACH}, left(text, {REACH}), {joined('2 * i + 2', _MANY, REACH)})"
+    back = f"array_join(slice(x.pieces, greatest(2 * i + 1 - {_FEW}, 1), least(2 * i + 1, {_FEW} + 1)), '')"
+    after_text = joined("2 * i + 3", _FEW, MEMBER_REACH) if has_member else "''"
+    ends = _running("zip_with(x.texts, slice(x.gaps, 1, size(x.texts)), (t, g) -> length(t) + length(g))")
+    one = (f"named_struct('finder_ord', {finder_ord}, 'match_start', x.ends[i] - length(text), 'match_end', x.ends[i], 'text', text, "
+           f"'member', x.members[i], 'call', x.heads[i], 'back', {back}, 'ahead', {ahead}, 'after', {after_text})")
     # most finders find nothing on a line: only those that do are split and placed
     parts = (f"transform(filter(array({found}), f -> size(f) > 0), "
-             f"f -> named_struct('texts', f, 'gaps', split({line}, {pattern}, -1)))")
-    return f"flatten(transform({parts}, x -> zip_with({placed}, {members}, (m, member) -> {one})))"
+             f"f -> named_struct('texts', f, 'gaps', split({line}, {pattern}, -1), 'heads', {heads}))")
+    parts = f"transform({parts}, x -> named_struct('texts', x.texts, 'heads', x.heads, 'members', {members}, 'ends', {ends}, 'pieces', {pieces}))"
+    return f"flatten(transform({parts}, x -> transform(x.texts, (text, i) -> {one})))"
 
 
 USE_FIELDS = ("symbol_ord", "finder_ord", "match_start", "match_end", "name", "origin", "member", "context",
@@ -242,10 +270,12 @@ def usages(style: Style, line: str, low: str, symbols: str) -> str:
     """All uses of the symbols on a line, in order of symbol, finder and position.
 
     Built in steps, each an array of structs over the one before, so that no value is
-    computed twice: match, text from the match on, its call, kind, arguments, length.
+    computed twice: match, its call, context and kind, arguments, length. The time of a line
+    grows with its length and its uses, but where a call nests deeper than the pattern goes.
     """
     per_finder = ", ".join(_matches(line, "s.name", n, f, style.has_member) for n, f in enumerate(style.finders))
-    fields = ["symbol_ord", "finder_ord", "match_start", "match_end", "name", "origin", "member", "text"]
+    around = ["call", "back", "ahead", "after"]
+    fields = ["symbol_ord", "finder_ord", "match_start", "match_end", "name", "origin", "member", "text", *around]
 
     def keep(more: dict, source: list[str]) -> str:
         kept = [f"'{f}', x.{f}" for f in source]
@@ -256,16 +286,18 @@ def usages(style: Style, line: str, low: str, symbols: str) -> str:
     seen = f"if(contains({low}, {folded('s.name')}), concat({per_finder}), NULL)"
     numbered = f"transform({symbols}, (s, i) -> transform({seen}, m -> named_struct({match})))"
     out = f"flatten(filter({numbered}, found -> found IS NOT NULL))"
-    steps = [
-        {"tail": f"substring({line}, x.match_start + 1)"},
-        {"head": balanced_head("x.tail")},
-        {"context": style.context(line, "x.match_start", "x.tail", "x.head"),
-         "kind": style.kind(line, "x.match_start", "x.tail", "x.text")},
-    ]
+    # the call, unless it nests deeper than the pattern follows or nothing closes it
+    head = case(("at.last <= x.match_start", "NULL"), ("x.call != ''", "x.call"),
+                otherwise=f"transform(array(substring({line}, x.match_start + 1)), tail -> {balanced_head('tail')})[0]")
+    steps = [{"head": head}, {"context": style.context(line), "kind": style.kind(line)}]
     for more in steps:
         out = f"transform({out}, x -> {keep(more, fields)})"
         fields = fields + list(more)
-    fields = [f for f in fields if f not in ("text", "tail", "head")]
+    # of the line: its first full stop, its last opening parenthesis, and itself without outer blanks
+    whole = (f"named_struct('dot', instr({line}, '.'), 'last', if(contains({line}, '('), length({line}) - instr(reverse({line}), '(') + 1, 0), "
+             f"'whole', {strip(line)})")
+    out = f"transform(array({whole}), at -> {out})[0]"
+    fields = [f for f in fields if f not in ("text", "head", *around)]
     arguments = call_parameters("x.context")
     if style.gated:
         arguments = case(("x.kind IN ('function_call', 'method_call')", arguments))
