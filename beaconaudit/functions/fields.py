@@ -7,7 +7,7 @@ A key that is not present is left out of the record; a present key may hold '' o
 
 from __future__ import annotations
 
-from beaconaudit.functions.text import case, group, groups, lit, not_blank, strip
+from beaconaudit.functions.text import case, group, groups, lit, not_blank, strip, widened
 
 # The patterns that pick values out of a line. All are case-sensitive.
 IMPORTED_ITEMS = r"import\s+(\{[^}]+\}|\w+)"
@@ -41,7 +41,7 @@ TOKEN_MASK = "..."
 
 def u(pattern: str) -> str:
     """Unicode classes, and ``.`` over every character: lines hold no line feed."""
-    return "(?sU)" + pattern
+    return "(?sU)" + widened(pattern)
 
 
 def _found(key: str, value: str):

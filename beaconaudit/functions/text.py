@@ -26,6 +26,22 @@ _HIDDEN_ASTRAL = r"[\x{10000}-\x{10FFFF}&&[\p{Cf}\p{Co}\p{Cn}]]"
 _SPECIAL = "[" + "".join(f"\\x{c:02x}" for c in (*range(0x20), 0x27, 0x5C, *range(0x7F, 0xA1), 0xAD)) + r"\x{250}-\x{10FFFF}]"
 
 
+def widened(pattern: str) -> str:
+    """A pattern whose ``\\s`` also takes U+001C to U+001F, which Java's class leaves out and a strip removes."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            pair = pattern[i:i + 2]
+            out.append(pair if pair != r"\s" else r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]")
+            i += 2
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def lit(value: str) -> str:
     """A string literal, whatever its characters."""
     for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):

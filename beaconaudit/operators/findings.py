@@ -84,9 +84,9 @@ class Lines:
         """The array with just these fields."""
         return f"transform({self.array}, row -> {_struct(values)})"
 
-    def each(self, items: str, **values: str) -> str:
+    def each(self, items: str, with_line: bool = True, **values: str) -> str:
         """One struct per element of the line's own array ``items``, an element being ``item``."""
-        place = {f: f"row.{f}" for f in ("line_number", "line")}
+        place = {f: f"row.{f}" for f in ("line_number", "line")[:1 + with_line]}
         return f"flatten(transform({self.array}, row -> transform({items}, item -> {_struct({**place, **values})})))"
 
 
@@ -224,7 +224,7 @@ def symbol_usages(files: DataFrame, rulebook: Rulebook = LIVE) -> DataFrame:
         lines = candidates(language)
         firsts = ", ".join(f"row.{f}" for f in lines.fields if f.startswith("first_"))
         return lines.where(f"coalesce({firsts}) IS NULL").each(
-            _uses(_style(language)), **{f: f"item.{f}" for f in sym.USE_FIELDS})
+            _uses(_style(language)), with_line=False, **{f: f"item.{f}" for f in sym.USE_FIELDS})
 
     return _explode(files, rulebook, array_of)
 
@@ -239,10 +239,9 @@ def detect(files: DataFrame, rulebook: Rulebook = LIVE, context: int = CONTEXT,
     names the columns of a finding to build; what is not wanted is not computed.
     """
     first, last = f"greatest(row.line_number - {context}, 1)", f"least(row.line_number + {context}, size(lines))"
-    extracted = detailed_parameters("row.line") if rulebook.detailed else "NULL"
-
     def array_of(language: Language) -> str:
         style = _style(language)
+        extracted = detailed_parameters("row.line") if rulebook.detailed and language.details else "NULL"
 
         def either(by_rule: str, by_use) -> str:
             return case(("row.family_ord IS NOT NULL", by_rule), otherwise=by_use(style, "row.use")) if style else by_rule

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from beaconaudit.functions import labels
-from beaconaudit.functions.text import case, folded, group, groups, lit, not_blank, quoted_length, strip
+from beaconaudit.functions.text import case, folded, group, groups, lit, not_blank, quoted_length, strip, widened
 
 # Import statements and the names they bring along.
 NAMED_IMPORT = r"import\s+\{\s*([^}]+)\s*\}\s+from\s+['\"](@datadog/[^'\"]+)['\"]"
@@ -36,7 +36,7 @@ EMPTY = f"cast(array() AS {SYMBOLS})"
 
 
 def _flags(pattern: str) -> str:
-    return "(?isU)" + pattern
+    return "(?isU)" + widened(pattern)
 
 
 def _symbol(name: str, origin: str, import_type: str) -> str:
@@ -206,10 +206,10 @@ def line_test(style: Style, symbols: str) -> str:
     """One pattern per file that a line matches exactly if it uses one of the symbols; null if there are none."""
     names = f"array_join(transform({symbols}, s -> {_quote('s.name')}), '|')"
     if style.has_member:
-        test = f"concat({lit(r'(?isU)' + chr(92) + 'b(?:')}, {names}, {lit(r')(?:\.|\s+)\w')})"
+        test = f"concat({lit(r'(?isU)' + chr(92) + 'b(?:')}, {names}, {lit(widened(r')(?:\.|\s+)\w'))})"
     else:
         parts = (r"(?isU)(?:\b(?:", names), (r")(?:\s*\(|\b(?!\s*:))|\.\s*(?:", names)
-        test = "concat(" + ", ".join(f"{lit(a)}, {b}" for a, b in parts) + f", {lit(r')\s*\()')})"
+        test = "concat(" + ", ".join(f"{lit(widened(a))}, {b}" for a, b in parts) + f", {lit(widened(r')\s*\()'))})"
     return case((f"size({symbols}) > 0", test))
 
 
@@ -239,7 +239,7 @@ def _matches(line: str, name: str, finder_ord: int, finder: tuple[str, str], has
     """
     before, after = finder
     head = _CALL_HEAD.removeprefix("(?s)^")
-    pattern = f"concat({lit(f'(?isU)(?=({head})?)' + before)}, {_quote(name)}, {lit(after)})"
+    pattern = f"concat({lit(f'(?isU)(?=({head}|))' + widened(before))}, {_quote(name)}, {lit(widened(after))})"
     found = f"regexp_extract_all({line}, {pattern}, 0)"
     members = f"regexp_extract_all({line}, {pattern}, 2)" if has_member else "x.texts"
     heads = f"regexp_extract_all({line}, {pattern}, 1)"

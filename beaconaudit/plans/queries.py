@@ -6,6 +6,8 @@ directories from all customers and suppliers.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit import derived, rules
@@ -710,6 +712,13 @@ def language_lookup(spark, sf):
     return rules.languages_like(names)
 
 
+@query
+def live_detailed(spark, sf):
+    """A live rulebook asked for details has none: its detectors never take arguments apart."""
+    found = ops.detect(derived.files(spark, sf).drop("project_path"), replace(rules.LIVE, detailed=True), wanted=("line_number", "extracted_parameters"))
+    return found.groupBy("language").agg(F.count("*").alias("lines"), F.count("extracted_parameters").alias("detailed"))
+
+
 @query
 def registered_rules(spark, sf):
     """A language added by data: alarm words in the derived text files."""

@@ -18,10 +18,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from beaconaudit.functions import fields
+from beaconaudit.functions.text import widened
 
 
 def ci(pattern: str) -> str:
-    return "(?isU)" + pattern
+    return "(?isU)" + widened(pattern)
 
 
 def any_of(patterns) -> str:
@@ -49,12 +50,14 @@ class Family:
 
 @dataclass(frozen=True)
 class Language:
-    """``symbols`` names the import style whose symbols are followed (``operators.symbols``)."""
+    """``symbols`` names the import style whose symbols are followed (``operators.symbols``);
+    ``details`` says whether a detailed rulebook takes this language's arguments apart."""
 
     name: str
     extensions: tuple[str, ...]
     families: tuple[Family, ...]
     symbols: str | None = None
+    details: bool = False
 
 
 @dataclass(frozen=True)
@@ -296,7 +299,7 @@ LEGACY_WEB = Language(
         "rum_timing": fields.legacy_call,
         **dict.fromkeys(("log_info", "log_error", "log_warn", "log_debug"), fields.legacy_log),
     }, LEGACY_GESTURES, gesture_key="action_name"),
-    symbols="legacy",
+    symbols="legacy", details=True,
 )
 
 LIVE = Rulebook((WEB, UNITY))

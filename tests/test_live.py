@@ -187,3 +187,41 @@ def test_lines_keep_the_empty_last_one(spark):
     frame = spark.createDataFrame([("a\nb\n",)], "content string")
     assert [(r["line_number"], r["line"]) for r in explode_lines(frame).collect()] == [(1, "a"), (2, "b"), (3, "")]
     assert LIVE.extensions() == [".cs", ".js", ".jsx", ".ts", ".tsx"]
+
+
+def test_information_separators_are_blanks(detect_text):
+    assert detect_text("logger.info\x1c('x')")[1]["operation_type"] == "log_info"
+    assert detect_text("datadogRum.init\x1f(x)")[1]["operation_type"] == "initialisation"
+
+
+def test_widened_patterns():
+    from beaconaudit.functions.text import widened
+    assert widened(r"a\s*[^\s(]\\s\w") == r"a[\s\x1c-\x1f]*[^\s\x1c-\x1f(]\\s\w"
+
+
+def test_a_live_rulebook_has_no_details(detect_text):
+    from dataclasses import replace
+    assert detect_text("datadogRum.addAction('a', { b: 'c' })", rulebook=replace(LIVE, detailed=True))[1]["extracted_parameters"] is None
+
+
+def test_uses_on_a_long_line(spark):
+    """A line of a megabyte: every use is found, at its place, and twice the line takes about twice the time."""
+    import time
+    took = []
+    for n in (12_000, 24_000):
+        text = "import foo from '@datadog/x';\n" + "foo(x, 1, 2);" * n
+        files = spark.createDataFrame([("/p/a.ts", text)], "path string, content string")
+        start = time.time()
+        used = ops.symbol_usages(files).where("finder_ord = 0 AND line_number = 2").selectExpr(
+            "count(*) AS n", "sum(match_start) AS places", "count_if(context LIKE '%foo(x, 1, 2)') AS calls").first()
+        took.append(time.time() - start)
+        assert tuple(used) == (n, 13 * n * (n - 1) // 2, n)
+    assert took[1] < 3.2 * took[0] + 2
+
+
+def test_surroundings_of_uses_across_short_pieces(detect_text):
+    line = "y=a.b(1);" * 9
+    rows = detect_text("import b from '@datadog/x';\n" + line + "\nnew  b\n   b = b\nb((((((1))))))\nb(((\n")
+    assert rows[2]["data_being_sent"]["call_context"] == "a.b(1);y=a.b(1)" and rows[2]["data_being_sent"]["call_type"] == "method_call"
+    assert rows[5]["data_being_sent"]["call_context"] == "b((((((1))))))"
+    assert rows[6]["data_being_sent"]["call_context"] == "b("
