@@ -8,9 +8,10 @@ their sets reaches the threshold. Of each component of such lines the earliest s
 
 1. Hashes of bands are counted over the corpus; those seen twice go into a bitmap of bounded size.
 2. A second pass keeps the lines that have such a band: most lines have none and go no further.
-3. In a bucket (all lines of a band) the smallest line is compared with each other line. What the
-   components then leave apart within a bucket is compared pair by pair. So every candidate pair is
-   verified or already connected, without all pairs of a group of near copies.
+3. In a bucket (all lines of a band) the smallest line is compared with each other line. The first
+   two bands connect most of what is similar; in all bands a connected group then goes as one line,
+   its smallest in the bucket. So a group of near copies costs a few pairs per line, not all
+   its pairs, and two groups that a link joins meet once in every bucket they share.
 4. Components, the earliest place of each, and the removals meet as narrow rows. Only texts that
    lose a line (again by bitmap, then exactly) meet their removals in a shuffle.
 
@@ -30,23 +31,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import hash_set
+from beaconaudit.llm.bits import HashSet, hash_set
 from beaconaudit.llm.common import fresh, partitions
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares one of 20 bands of 6 with probability 0.998.
-BANDS = 20
+#: A pair at the threshold shares one of 16 bands of 6 with probability 0.992, one at 0.85 with 0.9995.
+BANDS = 16
 ROWS = 6
 MIN_CHARS = 20
 #: Characters of lines whose signatures are computed at once.
 CHUNK_CHARS = 2_000_000
 
-_BINS = BANDS * ROWS
+#: Bins of a signature, of which the bands use the first.
+BINS = 128
+#: Bands whose buckets are looked at first; what they connect is not compared again in the others.
+FIRST_BANDS = 2
+#: Bins of which a byte is kept to tell clearly different lines.
+KEPT_BINS = 64
+
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def shingles(line: str) -> set[str]:
@@ -64,46 +72,67 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """The hashes (uint64) of each line's bands; lines must have a shingle's length."""
+#: Where an empty bin looks for a value, turn by turn; the same for all lines.
+_SOURCES = [(_mixed((np.arange(BINS, dtype=np.uint64) + np.uint64(1 + BINS * turn)) * _MUL[1]) >> np.uint64(33)) % np.uint64(BINS)
+            for turn in range(1, 513)]
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines that have a shingle: a minimum per bin (uint32), and how many of the kept bins had a value of their own."""
     n = len(lines)
     size = np.fromiter(map(len, lines), np.int64, n)
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     # a shingle's hash at its first character; those that leave their line belong to no line
-    h = chars[:len(chars) - SHINGLE + 1] * _MUL[0]
+    h = chars[:len(chars) - SHINGLE + 1] * _ODD[0]
     for k in range(1, SHINGLE):
-        h = (h ^ (h >> np.uint64(32))) * _MUL[k] + chars[k:len(chars) - SHINGLE + 1 + k]
-    h = _mixed(h)
+        h ^= h >> np.uint32(15)
+        h *= _ODD[k]
+        h += chars[k:len(chars) - SHINGLE + 1 + k]
+    for k in (1, 2):
+        h ^= h >> np.uint32(16)
+        h *= _ODD[k]
+    h ^= h >> np.uint32(15)
     start = np.cumsum(size) - size
-    count = size - SHINGLE + 1
     inside = np.ones(len(h), bool)
     for k in range(1, SHINGLE):
         inside[(start[1:] - k)] = False
     h = h[inside]
-    line = np.repeat(np.arange(n), count)
-    # the high part of h says which bin, all of it is the value
-    cell = line * _BINS + ((h >> np.uint64(40)) * np.uint64(_BINS) >> np.uint64(24)).astype(np.int64)
-    least = np.full(n * _BINS, _EMPTY)
-    np.minimum.at(least, cell, _mixed(h * _MUL[2]))
-    least = least.reshape(n, _BINS)
+    # the low bits say which bin; within a bin the high ones decide
+    cell = np.repeat(np.arange(n) * BINS, size - SHINGLE + 1)
+    cell += h & np.uint32(BINS - 1)
+    least = np.full(n * BINS, _EMPTY)
+    np.minimum.at(least, cell, h)
+    least = least.reshape(n, BINS)
     filled = least != _EMPTY
     signature = least.copy()
-    column, turn = np.arange(_BINS, dtype=np.uint64), 0
-    need = ~filled
-    while need.any():
+    row, col = np.nonzero(~filled)
+    turn = 0
+    while len(row):
+        source = _SOURCES[turn % len(_SOURCES)].astype(np.int64)[col]
+        if turn >= len(_SOURCES):  # hardly ever: a line with one shingle or two
+            source = (source + turn) % BINS
         turn += 1
-        source = _mixed((column + np.uint64(1) + np.uint64(_BINS * turn)) * _MUL[1]) >> np.uint64(33)
-        source = (source % np.uint64(_BINS)).astype(np.int64)
-        take = need & filled[:, source]
-        row, col = np.nonzero(take)
-        signature[row, col] = least[row, source[col]] + np.uint64(turn)
-        need &= ~take
-    out = np.zeros((n, BANDS), np.uint64)
+        good = filled[row, source]
+        r, c = row[good], col[good]
+        signature[r, c] = least[r, source[good]] + np.uint32(turn)
+        row, col = row[~good], col[~good]
+    return signature, filled[:, :KEPT_BINS].sum(axis=1, dtype=np.int32)
+
+
+def bands(signature: np.ndarray) -> np.ndarray:
+    """The hashes (uint64) of each signature's bands."""
+    wide = signature[:, :BANDS * ROWS].astype(np.uint64)
+    out = np.zeros((len(signature), BANDS), np.uint64)
     for k in range(ROWS):
-        out = _mixed((out + signature[:, k::ROWS]) * _MUL[k % 5] + np.uint64(k + 1))
+        out = _mixed((out + wide[:, k::ROWS]) * _MUL[k % 5] + np.uint64(k + 1))
     return _mixed(out + np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL[0])
 
 
+def short_signatures(signature: np.ndarray) -> np.ndarray:
+    """One byte of each of some bins: enough to tell clearly different lines."""
+    return ((signature[:, :KEPT_BINS] * _ODD[3]) >> np.uint32(24)).astype(np.uint8)
+
+
 def lines_of(text: str) -> list[tuple[int, str]]:
     """The lines that take part: number and normal form."""
     found = ((i, line.strip()) for i, line in enumerate(text.lower().split("\n")))
@@ -138,26 +167,41 @@ def _line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
+def _key(line_id: bytes) -> int:
+    """A number for an id, in rows of buckets; ids decide where two have one number."""
+    return int.from_bytes(line_id[:8], "big", signed=True)
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """A row per line that shares a band: doc_id, tie, line, id; the first in its chunk has text and bands too."""
+    """A row per line that shares a band: doc_id, tie, line, id, key.
+
+    The first in its chunk has its signature, filled bins and shared bands too (``first``: of the first bands).
+    """
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, lines in _chunks(batches):
             some, of = _distinct(lines)
             if not some:
                 continue
-            value = bands(some)
+            value = bands(signatures(some)[0])
             often = np.bincount(of)
             value, first, times = np.unique(value.ravel(), return_index=True, return_counts=True)
             again = (times > 1) | (often[first // BANDS] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(again)], names=["band", "again"])
+            # a band that the chunk has twice is sent twice: more does not matter
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([value, value[again]]).view(np.int64))], names=["band"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()), ("text", pa.string()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()), ("key", pa.int64()),
+                            ("signature", pa.binary()), ("filled", pa.int32()), ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for docs, ties, numbers, lines in _chunks(batches):
             some, of = _distinct(lines)
             if not some:
                 continue
-            value = bands(some)
+            signature, filled = signatures(some)
+            value, short = bands(signature), short_signatures(signature)
             held = repeated.holds(value.ravel()).reshape(value.shape)
             rows = np.flatnonzero(held.any(axis=1)[of])
             if not len(rows):
@@ -167,20 +211,48 @@ def candidates(documents: DataFrame) -> DataFrame:
             out = []
             for r in rows.tolist():
                 i = int(of[r])
-                new = i not in seen
+                more = (None,) * 4
+                if i not in seen:
+                    both = [value[i][:n][held[i][:n]].view(np.int64) for n in (FIRST_BANDS, BANDS)]
+                    more = (short[i].tobytes(), int(filled[i]), *both)
                 seen.add(i)
-                out.append((docs[r], ties[r], numbers[r], ids[i], some[i] if new else None, value[i][held[i]].view(np.int64) if new else None))
+                out.append((docs[r], ties[r], numbers[r], ids[i], _key(ids[i]), *more))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    twice = (rows.mapInArrow(hashes, "band long, again boolean").groupBy("band")
-             .agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("band"))
+    rows = _rows(documents)
+    twice = rows.mapInArrow(hashes, "band long").groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     repeated = hash_set(stored(twice))
-    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, text string, bands array<long>"))
+    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, key long, signature binary, filled int, "
+                                          "first array<long>, bands array<long>"))
+
+
+def _texts(documents: DataFrame, wanted: HashSet) -> DataFrame:
+    """(id, text) of the lines whose key is in the set, by another pass over the documents."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, lines in _chunks(batches):
+            some = list(dict.fromkeys(lines))
+            ids = [_line_id(line) for line in some]
+            keep = np.flatnonzero(wanted.holds(np.array([_key(i) for i in ids], np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep.tolist()], pa.binary()), pa.array([some[i] for i in keep.tolist()], pa.string())], names=["id", "text"])
+
+    return _rows(documents).mapInArrow(found, "id binary, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines reach the threshold."""
+def _verified(pairs: DataFrame, lines: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the ids of the pairs of keys whose lines reach the threshold.
+
+    First by signature: a pair stops if its share of equal bins is five standard deviations below the
+    threshold, as counted over the bins that have a value of their own. Texts decide on the others.
+    """
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, KEPT_BINS) for c in ("signature_a", "signature_b"))
+            own = np.maximum(1, np.minimum(*(batch[c].to_numpy(zero_copy_only=False) for c in ("filled_a", "filled_b"))))
+            least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / own)
+            yield batch.select(["id_a", "id_b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[str]] = {}
 
@@ -198,42 +270,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 least, most = sorted((len(x), len(y)))
                 shared = len(x & y) if least >= threshold * most else 0
                 keep.append(shared >= threshold * (least + most - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a binary, b binary")
-
-
-def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of the lines of ``candidates`` that are similar to another line with a smaller id."""
-    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(F.first("text").alias("text"), F.first("bands").alias("bands")))
-    texts = lines.select("id", "text")
-    buckets = lines.select("id", F.explode("bands").alias("band"))
-    least = F.min("id").over(Window.partitionBy("band"))
-    buckets = stored(buckets.withColumn("a", least).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").drop("n"))
-    stars = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(_verified(stars, texts, threshold))
-    roots = components(links)
-    # buckets that several components share: the pairs between them that no star has compared
-    top = (buckets.join(roots.withColumnRenamed("node", "id"), "id", "left")
-           .select("band", "a", "id", F.coalesce("root", "id").alias("top")))
-    open_ = top.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low != high").select("band")
-    apart = stored(top.join(open_, "band").where("id != a"))
-    other = apart.select("band", F.col("id").alias("b"), F.col("top").alias("top_b"))
-    rest = apart.select("band", "id", "top").join(other, "band").where("top < top_b").select(F.col("id").alias("a"), "b").distinct()
-    more = stored(_verified(rest, texts, threshold))
-    return components(links.unionByName(more)) if not more.isEmpty() else roots
+            yield batch.select(["id_a", "id_b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs
+    for side in "ab":
+        some = some.join(lines.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "signature", "filled"))), side)
+    some = stored(some.select("id_a", "signature_a", "filled_a", "id_b", "signature_b", "filled_b").mapInArrow(likely, "id_a binary, id_b binary"))
+    ends = some.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    keys = ends.select(F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long").alias("key"))
+    texts = stored(_texts(documents, hash_set(stored(keys))))
+    for side in "ab":
+        some = some.join(texts.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
+    return some.select("id_a", "id_b", "text_a", "text_b").mapInArrow(similar, "id_a binary, id_b binary")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys: in every bucket (band, key) the smallest with each other one."""
+    least = buckets.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").drop("z")
+    return buckets.join(least, "band").where("key != a").select("a", F.col("key").alias("b")).distinct()
+
+
+def line_components(found: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id."""
+    kept = ("key", "signature", "filled", "first", "bands")
+    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in kept)))
+    links = stored(_verified(_stars(lines.select("key", F.explode("first").alias("band"))), lines, documents, threshold))
+    roots = components(links).withColumnsRenamed({"node": "id", "root": "top"})
+    # all bands; lines that are connected already go as one, their smallest in the bucket
+    apart = (lines.select("id", "key", "bands").join(roots, "id", "left")
+             .select("key", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band"))
+             .groupBy("band", "top").agg(F.min("key").alias("key")).select("band", "key"))
+    return components(links.unionByName(stored(_verified(_stars(apart), lines, documents, threshold)))).withColumnsRenamed({"node": "id", "root": "top"})
 
 
 def removals(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines that go, per document that loses any."""
     found = candidates(documents)
-    roots = line_components(found, threshold)
+    roots = line_components(found, documents, threshold)
     place = F.struct("doc_id", "tie", "line")
     first = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    top = stored(first.join(roots.withColumnRenamed("node", "id"), "id", "left")
-                 .select("id", "first", "last", F.coalesce("root", "id").alias("top")))
+    top = stored(first.join(roots, "id", "left").select("id", "first", "last", F.coalesce("top", "id").alias("top")))
     groups = top.groupBy("top").agg(F.min("first").alias("stays"), F.max("last").alias("last")).where("stays != last").select("top", "stays")
     stays = top.join(groups, "top").select("id", "stays")
     gone = found.select("id", "doc_id", "tie", "line").join(stays, "id").where(place != F.col("stays"))
