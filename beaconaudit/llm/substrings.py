@@ -1,9 +1,9 @@
 """Repeated byte strings, found by merging the suffix orders and transforms of shards.
 
 A suffix order of all bytes costs as much for text that occurs once as for text that repeats. The
-shards here are sparse: of the places in a window of ``WIDTH`` bytes, the one whose 48-byte string
+shards here are sparse: of the places in a window of ``WIDTH`` bytes, the one whose 40-byte string
 has the least hash is its *anchor*, so equal windows have equal anchors at equal places, and an
-anchor speaks for a run of windows, about one for every 27 bytes. A shard keeps, for its anchored
+anchor speaks for a run of windows, about one for every 31 bytes. A shard keeps, for its anchored
 suffixes, what a Burrows-Wheeler transform keeps for all: their order by what follows and the bytes
 that come before.
 
@@ -41,13 +41,13 @@ from beaconaudit.llm.common import partitions
 from beaconaudit.operators.store import stored
 
 WIDTH = 100
-_GRAM = 48
+_GRAM = 40
 _SPAN = WIDTH - _GRAM  # largest distance from a window's start to its anchor
 #: Bytes of text that are one shard, bytes whose anchors are looked for at once, and rows that are
 #: merged at once (whole blocks).
 SHARD_BYTES = 16 << 20
 SLICE = 1 << 20
-MERGE_ROWS = 200_000
+MERGE_ROWS = 60_000
 _ROW = "hash long, doc_id long, tie long, pos long, lo long, data binary"
 _SCHEMA = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())])
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -74,7 +74,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
             h = h[:-size] * _ODD[size.bit_length() - 1] + h[size:]
             h ^= h >> np.uint64(31)
         size *= 2
-    h = by_size[32][:-16] * _ODD[0] + by_size[16][32:]
+    h = by_size[32][:-8] * _ODD[0] + by_size[8][32:]
     h ^= h >> np.uint64(32)
     h *= _ODD[1]
     h ^= h >> np.uint64(29)
@@ -177,11 +177,11 @@ def merge(block: np.ndarray, anchor: np.ndarray, data: list[bytes]) -> np.ndarra
     flat = np.frombuffer(b"".join(data) + bytes(2 * WIDTH), np.uint8)
     base = np.cumsum(size) - size
     after_width, before_width = -(-WIDTH // 8) * 8, -(-_SPAN // 8) * 8
-    column = np.arange(after_width)
-    after = flat[np.minimum((base + anchor)[:, None] + column, len(flat) - 1)]
+    column, place = np.arange(after_width, dtype=np.int32), (base + anchor).astype(np.int32)[:, None]
+    after = flat[np.minimum(place + column, len(flat) - 1, dtype=np.int32)]
     after[column[None, :] >= (size - anchor)[:, None]] = 0
-    column = np.arange(before_width)
-    before = flat[np.maximum((base + anchor)[:, None] - 1 - column, 0)]
+    column = np.arange(before_width, dtype=np.int32)
+    before = flat[np.maximum(place - 1 - column, 0, dtype=np.int32)]
     before[column[None, :] >= anchor[:, None]] = 0
     after_order, after_prefix = _refine(after, block)
     before_order, before_prefix = _refine(before, block)
@@ -223,6 +223,22 @@ def _resolved(columns: dict[str, np.ndarray], data: list[bytes]) -> tuple[list,
 _NULL_ID = np.iinfo(np.int64).min
 
 
+def _union(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Ranges (doc_id, tie, start, end) with those that overlap or touch put together."""
+    doc_id, tie, start, end = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((start, tie, doc_id))
+    doc_id, tie, start, end = doc_id[order], tie[order], start[order], end[order]
+    other = np.ones(len(start), bool)
+    other[1:] = (doc_id[1:] != doc_id[:-1]) | (tie[1:] != tie[:-1])
+    document, reach = np.cumsum(other), int(end.max()) + 1
+    furthest = np.maximum.accumulate(document * reach + end) - document * reach
+    new = other.copy()
+    new[1:] |= start[1:] > furthest[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return [doc_id[first], tie[first], start[first], furthest[last]]
+
+
 def _shard(repeated: HashSet, texts: list[bytes], doc_ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of a shard: ranges that it settles (no data), and anchors for the merge."""
     some: list[tuple[np.ndarray, ...]] = []
@@ -238,12 +254,12 @@ def _shard(repeated: HashSet, texts: list[bytes], doc_ids: np.ndarray, ties: np.
     columns = {"hash": value[order], "doc_id": doc_ids[text[order]], "tie": ties[text[order]], "pos": place[order], "lo": first[order]}
     pieces = [pieces[i] for i in order.tolist()]
     columns, pieces = _once(columns, pieces)
+    settled: list[list[np.ndarray]] = []
     for begin, end in _blocks(columns["hash"]):
         part = {k: v[begin:end] for k, v in columns.items()}
         ranges, going, open_ = _resolved(part, pieces[begin:end])
         if len(ranges[0]):
-            # a settled range: any task may carry it on
-            yield pa.RecordBatch.from_arrays([pa.array(ranges[0] * 31 + ranges[2]), *(pa.array(r) for r in ranges), pa.nulls(len(ranges[0]), pa.binary())], schema=_SCHEMA)
+            settled.append(ranges)
         rows = np.flatnonzero(going)
         if len(rows):
             left = open_[rows].argmax(axis=1)
@@ -251,6 +267,10 @@ def _shard(repeated: HashSet, texts: list[bytes], doc_ids: np.ndarray, ties: np.
             cut = [pieces[begin + r][a:b + WIDTH] for r, a, b in zip(rows.tolist(), left.tolist(), right.tolist())]
             yield pa.RecordBatch.from_arrays([*(pa.array(part[c][rows]) for c in ("hash", "doc_id", "tie", "pos")),
                                               pa.array(part["lo"][rows] + left), pa.array(cut, pa.binary())], schema=_SCHEMA)
+    if settled:
+        # any task may carry these on
+        ranges = _union(settled)
+        yield pa.RecordBatch.from_arrays([pa.array(ranges[0] * 31 + ranges[2]), *(pa.array(r) for r in ranges), pa.nulls(len(ranges[0]), pa.binary())], schema=_SCHEMA)
 
 
 def _once(columns: dict[str, np.ndarray], pieces: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
