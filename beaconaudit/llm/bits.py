@@ -40,6 +40,31 @@ class HashSet:
         return held(hashes)
 
 
+def seen_twice(hashes: DataFrame, tasks: int) -> DataFrame:
+    """The values that a table's only column (long) has in two rows or more.
+
+    Made for rows that writers have reduced to two per value already: most values are single, so
+    combining them before the shuffle would cost more than it saves.
+    """
+    (name,) = hashes.columns
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.zeros(0, np.int64), *(batch.column(0).to_numpy(zero_copy_only=False) for batch in batches)]
+        values = np.concatenate(parts)
+        values.sort()
+        values = np.unique(values[1:][values[1:] == values[:-1]])
+        for first in range(0, len(values), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(values[first:first + (1 << 20)])], names=[name])
+
+    return hashes.repartition(tasks, name).mapInArrow(twice, f"{name} long")
+
+
+def twice_at_most(parts: list[np.ndarray]) -> np.ndarray:
+    """The values of arrays (uint64) as signed numbers, each once, those that occur again twice."""
+    value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+    return np.concatenate([value, value[times > 1]]).view(np.int64)
+
+
 def hash_set(hashes: DataFrame) -> HashSet:
     """The set of a table's only column (long, well mixed in its low bits)."""
     spark, (name,) = hashes.sparkSession, hashes.columns

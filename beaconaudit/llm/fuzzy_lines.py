@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import HashSet, hash_set
+from beaconaudit.llm.bits import HashSet, hash_set, seen_twice, twice_at_most
 from beaconaudit.llm.common import fresh, partitions
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
@@ -182,16 +182,14 @@ def candidates(documents: DataFrame) -> DataFrame:
     The first in its chunk has its signature, filled bins and shared bands too (``first``: of the first bands).
     """
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for _, _, _, lines in _chunks(batches):
             some, of = _distinct(lines)
-            if not some:
-                continue
-            value = bands(signatures(some)[0])
-            often = np.bincount(of)
-            value, first, times = np.unique(value.ravel(), return_index=True, return_counts=True)
-            again = (times > 1) | (often[first // BANDS] > 1)
-            # a band that the chunk has twice is sent twice: more does not matter
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([value, value[again]]).view(np.int64))], names=["band"])
+            if some:
+                value = bands(signatures(some)[0])
+                parts += [value.ravel(), value[np.bincount(of) > 1].ravel()]
+        # a band that the task has twice is sent twice: more does not matter
+        yield pa.RecordBatch.from_arrays([pa.array(twice_at_most(parts))], names=["band"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()), ("key", pa.int64()),
@@ -220,8 +218,7 @@ def candidates(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
     rows = _rows(documents)
-    twice = rows.mapInArrow(hashes, "band long").groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    repeated = hash_set(stored(twice))
+    repeated = hash_set(stored(seen_twice(rows.mapInArrow(hashes, "band long"), partitions(documents.sparkSession))))
     return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, key long, signature binary, filled int, "
                                           "first array<long>, bands array<long>"))
 
