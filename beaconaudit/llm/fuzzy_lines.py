@@ -11,8 +11,10 @@ their sets reaches the threshold. Of each component of such lines the earliest s
 3. In a bucket (all lines of a band) the smallest line is compared with each other line. The first
    two bands connect most of what is similar; in all bands a connected group then goes as one line,
    its smallest in the bucket. So a group of near copies costs a few pairs per line, not all
-   its pairs, and two groups that a link joins meet once in every bucket they share.
-4. Components, the earliest place of each, and the removals meet as narrow rows. Only texts that
+   its pairs.
+4. What is then still apart within a bucket is compared pair by pair, a bucket in blocks of bounded
+   size. So every candidate pair is verified or already connected.
+5. Components, the earliest place of each, and the removals meet as narrow rows. Only texts that
    lose a line (again by bitmap, then exactly) meet their removals in a shuffle.
 
 Defined results: a null text has no lines and stays null; blank lines and lines under ``MIN_CHARS``
@@ -23,7 +25,7 @@ null ids come before all others; an empty table gives no rows; of the further co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,8 @@ BINS = 128
 FIRST_BANDS = 2
 #: Bins of which a byte is kept to tell clearly different lines.
 KEPT_BINS = 64
+#: Lines of a bucket, about, that are compared pair by pair with as many others at once.
+BLOCK_LINES = 512
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -235,21 +239,35 @@ def _texts(documents: DataFrame, wanted: HashSet) -> DataFrame:
     return _rows(documents).mapInArrow(found, "id binary, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the ids of the pairs of keys whose lines reach the threshold.
+def _likely(x: np.ndarray, y: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of short signatures go on to the texts.
 
-    First by signature: a pair stops if its share of equal bins is five standard deviations below the
-    threshold, as counted over the bins that have a value of their own. Texts decide on the others.
+    A pair stops if its share of equal bins is five standard deviations below the threshold, as
+    counted over the bins that have a value of their own.
     """
+    own = np.maximum(1, own)
+    return (x == y).mean(axis=-1) >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / own)
+
+
+def _likely_pairs(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b): the pairs (a, b) of keys that their signatures do not tell apart."""
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, KEPT_BINS) for c in ("signature_a", "signature_b"))
-            own = np.maximum(1, np.minimum(*(batch[c].to_numpy(zero_copy_only=False) for c in ("filled_a", "filled_b"))))
-            least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / own)
-            yield batch.select(["id_a", "id_b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+            own = np.minimum(*(batch[c].to_numpy(zero_copy_only=False) for c in ("filled_a", "filled_b")))
+            yield batch.select(["id_a", "id_b"]).filter(pa.array(_likely(x, y, own, threshold)))
+
+    some = pairs
+    for side in "ab":
+        some = some.join(lines.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "signature", "filled"))), side)
+    return some.select("id_a", "signature_a", "filled_a", "id_b", "signature_b", "filled_b").mapInArrow(likely, "id_a binary, id_b binary")
 
+
+def _verified(pairs: DataFrame, texts_of: Callable[[HashSet], DataFrame], threshold: float,
+              shingles: Callable[[str], set] = shingles) -> DataFrame:
+    """The pairs (id_a, id_b) whose texts reach the threshold; ``texts_of`` gives (id, text) of a set of keys."""
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[str]] = {}
 
@@ -270,12 +288,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, documents: DataFrame, threshol
             yield batch.select(["id_a", "id_b"]).filter(pa.array(keep, pa.bool_()))
 
     some = pairs
-    for side in "ab":
-        some = some.join(lines.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "signature", "filled"))), side)
-    some = stored(some.select("id_a", "signature_a", "filled_a", "id_b", "signature_b", "filled_b").mapInArrow(likely, "id_a binary, id_b binary"))
     ends = some.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     keys = ends.select(F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long").alias("key"))
-    texts = stored(_texts(documents, hash_set(stored(keys))))
+    texts = stored(texts_of(hash_set(stored(keys))))
     for side in "ab":
         some = some.join(texts.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
     return some.select("id_a", "id_b", "text_a", "text_b").mapInArrow(similar, "id_a binary, id_b binary")
@@ -287,17 +302,88 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(least, "band").where("key != a").select("a", F.col("key").alias("b")).distinct()
 
 
+def _apart(lines: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b): in every bucket all pairs of lines of different components, but for those that signatures tell apart.
+
+    A bucket is cut into blocks by hash, and a task compares two of its blocks at a time.
+    """
+    schema = "id_a binary, id_b binary"
+
+    def compared(cell: pa.Table) -> pa.RecordBatch:
+        ids, top, block, filled = (cell[c].to_numpy() for c in ("id", "top", "block", "filled"))
+        signature = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint8).reshape(-1, KEPT_BINS)
+        same = cell["low"][0] == cell["high"][0]
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            other = i + 1 + np.flatnonzero((top[i + 1:] != top[i]) & (same | (block[i + 1:] != block[i])))
+            other = other[_likely(signature[i], signature[other], np.minimum(filled[i], filled[other]), threshold)]
+            for j in other.tolist():
+                x, y = sorted((ids[i], ids[j]))
+                a.append(x)
+                b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id_a", "id_b"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted: a cell ends where its three columns change
+        open_: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "low", "high")], axis=1)
+            bounds = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for first, end in zip(bounds, bounds[1:]):
+                name = names[first].tolist()
+                if open_ and name != last:
+                    yield compared(pa.Table.from_batches(open_))
+                    open_ = []
+                open_.append(batch.slice(first, end - first))
+                last = name
+        if open_:
+            yield compared(pa.Table.from_batches(open_))
+
+    rows = (lines.select("id", "bands").join(roots, "id", "left")
+            .select("id", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band")))
+    open_bands = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("top").alias("low"), F.max("top").alias("high")).where("low != high")
+                  .select("band", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+    rows = rows.join(open_bands, "band").select("id", "top", "band", "blocks", block)
+    rows = rows.select("id", "top", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("id", "top", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows.join(lines.select("id", "signature", "filled"), "id")
+    cell = ("band", "low", "high")
+    rows = rows.repartition(partitions(lines.sparkSession), *cell).sortWithinPartitions(*cell)
+    return rows.mapInArrow(cells, schema).distinct()
+
+
+def connected(lines: DataFrame, texts_of: Callable[[HashSet], DataFrame], threshold: float = THRESHOLD,
+              shingles: Callable[[str], set] = shingles) -> DataFrame:
+    """(id, top) of the lines that are similar to another line with a smaller id, or joined to one by a chain of such.
+
+    ``lines`` has a row per id: id, key, signature, filled, first and bands.
+    """
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stored(_verified(stored(pairs), texts_of, threshold, shingles))
+
+    def found(links: DataFrame) -> DataFrame:
+        return components(links).withColumnsRenamed({"node": "id", "root": "top"})
+
+    links = verified(_likely_pairs(_stars(lines.select("key", F.explode("first").alias("band"))), lines, threshold))
+    # all bands; lines that are connected already go as one, their smallest in the bucket
+    groups = (lines.select("id", "key", "bands").join(found(links), "id", "left")
+              .select("key", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band"))
+              .groupBy("band", "top").agg(F.min("key").alias("key")).select("band", "key"))
+    links = links.unionByName(verified(_likely_pairs(_stars(groups), lines, threshold)))
+    roots = found(links)
+    # the rest: what the stars have not compared
+    return found(links.unionByName(verified(_apart(lines, roots, threshold))))
+
+
 def line_components(found: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id."""
     kept = ("key", "signature", "filled", "first", "bands")
     lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in kept)))
-    links = stored(_verified(_stars(lines.select("key", F.explode("first").alias("band"))), lines, documents, threshold))
-    roots = components(links).withColumnsRenamed({"node": "id", "root": "top"})
-    # all bands; lines that are connected already go as one, their smallest in the bucket
-    apart = (lines.select("id", "key", "bands").join(roots, "id", "left")
-             .select("key", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band"))
-             .groupBy("band", "top").agg(F.min("key").alias("key")).select("band", "key"))
-    return components(links.unionByName(stored(_verified(_stars(apart), lines, documents, threshold)))).withColumnsRenamed({"node": "id", "root": "top"})
+    return connected(lines, lambda wanted: _texts(documents, wanted), threshold)
 
 
 def removals(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
