@@ -40,8 +40,8 @@ from beaconaudit.operators.store import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares one of 16 bands of 6 with probability 0.992, one at 0.85 with 0.9995.
-BANDS = 16
+#: A pair at the threshold shares one of 20 bands of 6 with probability 0.998.
+BANDS = 20
 ROWS = 6
 MIN_CHARS = 20
 #: Characters of lines whose signatures are computed at once.
