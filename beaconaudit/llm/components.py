@@ -58,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links)
     leaves: list[DataFrame] = []
     while links.limit(LAST_LINKS + 1).count() > LAST_LINKS:
-        forest = links.repartition(partitions(links.sparkSession), "a").mapInArrow(_local_forest, schema)
+        # by both ends: the links of one node, however many, are the work of all tasks
+        forest = links.repartition(partitions(links.sparkSession), "a", "b").mapInArrow(_local_forest, schema)
         rows = stored(forest.withColumn("least", F.min("root").over(Window.partitionBy("node"))))
         inner = rows.select(F.col("root").alias("node")).distinct().withColumn("inner", F.lit(True))
         own = rows.groupBy("node").agg(F.min("least").alias("least")).join(inner, "node", "left")

@@ -33,3 +33,18 @@ def test_binary_nodes_and_no_links(spark):
     links = spark.createDataFrame([(b"b", b"a"), (b"c", b"b")], "a binary, b binary")
     assert {(bytes(r["node"]), bytes(r["root"])) for r in module.components(links).collect()} == {(b"b", b"a"), (b"c", b"a")}
     assert module.components(links.where("1 = 0")).count() == 0
+
+
+def test_a_star_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(module, "LAST_LINKS", 0)
+    forest = module._local_forest
+
+    def bounded(batches):
+        batches = list(batches)
+        assert sum(map(len, batches)) <= 1500
+        yield from forest(iter(batches))
+
+    monkeypatch.setattr(module, "_local_forest", bounded)
+    links = spark.range(1, 2001).selectExpr("0L AS a", "id AS b")
+    found = module.components(links).collect()
+    assert len(found) == 2000 and {r["root"] for r in found} == {0}
