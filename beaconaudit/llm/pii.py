@@ -103,21 +103,23 @@ _SHAPES = {
 
 
 def windows(text: str, covered: list[Span]) -> Iterator[tuple[int, int]]:
-    """Places of the text where the model has to look: around anchors outside the base spans."""
-    blocked = sorted((s, e) for _, s, e in covered)
-    at, begin, end = 0, -1, -1
-    for m in _ANCHOR.finditer(text):
-        while at < len(blocked) and blocked[at][1] <= m.start():
-            at += 1
-        if at < len(blocked) and blocked[at][0] < m.end():
-            continue
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if begin >= 0 and s <= end:
-            end = e
-            continue
-        if begin >= 0:
-            yield begin, end
-        begin, end = s, e
+    """Places of the text where the model has to look: around anchors in the gaps between base spans."""
+    gaps, at = [], 0
+    for s, e in sorted((s, e) for _, s, e in covered):
+        if s > at:
+            gaps.append((at, s))
+        at = max(at, e)
+    gaps.append((at, len(text)))
+    begin, end = -1, -1
+    for first, last in gaps:
+        for m in _ANCHOR.finditer(text, first, last):
+            s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+            if begin >= 0 and s <= end:
+                end = e
+                continue
+            if begin >= 0:
+                yield begin, end
+            begin, end = s, e
     if begin >= 0:
         yield begin, end
 

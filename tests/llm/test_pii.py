@@ -68,6 +68,14 @@ def test_base_spans_stay_and_clean_text_is_left_alone(weight):
         assert pii.find(clean, weight) == ([], [])
 
 
+def test_respelt_beside_base_spans(weight):
+    for text in ("see 10.20.30.40 (212) 555-0187 now", "see 10.20.30.40 / 212-555-0187 now", "see (212) 555-0187 10.20.30.40 now"):
+        base, found = pii.find(text, weight)
+        at = text.index("(212" if "(" in text else "212")
+        assert [k for k, _, _ in base] == ["ip"]
+        assert ("phone", at, text.index("0187") + 4) in found
+
+
 def test_gradient_is_that_of_the_likelihood():
     """Against the difference of the log-likelihood, which sums over all segmentations."""
     lattice = pii.Lattice("x 212-555-0187 y")
