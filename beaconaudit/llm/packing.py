@@ -39,6 +39,8 @@ CLASSES = 256
 ROUNDS = 1500
 RATE = 0.25
 _BUCKETS = 256
+#: Parts in which the uses of a pattern are dealt out where pieces have an order.
+_PARTS = 64
 
 #: A row of a plan: length, first rank, number of ranks, first sequence, place in the sequence.
 PLAN = ("length", "rank", "n", "sequence", "offset")
@@ -156,8 +158,28 @@ def plan(counts: np.ndarray, sequence: int = SEQUENCE, classes: int = CLASSES, r
     return table[np.lexsort((table[:, 1], table[:, 0]))], sequences
 
 
-def pieces(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document's ids, cut where they exceed a sequence."""
+def spread(layout: np.ndarray) -> np.ndarray:
+    """The plan with every pattern's uses dealt out evenly over the sequences, so that early ranks of all lengths meet."""
+    by = layout[np.lexsort((layout[:, 4], layout[:, 3]))]
+    if not len(by):
+        return by
+    pattern = np.cumsum(np.r_[0, by[1:, 3] != by[:-1, 3]])
+    shift, rows = pattern * 37 % _PARTS, []
+    for part in range(_PARTS):
+        n = (by[:, 2] * (part + 1) + shift) // _PARTS - (by[:, 2] * part + shift) // _PARTS
+        rows.append(np.column_stack([by[:, 0], np.full(len(by), part), pattern, n, by[:, 4]])[n > 0])
+    length, part, pattern, n, offset = np.concatenate(rows).T
+    new = np.r_[True, (part[1:] != part[:-1]) | (pattern[1:] != pattern[:-1])]
+    first = (np.cumsum(n[new]) - n[new])[np.cumsum(new) - 1]
+    order = np.argsort(length, kind="stable")
+    length, n, first, offset = length[order], n[order], first[order], offset[order]
+    before = np.cumsum(n) - n
+    rank = before - before[np.searchsorted(length, length)]
+    return np.column_stack([length, rank, n, first, offset])
+
+
+def pieces(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, order: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document's ids, cut where they exceed a sequence; and ``order``, if named."""
     kind = documents.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,24 +196,36 @@ def pieces(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOC
                     crc.append(zlib.crc32(raw[4 * first:4 * (first + sequence)]))
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"].take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(batch[c].take(pa.array(of, pa.int64())) for c in more)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", *(["position"] if more else [])])
 
-    return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    more = [order] if order else []
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", position long" if more else "")
+    return documents.select("doc_id", "text", *more).mapInArrow(cut, schema)
 
 
-def pack(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset in the sequence."""
-    rows = pieces(documents, sequence, vocabulary)
-    rows = stored(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(_BUCKETS)).cast("int")))
+def pack(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, order: str | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset in the sequence.
+
+    With ``order``, a column of positions from 0, pieces of a length are placed by position, and early ones go to early sequences.
+    """
+    rows = pieces(documents, sequence, vocabulary, order)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(_BUCKETS))
+    if order:
+        total = (documents.agg(F.max(order)).first()[0] or 0) + 1
+        bucket = F.floor(F.col("position") * _BUCKETS / F.lit(total))
+    rows = stored(rows.withColumn("bucket", bucket.cast("int")))
     counts = stored(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = np.zeros(sequence + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # one row per length at most
         histogram[length] = n
     layout, _ = plan(histogram, sequence, rounds=rounds)
+    if order:
+        layout = spread(layout)
     first_of = np.searchsorted(layout[:, 0], np.arange(sequence + 2))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*(["position"] if order else []), "doc_id", "piece", "ids_crc32"))
     ranked = (rows.withColumn("inside", inside).join(before, ["length", "bucket"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).alias("rank")))
 

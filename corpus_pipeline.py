@@ -6,10 +6,11 @@ the columns of ``documents``; the last returns the pieces of the packed sequence
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from beaconaudit.llm import fuzzy_lines, mixing, packing, quality, simhash
-from beaconaudit.llm.common import table
+from beaconaudit.llm.common import fresh, table
 from beaconaudit.operators.store import stored
 
 
@@ -35,8 +36,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents' token ids packed into sequences."""
-    return packing.pack(docs)
+    """Documents' token ids packed into sequences, in the order of the mix: that of files and their rows."""
+    (position,) = fresh(docs, "position")
+    row = (F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        rows = docs.select("doc_id", "text", *row)
+    except AnalysisException:  # not a table of files
+        rows = stored(docs).select("doc_id", "text", *row)
+    files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(files), "file").select("doc_id", "text", (F.col("base") + F.col("row")).alias(position))
+    return packing.pack(rows, order=position)
 
 
 STAGES = [

@@ -2,13 +2,14 @@
 
 import collections
 import os
+import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
 from beaconaudit.llm import ORACLES, QUERIES, fuzzy_lines, mixing, quality, simhash
-from tests.llm.conftest import edge_rows
+from tests.llm.conftest import edge_rows, sentence
 from tests.llm.test_fuzzy_lines import plain as plain_lines
 from tests.llm.test_simhash import component, plain as plain_fingerprint
 from tests.llm.test_quality import plain as plain_rules
@@ -62,6 +63,22 @@ def test_stages_against_plain_versions(spark, edge):
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, unique, "").collect()} == {i for i, _, _ in rows}
 
 
+def test_leading_sequences_hold_the_shares_of_the_mix(spark):
+    rng = random.Random(5)
+    sources = ["a"] * 1200 + ["b"] * 200 + ["c"] * 100
+    texts = [sentence(rng, rng.randint(60, 120)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, rng.choice(texts), s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    rows = corpus_pipeline.packed(spark, corpus_pipeline.mixed(spark, docs, ""), "").collect()
+    assert len(rows) == len(sources)
+    last = max(r["sequence_id"] for r in rows) * 0.3
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[sources[r["doc_id"]]] += r["length"] * (r["sequence_id"] <= last)
+    # square roots: 0.59, 0.24, 0.17; raw shares: 0.80, 0.13, 0.07
+    share = {s: n / sum(tokens.values()) for s, n in tokens.items()}
+    assert abs(share["a"] - 0.59) < 0.08 and abs(share["b"] - 0.24) < 0.06 and abs(share["c"] - 0.17) < 0.06
+
+
 @here
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
