@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from beaconaudit.llm import embeddings, fuzzy_lines, mixing, packing, pii, prefix_trie, quality, simhash, substrings, warc, wavelet
+from beaconaudit.llm import embeddings, fuzzy_lines, mixing, packing, pii, prefix_trie, quality, simhash, spelling, substrings, warc, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -70,9 +70,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, the words one edit apart from it and the form it is a variant of."""
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fuzzy_lines, op2_bwt_dedup, op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii,
-                             op11_prefix_trie)
+                             op11_prefix_trie, op12_spelling_forms)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE,
-                           "op9_pfair_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+                           "op9_pfair_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
+                           "op12_spelling_forms": spelling.ORACLE}
