@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from beaconaudit.llm import embeddings, fuzzy_lines, mixing, packing, pii, prefix_trie, quality, simhash, spelling, substrings, warc, wavelet
+from beaconaudit.llm import bin_slack, embeddings, fuzzy_lines, mixing, packing, pii, prefix_trie, quality, simhash, spelling, substrings, warc, wavelet
 from beaconaudit.llm.common import table
 
 
@@ -75,9 +75,14 @@ def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
+def op13_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences that are full or as long as a power of two."""
+    return bin_slack.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fuzzy_lines, op2_bwt_dedup, op3_host_rules, op4_pca_tiles, op5_wavelet_ids, op6_warc_dictionary, op7_simhash_ball, op8_lp_packing, op9_pfair_mixing, op10_semi_markov_pii,
-                             op11_prefix_trie, op12_spelling_forms)
+                             op11_prefix_trie, op12_spelling_forms, op13_bin_slack)
 }
 ORACLES: dict[str, str] = {"op3_host_rules": quality.ORACLE, "op4_pca_tiles": embeddings.ORACLE, "op6_warc_dictionary": warc.ORACLE,
                            "op9_pfair_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
