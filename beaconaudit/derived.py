@@ -207,6 +207,23 @@ FROM (SELECT concat('/repos/', source) AS project_path, count(*) AS n FROM docum
       FROM (SELECT CAST(floor(event_id / 64) AS BIGINT) % 7 AS k FROM events) e GROUP BY k) counted
 """
 
+# Kinds of encoded documents: (charset, a comment that every text of the kind starts with, letters and what stands for them:
+# letters about as frequent in the charset's language).
+ENCODED = (
+    ("UTF-16LE", "", "", ""), ("UTF-16BE", "", "", ""), ("UTF-32BE", "", "", ""),
+    ("windows-1252", "/* l’été où “tout” a été créé */", "", ""),
+    ("windows-1250", "/* zażółć gęślą jaźń */", "lz", "łż"),
+    ("windows-1254", "/* şifre yanlış, lütfen yeniden deneyiniz */", "gs", "ğş"),
+    ("windows-1251", "/* ошибка подключения к серверу */", "etaoinshrdlucmwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"),
+    ("KOI8-R", "/* ошибка подключения к серверу */", "etaoinshrdlucmwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"),
+    ("windows-1253", "/* σφάλμα σύνδεσης με τον διακομιστή */", "etaoinshrdlucmwfgypbvkjxqz", "αοιετσνηυρπκμλωδγχθφβξζψςή"),
+    ("windows-31j", "/* サーバーへの接続中にエラーが発生しました */", "aeioutnsrlcdkmpvgzbhyfjqwx", "のにはをたがでてとしれさいるなかもらこうすりくンスル"),
+    ("EUC-JP", "/* サーバーへの接続中にエラーが発生しました */", "aeioutnsrlcdkmpvgzbhyfjqwx", "のにはをたがでてとしれさいるなかもらこうすりくンスル"),
+    ("GB18030", "/* 连接服务器时发生错误，请稍后重试 */", "aeioutnsrlcdkmpvgzbhyfjqwx", "的一是不了在人有我他这个们中来上大为和国地到以说时要"),
+    ("Big5", "/* 連接伺服器時發生錯誤，請稍後再試 */", "aeioutnsrlcdkmpvgzbhyfjqwx", "的一是不了在人有我他這個們中來上大為和國地到以說時要"),
+    ("x-windows-949", "/* 서버에 연결하는 동안 오류가 발생했습니다 */", "aeioutnsrlcdkmpvgzbhyfjqwx", "이다의는에을가한고로를은하지도기사서인어리나시대자스"),
+)
+
 
 def views(spark: SparkSession, sf_dir: str, names) -> None:
     for name in names:

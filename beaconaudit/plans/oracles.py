@@ -381,6 +381,10 @@ def _globs_sql() -> str:
             "JOIN projects ON t = project_type UNION ALL SELECT unnest(['*/de/*', 'coverage/**'])) u")
 
 
+def _encoded_rows() -> str:
+    return ", ".join(f"({i}, {', '.join(q(x) for x in kind)})" for i, kind in enumerate(derived.ENCODED))
+
+
 def _pattern_rows() -> str:
     return ", ".join(f"({q(lang)}, {q(name)}, {j})" for lang, calls in ((WEB, rules.WEB_CALLS), (UNITY, rules.UNITY_CALLS))
                      for name, _, _, pats, _ in calls for j in range(len(pats)))
@@ -482,6 +486,10 @@ ON r.language = known.language AND lower({_EXT.replace('path', 'r.path')}) = kno
         "ignore_filter": f"WITH {_FILES}, {_KEPT_FILES} SELECT project_path, path FROM kept",
         "keyword_filter": f"WITH {_FILES} SELECT path FROM files WHERE {_KEYWORD}",
         "decode_and_newlines": "SELECT doc_id, text AS content FROM documents",
+        "charset_detection": f"""WITH kinds(i, charset, head, letters, own) AS (VALUES {_encoded_rows()})
+SELECT doc_id, charset,
+  head || CASE WHEN letters = '' THEN text ELSE translate(regexp_replace(text, '[^\\x00-\\x7f]', 'e', 'g'), letters, own) END AS content
+FROM documents JOIN kinds ON doc_id % {len(derived.ENCODED)} = i""",
         "files_scanned": f"WITH {_FILES}, {_KEPT_FILES} SELECT count(*) AS total_files_scanned FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL",
         "project_discovery": f"{_DISCOVER} SELECT root, name, path, github_url FROM projects",
         "project_type": f"{_DISCOVER} SELECT path, project_type FROM projects",
@@ -554,6 +562,7 @@ UNION ALL SELECT '/other', '/other/src3', 'src3', n FROM n WHERE project_name =
 SELECT 'projects' AS metric, count(*) + 2 AS value FROM projects
 UNION ALL SELECT 'files_scanned', CAST(sum(CASE WHEN project_path IN ('/repos/src3', '/repos/src5') THEN 2 ELSE 1 END) AS BIGINT) FROM f
 UNION ALL SELECT 'findings', CAST(sum(CASE WHEN project_name IN ('src3', 'src5') THEN 2 ELSE 1 END) AS BIGINT) FROM scan""",
+        "charset_scan": f"{scan} SELECT file_path, line_number, operation_type, trim(line) AS code_snippet FROM scan",
         "encoded_scan": f"{scan} SELECT file_path, line_number, operation_type, trim(line) AS code_snippet FROM scan",
         "many_families": f"""WITH notes AS (SELECT path, CAST(generate_subscripts(p, 1) AS INT) AS line_number, unnest(p) AS line
   FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({derived.DOCUMENT_FILES}) d WHERE path LIKE '%.md') s),

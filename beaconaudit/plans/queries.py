@@ -16,7 +16,7 @@ from beaconaudit.operators import findings as ops, lines, report
 from beaconaudit.operators.store import new_folder, stored
 from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, scan, scan_files, total_files
 from beaconaudit.sinks import exports
-from beaconaudit.sources import corpus, projects, repos
+from beaconaudit.sources import charsets, corpus, projects, repos
 
 BASE_URL = "https://github.com/example"
 USER_GLOBS = ("*/de/*", "coverage/**")
@@ -437,7 +437,47 @@ def decode_and_newlines(spark, sf):
         SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN encode(replace(text, chr(10), concat(chr(13), chr(10))), 'UTF-8')
           WHEN 1 THEN encode(replace(text, chr(10), chr(13)), 'UTF-8') ELSE encode(text, 'ISO-8859-1') END AS content
         FROM documents""")
-    return raw.select("doc_id", corpus.decode(F.col("content")).alias("content"))
+    return corpus.decoded(raw)
+
+
+def _marked(raw: Column, charset: str) -> Column:
+    """Bytes with the mark that names their charset, where it has one."""
+    mark = {name: digits for digits, name in charsets.MARKS}.get(charset)
+    return F.concat(F.unhex(F.lit(mark)), raw) if mark else raw
+
+
+@query
+def charset_detection(spark, sf):
+    """Every document in one of the charsets, in letters of its own, named and read back."""
+    text = F.regexp_replace("text", "[^\\x00-\\x7f]", "e")
+    kind = F.pmod("doc_id", F.lit(len(derived.ENCODED)))
+    derived.views(spark, sf, ("documents",))
+    with charsets.java_charsets(spark):
+        raw = None
+        for i, (name, first, letters, own) in enumerate(derived.ENCODED):
+            # kinds that keep their text as it is keep its accents, too
+            kept = F.translate(text, letters, own) if letters else F.col("text")
+            content = _marked(F.encode(F.concat(F.lit(first), kept), name), name)
+            raw = F.when(kind == i, content) if raw is None else raw.when(kind == i, content)
+        files = spark.table("documents").select("doc_id", raw.alias("content"))
+    return corpus.decoded(charsets.with_charset(files))
+
+
+@query
+def charset_scan(spark, sf):
+    """A scan of code in other charsets: wide characters with a mark, and double-byte and Cyrillic comments at a file's end."""
+    files = derived.files(spark, sf)
+    kinds = [derived.ENCODED[i] for i in (0, 1, 2, 6, 9, 11, 13)]
+    kind = F.pmod(F.xxhash64("path"), F.lit(len(kinds)))
+    # files with accents of their own are in charsets that have them
+    kind = F.when(F.col("content").rlike("[^\\x00-\\x7f]"), F.pmod(kind, F.lit(3))).otherwise(kind)
+    with charsets.java_charsets(spark):
+        raw = None
+        for i, (name, comment, _, _) in enumerate(kinds):
+            content = _marked(F.encode(F.concat("content", F.lit("\n" + comment)), name), name)
+            raw = F.when(kind == i, content) if raw is None else raw.when(kind == i, content)
+        files = files.withColumn("content", raw)
+    return scan_files(files, base_url=BASE_URL, globs=scan_globs(), wanted=("file_path", "line_number", "operation_type", "code_snippet"))
 
 
 @query

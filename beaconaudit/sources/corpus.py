@@ -12,6 +12,7 @@ from beaconaudit.functions.globs import ignore_pattern
 from beaconaudit.functions.text import has_any
 from beaconaudit.operators.store import stored
 from beaconaudit.rules import FILE_KEYWORDS, LIVE, Rulebook
+from beaconaudit.sources import charsets
 
 LISTING = "root string, path string, is_dir boolean, size bigint"
 # Bytes of file content one Arrow batch may carry before it is handed on.
@@ -53,17 +54,11 @@ def normalise_newlines(text: Column) -> Column:
     return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
-def decode(content: Column) -> Column:
-    """Bytes to text: UTF-8 where valid, else one byte per character. Line ends become line feeds."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(
-        F.decode(content, "ISO-8859-1"))
-    return normalise_newlines(text)
-
-
 def decoded(files: DataFrame) -> DataFrame:
-    """``files`` with ``content`` as a scan reads it: bytes are decoded, and line ends are line feeds."""
-    is_bytes = dict(files.dtypes)["content"] == "binary"
-    return files.withColumn("content", decode(F.col("content")) if is_bytes else normalise_newlines(F.col("content")))
+    """``files`` with ``content`` as a scan reads it: bytes are decoded (``charsets``), and line ends are line feeds."""
+    if dict(files.dtypes)["content"] == "binary":
+        files = charsets.decoded(files)
+    return files.withColumn("content", normalise_newlines(F.col("content")))
 
 
 def keyword_filter(files: DataFrame) -> DataFrame:

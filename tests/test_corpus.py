@@ -30,7 +30,8 @@ def test_routing(spark):
 def test_decode(spark):
     cases = [("a\r\nb\rc".encode(), "a\nb\nc"), ("né".encode(), "né"), ("né".encode("latin-1"), "né"), (b"", "")]
     for raw, text in cases:
-        assert one(spark, raw, corpus.decode(F.col("x"))) == text
+        found = corpus.decoded(spark.createDataFrame([(raw,)], "content binary"))
+        assert found.first()[0] == text
 
 
 def test_keyword_filter(spark):
