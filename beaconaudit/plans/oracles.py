@@ -527,8 +527,8 @@ UNION ALL SELECT 'files_scanned', count(*) FROM kept WHERE {_LIVE_LANGUAGE} IS N
 UNION ALL SELECT 'findings', count(*) FROM scan""",
         "csv_rows": f"""{scan} SELECT project_name AS project, file_path, line_number, operation_type, data_category,
   trim(line) AS code_snippet, json AS data_being_sent, github_url FROM scan""",
-        "json_rows": f"""{scan}, around AS (SELECT s.file_path AS p, s.line_number AS n, string_agg(l.line, '~' ORDER BY l.line_number) AS context
-  FROM scan s JOIN lines l ON s.file_path = l.path AND l.line_number BETWEEN s.line_number - 3 AND s.line_number + 3 GROUP BY s.file_path, s.line_number)
+        "json_rows": f"""{scan}, around AS (SELECT path AS p, line_number AS n, string_agg(line, '~') OVER
+    (PARTITION BY path ORDER BY line_number ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS context FROM lines)
 SELECT 'file_path,line_number,code_snippet,operation_type,data_being_sent,data_category,context_lines,github_url,project_name,extracted_parameters' AS keys,
   file_path, line_number, trim(line) AS code_snippet, operation_type, data, data_category, context, github_url, project_name, CAST(NULL AS VARCHAR) AS extracted_parameters
 FROM scan JOIN around ON p = file_path AND n = line_number""",
@@ -558,6 +558,13 @@ SELECT section, k0, k1, number, 0 AS copy, section IN (1, 3) AND row_number() OV
 SELECT '/repos' AS root, path, name, coalesce(n, 0) AS findings_count FROM projects LEFT JOIN n ON project_name = name
 UNION ALL SELECT '/repos/src3', '/repos/src3', 'src3', n FROM n WHERE project_name = 'src3'
 UNION ALL SELECT '/other', '/other/src3', 'src3', n FROM n WHERE project_name = 'src5'""",
+        "files_read_once": f"""WITH {_FILES}, r AS (SELECT * FROM files WHERE {_LIVE_LANGUAGE} IS NOT NULL),
+given AS (SELECT '/repos' AS root, path, content FROM r
+  UNION ALL SELECT '/repos/src3', path, content FROM r WHERE project_path = '/repos/src3'
+  UNION ALL SELECT '/other', replace(path, '/repos/src5/', '/other/src3/'), content FROM r WHERE project_path = '/repos/src5'
+  UNION ALL SELECT '/repos/p1', path, content || CASE WHEN length(path) % 4 = 0 THEN '// changed' ELSE '' END FROM r WHERE project_path = '/repos/p1'),
+once AS (SELECT path, content, arg_min(root, length(root)) AS root FROM given GROUP BY path, content)
+SELECT root, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS characters FROM once GROUP BY root""",
         "overlapping_totals": f"""{scan}, f AS (SELECT project_path FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL)
 SELECT 'projects' AS metric, count(*) + 2 AS value FROM projects
 UNION ALL SELECT 'files_scanned', CAST(sum(CASE WHEN project_path IN ('/repos/src3', '/repos/src5') THEN 2 ELSE 1 END) AS BIGINT) FROM f

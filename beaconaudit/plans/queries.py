@@ -14,7 +14,7 @@ from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
 from beaconaudit.operators import findings as ops, lines, report
 from beaconaudit.operators.store import new_folder, stored
-from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, scan, scan_files, total_files
+from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, each_once, readable, scan, scan_files, total_files
 from beaconaudit.sinks import exports
 from beaconaudit.sources import charsets, corpus, projects, repos
 
@@ -689,13 +689,27 @@ def full_scan(spark, sf):
         F.count("*").alias("findings"), F.min("github_url").alias("first_url"), F.max("github_url").alias("last_url"))
 
 
-def _overlapping(spark, sf) -> ScanResult:
+def _overlapping_files(spark, sf) -> DataFrame:
     """All files under ``/repos``; those of one project under a root of their own too; and a second project of its name."""
     files = derived.files(spark, sf).withColumn("root", F.lit("/repos"))
     nested = files.where("project_path = '/repos/src3'").withColumn("root", F.lit("/repos/src3"))
     namesake = files.where("project_path = '/repos/src5'").withColumns({
         "root": F.lit("/other"), "project_path": F.lit("/other/src3"), "path": F.replace("path", F.lit("/repos/src5/"), F.lit("/other/src3/"))})
-    return _whole(spark, sf, files.unionByName(nested).unionByName(namesake))
+    return files.unionByName(nested).unionByName(namesake)
+
+
+def _overlapping(spark, sf) -> ScanResult:
+    return _whole(spark, sf, _overlapping_files(spark, sf))
+
+
+@query
+def files_read_once(spark, sf):
+    """Files that reach the detector, by the root that reads them, when roots overlap and one of them holds changed copies, too."""
+    files = _overlapping_files(spark, sf)
+    changed = F.when(F.length("path") % 4 == 0, F.concat("content", F.lit("// changed"))).otherwise(F.col("content"))
+    copies = files.where("root = '/repos' AND project_path = '/repos/p1'").withColumns({"root": F.lit("/repos/p1"), "content": changed})
+    texts, _ = each_once(readable(stored(files.unionByName(copies)), ()))
+    return texts.groupBy("root").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("characters"))
 
 
 @query

@@ -12,7 +12,7 @@ from beaconaudit.operators.joins import attach
 from beaconaudit.operators.lines import CONTEXT
 from beaconaudit.operators.store import stored
 from beaconaudit.rules import LIVE, Rulebook
-from beaconaudit.sources import corpus, projects as project_source
+from beaconaudit.sources import corpus, overlaps, projects as project_source
 from beaconaudit.sources.repos import repository_info
 
 FINDING_COLUMNS = (
@@ -75,16 +75,35 @@ def near_root(path: Column, root: Column) -> Column:
     return F.size(F.split(corpus.relative_path(path, root), "/")) <= 2
 
 
+def readable(files: DataFrame, globs, rulebook: Rulebook = LIVE) -> DataFrame:
+    """``files(root, path, ...)`` of a scanned language that not every reading of the globs ignores."""
+    return corpus.route(files, rulebook).drop("language").where(~corpus.surely_ignored(globs))
+
+
+def each_once(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``files(root, path, content)`` with every file under one root only, and which files other roots share (None: no path is listed twice).
+
+    Where paths are listed under several roots, files get a ``digest``: rows are one file if path and content agree.
+    """
+    files = files.where(F.col("content").isNotNull())
+    if not overlaps.overlap(files.select("root", "path")):
+        return files, None
+    files = files.withColumn("digest", overlaps.digest_of(F.col("content")))
+    rows = stored(files.select("root", "path", "digest"))
+    shared = stored(overlaps.shared_files(rows))
+    return overlaps.read_once(files, rows, shared), shared
+
+
 def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = None, *, base_url: str,
-         manifests: DataFrame | None = None, user_globs=(), default_branch: str = urls.DEFAULT_BRANCH,
-         rulebook: Rulebook = LIVE, context: int = CONTEXT, wanted: tuple[str, ...] = FINDING_COLUMNS) -> ScanResult:
+         manifests: DataFrame | None = None, user_globs=(), rulebook: Rulebook = LIVE, **options) -> ScanResult:
     """Projects, findings and totals of ``listing(root, path, is_dir)`` and
     ``files(root, path, content)``, content being text or bytes.
 
     ``manifests(project_path, content)`` holds the projects' package.json texts; without
     it they are picked from ``files``, from places where a project's manifest lies.
 
-    Roots may overlap: each is scanned for itself, as often as it is given. Findings are
+    Roots may overlap: each has its own projects and findings, as often as it is given, but a file that
+    several of them hold is searched once (``overlaps``). Findings are
     detected first and placed in projects afterwards, so a file's text is joined to
     nothing; what every reading of the globs ignores goes before. Projects and findings
     are stored, findings with ``root`` and ``project_path``; counts read what is stored.
@@ -94,10 +113,18 @@ def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = Non
         manifests = corpus.decoded(files.where(near)).select(urls.parent(F.col("path")).alias("project_path"), "content")
     projects = stored(project_source.discover(listing, manifests, base_url))
     globs = project_source.collect_globs(projects, user_globs)
+    texts, shared = each_once(readable(files.select("root", "path", "content"), globs, rulebook))
+    return _scanned(listing, texts, shared, projects, globs, repo_meta, base_url, rulebook, **options)
 
-    texts = corpus.route(files.select("root", "path", "content"), rulebook).drop("language")
-    texts = corpus.decoded(texts.where(~corpus.surely_ignored(globs))).where(F.length("content") > 0)
+
+def _scanned(listing: DataFrame, texts: DataFrame, shared: DataFrame | None, projects: DataFrame, globs, repo_meta: DataFrame | None,
+             base_url: str, rulebook: Rulebook, default_branch: str = urls.DEFAULT_BRANCH, context: int = CONTEXT,
+             wanted: tuple[str, ...] = FINDING_COLUMNS) -> ScanResult:
+    """The scan of files that are each under one root, ``shared`` being the other roots they belong to."""
+    texts = corpus.decoded(texts).where(F.length("content") > 0)
     found = detect(corpus.keyword_filter(texts), rulebook, context, _built(wanted))
+    if shared is not None:
+        found = overlaps.to_all_roots(found, shared)
     found = corpus.ignore_filter(project_source.assign_projects(found, projects).drop("project_name"), globs)
     findings = stored(_linked(found, repo_meta, base_url, default_branch, wanted).select(*wanted, *PLACE_COLUMNS))
 
@@ -106,15 +133,24 @@ def scan(listing: DataFrame, files: DataFrame, repo_meta: DataFrame | None = Non
     return ScanResult(project_source.count_own_findings(projects, findings), findings, total_files(listed, globs, rulebook))
 
 
-def scan_directories(spark: SparkSession, roots, repo_meta: DataFrame | None = None, **options) -> ScanResult:
+def scan_directories(spark: SparkSession, roots, repo_meta: DataFrame | None = None, *, base_url: str, user_globs=(),
+                     rulebook: Rulebook = LIVE, **options) -> ScanResult:
     """Scans mounted directories, names starting with ``_`` or ``.`` included.
 
     The tree is walked once and its listing stored; only manifests of possible projects
-    and files of a scanned language are opened.
+    and files of a scanned language are opened, and each of them once, however many roots hold it.
     """
-    rulebook = options.get("rulebook", LIVE)
     listing = stored(corpus.list_tree(spark, roots))
-    sources = listing.where(~F.col("is_dir") & corpus.language_of(F.col("path"), rulebook).isNotNull())
     near = listing.where(F.col("path").endswith("/" + project_source.MANIFEST) & near_root(F.col("path"), F.col("root")))
     manifests = corpus.decoded(corpus.read_listed(near)).select(urls.parent(F.col("path")).alias("project_path"), "content")
-    return scan(listing.select("root", "path", "is_dir"), corpus.read_listed(sources), repo_meta, manifests=manifests, **options)
+    entries = listing.select("root", "path", "is_dir")
+    projects = stored(project_source.discover(entries, manifests, base_url))
+    globs = project_source.collect_globs(projects, user_globs)
+    sources, shared = readable(listing.where(~F.col("is_dir")), globs, rulebook), None
+    if overlaps.overlap(sources.select("root", "path")):
+        rows = stored(sources.select("root", "path", F.lit("").alias("digest")))  # on a disk a path is one file
+        shared = stored(overlaps.shared_files(rows))
+        sources = overlaps.read_once(sources, rows, shared)
+    texts = corpus.read_listed(sources).where(F.col("content").isNotNull())
+    texts = texts if shared is None else texts.withColumn("digest", F.lit(""))
+    return _scanned(entries, texts, shared, projects, globs, repo_meta, base_url, rulebook, **options)
