@@ -381,6 +381,15 @@ def _globs_sql() -> str:
             "JOIN projects ON t = project_type UNION ALL SELECT unnest(['*/de/*', 'coverage/**'])) u")
 
 
+def _shown(scan: str) -> str:
+    """Findings with the text they are shown with: file, labels, context without its last line, code, data."""
+    return f"""{scan}, around AS (SELECT path, line_number AS n, list(line) OVER
+    (PARTITION BY path ORDER BY line_number ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM lines),
+shown AS (SELECT scan.*, lower(concat_ws(' ', regexp_extract(file_path, '[^/]*$'), operation_type, 'Line ' || line_number, array_to_string(w[1:len(w) - 1], ' '),
+    trim(line), CASE WHEN data <> '' THEN 'Data Being Sent: ' || page END, 'View on GitHub Copy Code')) AS text
+  FROM scan JOIN around ON path = file_path AND n = line_number)"""
+
+
 def _encoded_rows() -> str:
     return ", ".join(f"({i}, {', '.join(q(x) for x in kind)})" for i, kind in enumerate(derived.ENCODED))
 
@@ -505,6 +514,12 @@ FROM documents JOIN kinds ON doc_id % {len(derived.ENCODED)} = i""",
     ON s.file_path = n.path AND n.line_number BETWEEN s.line_number - 3 AND s.line_number + 3
   WHERE s.data_category = 'error_data' AND s.operation_type = 'rum_error' GROUP BY s.file_path, s.line_number)
 SELECT file_path, line_number FROM near WHERE contains(lower(concat_ws(' ', regexp_extract(file_path, '[^/]*$'), around, line, page)), '": "the')""",
+        "search_by_index": f"""{_shown(scan)} SELECT term, file_path, line_number FROM shown
+JOIN (SELECT unnest(['setSdkVerbosity', 'clickAction("A', 'Line 63 ', '": "the', 'no such words', 'x9', 'the']) AS term) t ON contains(shown.text, lower(term))""",
+        "search_of_project_by_index": f"""{_shown(scan)} SELECT file_path, line_number FROM shown
+WHERE contains(text, '": "the') AND project_name = 'src3' AND data_category = 'error_data' AND operation_type = 'log_error'""",
+        "shelved_project": f"""{scan} SELECT project_name, operation_type, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS findings_count
+FROM scan WHERE project_name = 'src5' GROUP BY project_name, operation_type""",
         "filter_data_type_findings": f"{scan} SELECT file_path, line_number, operation_type FROM scan WHERE data_category = 'user_data'",
         "filter_project_findings": f"{scan} SELECT file_path, line_number, operation_type FROM scan WHERE project_name = 'src5'",
         "group_rows_by_project_and_category": f"""{scan}

@@ -7,12 +7,13 @@ directories from all customers and suppliers.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
-from beaconaudit.operators import findings as ops, lines, report
+from beaconaudit.operators import findings as ops, lines, report, shelves
 from beaconaudit.operators.store import new_folder, stored
 from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, each_once, readable, scan, scan_files, total_files
 from beaconaudit.sinks import exports
@@ -554,6 +555,35 @@ def search_findings(spark, sf):
         "file_path", "line_number")
 
 
+SEARCHES = ("setSdkVerbosity", 'clickAction("A', "Line 63 ", '": "the', "no such words", "x9", "the")
+
+
+def _shelved(spark, sf) -> shelves.Shelved:
+    return shelves.shelve(scanned(spark, sf), part_rows=2_000)
+
+
+@query
+def search_by_index(spark, sf):
+    """Findings that show a term, rare and common ones and one without a trigram, by the index of stored findings."""
+    kept = _shelved(spark, sf)
+    found = [shelves.search(kept, term).select(F.lit(term).alias("term"), "file_path", "line_number") for term in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def search_of_project_by_index(spark, sf):
+    """The same with all conditions at once."""
+    return shelves.search(_shelved(spark, sf), '": "the', "src3", "error_data", "log_error").select("file_path", "line_number")
+
+
+@query
+def shelved_project(spark, sf):
+    """One project's findings read from its shelf and recounted."""
+    findings, counted = shelves.filter_project(_shelved(spark, sf), corpus_projects(spark, sf), "src5")
+    return findings.groupBy("project_name", "operation_type").agg(F.count("*").alias("n")).join(
+        counted.select(F.col("name").alias("project_name"), "findings_count"), "project_name")
+
+
 @query
 def statistics_grouping_sets(spark, sf):
     return report.statistics(scanned(spark, sf, *COUNTED))
