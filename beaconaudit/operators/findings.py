@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from beaconaudit.functions import labels
+from beaconaudit.functions import hints, labels
 from beaconaudit.functions.fields import detailed_parameters
 from beaconaudit.functions.text import case, folded, has_any, lit, matches, record_length, strip
 from beaconaudit.operators import symbols as sym
@@ -17,6 +17,8 @@ from beaconaudit.operators.lines import CONTEXT, line_array
 from beaconaudit.rules import LIVE, Language, Rulebook, ci
 from beaconaudit.sources.corpus import route
 
+#: So many families that read a line alike are looked up in an index instead of tried in turn; findings are the same.
+INDEXED = 200
 SCORE = "struct<length:int,early:int>"
 EXTRACTED = "struct<kv:map<string,string>,string_literals:array<string>>"
 
@@ -104,6 +106,19 @@ def _kinds(language: Language) -> list:
     return list(kinds.items())
 
 
+def _first(members) -> str:
+    """The position of the first of ``(position, family)`` that hits a line; null if none does.
+
+    Few families are tried one after the other, many are looked up by what stands in the line.
+    """
+    indexed = [(n, f) for n, f in members if hints.fits(f.hints, f.regex)]
+    if len(indexed) < INDEXED:
+        return case(*[(_hit(family), str(n)) for n, family in members])
+    found = hints.first_hit([(n, f.hints, f.regex) for n, f in indexed], "row.line", "row.low")
+    others = [(_hit(f), str(n)) for n, f in members if not hints.fits(f.hints, f.regex)]
+    return f"least({found}, {case(*others)})" if others else found
+
+
 def candidates(language: Language) -> Lines:
     """Exactly the lines that have a finding; most text is turned away by substring tests.
 
@@ -111,11 +126,10 @@ def candidates(language: Language) -> Lines:
     read a line alike describe it alike, so no later one can win.
     """
     numbered = f"transform(lines, (l, i) -> named_struct('line_number', i + 1, 'line', l, 'low', {folded('l')}))"
-    hints = dict.fromkeys(h for family in language.families for h in family.hints)
-    hinted = has_any("row.low", hints) if all(family.hints for family in language.families) else "true"
+    words = dict.fromkeys(h for family in language.families for h in family.hints)
+    hinted = has_any("row.low", words) if all(f.hints for f in language.families) and len(words) < INDEXED else "true"
     named = "exists(symbol_hints, h -> contains(row.low, h))"
-    firsts = {f"first_{j}": case(*[(_hit(family), str(n)) for n, family in members])
-              for j, (_, members) in enumerate(_kinds(language))}
+    firsts = {f"first_{j}": _first(members) for j, (_, members) in enumerate(_kinds(language))}
     hit = f"coalesce({', '.join(f'row.{f}' for f in firsts)}) IS NOT NULL"
     used = f"symbol_test IS NOT NULL AND {named} AND regexp_extract(row.line, symbol_test, 0) != ''"
     # most lines hold no hint at all: they go before any family is tried

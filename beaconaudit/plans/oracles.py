@@ -591,6 +591,11 @@ UNION ALL SELECT 'findings', CAST(sum(CASE WHEN project_name IN ('src3', 'src5')
 numbers AS (SELECT path, line_number, list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: regexp_matches(x, '^(0|[1-9][0-9]{{0,3}})$')) AS xs FROM notes),
 least AS (SELECT path, line_number, list_min(list_transform(xs, lambda x: CAST(x AS INT))) AS x FROM numbers)
 SELECT path, line_number, 'n' || x AS family FROM least WHERE x < 1500""",
+        "thousands_of_families": """WITH l AS (SELECT '/notes/' || doc_id || '.md' AS path, CAST(generate_subscripts(p, 1) AS INT) AS line_number, lower(unnest(p)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) s),
+g AS (SELECT path, line_number, list_min(list_filter(list_transform(range(length(line) - 2), lambda i: substr(line, i + 1, 3)),
+  lambda x: regexp_matches(x, '^[a-u]{3}$'))) AS family FROM l)
+SELECT path, line_number, family FROM g WHERE family IS NOT NULL""",
         "live_detailed": f"{found} SELECT language, count(*) AS lines, CAST(0 AS BIGINT) AS detailed FROM found_all GROUP BY language",
         "pattern_hits": f"""WITH {_ROUTE}, w AS ({_hits(WEB)}), u AS ({_hits(UNITY)}),
 hits AS (SELECT {q(WEB)} AS language, family, pattern_ord FROM w UNION ALL SELECT {q(UNITY)}, family, pattern_ord FROM u),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -778,6 +779,16 @@ def many_families(spark, sf):
     return found.select("path", "line_number", "family")
 
 
+@query
+def thousands_of_families(spark, sf):
+    """A rulebook of 9,261 families over all documents as notes, a family for every three letters from a to u: the first that a line has."""
+    words = ["".join(x) for x in product("abcdefghijklmnopqrstu", repeat=3)]
+    book = rules.register_rules(rules.Rulebook(()), "Words", [".md"], [
+        {"name": w, "operation": "custom_attribute", "category": "system_data", "patterns": [w], "hints": [w]} for w in words])
+    notes = derived.table(spark, sf, "SELECT concat('/notes/', CAST(doc_id AS STRING), '.md') AS path, text AS content FROM documents")
+    return ops.detect(notes, book, wanted=("line_number", "family")).select("path", "line_number", "family")
+
+
 @query
 def pattern_hits(spark, sf):
     """Hits of every pattern of the rulebook, those without any included."""
