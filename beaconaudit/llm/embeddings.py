@@ -91,6 +91,8 @@ def _tiles(vectors: DataFrame, axes: np.ndarray | None, threshold: float, tile:
                 unit = _unit(raw)
                 if axes is not None and len(axes) == dims:
                     unit = unit @ axes
+                # by a power of two: digits and cosines stay, and squares stay in the range of doubles
+                raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
                 lead = np.pad(unit, ((0, 0), (0, 3)))[:, :3]
                 data = np.concatenate([raw, unit], axis=1)
                 yield pa.RecordBatch.from_arrays([

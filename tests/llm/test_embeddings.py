@@ -76,3 +76,14 @@ def test_the_leading_axes_carry_most():
     axes = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
     turned = unit @ axes
     assert (turned[:, :4] ** 2).sum() > (unit[:, :4] ** 2).sum() * 3
+
+
+def test_lengths_beyond_the_range_of_squares(spark):
+    """Vectors of 1e-170, 1e-310 and 1e200 link like those of 1; the smallest doubles have no digits left to do so."""
+    base, turned, other = np.array([1.0, 2.0, 3.0]), np.array([1.0, 2.0, 3.3]), np.array([3.0, -1.0, 0.5])
+    rows = [(10 * k + n, (v * scale).tolist(), 0) for k, scale in enumerate((1.0, 1e-170, 1e-305, 1e200)) for n, v in enumerate((base, turned, other))]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {
+        10 * k + n: (3, 2) if n == 2 else (7, 0) for k in range(4) for n in range(3)}
+    tiny = spark.createDataFrame([(1, [5e-324, 0.0], 0), (2, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert [r["n_links"] for r in embeddings.near_duplicates(tiny).collect()] == [1, 1]
