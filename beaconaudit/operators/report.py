@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit.functions.urls import base_name
-from beaconaudit.operators.joins import attach
+from beaconaudit.operators.joins import attach_measured
 from beaconaudit.operators.store import stored
 from beaconaudit.rules import DATA_TYPES
 from beaconaudit.sources.projects import count_findings
@@ -110,7 +110,7 @@ def grouped_rows(findings: DataFrame, by: str) -> DataFrame:
     key = GROUPINGS[by]
     findings = stored(findings)
     sizes = findings.groupBy(key).agg(F.count("*").alias("group_size"))
-    return attach(findings, sizes, key, spread_by=("file_path", "line_number"), how="inner").orderBy(
+    return attach_measured(findings, sizes, key, spread_by=("file_path", "line_number"), how="inner").orderBy(
         key, "file_path", "line_number")
 
 
@@ -139,7 +139,7 @@ def report_order(findings: DataFrame, projects: DataFrame) -> DataFrame:
     """
     heads = projects.select(F.col("name").alias("project_name"), "project_type", F.col("path").alias("project_path"))
     rest = [c for c in findings.columns if c not in ("project_type", "project_path")]
-    return attach(stored(findings.select(*rest)), heads, "project_name", spread_by=("file_path", "line_number"), how="inner").orderBy(
+    return attach_measured(stored(findings.select(*rest)), heads, "project_name", spread_by=("file_path", "line_number"), how="inner").orderBy(
         "project_name", "project_path", "file_path", "line_number")
 
 

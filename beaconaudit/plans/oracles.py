@@ -591,6 +591,10 @@ UNION ALL SELECT 'findings', CAST(sum(CASE WHEN project_name IN ('src3', 'src5')
 numbers AS (SELECT path, line_number, list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: regexp_matches(x, '^(0|[1-9][0-9]{{0,3}})$')) AS xs FROM notes),
 least AS (SELECT path, line_number, list_min(list_transform(xs, lambda x: CAST(x AS INT))) AS x FROM numbers)
 SELECT path, line_number, 'n' || x AS family FROM least WHERE x < 1500""",
+        "directory_scan": f"""{scan} SELECT project_name, file_path, line_number, operation_type, '{BASE}/' || project_name || '/blob/main/' ||
+  substr(file_path, length('/repos/' || project_name) + 2) || '#L' || line_number AS github_url FROM scan WHERE file_path LIKE '/repos/src%'""",
+        "files_by_bytes": f"""SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes, true AS even, true AS numbered
+FROM ({derived.DOCUMENT_FILES}) d""",
         "thousands_of_families": """WITH l AS (SELECT '/notes/' || doc_id || '.md' AS path, CAST(generate_subscripts(p, 1) AS INT) AS line_number, lower(unnest(p)) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) s),
 g AS (SELECT path, line_number, list_min(list_filter(list_transform(range(length(line) - 2), lambda i: substr(line, i + 1, 3)),

@@ -6,6 +6,7 @@ directories from all customers and suppliers.
 
 from __future__ import annotations
 
+import os
 from dataclasses import replace
 from functools import reduce
 from itertools import product
@@ -16,7 +17,7 @@ from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
 from beaconaudit.operators import findings as ops, lines, report, shelves
 from beaconaudit.operators.store import new_folder, stored
-from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, each_once, readable, scan, scan_files, total_files
+from beaconaudit.plans.scan import FINDING_COLUMNS, ScanResult, each_once, readable, scan, scan_directories, scan_files, total_files
 from beaconaudit.sinks import exports
 from beaconaudit.sources import charsets, corpus, projects, repos
 
@@ -779,6 +780,49 @@ def many_families(spark, sf):
     return found.select("path", "line_number", "family")
 
 
+def _write_files(folder: str):
+    """A map over (path, content) that writes files below a mounted folder."""
+    def write(batches):
+        for batch in batches:
+            names = batch["path"].to_pylist()
+            for name, content in zip(names, batch["content"].to_pylist()):
+                os.makedirs(os.path.dirname(folder + name), exist_ok=True)
+                with open(folder + name, "wb") as out:
+                    out.write(content.encode())
+            yield batch.select(["path"])
+
+    return write
+
+
+def _document_tree(spark, sf) -> str:
+    """The document files in a directory of the shared folder, written by the tasks that derive them; where it is mounted."""
+    folder = new_folder(spark).removeprefix("file://")
+    files = derived.document_files(spark, sf).select("path", "content")
+    files.mapInArrow(_write_files(folder), "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query
+def directory_scan(spark, sf):
+    """The document files as a mounted directory: listed, read and scanned."""
+    folder = _document_tree(spark, sf)
+    result = scan_directories(spark, [f"{folder}/repos", f"{folder}/missing"], base_url=BASE_URL, user_globs=scan_globs())
+    below = F.substring("file_path", F.lit(len(folder) + 1), F.length("file_path"))
+    return result.findings.select("project_name", below.alias("file_path"), "line_number", "operation_type", "github_url")
+
+
+@query
+def files_by_bytes(spark, sf):
+    """The listing of that directory dealt out to reading tasks: all files, all bytes, and no task with twice its share or more."""
+    folder = _document_tree(spark, sf)
+    listed = corpus.list_tree(spark, [folder]).where("NOT is_dir")
+    most = listed.agg(F.max(F.col("size") + 4096)).first()[0]
+    dealt, tasks = corpus.dealt_by_bytes(listed, max(1 << 18, most))
+    loads = dealt.groupBy("task").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.col("size") + 4096).alias("load"))
+    return loads.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), (F.max("load") < 2 * max(1 << 18, most)).alias("even"),
+                     (F.max("task") < tasks).alias("numbered"))
+
+
 @query
 def thousands_of_families(spark, sf):
     """A rulebook of 9,261 families over all documents as notes, a family for every three letters from a to u: the first that a line has."""

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from beaconaudit.functions.globs import ignore_pattern
 from beaconaudit.functions.text import has_any
@@ -191,16 +191,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(rows)
 
 
+def dealt_by_bytes(listed: DataFrame, task_bytes: int) -> tuple[DataFrame, int]:
+    """``listed`` with the ``task`` that opens a file, and the number of tasks: files stand in one row of bytes, cut every ``task_bytes``.
+
+    A file belongs to the task in whose stretch it begins, so no task opens more than its stretch and one file.
+    The row is ordered by buckets of a hash, and bytes are added up in two levels, so nothing is summed in one task but one
+    row per bucket.
+    """
+    buckets = 4 * int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = F.col("size") + F.lit(4096)  # opening a file costs something, too
+    rows = listed.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    sums = rows.groupBy("bucket").agg(F.sum(weight).alias("bytes"))
+    total = sums.agg(F.sum("bytes")).first()[0] or 0
+    before = sums.select("bucket", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("bucket").orderBy("path", "root").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(before, "bucket")
+    task = F.floor((F.col("before") + F.col("at")) / task_bytes).cast("int")
+    return placed.select(*listed.columns, task.alias("task")), max(1, int(-(-total // task_bytes)))
+
+
 def read_listed(listed: DataFrame) -> DataFrame:
     """``root, path, content`` of files listed with their ``size``, as bytes; content is null where it cannot be read.
 
     The number of tasks follows from the listed bytes: a task opens about ``TASK_BYTES``, and
     a failed one reads no more than that again.
     """
-    total = listed.agg(F.sum(F.col("size") + F.lit(4096))).first()[0] or 0
-    tasks = max(1, -(-total // TASK_BYTES))
-    return listed.select("root", "path").repartition(int(tasks), F.xxhash64("path")).mapInArrow(
-        _read, "root string, path string, content binary")
+    dealt, tasks = dealt_by_bytes(listed.select("root", "path", "size"), TASK_BYTES)
+    return dealt.repartitionById(tasks, "task").select("root", "path").mapInArrow(_read, "root string, path string, content binary")
 
 
 def read_directory(spark: SparkSession, root: str, suffixes=None) -> DataFrame:

@@ -300,6 +300,21 @@ def test_deep_and_wide_trees(spark, tmp_path, monkeypatch):
     assert {r["path"]: len(r["content"]) for r in read.collect()} == {p: s for p, (d, s) in rows.items() if not d}
 
 
+def test_bytes_are_dealt_out_evenly(spark):
+    """A few files hold most of the bytes, and many are empty; no task gets twice its share."""
+    import random
+    rng = random.Random(1)
+    sizes = [0] * 300 + [rng.randint(1, 2_000) for _ in range(500)] + [900_000] * 9
+    listed = spark.createDataFrame([("/r", f"/r/{i}.ts", n) for i, n in enumerate(sizes)] + [("/r/x", "/r/7.ts", 5)], "root string, path string, size long")
+    dealt, tasks = corpus.dealt_by_bytes(listed, 1_000_000)
+    loads = {r["task"]: (r["n"], r["load"]) for r in dealt.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.col("size") + 4096).alias("load")).collect()}
+    total = sum(sizes) + 5 + 4096 * (len(sizes) + 1)
+    assert tasks == -(-total // 1_000_000) and set(loads) <= set(range(tasks)) and sum(n for n, _ in loads.values()) == len(sizes) + 1
+    assert max(load for _, load in loads.values()) < 2_000_000
+    none, tasks = corpus.dealt_by_bytes(listed.where("false"), 1_000_000)
+    assert tasks == 1 and none.count() == 0
+
+
 def test_files_beyond_a_cell_are_unreadable(spark, tmp_path, monkeypatch):
     (tmp_path / "a.ts").write_text("12345")
     batch = corpus.pa.RecordBatch.from_pylist([{"root": "r", "path": str(tmp_path / "a.ts")}])

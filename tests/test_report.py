@@ -119,3 +119,30 @@ def test_detection_takes_a_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     running.awaitTermination(120)
     assert spark.table("found").count() == 1
+
+
+def test_heavy_keys_are_salted_in_proportion(spark):
+    """A key with a third of the rows fills a third of 211 tasks; other keys and their facts stay as they are."""
+    from beaconaudit.operators import joins
+    from beaconaudit.operators.store import stored
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = stored(spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 1000 = 1 THEN NULL ELSE concat('k', id % 700) END AS k", "id"))
+        heavy = {r["k"]: r["salts"] for r in joins.heavy_keys(rows, ["k"], 211).collect()}
+        assert set(heavy) == {"hot"} and 70 <= heavy["hot"] <= 71
+        facts = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, fact int")
+        joined = joins.attach_measured(rows, facts, "k", ("id",))
+        plain = rows.join(facts, "k", "left")
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.select(*joined.columns).collect()))
+        inner = joins.attach_measured(rows, facts, "k", ("id",), how="inner")
+        assert inner.count() == rows.join(facts, "k").count()
+        from pyspark.sql import functions as F
+        tasks = joined.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 40
+        assert joins.attach_measured(rows.where("false"), facts, "k", ("id",)).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
