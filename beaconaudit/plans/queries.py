@@ -11,7 +11,7 @@ from dataclasses import replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from beaconaudit import derived, rules
 from beaconaudit.functions import text, urls
@@ -823,6 +823,40 @@ def files_by_bytes(spark, sf):
                      (F.max("task") < tasks).alias("numbered"))
 
 
+def thousands_of_globs() -> list[str]:
+    """Names of files, ends of names, whole paths, directories and patterns."""
+    return [*(f"d{i}.ts" for i in range(0, 9000, 3)), *(f"*{i}.tsx" for i in range(0, 2000, 7)),
+            *(f"src/{lang}/d{i}.js" for lang in ("de", "en", "fr", "es") for i in range(0, 8000, 4)), "Assets/en/**", "dist/?e/*"]
+
+
+@query
+def thousands_of_ignore_globs(spark, sf):
+    """Document files that none of some 11,000 globs covers."""
+    files = derived.document_files(spark, sf).select("project_path", "path")
+    return corpus.ignore_filter(files, thousands_of_globs())
+
+
+@query
+def observed_totals(spark, sf):
+    """Files and findings of a scan, both counted while its findings are written."""
+    seen = Observation("scan")
+    found = stored(scan_files(derived.files(spark, sf), base_url=BASE_URL, globs=scan_globs(), wanted=("file_path",), observation=seen))
+    return found.agg(F.count("*").alias("findings")).withColumn("total_files_scanned", F.lit(seen.get["total_files_scanned"]))
+
+
+@query
+def merged_scans(spark, sf):
+    """Statistics of two scans from what each has kept, beside the exact ones: findings equal, files within 5 %."""
+    meta = derived.table(spark, sf, derived.CORPUS_REPOS)
+    each = [stored(scan_files(files, meta, base_url=BASE_URL, globs=scan_globs(), wanted=COUNTED))
+            for files in (derived.event_files(spark, sf), derived.document_files(spark, sf))]
+    merged = report.merged_statistics(*(stored(report.statistics_sketch(found)) for found in each))
+    exact = report.statistics(each[0].unionByName(each[1])).select("dimension", "value", F.col("findings").alias("counted"), F.col("files").alias("exact"))
+    both = merged.join(exact, (merged["dimension"] == exact["dimension"]) & merged["value"].eqNullSafe(exact["value"]))
+    return both.select(merged["dimension"], merged["value"], "findings", (F.col("findings") == F.col("counted")).alias("same"),
+                       (F.abs(F.col("files") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"), F.col("exact").alias("files"))
+
+
 @query
 def thousands_of_families(spark, sf):
     """A rulebook of 9,261 families over all documents as notes, a family for every three letters from a to u: the first that a line has."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from beaconaudit.functions import urls
 from beaconaudit.operators.findings import detect
@@ -53,14 +53,19 @@ def _built(wanted) -> tuple[str, ...]:
 
 def scan_files(files: DataFrame, repo_meta: DataFrame | None = None, *, base_url: str,
                default_branch: str = urls.DEFAULT_BRANCH, globs=(), rulebook: Rulebook = LIVE,
-               context: int = CONTEXT, wanted: tuple[str, ...] = FINDING_COLUMNS) -> DataFrame:
+               context: int = CONTEXT, wanted: tuple[str, ...] = FINDING_COLUMNS, observation: Observation | None = None) -> DataFrame:
     """Findings of ``files(project_path, path, content)``, content being text or bytes.
 
     Filters run cheapest first: extension and globs see only the path, then the keyword
     test sees the text, then lines are made. Branches are looked up for findings, not
     for files, so file contents never move. ``wanted`` names the columns to build.
+    ``observation`` gets ``total_files_scanned`` on the way, once the findings have been written or collected, so
+    totals need no pass of their own.
     """
-    eligible = corpus.decoded(corpus.eligible(files, globs, rulebook)).where(F.length("content") > 0)
+    counted = corpus.eligible(files, globs, rulebook)
+    if observation is not None:
+        counted = counted.observe(observation, F.count(F.lit(1)).alias("total_files_scanned"))
+    eligible = corpus.decoded(counted).where(F.length("content") > 0)
     found = detect(corpus.keyword_filter(eligible), rulebook, context, _built(wanted))
     return _linked(found, repo_meta, base_url, default_branch, wanted).select(*wanted)
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from beaconaudit.functions.globs import ignore_pattern
+from beaconaudit.functions.globs import ignored
 from beaconaudit.functions.text import has_any
 from beaconaudit.operators.store import stored
 from beaconaudit.rules import FILE_KEYWORDS, LIVE, Rulebook
@@ -77,8 +77,8 @@ def relative_path(path: Column, root: Column) -> Column:
 
 def not_ignored(rel: Column, globs) -> Column:
     """False for paths any glob covers, and for paths outside the project (null)."""
-    pattern = ignore_pattern(globs)
-    return rel.isNotNull() if pattern is None else rel.isNotNull() & ~rel.rlike(pattern)
+    covered = ignored(rel, globs)
+    return rel.isNotNull() if covered is None else rel.isNotNull() & ~covered
 
 
 def ignore_filter(files: DataFrame, globs, root: str = "project_path") -> DataFrame:
