@@ -74,7 +74,10 @@ _URL = "!#$%&'()*+,/:;=?@[]~-._"
 
 
 def archive(records: list[bytes]) -> list[bytes]:
-    """The frames of an archive: the dictionary's, if the records suffice for one, and each record's."""
+    """The frames of an archive: the dictionary's and each record's.
+
+    Records that are too few or too equal to train on are a dictionary of raw content themselves.
+    """
     total = sum(map(len, records))
     sample, size = [], 0
     for r in records[::max(1, -(-total // SAMPLE_BYTES))]:
@@ -84,11 +87,10 @@ def archive(records: list[bytes]) -> list[bytes]:
         size += len(sample[-1])
     try:
         trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 8), sample, k=400, d=8) if len(sample) >= 8 else None
-    except zstandard.ZstdError:  # too few or too equal records: the archive goes without
+    except zstandard.ZstdError:
         trained = None
     if trained is None:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        return [packer.compress(r) for r in records]
+        trained = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
     raw = zstandard.ZstdCompressor(level=LEVEL).compress(trained.as_bytes())
     return [struct.pack("<II", _SKIPPABLE, len(raw)) + raw, *(packer.compress(r) for r in records)]

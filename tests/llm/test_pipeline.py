@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from beaconaudit.llm import ORACLES, QUERIES, fuzzy_lines, mixing, quality, simhash
+from beaconaudit.llm import ORACLES, QUERIES, quality
 from tests.llm.conftest import edge_rows, sentence
 from tests.llm.test_fuzzy_lines import plain as plain_lines
 from tests.llm.test_simhash import component, plain as plain_fingerprint
@@ -22,7 +22,7 @@ here = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not her
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
@@ -79,9 +79,53 @@ def test_leading_sequences_hold_the_shares_of_the_mix(spark):
     assert abs(share["a"] - 0.59) < 0.08 and abs(share["b"] - 0.24) < 0.06 and abs(share["c"] - 0.17) < 0.06
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark, edge, no_documents):
+    """``edge`` has columns named like those the operators use inside, nulls, repeated rows and very long texts."""
+    given = collections.Counter(str(r["doc_id"]) for r in edge.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, edge, "")
+        assert kept.columns == edge.columns, name
+        found = collections.Counter(str(r["doc_id"]) for r in kept.collect())
+        assert found and not found - given, name  # no row is made up or doubled
+        if name in ("line dedup", "mixing"):
+            assert found == given, name
+        none = stage(spark, no_documents, "")
+        assert none.columns == edge.columns and none.count() == 0, name
+    assert corpus_pipeline.packed(spark, no_documents, "").count() == 0
+    assert collections.Counter(str(r["doc_id"]) for r in corpus_pipeline.packed(spark, edge, "").where("piece = 0").collect()) == given
+
+
+def test_files_are_in_order_of_their_numbers(spark, tmp_path):
+    """A mix of more than 100,000 files: names of five and of six digits."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for first, number in ((0, 99998), (100, 99999), (200, 100000), (300, 1000000)):
+        pq.write_table(pa.table({"doc_id": list(range(first, first + 100)), "text": ["word " * 500] * 100}), str(tmp_path / f"part-{number:05d}-x.parquet"))
+    rows = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path)), "").select("doc_id", "sequence_id").collect()
+    last = {k: max(r["sequence_id"] for r in rows if r["doc_id"] // 100 == k) for k in range(4)}
+    assert len(rows) == 400 and last[0] < last[1] < last[2] < last[3]
+
+
 @here
 def test_run(spark):
+    """Documents that stay are whole: their pieces cover all their ids once, in sequences without gaps."""
     rows = corpus_pipeline.run(spark, SF).collect()
     total = sum(r["length"] for r in rows)
     assert rows and len({r["sequence_id"] for r in rows}) <= -(-total // 4096) + 1
-    assert len(edge_rows()) and fuzzy_lines.BANDS and mixing.BLOCK and simhash.RADIUS == 2
+    places, parts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        parts[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+    for some in places.values():
+        at = 0
+        for offset, length in sorted(some):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    for some in parts.values():
+        at = 0
+        for k, (piece, start, length) in enumerate(sorted(some)):
+            assert (piece, start) == (k, at)
+            at += length
+    good = {r["doc_id"] for r in quality.keep_good(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert set(parts) <= good and len(parts) > len(good) / 2

@@ -55,9 +55,13 @@ def test_an_archive_is_read_with_the_dictionary_in_front():
     assert sum(map(len, frames)) < sum(len(zstandard.ZstdCompressor(level=warc.LEVEL).compress(r)) for r in some)
 
 
-def test_too_little_for_a_dictionary():
-    some = [warc.record(1, None, b"x", None)] * 3
-    assert list(warc.records(b"".join(warc.archive(some)))) == some
+@pytest.mark.parametrize("n", [1, 3, 8, 500])
+def test_too_little_for_a_dictionary(n):
+    """Few records, or all the same: a dictionary of raw content stands in front."""
+    some = [warc.record(1, None, b"x", None)] * n
+    frames = warc.archive(some)
+    assert frames[0][:4] == bytes.fromhex("5d2a4d18") and len(frames) == n + 1
+    assert list(warc.records(b"".join(frames))) == some
 
 
 def test_damage_is_found():
