@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
 the columns of ``documents``; the last returns the pieces of the packed sequences.
+
+Defined results, for all stages: columns beside doc_id, text, source and n_chars are kept as they are, whatever they
+are named; an empty table gives an empty one; rows that repeat an id are documents of their own. A null or empty text
+fails the quality rules; the other stages keep it as it is, and packing gives it its end id alone. Documents with a
+null id are never removed as near copies; a document without a source is of a source of its own.
 """
 
 from __future__ import annotations
@@ -44,7 +49,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:  # not a table of files
         rows = stored(docs).select("doc_id", "text", *row)
     files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    # by the number in a file's name, which is not padded beyond five digits
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).try_cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rows = rows.join(F.broadcast(files), "file").select("doc_id", "text", (F.col("base") + F.col("row")).alias(position))
     return packing.pack(rows, order=position)
