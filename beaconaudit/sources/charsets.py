@@ -154,7 +154,8 @@ def _alphabet_score(view: Column, high: Column, codec: str, frequent: str) -> Co
 def _latin_score(view: Column, high: Column, codec: str, usual: str, rare: str) -> Column:
     def beside(characters: str) -> Column:
         some = _byte_class(characters, codec)
-        return F.regexp_count(view, F.lit(rf"(?<=[A-Za-z]){some}|{some}(?=[A-Za-z])|(?<![\x80-\xff]){some}(?![\x80-\xff])"))
+        # a plain letter next to it or one further, or nothing but plain characters around it
+        return F.regexp_count(view, F.lit(rf"(?<=[A-Za-z][\x80-\xff]?){some}|{some}(?=[\x80-\xff]?[A-Za-z])|(?<![\x80-\xff]){some}(?![\x80-\xff])"))
 
     # the marks that open a Spanish question or exclamation are letters in other charsets
     opening = F.regexp_count(view, F.lit(r"(?<![A-Za-z\x80-\xff])[\xa1\xbf](?=[A-Za-z])")) if codec == "cp1252" else F.lit(0)

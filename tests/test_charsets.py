@@ -20,6 +20,7 @@ SENTENCES = [
     ("El niño pequeño comió mañana, ¿qué pasó? ¡la conexión falló!", {"latin-1": "windows-1252"}),
     ("L'utente non è più attivo perché la città è già così", {"latin-1": "windows-1252"}),
     ("Ett fel uppstod när användaren försökte öppna filen på åtta ställen", {"latin-1": "windows-1252"}),
+    ("èêai èêai de èêai", {"latin-1": "windows-1252"}),
     ("Villa kom upp við að tengjast þjóninum, reyndu aftur síðar", {"latin-1": "windows-1252"}),
     ("Sunucuya bağlanırken bir hata oluştu, lütfen daha sonra tekrar deneyiniz", {"cp1254": "windows-1254"}),
     ("サーバーへの接続中にエラーが発生しました。後でもう一度お試しください。", {"cp932": "windows-31j", "euc_jp": "EUC-JP"}),
