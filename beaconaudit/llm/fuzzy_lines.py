@@ -7,25 +7,26 @@ bands. Lines that share a band are candidates, and candidates count if the Jacca
 their sets reaches the threshold. Of each component of such lines the earliest stays.
 
 1. Hashes of bands are counted over the corpus; those seen twice go into a bitmap of bounded size.
-2. A second pass keeps the lines that have such a band: most lines have none and go no further.
-3. In a bucket (all lines of a band) the smallest line is compared with each other line. The first
-   two bands connect most of what is similar; in all bands a connected group then goes as one line,
-   its smallest in the bucket. So a group of near copies costs a few pairs per line, not all
-   its pairs.
-4. What is then still apart within a bucket is compared pair by pair, a bucket in blocks of bounded
-   size. So every candidate pair is verified or already connected.
+2. A second pass keeps the lines that have such a band, one row with the text per task: most lines have
+   none and go no further.
+3. A bucket (all lines of a band) is compared in the task that gets it, pair by pair but for pairs
+   that are connected already; a large bucket in pairs of blocks of bounded size. A bitmap of a line's
+   shingles bounds how far two sets can be apart, so texts are compared hardly ever in vain; of the links
+   found, those that connect something new go on. So a group of near copies costs its lines, not its pairs.
+4. The first two bands connect most of what is similar. In the others only buckets that still hold
+   different components are looked at. Every candidate pair is verified or already connected.
 5. Components, the earliest place of each, and the removals meet as narrow rows. Only texts that
    lose a line (again by bitmap, then exactly) meet their removals in a shuffle.
 
-Defined results: a null text has no lines and stays null; blank lines and lines under ``MIN_CHARS``
-are never removed; rows that repeat an id and its text are one document and get the same result;
+Defined results: a null text has no lines and stays null; blank lines are never removed; a line
+under five characters is a shingle of its own, so only equal ones are similar; rows that repeat an id and its text are one document and get the same result;
 null ids come before all others; an empty table gives no rows; of the further columns
 ``dedup_lines`` passes all on. Earliest means smallest id, then a hash of the text, then the line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import HashSet, hash_set, seen_twice, twice_at_most
+from beaconaudit.llm.bits import hash_set, seen_twice, twice_at_most
 from beaconaudit.llm.common import fresh, partitions
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
@@ -43,18 +44,18 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares one of 20 bands of 6 with probability 0.998.
 BANDS = 20
 ROWS = 6
-MIN_CHARS = 20
-#: Characters of lines whose signatures are computed at once.
+#: Characters of lines whose signatures are computed, or that are compared, at once.
 CHUNK_CHARS = 2_000_000
 
 #: Bins of a signature, of which the bands use the first.
 BINS = 128
 #: Bands whose buckets are looked at first; what they connect is not compared again in the others.
 FIRST_BANDS = 2
-#: Bins of which a byte is kept to tell clearly different lines.
-KEPT_BINS = 64
-#: Lines of a bucket, about, that are compared pair by pair with as many others at once.
-BLOCK_LINES = 512
+#: Lines of a block, about: a bucket of more is compared in pairs of blocks.
+BLOCK_LINES = 4096
+#: Words of 64 bits in a bitmap of a line's shingles, and those of them that are looked at first.
+WORDS = 16
+FIRST_WORDS = 4
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -81,10 +82,10 @@ _SOURCES = [(_mixed((np.arange(BINS, dtype=np.uint64) + np.uint64(1 + BINS * tur
             for turn in range(1, 513)]
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines that have a shingle: a minimum per bin (uint32), and how many of the kept bins had a value of their own."""
-    n = len(lines)
-    size = np.fromiter(map(len, lines), np.int64, n)
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes (uint32) of all shingles, line by line, and how many each line has."""
+    lines = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     # a shingle's hash at its first character; those that leave their line belong to no line
     h = chars[:len(chars) - SHINGLE + 1] * _ODD[0]
@@ -100,9 +101,23 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(h), bool)
     for k in range(1, SHINGLE):
         inside[(start[1:] - k)] = False
-    h = h[inside]
+    return h[inside], size - SHINGLE + 1
+
+
+def bitmaps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line a bitmap (uint64) in which every shingle sets a bit, and its number of shingles, repeats included."""
+    h, size = _hashes(lines)
+    bits = np.zeros((len(lines), 64 * WORDS), bool)
+    bits[np.repeat(np.arange(len(lines)), size), (h >> np.uint32(7)) % np.uint32(64 * WORDS)] = True
+    return np.packbits(bits, axis=1).view(np.uint64), size
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines that are not empty: a minimum per bin (uint32), and how many of the bins had a value of their own."""
+    n = len(lines)
+    h, size = _hashes(lines)
     # the low bits say which bin; within a bin the high ones decide
-    cell = np.repeat(np.arange(n) * BINS, size - SHINGLE + 1)
+    cell = np.repeat(np.arange(n) * BINS, size)
     cell += h & np.uint32(BINS - 1)
     least = np.full(n * BINS, _EMPTY)
     np.minimum.at(least, cell, h)
@@ -120,7 +135,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         r, c = row[good], col[good]
         signature[r, c] = least[r, source[good]] + np.uint32(turn)
         row, col = row[~good], col[~good]
-    return signature, filled[:, :KEPT_BINS].sum(axis=1, dtype=np.int32)
+    return signature, filled.sum(axis=1, dtype=np.int32)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -132,15 +147,10 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return _mixed(out + np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL[0])
 
 
-def short_signatures(signature: np.ndarray) -> np.ndarray:
-    """One byte of each of some bins: enough to tell clearly different lines."""
-    return ((signature[:, :KEPT_BINS] * _ODD[3]) >> np.uint32(24)).astype(np.uint8)
-
-
 def lines_of(text: str) -> list[tuple[int, str]]:
     """The lines that take part: number and normal form."""
     found = ((i, line.strip()) for i, line in enumerate(text.lower().split("\n")))
-    return [(i, line) for i, line in found if len(line) >= MIN_CHARS]
+    return [(i, line) for i, line in found if line]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[int], list[int], list[str]]]:
@@ -171,19 +181,14 @@ def _line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _key(line_id: bytes) -> int:
-    """A number for an id, in rows of buckets; ids decide where two have one number."""
-    return int.from_bytes(line_id[:8], "big", signed=True)
-
-
 def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """A row per line that shares a band: doc_id, tie, line, id, key.
+    """A row per line that shares a band: doc_id, tie, line, id.
 
-    The first in its chunk has its signature, filled bins and shared bands too (``first``: of the first bands).
+    The first in its chunk has its text and shared bands too (``first``: of the first bands).
     """
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -196,14 +201,13 @@ def candidates(documents: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(twice_at_most(parts))], names=["band"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()), ("key", pa.int64()),
-                            ("signature", pa.binary()), ("filled", pa.int32()), ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()),
+                            ("text", pa.string()), ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for docs, ties, numbers, lines in _chunks(batches):
             some, of = _distinct(lines)
             if not some:
                 continue
-            signature, filled = signatures(some)
-            value, short = bands(signature), short_signatures(signature)
+            value = bands(signatures(some)[0])
             held = repeated.holds(value.ravel()).reshape(value.shape)
             rows = np.flatnonzero(held.any(axis=1)[of])
             if not len(rows):
@@ -213,183 +217,157 @@ def candidates(documents: DataFrame) -> DataFrame:
             out = []
             for r in rows.tolist():
                 i = int(of[r])
-                more = (None,) * 4
+                more = (None,) * 3
                 if i not in seen:
-                    both = [value[i][:n][held[i][:n]].view(np.int64) for n in (FIRST_BANDS, BANDS)]
-                    more = (short[i].tobytes(), int(filled[i]), *both)
+                    more = (some[i], *(value[i][:n][held[i][:n]].view(np.int64) for n in (FIRST_BANDS, BANDS)))
                 seen.add(i)
-                out.append((docs[r], ties[r], numbers[r], ids[i], _key(ids[i]), *more))
+                out.append((docs[r], ties[r], numbers[r], ids[i], *more))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
     rows = _rows(documents)
     repeated = hash_set(stored(seen_twice(rows.mapInArrow(hashes, "band long"), partitions(documents.sparkSession))))
-    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, key long, signature binary, filled int, "
-                                          "first array<long>, bands array<long>"))
-
-
-def _texts(documents: DataFrame, wanted: HashSet) -> DataFrame:
-    """(id, text) of the lines whose key is in the set, by another pass over the documents."""
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, lines in _chunks(batches):
-            some = list(dict.fromkeys(lines))
-            ids = [_line_id(line) for line in some]
-            keep = np.flatnonzero(wanted.holds(np.array([_key(i) for i in ids], np.int64).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep.tolist()], pa.binary()), pa.array([some[i] for i in keep.tolist()], pa.string())], names=["id", "text"])
+    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, text string, first array<long>, bands array<long>"))
 
-    return _rows(documents).mapInArrow(found, "id binary, text string").groupBy("id").agg(F.first("text").alias("text"))
 
+class _Sets:
+    """The shingles of lines seen lately, of a bounded number of characters."""
 
-def _likely(x: np.ndarray, y: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of short signatures go on to the texts.
-
-    A pair stops if its share of equal bins is five standard deviations below the threshold, as
-    counted over the bins that have a value of their own.
-    """
-    own = np.maximum(1, own)
-    return (x == y).mean(axis=-1) >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / own)
+    def __init__(self) -> None:
+        self.known: dict[str, set[str]] = {}
+        self.chars = 0
 
+    def of(self, line: str) -> set[str]:
+        if line not in self.known:
+            if self.chars > CHUNK_CHARS:
+                self.known.clear()
+                self.chars = 0
+            self.known[line] = shingles(line)
+            self.chars += len(line)
+        return self.known[line]
 
-def _likely_pairs(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b): the pairs (a, b) of keys that their signatures do not tell apart."""
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, KEPT_BINS) for c in ("signature_a", "signature_b"))
-            own = np.minimum(*(batch[c].to_numpy(zero_copy_only=False) for c in ("filled_a", "filled_b")))
-            yield batch.select(["id_a", "id_b"]).filter(pa.array(_likely(x, y, own, threshold)))
+    def similar(self, a: str, b: str, threshold: float) -> bool:
+        x, y = self.of(a), self.of(b)
+        shared = len(x & y)
+        return shared >= threshold * (len(x) + len(y) - shared)
 
-    some = pairs
-    for side in "ab":
-        some = some.join(lines.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "signature", "filled"))), side)
-    return some.select("id_a", "signature_a", "filled_a", "id_b", "signature_b", "filled_b").mapInArrow(likely, "id_a binary, id_b binary")
 
+def new_links(cell: np.ndarray, ids: list[bytes], top: np.ndarray, block: np.ndarray, crossed: np.ndarray, lines: list[str],
+              threshold: float, sets: _Sets) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect, with those that ``top`` (a component's hash) stands for, all similar lines of a cell.
 
-def _verified(pairs: DataFrame, texts_of: Callable[[HashSet], DataFrame], threshold: float,
-              shingles: Callable[[str], set] = shingles) -> DataFrame:
-    """The pairs (id_a, id_b) whose texts reach the threshold; ``texts_of`` gives (id, text) of a set of keys."""
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
-
-        def sets(line: str) -> set[str]:
-            if len(known) > 2000:
-                known.clear()
-            if line not in known:
-                known[line] = shingles(line)
-            return known[line]
-
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                x, y = sets(a), sets(b)
-                least, most = sorted((len(x), len(y)))
-                shared = len(x & y) if least >= threshold * most else 0
-                keep.append(shared >= threshold * (least + most - shared))
-            yield batch.select(["id_a", "id_b"]).filter(pa.array(keep, pa.bool_()))
-
-    some = pairs
-    ends = some.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    keys = ends.select(F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long").alias("key"))
-    texts = stored(texts_of(hash_set(stored(keys))))
-    for side in "ab":
-        some = some.join(texts.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
-    return some.select("id_a", "id_b", "text_a", "text_b").mapInArrow(similar, "id_a binary, id_b binary")
-
-
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys: in every bucket (band, key) the smallest with each other one."""
-    least = buckets.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").drop("z")
-    return buckets.join(least, "band").where("key != a").select("a", F.col("key").alias("b")).distinct()
-
-
-def _apart(lines: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b): in every bucket all pairs of lines of different components, but for those that signatures tell apart.
+    Rows of a cell stand together. Of a crossed cell only lines of different blocks are compared. Sets of x and y
+    shingles can be similar only if they differ in (x + y) (1 - threshold) / (1 + threshold) at most, and they differ
+    at least where their bitmaps do.
+    """
+    n = len(cell)
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    left = np.repeat(starts + sizes, sizes) - np.arange(n)  # rows from here to the end of the cell
+    different, of = _distinct(lines)
+    maps, count = bitmaps(different)
+    group = np.unique(top, return_inverse=True)[1]
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    rows = np.arange(n)
+    for step in range(1, int(sizes.max())):
+        rows = rows[left[rows] > step]
+        a = rows[group[rows] != group[rows + step]]
+        a = a[~crossed[a] | (block[a] != block[a + step])]
+        for words in (slice(0, FIRST_WORDS), slice(FIRST_WORDS, WORDS)):
+            # a bound of the first words is one of all words
+            x, y = of[a], of[a + step]
+            apart = np.bitwise_count(maps[x, words] ^ maps[y, words]).sum(axis=1, dtype=np.int64)
+            if words.start:
+                apart += earlier
+            near = apart * (1 + threshold) <= (count[x] + count[y]) * (1 - threshold) + 1e-6
+            a, earlier = a[near], apart[near]
+        linked = False
+        for i in a.tolist():
+            x, y = root(group[i]), root(group[i + step])
+            if x != y and sets.similar(lines[i], lines[i + step], threshold):
+                parent[max(x, y)] = min(x, y)
+                linked = True
+                yield ids[i], ids[i + step]
+        if linked:
+            while (parent != parent[parent]).any():
+                parent = parent[parent]
+            group = parent[group]
+
+
+def _links(lines: DataFrame, bands_of: str, roots: DataFrame | None, threshold: float) -> DataFrame:
+    """(id_a, id_b): links that connect, with ``roots``, all similar lines that share one of the bands in a column.
 
     A bucket is cut into blocks by hash, and a task compares two of its blocks at a time.
     """
-    schema = "id_a binary, id_b binary"
-
-    def compared(cell: pa.Table) -> pa.RecordBatch:
-        ids, top, block, filled = (cell[c].to_numpy() for c in ("id", "top", "block", "filled"))
-        signature = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint8).reshape(-1, KEPT_BINS)
-        same = cell["low"][0] == cell["high"][0]
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            other = i + 1 + np.flatnonzero((top[i + 1:] != top[i]) & (same | (block[i + 1:] != block[i])))
-            other = other[_likely(signature[i], signature[other], np.minimum(filled[i], filled[other]), threshold)]
-            for j in other.tolist():
-                x, y = sorted((ids[i], ids[j]))
-                a.append(x)
-                b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id_a", "id_b"])
-
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted: a cell ends where its three columns change
-        open_: list[pa.RecordBatch] = []
-        last = None
+        sets, open_, size = _Sets(), [], 0
+
+        def links_of(some: pa.Table) -> pa.RecordBatch:
+            name = np.stack([some[c].to_numpy().astype(np.int64) for c in ("band", "low", "high")], axis=1)
+            cell = np.cumsum(np.r_[0, (name[1:] != name[:-1]).any(axis=1)])
+            found = list(new_links(cell, some["id"].to_pylist(), some["top"].to_numpy(), some["block"].to_numpy(),
+                                   name[:, 1] != name[:, 2], some["text"].to_pylist(), threshold, sets))
+            return pa.RecordBatch.from_arrays([pa.array([link[k] for link in found], pa.binary()) for k in (0, 1)], names=["id_a", "id_b"])
+
+        # rows come sorted: whole cells are compared once there are enough of them
         for batch in batches:
             if not len(batch):
                 continue
-            names = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "low", "high")], axis=1)
-            bounds = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-            for first, end in zip(bounds, bounds[1:]):
-                name = names[first].tolist()
-                if open_ and name != last:
-                    yield compared(pa.Table.from_batches(open_))
-                    open_ = []
-                open_.append(batch.slice(first, end - first))
-                last = name
+            open_.append(batch)
+            size += len(batch) + batch.nbytes // 256
+            if size < BLOCK_LINES:
+                continue
+            some = pa.Table.from_batches(open_)
+            last = np.ones(len(some), bool)
+            for c in ("band", "low", "high"):
+                values = some[c].to_numpy()
+                last &= values == values[-1]
+            whole = len(some) - int(last.sum())
+            if whole:
+                yield links_of(some.slice(0, whole))
+            open_ = some.slice(whole).to_batches()
+            size = 0
         if open_:
-            yield compared(pa.Table.from_batches(open_))
-
-    rows = (lines.select("id", "bands").join(roots, "id", "left")
-            .select("id", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band")))
-    open_bands = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("top").alias("low"), F.max("top").alias("high")).where("low != high")
-                  .select("band", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("blocks")))
+            yield links_of(pa.Table.from_batches(open_))
+
+    rows = lines.select("id", F.length("text").alias("chars"), F.explode(bands_of).alias("band"))
+    if roots is None:
+        rows = rows.withColumn("top", F.xxhash64("id"))
+    else:
+        tops = lines.select("id").join(roots, "id", "left").select("id", F.xxhash64(F.coalesce("top", "id")).alias("top"))
+        rows = rows.join(tops, "id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int")
+    buckets = (rows.groupBy("band").agg(blocks.alias("blocks"), F.min("top").alias("least"), F.max("top").alias("most"))
+               .where("least != most").select("band", "blocks"))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
-    rows = rows.join(open_bands, "band").select("id", "top", "band", "blocks", block)
+    rows = rows.join(buckets, "band").select("id", "top", "band", "blocks", block)
     rows = rows.select("id", "top", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("id", "top", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(lines.select("id", "signature", "filled"), "id")
+    rows = rows.join(lines.select("id", "text"), "id")
     cell = ("band", "low", "high")
     rows = rows.repartition(partitions(lines.sparkSession), *cell).sortWithinPartitions(*cell)
-    return rows.mapInArrow(cells, schema).distinct()
-
+    return rows.mapInArrow(cells, "id_a binary, id_b binary").distinct()
 
-def connected(lines: DataFrame, texts_of: Callable[[HashSet], DataFrame], threshold: float = THRESHOLD,
-              shingles: Callable[[str], set] = shingles) -> DataFrame:
-    """(id, top) of the lines that are similar to another line with a smaller id, or joined to one by a chain of such.
 
-    ``lines`` has a row per id: id, key, signature, filled, first and bands.
-    """
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(stored(pairs), texts_of, threshold, shingles))
-
-    def found(links: DataFrame) -> DataFrame:
+def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id, or joined to one by a chain of such."""
+    def tops(links: DataFrame) -> DataFrame:
         return components(links).withColumnsRenamed({"node": "id", "root": "top"})
 
-    links = verified(_likely_pairs(_stars(lines.select("key", F.explode("first").alias("band"))), lines, threshold))
-    # all bands; lines that are connected already go as one, their smallest in the bucket
-    groups = (lines.select("id", "key", "bands").join(found(links), "id", "left")
-              .select("key", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode("bands").alias("band"))
-              .groupBy("band", "top").agg(F.min("key").alias("key")).select("band", "key"))
-    links = links.unionByName(verified(_likely_pairs(_stars(groups), lines, threshold)))
-    roots = found(links)
-    # the rest: what the stars have not compared
-    return found(links.unionByName(verified(_apart(lines, roots, threshold))))
-
-
-def line_components(found: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id."""
-    kept = ("key", "signature", "filled", "first", "bands")
-    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in kept)))
-    return connected(lines, lambda wanted: _texts(documents, wanted), threshold)
+    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in ("text", "first", "bands"))))
+    links = stored(_links(lines, "first", None, threshold))
+    return tops(links.unionByName(stored(_links(lines, "bands", tops(links), threshold))))
 
 
 def removals(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines that go, per document that loses any."""
     found = candidates(documents)
-    roots = line_components(found, documents, threshold)
+    roots = line_components(found, threshold)
     place = F.struct("doc_id", "tie", "line")
     first = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     top = stored(first.join(roots, "id", "left").select("id", "first", "last", F.coalesce("top", "id").alias("top")))
