@@ -77,9 +77,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-#: Where an empty bin looks for a value, turn by turn; the same for all lines.
-_SOURCES = [(_mixed((np.arange(BINS, dtype=np.uint64) + np.uint64(1 + BINS * turn)) * _MUL[1]) >> np.uint64(33)) % np.uint64(BINS)
-            for turn in range(1, 513)]
+#: Bins in the order in which an empty bin (row) looks for a value, the same for all lines; and a bin's place in that order.
+_ORDER = np.argsort(_mixed(np.arange(1, BINS * BINS + 1, dtype=np.uint64) * _MUL[1]).reshape(BINS, BINS), axis=1)
+_PLACE = np.argsort(_ORDER, axis=1)
+#: Turns after which a line's filled bins are so few that they are ranked instead.
+_TURNS = 8
+#: Lines whose signatures are computed at once.
+_LINES = 16_384
 
 
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,24 +124,34 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cell = np.repeat(np.arange(n) * BINS, size)
     cell += h & np.uint32(BINS - 1)
     least = np.full(n * BINS, _EMPTY)
-    np.minimum.at(least, cell, h)
+    np.minimum.at(least, cell, np.minimum(h, _EMPTY - np.uint32(1)))
     least = least.reshape(n, BINS)
     filled = least != _EMPTY
     signature = least.copy()
     row, col = np.nonzero(~filled)
-    turn = 0
-    while len(row):
-        source = _SOURCES[turn % len(_SOURCES)].astype(np.int64)[col]
-        if turn >= len(_SOURCES):  # hardly ever: a line with one shingle or two
-            source = (source + turn) % BINS
-        turn += 1
+    for turn in range(_TURNS):
+        source = _ORDER[col, turn]
         good = filled[row, source]
         r, c = row[good], col[good]
-        signature[r, c] = least[r, source[good]] + np.uint32(turn)
+        signature[r, c] = least[r, source[good]] + np.uint32(turn + 1)
         row, col = row[~good], col[~good]
+    if len(row):
+        # of the line's filled bins the one that comes first in the bin's order
+        own = filled.sum(axis=1)
+        bins = np.nonzero(filled)[1]
+        many = own[row]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(own) - own)[row] - (ends - many), many)
+        first = np.minimum.reduceat(_PLACE[np.repeat(col, many), bins[at]], ends - many)
+        signature[row, col] = least[row, _ORDER[col, first]] + (first + 1).astype(np.uint32)
     return signature, filled.sum(axis=1, dtype=np.int32)
 
 
+def bands_of(lines: list[str]) -> np.ndarray:
+    """The bands of lines that are not empty, some lines at a time."""
+    return np.concatenate([bands(signatures(lines[i:i + _LINES])[0]) for i in range(0, len(lines), _LINES)])
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """The hashes (uint64) of each signature's bands."""
     wide = signature[:, :BANDS * ROWS].astype(np.uint64)
@@ -195,7 +209,7 @@ def candidates(documents: DataFrame) -> DataFrame:
         for _, _, _, lines in _chunks(batches):
             some, of = _distinct(lines)
             if some:
-                value = bands(signatures(some)[0])
+                value = bands_of(some)
                 parts += [value.ravel(), value[np.bincount(of) > 1].ravel()]
         # a band that the task has twice is sent twice: more does not matter
         yield pa.RecordBatch.from_arrays([pa.array(twice_at_most(parts))], names=["band"])
@@ -207,7 +221,7 @@ def candidates(documents: DataFrame) -> DataFrame:
             some, of = _distinct(lines)
             if not some:
                 continue
-            value = bands(signatures(some)[0])
+            value = bands_of(some)
             held = repeated.holds(value.ravel()).reshape(value.shape)
             rows = np.flatnonzero(held.any(axis=1)[of])
             if not len(rows):
@@ -299,7 +313,7 @@ def new_links(cell: np.ndarray, ids: list[bytes], top: np.ndarray, block: np.nda
             group = parent[group]
 
 
-def _links(lines: DataFrame, bands_of: str, roots: DataFrame | None, threshold: float) -> DataFrame:
+def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: float) -> DataFrame:
     """(id_a, id_b): links that connect, with ``roots``, all similar lines that share one of the bands in a column.
 
     A bucket is cut into blocks by hash, and a task compares two of its blocks at a time.
@@ -335,7 +349,7 @@ def _links(lines: DataFrame, bands_of: str, roots: DataFrame | None, threshold:
         if open_:
             yield links_of(pa.Table.from_batches(open_))
 
-    rows = lines.select("id", F.length("text").alias("chars"), F.explode(bands_of).alias("band"))
+    rows = lines.select("id", F.length("text").alias("chars"), F.explode(column).alias("band"))
     if roots is None:
         rows = rows.withColumn("top", F.xxhash64("id"))
     else:

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from beaconaudit.llm import fuzzy_lines
@@ -122,3 +123,42 @@ def test_lines_beside_an_accidental_smallest(spark, monkeypatch, block):
     found = spark.createDataFrame(found, "doc_id long, tie long, line int, id binary, text string, first array<long>, bands array<long>")
     top = {bytes(r["id"]): bytes(r["top"]) for r in fuzzy_lines.line_components(found).collect()}
     assert top == {i: min(family) for family in (ids[1:4], ids[4:7], ids[7:]) for i in family if i != min(family)}
+
+
+def test_lines_of_any_length(spark):
+    """Lines of one character to twenty: a line under five is similar to equal ones only."""
+    rng = random.Random(31)
+    base = ["}", "ab", "ab\0\0\0", "abcd", "abcde", "yes.", "---", *(sentence(rng, 2)[:rng.randint(5, 14)] for _ in range(20))]
+    rows = [(i, "\n".join(rng.choice(base) + rng.choice(["", "", " ", "x"]) for _ in range(5))) for i in range(40)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_links_of_a_cell_connect_what_is_similar(blocks):
+    """Two cells of variants of one template: links are similar, few, and connect all that is similar (of different blocks)."""
+    rng = random.Random(17)
+    template = sentence(rng, 12).split()
+    lines = []
+    for _ in range(120):
+        words = list(template)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        lines.append(" ".join(words))
+    lines = list(dict.fromkeys(lines))
+    ids = [fuzzy_lines._line_id(line) for line in lines]
+    cell = np.arange(len(lines)) * 2 // len(lines)
+    block = np.arange(len(lines)) % blocks
+    links = list(fuzzy_lines.new_links(cell, ids, np.arange(len(lines)), block, np.full(len(lines), blocks > 1), lines, 0.8, fuzzy_lines._Sets()))
+    line_of = dict(zip(ids, lines))
+    assert all(fuzzy_lines.similarity(line_of[a], line_of[b]) >= 0.8 for a, b in links) and len(links) < len(lines)
+
+    def classes(pairs):
+        top = {i: i for i in ids}
+        for _ in ids:
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    plain_links = [(ids[i], ids[j]) for i in range(len(lines)) for j in range(i) if cell[i] == cell[j] and (blocks == 1 or block[i] != block[j])
+                   and fuzzy_lines.similarity(lines[i], lines[j]) >= 0.8]
+    assert plain_links and classes(links) == classes(plain_links)
