@@ -349,31 +349,52 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
         if open_:
             yield links_of(pa.Table.from_batches(open_))
 
-    rows = lines.select("id", F.length("text").alias("chars"), F.explode(column).alias("band"))
-    if roots is None:
-        rows = rows.withColumn("top", F.xxhash64("id"))
-    else:
-        tops = lines.select("id").join(roots, "id", "left").select("id", F.xxhash64(F.coalesce("top", "id")).alias("top"))
-        rows = rows.join(tops, "id")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int")
-    buckets = (rows.groupBy("band").agg(blocks.alias("blocks"), F.min("top").alias("least"), F.max("top").alias("most"))
-               .where("least != most").select("band", "blocks"))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
-    rows = rows.join(buckets, "band").select("id", "top", "band", "blocks", block)
-    rows = rows.select("id", "top", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("id", "top", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(lines.select("id", "text"), "id")
+    rows = lines.withColumn("top", F.lit(None).cast("binary")) if roots is None else lines.join(roots, "id", "left")
+    rows = rows.select("id", "text", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode(column).alias("band"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
+    buckets = stored(rows.groupBy("band").agg(blocks.alias("blocks"), F.min("top").alias("least"), F.max("top").alias("most"))
+                     .where("least != most").select("band", "blocks"))
+    # texts are shuffled once: a bitmap leaves out buckets of one component, and few buckets have several blocks
+    rows = rows.where(hash_set(buckets.select("band")).column(F.col("band"))).join(buckets.where("blocks > 1"), "band", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("id", "top", "text", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     cell = ("band", "low", "high")
     rows = rows.repartition(partitions(lines.sparkSession), *cell).sortWithinPartitions(*cell)
     return rows.mapInArrow(cells, "id_a binary, id_b binary").distinct()
 
 
+def _compared(found: DataFrame) -> DataFrame:
+    """(id, text, first, bands) of the lines that share a band with another line; most share theirs with equal lines only."""
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name in ("first", "bands"):
+                lists = batch[name].to_pylist()
+                values = np.array([x for some in lists for x in some], np.int64)
+                held = np.r_[0, np.cumsum(shared.holds(values.view(np.uint64)))]
+                ends = held[np.cumsum([0, *map(len, lists)])]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[np.diff(held) > 0], pa.int64())))
+            left = pa.RecordBatch.from_arrays([batch["id"], *columns], names=["id", "first", "bands"])
+            yield left.filter(pa.array(np.diff(columns[1].offsets.to_numpy()) > 0))
+
+    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(F.first("first").alias("first"), F.first("bands").alias("bands")))
+    one = F.xxhash64("id")
+    several = lines.select(one.alias("line"), F.explode("bands").alias("band")).groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("z"))
+    shared = hash_set(stored(several.where("a != z").select("band")))
+    live = stored(lines.mapInArrow(pruned, "id binary, first array<long>, bands array<long>"))
+    wanted = hash_set(live.select(one.alias("line")))
+    texts = found.where("bands IS NOT NULL").select("id", "text").where(wanted.column(one)).groupBy("id").agg(F.first("text").alias("text"))
+    return stored(live.join(texts, "id").select("id", "text", "first", "bands"))
+
+
 def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id, or joined to one by a chain of such."""
     def tops(links: DataFrame) -> DataFrame:
         return components(links).withColumnsRenamed({"node": "id", "root": "top"})
 
-    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in ("text", "first", "bands"))))
+    lines = _compared(found)
     links = stored(_links(lines, "first", None, threshold))
     return tops(links.unionByName(stored(_links(lines, "bands", tops(links), threshold))))
 
