@@ -65,6 +65,44 @@ def twice_at_most(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([value, value[times > 1]]).view(np.int64)
 
 
+#: Parts per task that packed values are dealt to, so that tasks get about the same number of values.
+_PARTS_EACH = 8
+
+
+def packed(value: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """Signed numbers (well mixed) as a row per part of them, for ``packed_twice``: rows cost more than what is in them."""
+    parts = tasks * _PARTS_EACH
+    part = ((value.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    value, ends = value[order], np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(ends))
+    data = [value[ends[i]:ends[i + 1]].tobytes() for i in some.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def packed_twice(parts: DataFrame, name: str, tasks: int) -> DataFrame:
+    """The values that rows (part, data) of ``packed`` hold in two rows, or twice in one."""
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a part at a time: rows come sorted
+        part, data = None, []
+        for batch in batches:
+            for one, some in zip(*(batch[c].to_pylist() for c in ("part", "data"))):
+                if one != part and data:
+                    yield held_twice(data)
+                    data = []
+                part = one
+                data.append(some)
+        if data:
+            yield held_twice(data)
+
+    def held_twice(data: list[bytes]) -> pa.RecordBatch:
+        values = np.frombuffer(b"".join(data), np.int64).copy()
+        values.sort()
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(values[1:][values[1:] == values[:-1]]))], names=[name])
+
+    return parts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(twice, f"{name} long")
+
+
 def hash_set(hashes: DataFrame) -> HashSet:
     """The set of a table's only column (long, well mixed in its low bits)."""
     spark, (name,) = hashes.sparkSession, hashes.columns
@@ -88,6 +126,6 @@ def hash_set(hashes: DataFrame) -> HashSet:
     chunk = F.floor(F.col(name).bitwiseAND(F.lit(bits - 1)) / _CHUNK)
     parts = hashes.repartition(max(1, min(bits // _CHUNK, 64)), chunk).mapInArrow(fill, "chunk long, data binary")
     words = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # one job: together they are the bitmap, whose size is bounded
         words[row["chunk"] * (_CHUNK // 8):(row["chunk"] + 1) * (_CHUNK // 8)] = np.frombuffer(row["data"], np.uint8)
     return HashSet(spark.sparkContext.broadcast(words), bits)

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import hash_set, seen_twice, twice_at_most
+from beaconaudit.llm.bits import hash_set, packed, packed_twice, twice_at_most
 from beaconaudit.llm.common import fresh, partitions
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
@@ -212,7 +212,7 @@ def candidates(documents: DataFrame) -> DataFrame:
                 value = bands_of(some)
                 parts += [value.ravel(), value[np.bincount(of) > 1].ravel()]
         # a band that the task has twice is sent twice: more does not matter
-        yield pa.RecordBatch.from_arrays([pa.array(twice_at_most(parts))], names=["band"])
+        yield packed(twice_at_most(parts), tasks)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()),
@@ -238,31 +238,54 @@ def candidates(documents: DataFrame) -> DataFrame:
                 out.append((docs[r], ties[r], numbers[r], ids[i], *more))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
-    rows = _rows(documents)
-    repeated = hash_set(stored(seen_twice(rows.mapInArrow(hashes, "band long"), partitions(documents.sparkSession))))
+    rows, tasks = _rows(documents), partitions(documents.sparkSession)
+    repeated = hash_set(stored(packed_twice(rows.mapInArrow(hashes, "part long, data binary"), "band", tasks)))
     return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, text string, first array<long>, bands array<long>"))
 
 
 class _Sets:
-    """The shingles of lines seen lately, of a bounded number of characters."""
+    """The shingles of lines seen lately, of a bounded number of characters.
+
+    Five characters of 12 bits are one number, so most lines' shingles are sorted numbers; those of other lines are strings.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[str, set[str]] = {}
+        self.known: dict[str, np.ndarray | None] = {}
         self.chars = 0
 
-    def of(self, line: str) -> set[str]:
+    def of(self, line: str) -> np.ndarray | None:
         if line not in self.known:
             if self.chars > CHUNK_CHARS:
                 self.known.clear()
                 self.chars = 0
-            self.known[line] = shingles(line)
+            self.known[line] = _numbers(line)
             self.chars += len(line)
         return self.known[line]
 
     def similar(self, a: str, b: str, threshold: float) -> bool:
         x, y = self.of(a), self.of(b)
-        shared = len(x & y)
-        return shared >= threshold * (len(x) + len(y) - shared)
+        if x is None or y is None:
+            some, others = shingles(a), shingles(b)
+            shared, both = len(some & others), len(some) + len(others)
+        else:
+            values = np.concatenate((x, y))
+            values.sort()
+            shared, both = np.count_nonzero(values[1:] == values[:-1]), len(values)
+        return bool(shared >= threshold * (both - shared))
+
+
+def _numbers(line: str) -> np.ndarray | None:
+    """A line's distinct shingles as sorted numbers; none if it is too short or has characters beyond 12 bits."""
+    chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(chars) - SHINGLE + 1
+    if n < 1 or chars.max() >= 1 << 12:
+        return None
+    values = chars[:n].astype(np.uint64)
+    for k in range(1, SHINGLE):
+        values <<= np.uint64(12)
+        values |= chars[k:n + k]
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]]
 
 
 def new_links(cell: np.ndarray, ids: list[bytes], top: np.ndarray, block: np.ndarray, crossed: np.ndarray, lines: list[str],
