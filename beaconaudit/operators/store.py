@@ -45,10 +45,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Removes every table this process stored; call it when their results are no longer read."""
+def made() -> list[str]:
+    """The paths that this process has put into the shared folder and not removed."""
+    return list(_written)
+
+
+def forget(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Removes every table this process stored, or those at ``paths``; call it when their results are no longer read."""
     jvm, removed = spark.sparkContext._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in made() if paths is None else [p for p in paths if p in _written]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(name)
     return removed
