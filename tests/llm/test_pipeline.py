@@ -9,9 +9,10 @@ import pytest
 
 import corpus_pipeline
 from beaconaudit.llm import ORACLES, QUERIES, quality
+from beaconaudit.operators import store
 from tests.llm.conftest import edge_rows, sentence
 from tests.llm.test_fuzzy_lines import plain as plain_lines
-from tests.llm.test_simhash import component, plain as plain_fingerprint
+from tests.llm.test_near_texts import plain as plain_copies
 from tests.llm.test_quality import plain as plain_rules
 
 SF = "/root/testdata/sf0.001"
@@ -55,9 +56,8 @@ def test_stages_against_plain_versions(spark, edge):
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == texts
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect() if r["text"] is not None)
     # near copies
-    fps = [(i, plain_fingerprint(t)) for i, t, _ in rows]
     kept = corpus_pipeline.without_near_copies(spark, unique, "")
-    assert {r["doc_id"] for r in kept.collect()} == {i for (i, _), c in zip(fps, component(fps)) if i == c}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in plain_copies([(i, t) for i, t, _ in rows])}
     # mixing and packing lose nothing
     assert corpus_pipeline.mixed(spark, unique, "").count() == len(rows)
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, unique, "").collect()} == {i for i, _, _ in rows}
@@ -106,6 +106,18 @@ def test_files_are_in_order_of_their_numbers(spark, tmp_path):
     assert len(rows) == 400 and last[0] < last[1] < last[2] < last[3]
 
 
+def test_tables_of_a_stage_go_when_the_next_is_called(spark, edge, tmp_path):
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars")
+    lines = corpus_pipeline.without_repeated_lines(spark, docs, "")
+    helpers = set(corpus_pipeline._helpers)
+    lines.write.parquet(str(tmp_path / "lines"))
+    assert helpers and helpers <= set(store.made())
+    lazy = corpus_pipeline.without_near_copies(spark, spark.read.parquet(str(tmp_path / "lines")), "")
+    assert not helpers & set(store.made())
+    # an input that still reads the tables keeps them
+    assert corpus_pipeline.mixed(spark, lazy, "").count() == lazy.count()
+
+
 @here
 def test_run(spark):
     """Documents that stay are whole: their pieces cover all their ids once, in sequences without gaps."""
