@@ -70,15 +70,21 @@ def search_text(data_json: Column) -> Column:
         F.lit(LABEL_LINK), F.lit(LABEL_COPY))
 
 
-def search(findings: DataFrame, term: str = "", project: str = "", category: str = "", operation: str = "") -> DataFrame:
+def shown_text(findings: DataFrame) -> Column:
+    """What ``search`` looks for a term in."""
+    return F.lower(search_text(page_json(F.col("data_being_sent"))))
+
+
+def search(findings: DataFrame, term: str = "", project: str = "", category: str = "", operation: str = "",
+           shown: Column | None = None) -> DataFrame:
     """All given conditions must hold; blank ones do not count. The equalities come first,
-    so text is put together only for rows they leave."""
+    so text is put together only for rows they leave. ``shown`` is that text where it has been kept."""
     out = findings
     for column, value in (("project_name", project), ("data_category", category), ("operation_type", operation)):
         if value:
             out = out.where(F.col(column) == value)
     if term:
-        out = out.where(F.lower(search_text(page_json(F.col("data_being_sent")))).contains(term.lower()))
+        out = out.where((shown_text(findings) if shown is None else shown).contains(term.lower()))
     return out
 
 

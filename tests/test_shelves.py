@@ -90,3 +90,23 @@ def test_written_shelves_are_opened_again(spark, findings):
 def test_no_findings(findings):
     empty = shelves.shelve(findings.where("1 = 0"))
     assert shelves.search(empty, "alpha").count() == 0 and shelves.of_project(empty, "hot").count() == 0
+
+
+def test_very_many_parts_share_directories(findings, monkeypatch):
+    monkeypatch.setattr(shelves, "MOST_FILES", 3)
+    kept = shelves.shelve(findings, part_rows=40)
+    assert kept.findings.select("file").distinct().count() <= 3
+    assert kept.findings.select("shelf", "part").distinct().count() >= 30
+    for term in ("zebra", "größe", "al", "nothing like it"):
+        assert rows(shelves.search(kept, term)) == rows(report.search(findings, term))
+    assert {r["count"] <= 40 for r in kept.findings.groupBy("shelf", "part").count().collect()} == {True}
+
+
+def test_postings_are_the_trigrams_of_each_text(spark, shelved):
+    import pyarrow as pa
+
+    texts = ["abc\0", "", "xy", None, "äö😀ü", "bcd", "abc"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5 + [2] * 2, pa.int32()), pa.array([7] * 7, pa.int64()), pa.array(texts)], names=["shelf", "part", "shown"])
+    found = [r for b in shelves._postings(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    assert sorted((r["shelf"], r["gram"]) for r in found) == sorted(
+        {(s, t[i:i + 3]) for s, t in zip([1] * 5 + [2] * 2, texts) if t for i in range(len(t) - 2)})
