@@ -3,10 +3,12 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from beaconaudit import detect, scan_files
-from beaconaudit.operators import report
+from beaconaudit.operators import findings as findings_of, report
 from beaconaudit.sinks import exports
+from beaconaudit.sources import corpus
 from beaconaudit.sources.projects import count_findings
 
 BASE = "https://github.com/example"
@@ -98,6 +100,31 @@ def test_json_document_is_one_document(findings, projects, spark, tmp_path):
     assert empty["findings"] == [] and empty["projects"] == []
 
 
+def test_tasks_of_a_document_grow_in_number_with_its_items(spark, projects, monkeypatch):
+    monkeypatch.setattr(exports, "ITEM_ROWS", 50)
+    text = "\n".join(f"logger.info('line {i}');" for i in range(1000))
+    found = scan_files(spark.createDataFrame([("/r/one", "/r/one/a.ts", text)], "project_path string, path string, content string"), base_url=BASE).cache()
+    items = exports.document_lines(count_findings(projects, found), found, spark.range(1).toDF("total_files_scanned"), 0.0).where("section = 3")
+    loads = [r["count"] for r in items.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(loads) == 1000 and max(loads) < 200
+
+
+def test_text_is_made_once_and_above_a_shuffle(spark):
+    files = spark.range(3).selectExpr("concat('/r/p/', id, '.ts') AS path", "cast(id AS string) AS text").hint("rebalance")
+    files = files.selectExpr("path", "concat('logger.', text) AS content")
+    plan = corpus.keyword_filter(corpus.decoded(files).where("length(content) > 0"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RebalancePartitions")
+    assert "Filter" in above and "Filter" not in below and plan.count("concat(logger.") == 1
+
+
+def test_rules_alone_look_for_no_symbols(spark):
+    text = "import track from '@datadog/browser-rum';\ntrack(1);\nlogger.info('a');"
+    files = spark.createDataFrame([("/r/p/a.ts", text)], "path string, content string")
+    for made in (findings_of.rule_hits(files), findings_of.rule_findings(files)):
+        assert "symbol_test" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted({(r["line_number"], r["family"]) for r in made.collect()}) == [(1, "imports"), (3, "log_info")]
+
+
 def test_json_lines_and_report_tables(findings, projects, spark, tmp_path):
     exports.write_json(findings, projects, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json/findings")).count() == 7
