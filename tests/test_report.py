@@ -173,3 +173,15 @@ def test_heavy_keys_are_salted_in_proportion(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_wanted_columns_are_those_of_whole_findings(spark):
+    text = "\n".join(["import track from '@datadog/browser-rum';", "track(1);", "logger.info('a'); datadogRum.addAction('a longer name');", "logger.warn('b')",
+                       "DD_RUM.addError(new Error('x')); logger.error('it is a much longer message');", "const a = 1;"])
+    files = spark.createDataFrame([("/r/p/a.ts", text), ("/r/p/b.cs", 'x.Rum.AddError("no"); logger.Info("and more of it");\nx.ClearAllData();')], "path string, content string")
+    whole = detect(files)
+    for some in (("line_number",), ("line_number", "family"), ("line_number", "operation_type"), ("line_number", "data_category"),
+                 ("line_number", "code_snippet", "context_lines"), ("line_number", "repr_length"), ("line_number", "data_being_sent")):
+        assert (sorted(map(str, detect(files, wanted=some).select("path", *some).collect()))
+                == sorted(map(str, whole.select("path", *some).collect()))), some
+    assert "named_struct(length" not in detect(files, wanted=("line_number",))._jdf.queryExecution().optimizedPlan().toString()
