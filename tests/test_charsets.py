@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,17 @@ def test_bytes_are_decoded_once(spark, tmp_path):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("is_valid_utf8") + text.count("isValid") == 1, text
     assert detect(plan).count() == 0
+
+
+def test_scores_need_only_what_is_near_high_bytes(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(300):
+        parts = [bytes(rng.choice((rng.randrange(256), rng.randrange(0x80, 256), rng.choice(b"aZ09 \n"))) for _ in range(rng.randint(1, 12)))
+                 if rng.random() < 0.6 else rng.choice((b"x", b"ab 1", b"long plain text\n")) * rng.randint(1, 6) for _ in range(rng.randint(1, 8))]
+        texts.append(b"".join(parts))
+    texts += [b"plain " * 2000 + text.encode(codec) + b"\nplain" * 2000 for text, kinds in SENTENCES for codec in kinds if not codec.startswith("utf")]
+    views = spark.createDataFrame([(t.decode("latin-1"),) for t in texts], "v string")
+    near = views.withColumn("n", charsets._near_high(F.col("v")))
+    found = near.select("v", "n", charsets._guess(F.col("v")).alias("whole"), charsets._guess(F.col("n")).alias("near")).collect()
+    assert all(r["whole"] == r["near"] for r in found) and len({r["near"] for r in found}) > 5
+    assert max(len(r["n"]) for r in found) < 400 < max(len(r["v"]) for r in found)
