@@ -67,3 +67,10 @@ def test_live_rules_by_index(spark, monkeypatch):
     plain = detect(files, LIVE).collect()
     monkeypatch.setattr(ops, "INDEXED", 2)
     assert detect(files, LIVE).collect() == plain and len(plain) == 4
+
+
+def test_families_after_the_first_hit_are_not_tried(spark):
+    families = [(0, ("never",), "never"), (1, ("aab",), "a+b"), (2, ("aab",), "(")]  # the last pattern cannot be tried
+    first = hints.first_hit(families, "line", "line")
+    rows = spark.createDataFrame([("xaab",), ("xyz",)], "line string").selectExpr("line", f"{first} AS n").collect()
+    assert {r["line"]: r["n"] for r in rows} == {"xaab": 1, "xyz": None}
