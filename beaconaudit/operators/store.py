@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How tables are packed: context lines and the like repeat what stands next to them.
+PACKED = {"compression": "zstd"}
 _written: list[str] = []
 
 
@@ -41,7 +43,7 @@ def stored(frame: DataFrame) -> DataFrame:
     if frame.isStreaming:
         return frame
     path = new_folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.options(**PACKED).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

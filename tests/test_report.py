@@ -185,3 +185,20 @@ def test_wanted_columns_are_those_of_whole_findings(spark):
         assert (sorted(map(str, detect(files, wanted=some).select("path", *some).collect()))
                 == sorted(map(str, whole.select("path", *some).collect()))), some
     assert "named_struct(length" not in detect(files, wanted=("line_number",))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_groups_of_a_report_are_whole_sorted_and_not_shuffled(findings, projects, spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(exports, "MOST_FILES", most)
+    ranged, plain = [], type(findings).repartitionByRange
+    monkeypatch.setattr(type(findings), "repartitionByRange", lambda self, *keys: ranged.append(keys) or plain(self, *keys))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    exports.write_report(findings, projects, spark.createDataFrame([(9,)], "total_files_scanned long"), str(tmp_path / "report"))
+    assert len(ranged) == (0 if most else 3) and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    for by, column in report.GROUPINGS.items():
+        rows = spark.read.parquet(str(tmp_path / f"report/by_{by}")).select(
+            "group", column, "file_path", "line_number", F.input_file_name().alias("file")).collect()
+        assert len(rows) == findings.count() and all(r["group"] == r[column] for r in rows)
+        for file in {r["file"] for r in rows}:
+            places = [(r["file_path"], r["line_number"]) for r in rows if r["file"] == file]
+            assert places == sorted(places)
