@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from beaconaudit import detect, scan_files
+from beaconaudit import derived, detect, scan_files
 from beaconaudit.operators import findings as findings_of, report
 from beaconaudit.sinks import exports
 from beaconaudit.sources import corpus
@@ -202,3 +202,27 @@ def test_groups_of_a_report_are_whole_sorted_and_not_shuffled(findings, projects
         for file in {r["file"] for r in rows}:
             places = [(r["file_path"], r["line_number"]) for r in rows if r["file"] == file]
             assert places == sorted(places)
+
+
+def test_hints_are_looked_for_once_per_line(spark):
+    files = spark.createDataFrame([("/r/p/a.cs", "sdk.Rum.AddAction(\"a\");\nRUM.ADDACTION(\nnothing\nl.Info(1); l.Warn(2);")], "path string, content string")
+    for made in (findings_of.rule_hits(files), detect(files), detect(files, wanted=("line_number",))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        generate = next(line for line in plan.split("\n") if "Generate" in line)
+        # once for each language, whatever its families, patterns and ways of reading
+        assert plan.count(", .adderror)") == 2 or generate.count(", .adderror)") == 2
+        assert sorted({r["line_number"] for r in made.collect()}) == [1, 4]
+
+
+def test_tasks_of_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    for name, rows in (("documents", "id AS doc_id, concat('text ', id) AS text, 'en' AS lang, 'src1' AS source, 9L AS n_chars"),
+                       ("events", "id AS event_id, id % 7 AS user_id, 'view' AS event_type, '{}' AS props")):
+        spark.sql(f"SELECT {rows} FROM range(0, 5000, 1, 1)").write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(derived, "DOCUMENT_BYTES", 1000)
+    monkeypatch.setattr(derived, "EVENT_BYTES", 2000)
+    sf = str(tmp_path)
+    for files, n in ((derived.document_files(spark, sf), 1000), (derived.event_files(spark, sf), 2000)):
+        name = "documents" if n == 1000 else "events"
+        tasks = derived.tasks_of(spark, f"{sf}/{name}.parquet", n)
+        assert tasks > 4 and files.rdd.getNumPartitions() == tasks
+        assert files.count() == (5000 if n == 1000 else 79)
