@@ -80,6 +80,23 @@ def packed(value: np.ndarray, tasks: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
 
 
+#: Values that a task holds before it hands them on, which bounds its memory.
+_VALUES = 1 << 21
+
+
+def packed_in_turn(chunks: Iterator[list[np.ndarray]], tasks: int) -> Iterator[pa.RecordBatch]:
+    """Arrays (uint64) of many chunks for ``packed_twice``, a bounded number of values at a time."""
+    parts, size = [], 0
+    for chunk in chunks:
+        parts += chunk
+        size += sum(map(len, chunk))
+        if size >= _VALUES:
+            yield packed(twice_at_most(parts), tasks)
+            parts, size = [], 0
+    # a value that the task has twice is sent twice: more does not matter
+    yield packed(twice_at_most(parts), tasks)
+
+
 def packed_twice(parts: DataFrame, name: str, tasks: int) -> DataFrame:
     """The values that rows (part, data) of ``packed`` hold in two rows, or twice in one."""
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

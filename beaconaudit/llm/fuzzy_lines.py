@@ -34,8 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import hash_set, packed, packed_twice, twice_at_most
-from beaconaudit.llm.common import fresh, partitions
+from beaconaudit.llm.bits import hash_set, packed_in_turn, packed_twice
+from beaconaudit.llm.common import fresh, partitions, tidied
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
 
@@ -204,16 +204,18 @@ def candidates(documents: DataFrame) -> DataFrame:
 
     The first in its chunk has its text and shared bands too (``first``: of the first bands).
     """
+    @tidied
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for _, _, _, lines in _chunks(batches):
-            some, of = _distinct(lines)
-            if some:
-                value = bands_of(some)
-                parts += [value.ravel(), value[np.bincount(of) > 1].ravel()]
-        # a band that the task has twice is sent twice: more does not matter
-        yield packed(twice_at_most(parts), tasks)
+        def values() -> Iterator[list[np.ndarray]]:
+            for _, _, _, lines in _chunks(batches):
+                some, of = _distinct(lines)
+                if some:
+                    value = bands_of(some)
+                    yield [value.ravel(), value[np.bincount(of) > 1].ravel()]
+
+        yield from packed_in_turn(values(), tasks)
 
+    @tidied
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()),
                             ("text", pa.string()), ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
@@ -341,6 +343,7 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
 
     A bucket is cut into blocks by hash, and a task compares two of its blocks at a time.
     """
+    @tidied
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, open_, size = _Sets(), [], 0
 
@@ -375,8 +378,12 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
     rows = lines.withColumn("top", F.lit(None).cast("binary")) if roots is None else lines.join(roots, "id", "left")
     rows = rows.select("id", "text", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode(column).alias("band"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
-    buckets = stored(rows.groupBy("band").agg(blocks.alias("blocks"), F.min("top").alias("least"), F.max("top").alias("most"))
-                     .where("least != most").select("band", "blocks"))
+    # of buckets with the same members (told by their number and two hashes) one is compared
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"members_{k}") for k in (2, 3)]
+    buckets = rows.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), *members,
+                                       F.min("top").alias("least"), F.max("top").alias("most")).where("least != most")
+    buckets = stored(buckets.groupBy("n", "members_2", "members_3").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
+                     .select("band", "blocks"))
     # texts are shuffled once: a bitmap leaves out buckets of one component, and few buckets have several blocks
     rows = rows.where(hash_set(buckets.select("band")).column(F.col("band"))).join(buckets.where("blocks > 1"), "band", "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -414,10 +421,14 @@ def _compared(found: DataFrame) -> DataFrame:
 
 def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, top) of the lines of ``candidates`` that are similar to another line with a smaller id, or joined to one by a chain of such."""
+    return joined(_compared(found), threshold)
+
+
+def joined(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same of ``lines(id, text, first, bands)``, each once, with the bands in which it is to be compared."""
     def tops(links: DataFrame) -> DataFrame:
         return components(links).withColumnsRenamed({"node": "id", "root": "top"})
 
-    lines = _compared(found)
     links = stored(_links(lines, "first", None, threshold))
     return tops(links.unionByName(stored(_links(lines, "bands", tops(links), threshold))))
 

@@ -6,8 +6,9 @@ A text is written as a string of one character per word (a hash of the word, in
 shingles are the string's five-character shingles and texts are compared as lines are in ``fuzzy_lines``. Every text has
 ``TABLES`` independent fingerprints of 32 bits over its distinct shingles. A fingerprint emits all variants within half
 the radius; texts within the radius in one table share a variant. Variants are counted over the corpus, and only texts
-with a variant seen twice go on. In a bucket all pairs that are not connected already are compared, and linked if their
-shingles' Jaccard similarity reaches the threshold: fingerprints only find candidates.
+with a variant seen twice go on. Variants of 32 bits meet by chance, too: of a small bucket only texts go on whose fingerprints of all
+tables together are near another's, and only their encoded texts are made and shuffled. In a bucket all pairs that are not connected
+already are compared, and linked if their shingles' Jaccard similarity reaches the threshold: fingerprints only find candidates.
 
 A pair at similarity 0.8, 0.85, 0.9 or 0.95 is within the radius in a table or more with probability 0.78, 0.93, 0.99, 0.999.
 
@@ -25,9 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from beaconaudit.llm.bits import hash_set, packed, packed_twice, twice_at_most
-from beaconaudit.llm.common import fresh, partitions
-from beaconaudit.llm.fuzzy_lines import line_components
+from beaconaudit.llm.bits import hash_set, packed_in_turn, packed_twice
+from beaconaudit.llm.common import fresh, partitions, tidied
+from beaconaudit.llm.fuzzy_lines import joined
 from beaconaudit.operators.store import stored
 
 SHINGLE_WORDS = 5
@@ -38,6 +39,12 @@ TABLES = 12
 RADIUS = 2
 #: Tables whose buckets are looked at first; what they connect is not compared again in the others.
 FIRST_TABLES = 1
+#: Bits of all fingerprints of a text in which similar texts differ at most: at similarity 0.8 they differ in 60 or so (deviation 7),
+#: unrelated ones in 192 (deviation 10).
+MOST_APART = 32 * TABLES // 3
+#: Rows of the largest bucket whose texts are told apart by all their fingerprints, and rows looked at together.
+SMALL_BUCKET = 64
+BUCKET_ROWS = 50_000
 #: Characters of texts handled at once.
 CHUNK_CHARS = 2_000_000
 
@@ -76,11 +83,19 @@ def fingerprints(code: str) -> np.ndarray:
     return np.concatenate(out).astype(np.uint64)
 
 
+def sketches_of(codes: list[str]) -> np.ndarray:
+    """The fingerprints of every text (row)."""
+    return np.array([fingerprints(code) for code in codes], np.uint64).reshape(len(codes), TABLES)
+
+
+def _variants_of(sketches: np.ndarray) -> np.ndarray:
+    table = np.arange(TABLES, dtype=np.uint64).reshape(1, TABLES, 1) << np.uint64(32)
+    return _mixed((sketches[:, :, None] ^ _VARIANTS) | table).reshape(len(sketches), TABLES * len(_VARIANTS))
+
+
 def variants(codes: list[str]) -> np.ndarray:
     """Hashes (uint64) of all variants of every text, table after table."""
-    fps = np.array([fingerprints(code) for code in codes], np.uint64).reshape(len(codes), TABLES, 1)
-    table = np.arange(TABLES, dtype=np.uint64).reshape(1, TABLES, 1) << np.uint64(32)
-    return _mixed((fps ^ _VARIANTS) | table).reshape(len(codes), TABLES * len(_VARIANTS))
+    return _variants_of(sketches_of(codes))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[int], list[str], list[int]]]:
@@ -104,34 +119,117 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """A row per document that shares a variant: doc_id, tie, id; for the first of its text in a chunk its encoded text and shared variants too."""
+    """A narrow row per document that shares a variant: doc_id, tie, id.
+
+    The first of its text in a chunk has a key of its id and tie, all its fingerprints (``sketch``), the variants that are
+    shared (``bands``), table after table, and how many of them are of the first tables (``n_first``).
+    """
+    @tidied
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for _, _, codes, of in _chunks(batches):
-            value = variants(codes)
-            parts += [value.ravel(), value[np.bincount(of) > 1].ravel()]
-        yield packed(twice_at_most(parts), tasks)
+        def values() -> Iterator[list[np.ndarray]]:
+            for _, _, codes, of in _chunks(batches):
+                value = variants(codes)
+                yield [value.ravel(), value[np.bincount(of) > 1].ravel()]
+
+        yield from packed_in_turn(values(), tasks)
 
+    @tidied
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("id", pa.binary()), ("text", pa.string()),
-                            ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("id", pa.binary()), ("sketch", pa.binary()),
+                            ("n_first", pa.int32()), ("bands", pa.list_(pa.int64()))])
         for docs, ties, codes, of in _chunks(batches):
-            value = variants(codes)
+            sketches = sketches_of(codes)
+            value = _variants_of(sketches)
             held = repeated.holds(value.ravel()).reshape(value.shape)
             out, seen = [], set()
             for r in np.flatnonzero(held.any(axis=1)[of]).tolist():
                 i, more = of[r], (None,) * 3
                 if i not in seen:
-                    more = (codes[i], *(value[i][:n][held[i][:n]].view(np.int64) for n in (FIRST_TABLES * len(_VARIANTS), value.shape[1])))
+                    more = (sketches[i].astype(np.uint32).tobytes(), int(held[i][:FIRST_TABLES * len(_VARIANTS)].sum()), value[i][held[i]].view(np.int64))
                 seen.add(i)
                 out.append((docs[r], ties[r], xxhash.xxh3_128_digest(codes[i].encode()), *more))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = _rows(documents)
     tasks = partitions(documents.sparkSession)
     repeated = hash_set(stored(packed_twice(rows.mapInArrow(hashes, "part long, data binary"), "variant", tasks)))
-    return stored(rows.mapInArrow(shared, "doc_id long, tie long, id binary, text string, first array<long>, bands array<long>"))
+    return stored(rows.mapInArrow(shared, "doc_id long, tie long, id binary, sketch binary, n_first int, bands array<long>"))
+
+
+def partnered(variant: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Which of the rows, sorted by variant, are not ruled out: another text (``ids``) of the bucket has fingerprints near enough.
+
+    Buckets of more than ``SMALL_BUCKET`` rows are not looked at: chance makes small ones.
+    """
+    n = len(variant)
+    starts = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    left = np.repeat(starts + sizes, sizes) - np.arange(n)  # rows from here to the end of the bucket
+    large = np.repeat(sizes > SMALL_BUCKET, sizes)
+    keep, rows = large.copy(), np.flatnonzero(~large)
+    for step in range(1, min(SMALL_BUCKET, n)):
+        rows = rows[left[rows] > step]
+        if not len(rows):
+            break
+        apart = np.bitwise_count(sketch[rows] ^ sketch[rows + step]).sum(axis=1, dtype=np.int64)
+        near = rows[(apart <= MOST_APART) & (ids[rows] != ids[rows + step]).any(axis=1)]
+        keep[near] = keep[near + step] = True
+    return keep
+
+
+def compared(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, text, first, bands) of the texts of ``candidates`` that share a variant with a text whose fingerprints are near in all tables together.
+
+    Most texts share variants by chance only, ever more so in a larger corpus, so narrow rows decide which encoded texts are needed.
+    """
+    @tidied
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_buckets(some: pa.Table) -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(some["id"].to_pylist()), np.uint64).reshape(-1, 2)
+            sketch = np.frombuffer(b"".join(some["sketch"].to_pylist()), np.uint64).reshape(len(some), -1)
+            kept = some.filter(pa.array(partnered(some["band"].to_numpy(), ids, sketch)))
+            return pa.RecordBatch.from_arrays([kept[c].combine_chunks() for c in ("id", "key", "band", "early")], names=["id", "key", "band", "early"])
+
+        # rows come sorted: whole buckets are looked at once there are enough rows
+        open_, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            open_.append(batch)
+            size += len(batch)
+            if size < BUCKET_ROWS:
+                continue
+            some = pa.Table.from_batches(open_)
+            band = some["band"].to_numpy()
+            whole = int(np.searchsorted(band, band[-1]))
+            if whole:
+                yield of_buckets(some.slice(0, whole))
+            open_, size = some.slice(whole).to_batches(), 0
+        if open_:
+            yield of_buckets(pa.Table.from_batches(open_))
+
+    @tidied
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, some, _ in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(code.encode()) for code in some], pa.binary()),
+                                              pa.array(some, pa.string())], names=["id", "text"])
+
+    key = F.xxhash64("doc_id", "tie")
+    each = found.where("bands IS NOT NULL").select("id", key.alias("key"), "sketch", "n_first", F.posexplode("bands").alias("at", "band"))
+    each = each.select("band", "id", "key", "sketch", (F.col("at") < F.col("n_first")).alias("early"))
+    each = each.repartition(partitions(documents.sparkSession), "band").sortWithinPartitions("band")
+    pairs = each.mapInArrow(near, "id binary, key long, band long, early boolean")
+    live = stored(pairs.groupBy("id").agg(F.min("key").alias("key"), F.collect_set(F.when(F.col("early"), F.col("band"))).alias("first"),
+                                          F.collect_set("band").alias("bands")))
+    wanted = hash_set(live.select("key"))
+    texts = _rows(documents).where(wanted.column(key)).mapInArrow(codes, "id binary, text string")
+    texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    return stored(live.join(texts, "id").select("id", "text", "first", "bands"))
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
 
 def named(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,7 +238,7 @@ def named(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n is how many rows repeat the id and text; component_id the smallest id of the component, null if it has none.
     """
     found = candidates(documents)
-    roots = line_components(found, threshold)
+    roots = joined(compared(documents, found), threshold)
     rows = found.groupBy("doc_id", "tie", "id").agg(F.count("*").alias("n"))
     ids = rows.groupBy("id").agg(F.min("doc_id").alias("first"))
     top = stored(ids.join(roots, "id", "left").select("id", "first", F.coalesce("top", "id").alias("top")))

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from beaconaudit.llm.common import tidied
 from beaconaudit.llm.tokens import VOCABULARY, encoder
 from beaconaudit.operators.store import stored
 
@@ -182,6 +183,7 @@ def pieces(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOC
     """(doc_id, piece, start, length, ids_crc32): every document's ids, cut where they exceed a sequence; and ``order``, if named."""
     kind = documents.select("doc_id").schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary)
         for batch in batches:

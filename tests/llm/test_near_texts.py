@@ -1,6 +1,8 @@
 import collections
 import random
 
+import numpy as np
+
 from beaconaudit.llm import near_texts
 from tests.llm.conftest import sentence
 
@@ -72,3 +74,38 @@ def test_edges(spark, edge, no_documents):
     assert kept.columns == edge.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, plain(rows)))
     assert near_texts.keep_first(no_documents).count() == 0
+
+
+def test_chance_meetings_need_no_texts(spark):
+    """Unrelated texts share variants of 32 bits by chance; only near ones go on to the comparison of texts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(15))) for i in range(4000)]
+    near = " ".join(f"v{i}" for i in range(60))
+    rows += [(5000, near), (5001, near + " tail"), (5002, near + " tail")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_texts.candidates(frame)
+    shared = found.where("doc_id < 5000").selectExpr("explode(bands) AS band").groupBy("band").count().where("count > 1").count()
+    assert shared > 0
+    texts = sorted(r["text"] for r in near_texts.compared(frame, found).collect())
+    assert texts == sorted(near_texts.encoded(t) for t in (near, near + " tail"))
+    assert {r["doc_id"] for r in near_texts.keep_first(frame).collect()} == {*range(4000), 5000}
+
+
+def test_rows_of_a_bucket():
+    """A row stays if another text of its bucket is near, or if the bucket is large; copies of one text are no partners."""
+    sketch = np.array([[0], [1], [2 ** 64 - 1], [0], [0], *([[k] for k in range(near_texts.SMALL_BUCKET + 1)])], np.uint64).repeat(6, axis=1)
+    ids = np.array([[1, 1], [2, 1], [3, 1], [4, 1], [4, 1], *([[k, 2] for k in range(near_texts.SMALL_BUCKET + 1)])], np.uint64)
+    bucket = np.array([7, 7, 7, 8, 8, *[9] * (near_texts.SMALL_BUCKET + 1)])
+    kept = near_texts.partnered(bucket, ids, sketch)
+    assert kept.tolist() == [True, True, False, False, False, *[True] * (near_texts.SMALL_BUCKET + 1)]
+
+
+def test_fingerprints_of_similar_texts_are_near():
+    """The bound on the bits of all tables is far from what texts at 0.8 and unrelated texts differ in, few shingles included."""
+    rng = random.Random(9)
+    for words, edits in ((9, 0), (40, 0), (50, 1), (300, 6)):
+        for _ in range(40):
+            text = [f"w{rng.randrange(50_000)}" for _ in range(words)]
+            other = edited(rng, text, edits) if edits else " ".join([*text, "tail"])
+            a, b, c = near_texts.sketches_of([near_texts.encoded(t) for t in (" ".join(text), other, " ".join(text[::-1]))])
+            assert np.bitwise_count(a ^ b).sum() < near_texts.MOST_APART < np.bitwise_count(a ^ c).sum()
