@@ -338,6 +338,18 @@ def new_links(cell: np.ndarray, ids: list[bytes], top: np.ndarray, block: np.nda
             group = parent[group]
 
 
+def buckets_to_compare(rows: DataFrame) -> DataFrame:
+    """(band, blocks) of the buckets of ``rows(id, text, top, band)`` that hold different components.
+
+    Of buckets with the same members (told by their number and two hashes) one is compared: it finds all that the others would.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"members_{k}") for k in (2, 3)]
+    buckets = rows.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), *members,
+                                       F.min("top").alias("least"), F.max("top").alias("most")).where("least != most")
+    return buckets.groupBy("n", "members_2", "members_3").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks")).select("band", "blocks")
+
+
 def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: float) -> DataFrame:
     """(id_a, id_b): links that connect, with ``roots``, all similar lines that share one of the bands in a column.
 
@@ -377,13 +389,7 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
 
     rows = lines.withColumn("top", F.lit(None).cast("binary")) if roots is None else lines.join(roots, "id", "left")
     rows = rows.select("id", "text", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode(column).alias("band"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
-    # of buckets with the same members (told by their number and two hashes) one is compared
-    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"members_{k}") for k in (2, 3)]
-    buckets = rows.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), *members,
-                                       F.min("top").alias("least"), F.max("top").alias("most")).where("least != most")
-    buckets = stored(buckets.groupBy("n", "members_2", "members_3").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
-                     .select("band", "blocks"))
+    buckets = stored(buckets_to_compare(rows))
     # texts are shuffled once: a bitmap leaves out buckets of one component, and few buckets have several blocks
     rows = rows.where(hash_set(buckets.select("band")).column(F.col("band"))).join(buckets.where("blocks > 1"), "band", "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -162,3 +162,11 @@ def test_links_of_a_cell_connect_what_is_similar(blocks):
     plain_links = [(ids[i], ids[j]) for i in range(len(lines)) for j in range(i) if cell[i] == cell[j] and (blocks == 1 or block[i] != block[j])
                    and fuzzy_lines.similarity(lines[i], lines[j]) >= 0.8]
     assert plain_links and classes(links) == classes(plain_links)
+
+
+def test_buckets_with_the_same_members_are_compared_once(spark):
+    """Bands 1 and 2 hold the same lines, 3 one more, 4 others; 5 is of one component."""
+    held = {1: "ab", 2: "ab", 3: "abc", 4: "ac", 5: "de"}
+    rows = [(bytes(line, "ascii"), line, {"a": 1, "b": 2, "c": 3}.get(line, 9), band) for band, some in held.items() for line in some]
+    found = fuzzy_lines.buckets_to_compare(spark.createDataFrame(rows, "id binary, text string, top long, band long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (3, 1), (4, 1)]
