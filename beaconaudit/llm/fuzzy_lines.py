@@ -6,9 +6,10 @@ rule, so equal sets keep equal signatures and one hash per shingle suffices. Row
 bands. Lines that share a band are candidates, and candidates count if the Jaccard similarity of
 their sets reaches the threshold. Of each component of such lines the earliest stays.
 
-1. Hashes of bands are counted over the corpus; those seen twice go into a bitmap of bounded size.
-2. A second pass keeps the lines that have such a band, one row with the text per task: most lines have
-   none and go no further.
+1. Hashes of lines and of bands meet, those of bands with a few bits that tell their lines apart. Lines seen
+   twice, and bands of two different lines, go into a bitmap of bounded size.
+2. A second pass keeps the lines that have such a band or are repeated, the former with their text, once per task:
+   most lines are neither and go no further.
 3. A bucket (all lines of a band) is compared in the task that gets it, pair by pair but for pairs
    that are connected already; a large bucket in pairs of blocks of bounded size. A bitmap of a line's
    shingles bounds how far two sets can be apart, so texts are compared hardly ever in vain; of the links
@@ -26,15 +27,16 @@ null ids come before all others; an empty table gives no rows; of the further co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from beaconaudit.llm.bits import hash_set, packed_in_turn, packed_twice
+from beaconaudit.llm.bits import HashSet, hash_set, packed_twice, packed_with_tags, tagged, untagged
 from beaconaudit.llm.common import fresh, partitions, tidied
 from beaconaudit.llm.components import components
 from beaconaudit.operators.store import stored
@@ -199,50 +201,68 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
 
+def _bands_apart(value: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bands with tags that tell different lines (``ids``: a hash of each) apart, band by band anew."""
+    turn = np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL[2]
+    return tagged(value, _mixed(ids[:, None] ^ turn) >> np.uint64(20))
+
+
+def _id_hashes(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), np.uint64).reshape(-1, 2)[:, 0]
+
+
+def _lists(values: np.ndarray, held: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Of each row the values that are held, null where it is not there."""
+    held = held & there[:, None]
+    ends = np.r_[0, np.cumsum(held.sum(axis=1))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.r_[~there, False]), pa.array(values[held].view(np.int64)))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """A row per line that shares a band: doc_id, tie, line, id.
+    """A row per line that is repeated or shares a band with a different one: doc_id, tie, line, id, again (it is repeated).
 
-    The first in its chunk has its text and shared bands too (``first``: of the first bands).
+    The first in its chunk of those that share bands has its text and these bands too (``first``: of the first bands).
     """
     @tidied
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values() -> Iterator[list[np.ndarray]]:
+        def values() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
             for _, _, _, lines in _chunks(batches):
                 some, of = _distinct(lines)
                 if some:
-                    value = bands_of(some)
-                    yield [value.ravel(), value[np.bincount(of) > 1].ravel()]
+                    ids = _id_hashes([_line_id(line) for line in some])
+                    yield [ids, ids[np.bincount(of) > 1]], _bands_apart(bands_of(some), ids).ravel()
 
-        yield from packed_in_turn(values(), tasks)
+        yield from packed_with_tags(values(), tasks)
 
     @tidied
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.binary()),
-                            ("text", pa.string()), ("first", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for docs, ties, numbers, lines in _chunks(batches):
             some, of = _distinct(lines)
             if not some:
                 continue
-            value = bands_of(some)
-            held = repeated.holds(value.ravel()).reshape(value.shape)
-            rows = np.flatnonzero(held.any(axis=1)[of])
+            ids = [_line_id(line) for line in some]
+            again = held.holds(_id_hashes(ids))
+            value = untagged(bands_of(some))
+            near = held.holds(value.ravel()).reshape(value.shape)
+            alike = near.any(axis=1)
+            rows = np.flatnonzero((again | alike)[of])
             if not len(rows):
                 continue
-            ids = {i: _line_id(some[i]) for i in np.unique(of[rows]).tolist()}
-            seen: set[int] = set()
-            out = []
-            for r in rows.tolist():
-                i = int(of[r])
-                more = (None,) * 3
-                if i not in seen:
-                    more = (some[i], *(value[i][:n][held[i][:n]].view(np.int64) for n in (FIRST_BANDS, BANDS)))
-                seen.add(i)
-                out.append((docs[r], ties[r], numbers[r], ids[i], *more))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+            line = of[rows]
+            first = np.zeros(len(rows), bool)
+            first[np.unique(line, return_index=True)[1]] = True
+            first &= alike[line]
+            value, near = value[line], near[line]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([docs[r] for r in rows.tolist()], pa.int64()), pa.array([ties[r] for r in rows.tolist()], pa.int64()),
+                 pa.array([numbers[r] for r in rows.tolist()], pa.int32()), pa.array([ids[i] for i in line.tolist()], pa.binary()), pa.array(again[line]),
+                 pa.array([some[i] if whole else None for i, whole in zip(line.tolist(), first.tolist())], pa.string()),
+                 _lists(value[:, :FIRST_BANDS], near[:, :FIRST_BANDS], first), _lists(value, near, first)],
+                names=["doc_id", "tie", "line", "id", "again", "text", "first", "bands"])
 
     rows, tasks = _rows(documents), partitions(documents.sparkSession)
-    repeated = hash_set(stored(packed_twice(rows.mapInArrow(hashes, "part long, data binary"), "band", tasks)))
-    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, text string, first array<long>, bands array<long>"))
+    held = hash_set(stored(packed_twice(rows.mapInArrow(hashes, "part long, data binary"), "hash", tasks)))
+    return stored(rows.mapInArrow(shared, "doc_id long, tie long, line int, id binary, again boolean, text string, first array<long>, bands array<long>"))
 
 
 class _Sets:
@@ -341,13 +361,20 @@ def new_links(cell: np.ndarray, ids: list[bytes], top: np.ndarray, block: np.nda
 def buckets_to_compare(rows: DataFrame) -> DataFrame:
     """(band, blocks) of the buckets of ``rows(id, text, top, band)`` that hold different components.
 
-    Of buckets with the same members (told by their number and two hashes) one is compared: it finds all that the others would.
+    Of buckets with the same members (told by their number and sums of three hashes) one is compared: it finds all that the others would.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
-    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"members_{k}") for k in (2, 3)]
+    return _buckets(rows.select(F.xxhash64("id").alias("one"), F.length("text").alias("chars"), "top", "band"))
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """The same of ``rows(one, chars, top, band)``: a hash of the line, and its length. A line may be there several times."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int")
+    # sums, as a line that is there twice would be lost in a bit_xor
+    members = [F.sum(F.xxhash64("one", F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"members_{k}") for k in (2, 3, 4)]
     buckets = rows.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), *members,
                                        F.min("top").alias("least"), F.max("top").alias("most")).where("least != most")
-    return buckets.groupBy("n", "members_2", "members_3").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks")).select("band", "blocks")
+    same = buckets.groupBy("n", "members_2", "members_3", "members_4")
+    return same.agg(F.min("band").alias("band"), F.max("blocks").alias("blocks")).select("band", "blocks")
 
 
 def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: float) -> DataFrame:
@@ -387,12 +414,21 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
         if open_:
             yield links_of(pa.Table.from_batches(open_))
 
-    rows = lines.withColumn("top", F.lit(None).cast("binary")) if roots is None else lines.join(roots, "id", "left")
-    rows = rows.select("id", "text", F.xxhash64(F.coalesce("top", "id")).alias("top"), F.explode(column).alias("band"))
-    buckets = stored(buckets_to_compare(rows))
-    # texts are shuffled once: a bitmap leaves out buckets of one component, and few buckets have several blocks
-    rows = rows.where(hash_set(buckets.select("band")).column(F.col("band"))).join(buckets.where("blocks > 1"), "band", "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = F.xxhash64("id")
+    if roots is None:
+        lines = lines.withColumn("top", one)
+    else:
+        # most lines have no root yet, which a bitmap tells before any text is shuffled
+        linked = hash_set(roots.select(one.alias("line"))).column(one)
+        known = roots.select("id", F.xxhash64("top").alias("top"))
+        lines = lines.where(~linked).withColumn("top", one).unionByName(
+            lines.where(linked).join(known, "id", "left").withColumn("top", F.coalesce("top", one)))
+    buckets = stored(_buckets(lines.select(one.alias("one"), F.length("text").alias("chars"), "top", F.explode(column).alias("band"))))
+    # texts are shuffled once: a bitmap leaves out buckets of one component
+    rows = lines.select("id", "top", "text", F.col(column).alias("bands")).mapInArrow(_exploded(hash_set(buckets.select("band"))),
+                                                                                     "id binary, top long, text string, band long")
+    # a bucket of several blocks has thousands of lines, or millions of characters, so there are few
+    rows = rows.join(F.broadcast(buckets.where("blocks > 1")), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("id", "top", "text", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -401,28 +437,24 @@ def _links(lines: DataFrame, column: str, roots: DataFrame | None, threshold: fl
     return rows.mapInArrow(cells, "id_a binary, id_b binary").distinct()
 
 
-def _compared(found: DataFrame) -> DataFrame:
-    """(id, text, first, bands) of the lines that share a band with another line; most share theirs with equal lines only."""
-    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(wanted: HashSet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes (id, top, text, band) of rows (id, top, text, bands), of the bands that are wanted only."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = []
-            for name in ("first", "bands"):
-                lists = batch[name].to_pylist()
-                values = np.array([x for some in lists for x in some], np.int64)
-                held = np.r_[0, np.cumsum(shared.holds(values.view(np.uint64)))]
-                ends = held[np.cumsum([0, *map(len, lists)])]
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[np.diff(held) > 0], pa.int64())))
-            left = pa.RecordBatch.from_arrays([batch["id"], *columns], names=["id", "first", "bands"])
-            yield left.filter(pa.array(np.diff(columns[1].offsets.to_numpy()) > 0))
-
-    lines = stored(found.where("bands IS NOT NULL").groupBy("id").agg(F.first("first").alias("first"), F.first("bands").alias("bands")))
-    one = F.xxhash64("id")
-    several = lines.select(one.alias("line"), F.explode("bands").alias("band")).groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("z"))
-    shared = hash_set(stored(several.where("a != z").select("band")))
-    live = stored(lines.mapInArrow(pruned, "id binary, first array<long>, bands array<long>"))
-    wanted = hash_set(live.select(one.alias("line")))
-    texts = found.where("bands IS NOT NULL").select("id", "text").where(wanted.column(one)).groupBy("id").agg(F.first("text").alias("text"))
-    return stored(live.join(texts, "id").select("id", "text", "first", "bands"))
+            band = pc.list_flatten(batch["bands"])
+            held = pa.array(wanted.holds(band.to_numpy(zero_copy_only=False).view(np.uint64)))
+            some = batch.select(["id", "top", "text"]).take(pc.list_parent_indices(batch["bands"]).filter(held))
+            yield pa.RecordBatch.from_arrays([*some.columns, band.filter(held)], names=["id", "top", "text", "band"])
+
+    return rows
+
+
+def _compared(found: DataFrame) -> DataFrame:
+    """(id, text, first, bands) of the lines that share a band with a different line, each once (hardly ever twice)."""
+    rows = found.where("bands IS NOT NULL")
+    key = F.xxhash64("id", "doc_id", "tie", "line")
+    owners = hash_set(stored(rows.groupBy("id").agg(F.min(key).alias("key")).select("key")))
+    return stored(rows.where(owners.column(key)).select("id", "text", "first", "bands"))
 
 
 def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -431,7 +463,7 @@ def line_components(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def joined(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The same of ``lines(id, text, first, bands)``, each once, with the bands in which it is to be compared."""
+    """The same of ``lines(id, text, first, bands)``, with the bands in which each is to be compared."""
     def tops(links: DataFrame) -> DataFrame:
         return components(links).withColumnsRenamed({"node": "id", "root": "top"})
 
@@ -443,6 +475,9 @@ def removals(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines that go, per document that loses any."""
     found = candidates(documents)
     roots = line_components(found, threshold)
+    # a line that is there once and linked to none stays: narrow rows of the others meet
+    linked = hash_set(roots.select("id").union(roots.select("top")).select(F.xxhash64("id").alias("line")))
+    found = found.select("id", "doc_id", "tie", "line", "again").where(F.col("again") | linked.column(F.xxhash64("id")))
     place = F.struct("doc_id", "tie", "line")
     first = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     top = stored(first.join(roots, "id", "left").select("id", "first", "last", F.coalesce("top", "id").alias("top")))

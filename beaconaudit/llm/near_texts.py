@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from beaconaudit.llm.bits import hash_set, packed_in_turn, packed_twice
+from beaconaudit.llm.bits import distinct, hash_set, packed_in_turn, packed_twice
 from beaconaudit.llm.common import fresh, partitions, tidied
 from beaconaudit.llm.fuzzy_lines import joined
 from beaconaudit.operators.store import stored
@@ -75,7 +75,7 @@ def fingerprints(code: str) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE_WORDS, len(chars))):
         h = _mixed(h + chars[k:k + n])
-    h = np.unique(h)
+    h = distinct(h)
     out = []
     for wide in range(TABLES // 2):
         bits = np.unpackbits(_mixed(h + np.uint64(wide + 1)).view(np.uint8).reshape(-1, 8), axis=1)

@@ -170,3 +170,22 @@ def test_buckets_with_the_same_members_are_compared_once(spark):
     rows = [(bytes(line, "ascii"), line, {"a": 1, "b": 2, "c": 3}.get(line, 9), band) for band, some in held.items() for line in some]
     found = fuzzy_lines.buckets_to_compare(spark.createDataFrame(rows, "id binary, text string, top long, band long"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (3, 1), (4, 1)]
+
+
+def test_lines_that_are_only_repeated_need_no_text(spark):
+    """Equal lines share all bands; only lines that share one with a different line are compared, and so have their text."""
+    rng = random.Random(41)
+    copied, alike = [sentence(rng, 12) for _ in range(30)], sentence(rng, 30)
+    rows = [(i, "\n".join([*rng.sample(copied, 5), sentence(rng, 12)])) for i in range(60)] + [(100, alike), (101, alike + "x"), (102, alike)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = fuzzy_lines.candidates(frame)
+    assert {r["text"] for r in found.where("text IS NOT NULL").collect()} == {alike, alike + "x"}
+    assert found.where("again").count() == 302 and found.count() == 303
+    check(frame)
+
+
+def test_a_line_that_is_there_twice_hides_no_bucket(spark):
+    """Buckets of a, a, b and of c, c, b have as many members and the same bit_xor, but not the same members."""
+    rows = [(bytes(line, "ascii"), line, ord(line), band) for band, some in {1: "aab", 2: "ccb"}.items() for line in some]
+    found = fuzzy_lines.buckets_to_compare(spark.createDataFrame(rows, "id binary, text string, top long, band long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1)]
