@@ -108,7 +108,8 @@ def in_mixed_order(documents: DataFrame, shares: dict[str, int] | None = None, b
     """
     position, name = fresh(documents, "position", "mixed_id")
     places = mix(documents, shares, block).groupBy("doc_id").agg(F.min("position").alias(position)).withColumnRenamed("doc_id", name)
-    mixed = documents.join(places, F.col("doc_id").eqNullSafe(F.col(name)))
+    # places have a row per document: they are merged with the texts at every size, never broadcast
+    mixed = documents.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)))
     return (mixed.repartitionByRange(partitions(documents.sparkSession), position).sortWithinPartitions(position, "doc_id")
             .select(*documents.columns))
 

@@ -53,3 +53,9 @@ def test_written_files_are_in_mixed_order(edge, tmp_path):
 def test_no_python_in_the_plan(edge):
     plan = mixing.in_mixed_order(edge)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_places_are_merged_with_the_texts(edge):
+    """Places have a row per document, so no size of theirs may send them through the driver."""
+    places = mixing.in_mixed_order(edge)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in places
