@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconaudit.llm.common import partitions
-from beaconaudit.operators.joins import attach
+from beaconaudit.operators.joins import attach, attach_measured
 from beaconaudit.operators.store import stored
 
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -253,11 +253,15 @@ def near_words(words: DataFrame, shortest: int = SHORTEST, limit: int = BUCKET)
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """(word, root) of (word, form): forms followed to the last, twice as far in every round."""
+    """(word, root) of (word, form): forms followed to the last, twice as far in every round.
+
+    There are as many facts as rows, in proportion to the vocabulary, so neither may be broadcast.
+    """
     links = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         above = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        joined = stored(attach(links, above, "root", ("word",)).select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        joined = attach_measured(links, above, "root", ("word",), many=True)
+        joined = stored(joined.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         links = joined.select("word", "root")
         if joined.where("moved").isEmpty():
             return links
@@ -266,11 +270,11 @@ def roots(forms: DataFrame) -> DataFrame:
 def group(words: DataFrame, shortest: int = SHORTEST, times: int = TIMES, limit: int = BUCKET) -> DataFrame:
     """Per word of (word, n): word, form, root, n, n_near, form_n."""
     words = stored(words)
-    near = words.join(near_words(words, shortest, limit), "word", "left")  # a word is one row on both sides
+    near = words.join(near_words(words, shortest, limit).hint("merge"), "word", "left")  # a word is one row on both sides
     is_form = F.col("best_n") >= times * F.col("n")
     found = stored(near.select("word", F.when(is_form, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
                                F.when(is_form, F.col("best_n")).alias("form_n")))
-    return (found.join(roots(found.where("form IS NOT NULL")), "word", "left")
+    return (found.join(roots(found.where("form IS NOT NULL")).hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 

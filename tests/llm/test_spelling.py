@@ -122,3 +122,23 @@ def test_chains_of_forms(spark):
     found = spelling.roots(spark.createDataFrame(links, "word string, form string"))
     assert {r["word"]: r["root"] for r in found.collect()} == {w: "w19" for w, _ in links}
     assert spelling.roots(spark.createDataFrame([], "word string, form string")).count() == 0
+
+
+def test_what_grows_with_the_vocabulary_is_not_broadcast(spark, monkeypatch):
+    plans, kept = [], spelling.stored
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return kept(frame)
+
+    monkeypatch.setattr(spelling, "stored", seen)
+    links = [(f"word{i:04}", "wordform" if i else "wordforms") for i in range(400)] + [("wordform", "word0000")]
+    found = spelling.roots(spark.createDataFrame(links, "word string, form string"))
+    assert {r["root"] for r in found.collect()} == {"wordforms"} and found.count() == 401
+    followed = [p for p in plans if "further" in p]
+    # the keys that are heavy, at most one per task, are; the links are not
+    assert followed and all("SortMergeJoin [root#" in p and "__salt#" in p.split("SortMergeJoin [root#")[1].split("\n")[0] for p in followed)
+    words = spark.createDataFrame([(w, 9) for w, _ in links[:40]] + [("wordform", 900)], "word string, n long")
+    last = spelling.group(words)
+    assert "BroadcastHashJoin" not in last._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in next(p for p in plans if "n_near" in p and "form_n" in p)
