@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,76 @@ def test_scores_need_only_what_is_near_high_bytes(spark):
     found = near.select("v", "n", charsets._guess(F.col("v")).alias("whole"), charsets._guess(F.col("n")).alias("near")).collect()
     assert all(r["whole"] == r["near"] for r in found) and len({r["near"] for r in found}) > 5
     assert max(len(r["n"]) for r in found) < 400 < max(len(r["v"]) for r in found)
+
+
+def by_patterns(raw):
+    """The charset that bytes look like, by patterns over all of them."""
+    def count(pattern):
+        return len(re.findall(pattern, raw))
+
+    def some(characters, codec):
+        return b"[" + b"".join(b"\\x%02x" % c.encode(codec)[0] for c in characters if c.encode(codec, "ignore")) + b"]"
+
+    def beside(x):
+        return count(rb"(?<=[A-Za-z])%b|(?<=[A-Za-z][\x80-\xff])%b|%b(?=[\x80-\xff]?[A-Za-z])|(?<![\x80-\xff])%b(?![\x80-\xff])" % (x, x, x, x))
+
+    def kept(wanted, unit):
+        return sum(len(m[1] or b"") for m in re.finditer(rb"(?s)(%b)|%b|." % (wanted, unit), raw))
+
+    high, scores = max(count(rb"[\x80-\xff]"), 1), []
+    for name, codec, usual, rare in charsets.LATIN:
+        opening = count(rb"(?<![A-Za-z\x80-\xff])[\xa1\xbf](?=[A-Za-z])") if codec == "cp1252" else 0
+        scores.append((name, (beside(some(usual, codec)) + 0.4 * beside(some(rare, codec)) + opening) / high))
+    for name, codec, one, unit, common, frequent in charsets.DOUBLE_BYTE:
+        unit, common = unit.encode(), common.encode()
+        wrong = len(re.sub(rb"[\x00-\x7f]+|%b|%b\Z" % (unit, b"[%b]|" % one.encode() if one else b""), b"", raw))
+        top = b"|".join(re.escape(c.encode(codec)) for c in frequent)
+        scores.append((name, (kept(common, unit) / 2 + kept(top, unit) - 8 * wrong) / max(count(unit), 1)))
+    for name, codec, frequent in charsets.ALPHABETS:
+        is_ = [bytes([c]).decode(codec, "ignore") or chr(c) for c in range(0x80, 0x100)]
+        letter, small, capital, unknown = (b"[" + b"".join(b"\\x%02x" % (0x80 + i) for i, c in enumerate(is_) if test(i, c)) + b"]" for test in (
+            lambda i, c: c in frequent, lambda i, c: c.islower(), lambda i, c: c.isupper(), lambda i, c: c == chr(0x80 + i) and i != 0x20))
+        turned = count(small + capital) if small != b"[]" and capital != b"[]" else 0
+        scores.append((name, (count(letter + b"(?=" + letter + b")") + count(letter) / 2 - (count(unknown) if unknown != b"[]" else 0) - turned) / high))
+    best = max(score for _, score in scores)
+    return next(name for name, score in scores if score == best) if best >= 0.2 else charsets.FALLBACK
+
+
+def odd_texts():
+    rng = random.Random(8)
+    pools = [range(256), range(0x80, 0x100), (0x81, 0x30, 0x39, 0xFE, 0x40), (0x8F, 0xA1, 0xFE), (0x8E, 0xA1, 0xDF, 0xE0, 0x8F), (0xE0, 0x7F, 0x82, 0x80, 0xFC),
+             [*range(0x40, 0x60), *range(0xA1, 0xFF)], [*b"aZ09 \n", *range(0xC0, 0x100)]]
+    texts = [bytes(rng.choice(pool) for pool in rng.choices(pools, k=rng.randint(1, 3)) for _ in range(rng.choice([1, 2, 3, 9, 40]))) for _ in range(1200)]
+    whole = [text.encode(codec) for text, kinds in SENTENCES for codec in kinds if not codec.startswith("utf")]
+    return texts + whole + [w[1:] for w in whole] + [b" ".join(rng.choices(whole, k=3)) for _ in range(60)] + [b"", b"plain"]
+
+
+def named(texts):
+    rows = [{"name": None, "content": t} for t in texts]
+    return charsets._names(pa.array(rows, pa.struct([("name", pa.string()), ("content", pa.binary())]))).to_pylist()
+
+
+@pytest.mark.parametrize("together, pieces", [(1 << 17, 512), (5, 3)])
+def test_counted_scores_are_those_of_patterns(monkeypatch, together, pieces):
+    monkeypatch.setattr(charsets, "_TOGETHER", together)
+    monkeypatch.setattr(charsets, "_PIECES", pieces)
+    texts = odd_texts()
+    found = named(texts)
+    assert found == [by_patterns(t) for t in texts]
+    assert {name for name, *_ in (*charsets.LATIN, *charsets.DOUBLE_BYTE, *charsets.ALPHABETS)} == set(found)
+    assert named([]) == []
+
+
+def test_what_is_known_is_not_scored():
+    rows = [{"name": "UTF-8", "content": None}, {"name": None, "content": None}, {"name": None, "content": b"caf\xe9"}]
+    assert charsets._names(pa.array(rows, pa.struct([("name", pa.string()), ("content", pa.binary())]))).to_pylist() == ["UTF-8", None, "windows-1252"]
+
+
+def test_charset_is_found_once_for_name_and_text(spark):
+    files = spark.createDataFrame([(i, bytearray(text.encode(codec))) for i, (text, kinds) in enumerate(SENTENCES) for codec in kinds], "i int, content binary")
+    plan = corpus.decoded(charsets.with_charset(files), charset="charset")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("is_valid_utf8") + text.count("isValid") == 1 and text.count("ArrowEvalPython") == 1, text
+    assert "regexp_count" not in text
+    both = corpus.decoded(charsets.with_charset(files))
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, both.collect()))
